@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.rounding import half_up
 from pulsegrid.operators.anomaly import detect_anomalies
 from pulsegrid.operators.daily import daily_values
-from pulsegrid.plans.standin import EVENTS_DIM, ORDERS_DIM, event_records, order_records
+from pulsegrid.operators.rolling import chart_data, rolling_baseline, rolling_means, series_stats
+from pulsegrid.operators.trend import classify_trends, trend_summary
+from pulsegrid.plans.standin import (
+    EVENTS_AS_OF, EVENTS_DIM, ORDERS_DIM, event_records, order_records,
+)
 
 SUM_EVENT_TYPES = sorted(m for m, a in EVENTS_DIM.agg.items() if a == "sum")
 
@@ -60,10 +64,85 @@ def q_anomaly_severity_counts(spark, sf):
     )
 
 
+# -- step 2: rolling frames and last-n ---------------------------------------
+
+def _rolling_out(r):
+    return r.select("subject_id", "metric", "date", _r6("raw").alias("raw"),
+                    _r6("rolling_7").alias("rolling_7"), _r6("rolling_30").alias("rolling_30"),
+                    _r6("rolling_90").alias("rolling_90"))
+
+
+def q_rolling_7_30_90(spark, sf):
+    return _rolling_out(rolling_means(event_daily(spark, sf)))
+
+
+def q_rolling_long_history(spark, sf):
+    return _rolling_out(rolling_means(order_daily(spark, sf)))
+
+
+def q_baseline_deviation(spark, sf):
+    b = rolling_baseline(event_daily(spark, sf))
+    return b.select("subject_id", "metric", "date", _r6("value").alias("value"),
+                    _r6("rolling_mean").alias("rolling_mean"),
+                    _r6("baseline_deviation").alias("baseline_deviation"))
+
+
+def q_last7_stats(spark, sf):
+    st = series_stats(event_daily(spark, sf))
+    return st.select("subject_id", "metric",
+                     half_up(F.coalesce("avg_7d", "current"), 2).alias("avg"),
+                     half_up("current", 2).alias("current"),
+                     half_up("min_7d", 2).alias("min"),
+                     half_up("max_7d", 2).alias("max"),
+                     "n_points")
+
+
+def q_chart_last90(spark, sf):
+    c = chart_data(rolling_means(order_daily(spark, sf)))
+    return c.select("subject_id", "metric", "date", _r6("raw").alias("raw"),
+                    _r6("rolling_7").alias("rolling_7"))
+
+
+# -- step 3: trends ----------------------------------------------------------
+
+def q_trend_class(spark, sf):
+    t = classify_trends(event_daily(spark, sf), EVENTS_DIM)
+    return t.select("subject_id", "metric", "n_points", "n_trend", "trend_raw", "direction",
+                    half_up(F.try_divide("slope_trend", F.nullif("std_trend", F.lit(0.0))), 4)
+                    .alias("norm_slope"))
+
+
+def event_trend_summary(spark, sf):
+    daily = event_daily(spark, sf)
+    return trend_summary(daily, detect_anomalies(daily), EVENTS_DIM, EVENTS_AS_OF)
+
+
+def q_trend_summary(spark, sf):
+    t = event_trend_summary(spark, sf)
+    dates = F.transform("recent_anomalies", lambda a: F.date_format(a["date"], "yyyy-MM-dd"))
+    return t.select("subject_id", "metric", "direction", "current_value", "avg_90d", "pct_vs_90d",
+                    F.size("recent_anomalies").cast("bigint").alias("n_recent_anomalies"),
+                    F.array_join(dates, ",").alias("recent_anomaly_dates"))
+
+
+def q_recent_anomalies(spark, sf):
+    t = event_trend_summary(spark, sf)
+    return (t.select("subject_id", "metric", F.explode("recent_anomalies").alias("a"))
+            .select("subject_id", "metric", "a.date", "a.value", "a.deviation_sigma", "a.severity"))
+
+
 QUERIES = {
     "daily_mean": q_daily_mean,
     "daily_sum_zero_filled": q_daily_sum_zero_filled,
     "anomalies": q_anomalies,
     "anomalies_long_history": q_anomalies_long_history,
     "anomaly_severity_counts": q_anomaly_severity_counts,
+    "rolling_7_30_90": q_rolling_7_30_90,
+    "rolling_long_history": q_rolling_long_history,
+    "baseline_deviation": q_baseline_deviation,
+    "last7_stats": q_last7_stats,
+    "chart_last90": q_chart_last90,
+    "trend_class": q_trend_class,
+    "trend_summary": q_trend_summary,
+    "recent_anomalies": q_recent_anomalies,
 }

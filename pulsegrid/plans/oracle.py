@@ -75,6 +75,60 @@ FROM f WHERE dev >= {thr}
 """
 
 
+def rolling_sql(daily_cte: str) -> str:
+    def gated(n):
+        mp = max(1, n // 3)
+        return (f"CASE WHEN count(value) OVER (PARTITION BY subject_id, metric ORDER BY date "
+                f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) >= {mp} THEN "
+                f"avg(value) OVER (PARTITION BY subject_id, metric ORDER BY date "
+                f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END")
+    return f"""
+WITH {daily_cte}
+SELECT subject_id, metric, date, {rnd("value", 6)} AS raw,
+       {rnd(gated(7), 6)} AS rolling_7, {rnd(gated(30), 6)} AS rolling_30,
+       {rnd(gated(90), 6)} AS rolling_90
+FROM daily
+"""
+
+
+# Per-series summary: positions counted from the newest day (rn = 1).
+EV_STATS = f"""
+{EV_DAILY},
+rk AS (
+  SELECT *, row_number() OVER (PARTITION BY subject_id, metric ORDER BY date DESC) AS rn
+  FROM daily),
+st AS (
+  SELECT subject_id, metric, count(*) AS n_points,
+         arg_max(value, date) AS cur,
+         avg(value) FILTER (WHERE rn <= 7) AS avg7,
+         min(value) FILTER (WHERE rn <= 7) AS min7,
+         max(value) FILTER (WHERE rn <= 7) AS max7,
+         avg(value) FILTER (WHERE rn <= 90) AS avg90,
+         count(*) FILTER (WHERE rn <= 30) AS n30,
+         regr_slope(value, 30.0 - rn) FILTER (WHERE rn <= 30) AS slope,
+         stddev_pop(value) FILTER (WHERE rn <= 30) AS sd
+  FROM rk GROUP BY 1, 2),
+tr AS (
+  SELECT *,
+         CASE WHEN n30 < 7 THEN 'insufficient_data'
+              WHEN sd = 0 THEN 'stable'
+              WHEN abs(slope / sd) < 0.1 THEN 'stable'
+              WHEN slope / sd > 0 THEN 'increasing' ELSE 'decreasing' END AS trend_raw
+  FROM st),
+tl AS (
+  SELECT *,
+         CASE WHEN trend_raw IN ('stable', 'insufficient_data') THEN trend_raw
+              WHEN metric IN ('click', 'purchase', 'signup')
+                   THEN CASE WHEN trend_raw = 'increasing' THEN 'improving' ELSE 'declining' END
+              WHEN metric IN ('error')
+                   THEN CASE WHEN trend_raw = 'decreasing' THEN 'improving' ELSE 'declining' END
+              ELSE trend_raw END AS direction
+  FROM tr)
+"""
+
+EV_ANOM = f"ev_anom AS ({anomalies_sql(EV_DAILY)})"
+EV_AS_OF = "DATE '2024-01-31'"
+
 ORACLE = {
     "daily_mean": f"""
 WITH {EV_DAILY}
@@ -94,5 +148,62 @@ SELECT metric, severity, count(*) AS n_anomalies,
        {rnd("avg(deviation_sigma)", 4)} AS mean_deviation,
        max(deviation_sigma) AS max_deviation
 FROM a GROUP BY metric, severity
+""",
+    "rolling_7_30_90": rolling_sql(EV_DAILY),
+    "rolling_long_history": rolling_sql(ORD_DAILY),
+    "baseline_deviation": f"""
+WITH {EV_DAILY},
+b AS (
+  SELECT subject_id, metric, date, value,
+         CASE WHEN count(value) OVER w >= 7 THEN avg(value) OVER w END AS mu
+  FROM daily
+  WINDOW w AS (PARTITION BY subject_id, metric ORDER BY date
+               ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT subject_id, metric, date, {rnd("value", 6)} AS value, {rnd("mu", 6)} AS rolling_mean,
+       {rnd("value - mu", 6)} AS baseline_deviation
+FROM b
+""",
+    "last7_stats": f"""
+WITH {EV_STATS}
+SELECT subject_id, metric, {rnd("coalesce(avg7, cur)", 2)} AS avg, {rnd("cur", 2)} AS current,
+       {rnd("min7", 2)} AS min, {rnd("max7", 2)} AS max, n_points
+FROM st
+""",
+    "chart_last90": f"""
+WITH {ORD_DAILY},
+r AS (
+  SELECT subject_id, metric, date, value AS raw,
+         CASE WHEN count(value) OVER w >= 2 THEN avg(value) OVER w END AS rolling_7,
+         row_number() OVER (PARTITION BY subject_id, metric ORDER BY date DESC) AS rn,
+         count(*) OVER (PARTITION BY subject_id, metric) AS n
+  FROM daily
+  WINDOW w AS (PARTITION BY subject_id, metric ORDER BY date
+               ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+SELECT subject_id, metric, date, {rnd("raw", 6)} AS raw, {rnd("rolling_7", 6)} AS rolling_7
+FROM r WHERE rn <= 90 AND n >= 2
+""",
+    "trend_class": f"""
+WITH {EV_STATS}
+SELECT subject_id, metric, n_points, n30 AS n_trend, trend_raw, direction,
+       {rnd("CASE WHEN sd = 0 THEN NULL ELSE slope / sd END", 4)} AS norm_slope
+FROM tl
+""",
+    "trend_summary": f"""
+WITH {EV_STATS}, {EV_ANOM},
+rec AS (
+  SELECT subject_id, metric, count(*) AS n,
+         string_agg(strftime(date, '%Y-%m-%d'), ',' ORDER BY date DESC) AS dates
+  FROM ev_anom WHERE date >= {EV_AS_OF} - INTERVAL 14 DAY
+  GROUP BY 1, 2)
+SELECT t.subject_id, t.metric, t.direction, {rnd("t.cur", 2)} AS current_value,
+       {rnd("t.avg90", 2)} AS avg_90d,
+       CASE WHEN t.avg90 = 0 THEN NULL ELSE {rnd("(t.cur - t.avg90) / t.avg90 * 100", 1)} END AS pct_vs_90d,
+       coalesce(r.n, 0) AS n_recent_anomalies, coalesce(r.dates, '') AS recent_anomaly_dates
+FROM tl t LEFT JOIN rec r USING (subject_id, metric)
+""",
+    "recent_anomalies": f"""
+WITH {EV_ANOM}
+SELECT subject_id, metric, date, value, deviation_sigma, severity
+FROM ev_anom WHERE date >= CAST({EV_AS_OF} - INTERVAL 14 DAY AS DATE)
 """,
 }
