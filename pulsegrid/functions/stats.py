@@ -44,14 +44,16 @@ def _series_sum(k_max: Column, c2: Column, ratio) -> Column:
 
 def pearson_p_value(r, n) -> Column:
     """Two-sided p-value of Pearson r over n pairs (NULL when r is NULL or n < 3)."""
-    r = F.least(F.greatest(_c(r), F.lit(-1.0)), F.lit(1.0))
+    r_in = _c(r)
+    # least/greatest skip NULLs, so the NULL test must use the input.
+    r = F.least(F.greatest(r_in, F.lit(-1.0)), F.lit(1.0))
     n = _c(n).cast("int")
     df = n - 2
     s = F.abs(r)                       # sin(theta)
     c2 = F.lit(1.0) - r * r            # cos^2(theta)
     theta = F.asin(s)
     even_sum = _series_sum(F.floor((df - 2) / 2).cast("int"), c2,
-                           lambda k: (2 * k - 1).cast("double") / (2 * k).cast("double"))
+                           lambda k: F.try_divide((2 * k - 1).cast("double"), (2 * k).cast("double")))
     odd_sum = _series_sum(F.floor((df - 3) / 2).cast("int"), c2,
                           lambda k: (2 * k).cast("double") / (2 * k + 1).cast("double"))
     a_even = s * even_sum
@@ -60,6 +62,6 @@ def pearson_p_value(r, n) -> Column:
     cdf = (F.when(df == 1, a_one)
            .when(df % 2 == 0, a_even)
            .otherwise(a_odd))
-    return (F.when(r.isNull() | (df < 1), F.lit(None).cast("double"))
+    return (F.when(r_in.isNull() | n.isNull() | (df < 1), F.lit(None).cast("double"))
             .when(s >= 1.0, F.lit(0.0))
             .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - cdf)))

@@ -12,12 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.rounding import half_up
+from pulsegrid.model import STAGE_COLUMNS, MetricDim
 from pulsegrid.operators.anomaly import detect_anomalies
+from pulsegrid.operators.correlate import (
+    evening_workout_vs_sleep, intensity_vs_next_day_hrv, sleep_vs_next_day_rhr,
+    temp_deviation_vs_rhr_change,
+)
+from pulsegrid.operators.sleep import sleep_nightly, sleep_rolling, sleep_stages, sleep_stats, stage_totals
+from pulsegrid.operators.workout import workout_by_type, workout_stats, workout_weekly
 from pulsegrid.operators.daily import daily_values
 from pulsegrid.operators.rolling import chart_data, rolling_baseline, rolling_means, series_stats
 from pulsegrid.operators.trend import classify_trends, trend_summary
 from pulsegrid.plans.standin import (
-    EVENTS_AS_OF, EVENTS_DIM, ORDERS_DIM, event_records, order_records,
+    EVENTS_AS_OF, EVENTS_DIM, ORDERS_DIM, event_records, order_records, sleep_records,
+    workout_records,
 )
 
 SUM_EVENT_TYPES = sorted(m for m, a in EVENTS_DIM.agg.items() if a == "sum")
@@ -131,6 +139,107 @@ def q_recent_anomalies(spark, sf):
             .select("subject_id", "metric", "a.date", "a.value", "a.deviation_sigma", "a.severity"))
 
 
+# -- step 4: sleep -------------------------------------------------------------
+
+def event_sleep_totals(spark, sf):
+    return stage_totals(sleep_records(spark, sf))
+
+
+def q_sleep_nightly(spark, sf):
+    n = sleep_nightly(event_sleep_totals(spark, sf))
+    return n.select("subject_id", "night", _r6("hours").alias("hours"))
+
+
+def q_sleep_stage_pivot(spark, sf):
+    p = sleep_stages(event_sleep_totals(spark, sf))
+    return p.select("subject_id", "night", *[_r6(c).alias(c) for c in STAGE_COLUMNS])
+
+
+def q_sleep_rolling(spark, sf):
+    r = sleep_rolling(sleep_nightly(event_sleep_totals(spark, sf)))
+    return r.select("subject_id", "night", _r6("hours").alias("hours"),
+                    _r6("avg_duration_7d").alias("avg_duration_7d"),
+                    _r6("avg_duration_30d").alias("avg_duration_30d"))
+
+
+def q_sleep_stats(spark, sf):
+    return sleep_stats(sleep_nightly(event_sleep_totals(spark, sf)))
+
+
+# -- step 5: workouts ------------------------------------------------------------
+
+def q_workouts_by_type(spark, sf):
+    return workout_by_type(workout_records(spark, sf))
+
+
+def q_workout_weekly_load(spark, sf):
+    return workout_weekly(workout_records(spark, sf))
+
+
+def q_workout_stats(spark, sf):
+    return workout_stats(workout_records(spark, sf))
+
+
+# -- step 6: correlations ------------------------------------------------------------
+# HRV, resting heart rate and temperature stand in as the daily means of
+# signup, error and click events.
+
+MEAN_DIM = MetricDim()
+
+
+def _one_subject(df):
+    return df.withColumn("subject_id", F.lit(0).cast("bigint"))
+
+
+def _mean_series(spark, sf, metric, collapse=False):
+    recs = event_records(spark, sf, [metric])
+    if collapse:
+        recs = _one_subject(recs)
+    return daily_values(recs, MEAN_DIM).select("subject_id", "date", "value")
+
+
+def _sleep_series(spark, sf, collapse=False):
+    recs = sleep_records(spark, sf)
+    if collapse:
+        recs = _one_subject(recs)
+    return sleep_nightly(stage_totals(recs)).select(
+        "subject_id", F.col("night").alias("date"), F.col("hours").alias("value"))
+
+
+def _workouts(spark, sf, collapse=False):
+    w = workout_records(spark, sf)
+    return _one_subject(w) if collapse else w
+
+
+def corr_intensity_next_day(spark, sf, collapse=False):
+    return intensity_vs_next_day_hrv(_workouts(spark, sf, collapse),
+                                     _mean_series(spark, sf, "signup", collapse))
+
+
+def corr_sleep_next_day(spark, sf, collapse=False):
+    return sleep_vs_next_day_rhr(_sleep_series(spark, sf, collapse),
+                                 _mean_series(spark, sf, "error", collapse))
+
+
+def corr_evening_sleep(spark, sf, collapse=False):
+    return evening_workout_vs_sleep(_workouts(spark, sf, collapse), _sleep_series(spark, sf, collapse))
+
+
+def corr_baseline_dev(spark, sf, collapse=False):
+    return temp_deviation_vs_rhr_change(_mean_series(spark, sf, "click", collapse),
+                                        _mean_series(spark, sf, "error", collapse))
+
+
+def q_corr_p_value(spark, sf):
+    """All four relations with every user pooled into one subject (n ~ 30)."""
+    parts = [f(spark, sf, True) for f in (corr_intensity_next_day, corr_sleep_next_day,
+                                          corr_evening_sleep, corr_baseline_dev)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 QUERIES = {
     "daily_mean": q_daily_mean,
     "daily_sum_zero_filled": q_daily_sum_zero_filled,
@@ -145,4 +254,16 @@ QUERIES = {
     "trend_class": q_trend_class,
     "trend_summary": q_trend_summary,
     "recent_anomalies": q_recent_anomalies,
+    "sleep_nightly": q_sleep_nightly,
+    "sleep_stage_pivot": q_sleep_stage_pivot,
+    "sleep_rolling": q_sleep_rolling,
+    "sleep_stats": q_sleep_stats,
+    "workouts_by_type": q_workouts_by_type,
+    "workout_weekly_load": q_workout_weekly_load,
+    "workout_stats": q_workout_stats,
+    "corr_intensity_next_day": corr_intensity_next_day,
+    "corr_sleep_next_day": corr_sleep_next_day,
+    "corr_evening_sleep": corr_evening_sleep,
+    "corr_baseline_dev": corr_baseline_dev,
+    "corr_p_value": q_corr_p_value,
 }

@@ -129,6 +129,117 @@ tl AS (
 EV_ANOM = f"ev_anom AS ({anomalies_sql(EV_DAILY)})"
 EV_AS_OF = "DATE '2024-01-31'"
 
+# -- sleep, workouts, correlations ------------------------------------------------
+
+def sleep_ctes(subj: str = "user_id") -> str:
+    return f"""
+sl AS (
+  SELECT {subj} AS subject_id, ts AS s,
+         ts + to_minutes(CAST(floor(value) AS BIGINT)) AS e,
+         CAST(event_id % 7 AS DOUBLE) AS code
+  FROM events WHERE event_type = 'view'),
+sl2 AS (
+  SELECT subject_id, CAST(s AS DATE) - CASE WHEN hour(s) < 18 THEN 1 ELSE 0 END AS night, code,
+         CASE WHEN code = 0 THEN 'in_bed' WHEN code = 1 THEN 'asleep_unspecified'
+              WHEN code = 2 THEN 'awake' WHEN code = 3 THEN 'core' WHEN code = 4 THEN 'deep'
+              WHEN code = 5 THEN 'rem' ELSE 'unknown' END AS stage,
+         (epoch_us(e) - epoch_us(s)) / 3600000000.0 AS hrs
+  FROM sl),
+sflag AS (SELECT subject_id, count(DISTINCT code) > 2 AS has_stages FROM sl2 GROUP BY 1),
+skept AS (
+  SELECT sl2.*, sflag.has_stages FROM sl2 JOIN sflag USING (subject_id)
+  WHERE night IS NOT NULL AND (NOT has_stages OR stage NOT IN ('in_bed', 'awake'))),
+sn AS (SELECT subject_id, night AS date, coalesce(sum(hrs), 0.0) AS value FROM skept GROUP BY 1, 2)
+"""
+
+
+WORKOUT_CTE = """
+wt AS (
+  SELECT user_id AS subject_id,
+         replace(coalesce('HKWorkoutActivityType' || CAST(event_id % 4 AS VARCHAR), 'None'),
+                 'HKWorkoutActivityType', '') AS activity,
+         value AS d, ts
+  FROM events WHERE event_type = 'purchase')
+"""
+
+
+def p_value_sql(r: str, n: str) -> str:
+    """Two-sided Pearson p from the t distribution, series coefficients in
+    closed form via lgamma."""
+    df = f"(({n}) - 2)"
+    s = f"abs({r})"
+    c2 = f"(1.0 - ({r}) * ({r}))"
+    even = (f"{s} * list_sum(list_transform(range(0, ({df} - 2) // 2 + 1), "
+            f"lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * pow({c2}, k)))")
+    odd = (f"2.0 / pi() * (asin({s}) + {s} * sqrt({c2}) * list_sum(list_transform("
+           f"range(0, ({df} - 3) // 2 + 1), "
+           f"lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow({c2}, k))))")
+    cdf = f"CASE WHEN {df} = 1 THEN 2.0 / pi() * asin({s}) WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END"
+    return f"CASE WHEN {s} >= 1 THEN 0.0 ELSE greatest(0.0, 1.0 - ({cdf})) END"
+
+
+def corr_ctes(subj: str) -> str:
+    return f"""
+ms AS (
+  SELECT {subj} AS subject_id, event_type AS metric, CAST(ts AS DATE) AS date, avg(value) AS value
+  FROM events WHERE event_type IN ('signup', 'error', 'click') AND ts IS NOT NULL GROUP BY 1, 2, 3),
+hrv AS (SELECT subject_id, date, value FROM ms WHERE metric = 'signup' AND value IS NOT NULL),
+rhr AS (SELECT subject_id, date, value FROM ms WHERE metric = 'error' AND value IS NOT NULL),
+tmp AS (SELECT subject_id, date, value FROM ms WHERE metric = 'click' AND value IS NOT NULL),
+wk AS (SELECT {subj} AS subject_id, ts, value AS duration FROM events
+       WHERE event_type = 'purchase' AND ts IS NOT NULL),
+wi AS (SELECT subject_id, CAST(ts AS DATE) AS date, avg(duration) AS value FROM wk GROUP BY 1, 2),
+we AS (SELECT subject_id, CAST(ts AS DATE) AS date, avg(duration) AS value FROM wk
+       WHERE hour(ts) >= 18 GROUP BY 1, 2),
+hrv_prev AS (SELECT subject_id, CAST(date - INTERVAL 1 DAY AS DATE) AS date, value FROM hrv),
+rhr_prev AS (SELECT subject_id, CAST(date - INTERVAL 1 DAY AS DATE) AS date, value FROM rhr),
+tdev AS (
+  SELECT subject_id, date,
+         value - CASE WHEN count(value) OVER w >= 7 THEN avg(value) OVER w END AS value
+  FROM tmp WINDOW w AS (PARTITION BY subject_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+rdev AS (
+  SELECT subject_id, date,
+         value - CASE WHEN count(value) OVER w >= 7 THEN avg(value) OVER w END AS value
+  FROM rhr WINDOW w AS (PARTITION BY subject_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+{sleep_ctes(subj)}
+"""
+
+
+def pearson_sql(rel: str, x: str, y: str) -> str:
+    return f"""
+SELECT p.subject_id, '{rel}' AS relationship,
+       CASE WHEN coalesce(st.n, 0) >= 5 THEN {rnd("st.r", 4)} END AS r,
+       CASE WHEN coalesce(st.n, 0) >= 5 AND st.r IS NOT NULL THEN {rnd(p_value_sql("st.r", "st.n"), 6)} END AS p,
+       coalesce(st.n, 0) AS n
+FROM (SELECT DISTINCT subject_id FROM {x} WHERE value IS NOT NULL
+      INTERSECT SELECT DISTINCT subject_id FROM {y} WHERE value IS NOT NULL) p
+LEFT JOIN (
+  SELECT a.subject_id, count(*) AS n,
+         CASE WHEN isnan(corr(a.value, b.value)) THEN NULL ELSE corr(a.value, b.value) END AS r
+  FROM {x} a JOIN {y} b USING (subject_id, date)
+  WHERE a.value IS NOT NULL AND b.value IS NOT NULL
+  GROUP BY 1) st USING (subject_id)
+"""
+
+
+CORR_RELATIONS = [
+    ("workout_intensity_vs_next_day_hrv", "wi", "hrv_prev"),
+    ("sleep_duration_vs_next_day_rhr", "sn", "rhr_prev"),
+    ("evening_workout_vs_sleep_quality", "we", "sn"),
+    ("wrist_temp_deviation_vs_rhr_change", "tdev", "rdev"),
+]
+
+
+def corr_sql(index: int, subj: str = "user_id") -> str:
+    rel, x, y = CORR_RELATIONS[index]
+    return f"WITH {corr_ctes(subj)} {pearson_sql(rel, x, y)}"
+
+
+def corr_all_sql(subj: str) -> str:
+    body = " UNION ALL ".join(f"({pearson_sql(rel, x, y)})" for rel, x, y in CORR_RELATIONS)
+    return f"WITH {corr_ctes(subj)} {body}"
+
+
 ORACLE = {
     "daily_mean": f"""
 WITH {EV_DAILY}
@@ -206,4 +317,57 @@ WITH {EV_ANOM}
 SELECT subject_id, metric, date, value, deviation_sigma, severity
 FROM ev_anom WHERE date >= CAST({EV_AS_OF} - INTERVAL 14 DAY AS DATE)
 """,
+    "sleep_nightly": f"""
+WITH {sleep_ctes()}
+SELECT subject_id, date AS night, {rnd("value", 6)} AS hours FROM sn
+""",
+    "sleep_stage_pivot": f"""
+WITH {sleep_ctes()}
+SELECT subject_id, night,
+       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'asleep_unspecified'), 0.0)", 6)} AS asleep_unspecified,
+       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'core'), 0.0)", 6)} AS core,
+       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'deep'), 0.0)", 6)} AS deep,
+       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'rem'), 0.0)", 6)} AS rem,
+       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'unknown'), 0.0)", 6)} AS unknown
+FROM skept WHERE has_stages GROUP BY 1, 2
+""",
+    "sleep_rolling": f"""
+WITH {sleep_ctes()}
+SELECT subject_id, date AS night, {rnd("value", 6)} AS hours,
+       {rnd("CASE WHEN count(value) OVER w7 >= 3 THEN avg(value) OVER w7 END", 6)} AS avg_duration_7d,
+       {rnd("CASE WHEN count(value) OVER w30 >= 7 THEN avg(value) OVER w30 END", 6)} AS avg_duration_30d
+FROM sn
+WINDOW w7 AS (PARTITION BY subject_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
+       w30 AS (PARTITION BY subject_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
+""",
+    "sleep_stats": f"""
+WITH {sleep_ctes()}
+SELECT subject_id, {rnd("avg(value)", 2)} AS mean_hrs, {rnd("median(value)", 2)} AS median_hrs,
+       {rnd("stddev_samp(value)", 2)} AS std_hrs, {rnd("min(value)", 2)} AS min_hrs,
+       {rnd("max(value)", 2)} AS max_hrs, count(*) AS total_nights
+FROM sn GROUP BY 1
+""",
+    "workouts_by_type": f"""
+WITH {WORKOUT_CTE}
+SELECT subject_id, activity, count(*) AS sessions, {rnd("avg(d)", 1)} AS avg_duration_min
+FROM wt GROUP BY 1, 2
+""",
+    "workout_weekly_load": f"""
+WITH {WORKOUT_CTE}
+SELECT subject_id, CAST(date_trunc('week', ts) AS DATE) AS week,
+       {rnd("coalesce(sum(d), 0.0)", 1)} AS total_duration_min, count(d) AS session_count,
+       CAST(NULL AS DOUBLE) AS avg_hr, {rnd("coalesce(sum(d), 0.0)", 1)} AS estimated_load
+FROM wt WHERE ts IS NOT NULL GROUP BY 1, 2
+""",
+    "workout_stats": f"""
+WITH {WORKOUT_CTE}
+SELECT subject_id, count(*) AS total_workouts, {rnd("coalesce(sum(d), 0.0) / 60", 1)} AS total_duration_hrs,
+       {rnd("avg(d)", 1)} AS avg_duration_min, count(DISTINCT activity) AS unique_types
+FROM wt WHERE ts IS NOT NULL GROUP BY 1
+""",
+    "corr_intensity_next_day": corr_sql(0),
+    "corr_sleep_next_day": corr_sql(1),
+    "corr_evening_sleep": corr_sql(2),
+    "corr_baseline_dev": corr_sql(3),
+    "corr_p_value": corr_all_sql("CAST(0 AS BIGINT)"),
 }
