@@ -20,7 +20,10 @@ from pulsegrid.operators.correlate import (
 )
 from pulsegrid.operators.sleep import sleep_nightly, sleep_rolling, sleep_stages, sleep_stats, stage_totals
 from pulsegrid.operators.workout import workout_by_type, workout_stats, workout_weekly
-from pulsegrid.operators.daily import daily_values
+from pulsegrid.operators.daily import daily_series, daily_values
+from pulsegrid.operators.history import (
+    monthly_due, monthly_rollup, monthly_totals, snapshot_history, wow_deltas,
+)
 from pulsegrid.operators.rolling import chart_data, rolling_baseline, rolling_means, series_stats
 from pulsegrid.operators.trend import classify_trends, trend_summary
 from pulsegrid.plans.standin import (
@@ -240,6 +243,40 @@ def q_corr_p_value(spark, sf):
     return out
 
 
+# -- step 7: snapshot history ----------------------------------------------------------
+
+def event_history(spark, sf):
+    """Weekly snapshots back-filled from the events stand-in, sleep included."""
+    nightly = sleep_nightly(event_sleep_totals(spark, sf))
+    daily = daily_series(event_records(spark, sf), EVENTS_DIM, nightly)
+    return snapshot_history(daily, EVENTS_DIM, EVENTS_AS_OF,
+                            workouts=workout_records(spark, sf), sleep_nightly=nightly)
+
+
+def q_snapshot_metrics(spark, sf):
+    return event_history(spark, sf)[0]
+
+
+def q_snapshot_runs(spark, sf):
+    return event_history(spark, sf)[1]
+
+
+def q_wow_deltas(spark, sf):
+    return wow_deltas(*event_history(spark, sf))
+
+
+def q_monthly_rollup(spark, sf):
+    return monthly_rollup(*event_history(spark, sf))
+
+
+def q_monthly_totals(spark, sf):
+    return monthly_totals(event_history(spark, sf)[1])
+
+
+def q_monthly_due(spark, sf):
+    return monthly_due(event_history(spark, sf)[1])
+
+
 QUERIES = {
     "daily_mean": q_daily_mean,
     "daily_sum_zero_filled": q_daily_sum_zero_filled,
@@ -266,4 +303,10 @@ QUERIES = {
     "corr_evening_sleep": corr_evening_sleep,
     "corr_baseline_dev": corr_baseline_dev,
     "corr_p_value": q_corr_p_value,
+    "snapshot_metrics": q_snapshot_metrics,
+    "snapshot_runs": q_snapshot_runs,
+    "wow_deltas": q_wow_deltas,
+    "monthly_rollup": q_monthly_rollup,
+    "monthly_totals": q_monthly_totals,
+    "monthly_due": q_monthly_due,
 }

@@ -240,6 +240,91 @@ def corr_all_sql(subj: str) -> str:
     return f"WITH {corr_ctes(subj)} {body}"
 
 
+# -- snapshot history: as-of figures by joining every report week to all days
+# up to its Sunday (a non-equi join; the Spark side uses one window pass).
+
+LAST_WEEK = "DATE '2024-01-29'"
+POLARITY_CASE = """
+CASE WHEN trend_raw IN ('stable', 'insufficient_data') THEN trend_raw
+     WHEN metric IN ('click', 'purchase', 'signup', 'sleep_duration')
+          THEN CASE WHEN trend_raw = 'increasing' THEN 'improving' ELSE 'declining' END
+     WHEN metric IN ('error')
+          THEN CASE WHEN trend_raw = 'decreasing' THEN 'improving' ELSE 'declining' END
+     ELSE trend_raw END"""
+UNIT_CASE = """
+CASE metric WHEN 'click' THEN 'clicks' WHEN 'purchase' THEN 'usd' WHEN 'error' THEN 'errors'
+            WHEN 'signup' THEN 'signups' WHEN 'view' THEN 'min' WHEN 'sleep_duration' THEN 'hrs'
+            ELSE '' END"""
+
+SNAP_CTES = f"""
+{EV_DAILY}, {sleep_ctes()},
+dall AS (
+  SELECT subject_id, metric, date, value FROM daily
+  UNION ALL SELECT subject_id, 'sleep_duration' AS metric, date, value FROM sn),
+fl AS (
+  SELECT subject_id, metric, date, value,
+         coalesce(count(value) OVER w >= 7 AND stddev_samp(value) OVER w <> 0
+                  AND abs(value - avg(value) OVER w) / stddev_samp(value) OVER w >= 2.0, false) AS flag
+  FROM dall
+  WINDOW w AS (PARTITION BY subject_id, metric ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+ser AS (
+  SELECT subject_id, metric, CAST(date_trunc('week', min(date)) AS DATE) AS fw FROM dall GROUP BY 1, 2),
+sw AS (
+  SELECT subject_id, metric,
+         CAST(unnest(generate_series(fw, {LAST_WEEK}, INTERVAL 7 DAY)) AS DATE) AS week
+  FROM ser WHERE fw <= {LAST_WEEK}),
+upto AS (
+  SELECT sw.subject_id, sw.metric, sw.week, f.date, f.value, f.flag,
+         row_number() OVER (PARTITION BY sw.subject_id, sw.metric, sw.week ORDER BY f.date DESC) AS rn
+  FROM sw JOIN fl f
+    ON f.subject_id = sw.subject_id AND f.metric = sw.metric AND f.date <= sw.week + 6),
+snap0 AS (
+  SELECT subject_id, metric, week, count(*) AS npts, arg_max(value, date) AS cur,
+         avg(value) FILTER (WHERE rn <= 7) AS avg7,
+         min(value) FILTER (WHERE rn <= 7) AS min7,
+         max(value) FILTER (WHERE rn <= 7) AS max7,
+         avg(value) FILTER (WHERE rn <= 90) AS avg90,
+         count(*) FILTER (WHERE rn <= 30) AS n30,
+         regr_slope(value, -1.0 * rn) FILTER (WHERE rn <= 30) AS slope,
+         stddev_pop(value) FILTER (WHERE rn <= 30) AS sd,
+         count(*) FILTER (WHERE flag) AS nflags
+  FROM upto GROUP BY 1, 2, 3),
+snap1 AS (
+  SELECT *, CASE WHEN n30 < 7 THEN 'insufficient_data' WHEN sd = 0 THEN 'stable'
+                 WHEN abs(slope / sd) < 0.1 THEN 'stable'
+                 WHEN slope / sd > 0 THEN 'increasing' ELSE 'decreasing' END AS trend_raw
+  FROM snap0),
+runs0 AS (
+  SELECT subject_id, week,
+         CAST(sum(CASE WHEN npts >= 10 THEN nflags ELSE 0 END) AS BIGINT) AS anomaly_count
+  FROM snap0 GROUP BY 1, 2),
+wo AS (SELECT user_id AS subject_id, ts, value AS d FROM events WHERE event_type = 'purchase' AND ts IS NOT NULL),
+run_w AS (
+  SELECT r.subject_id, r.week, count(w.ts) AS wn, coalesce(sum(w.d), 0.0) AS wmin
+  FROM runs0 r LEFT JOIN wo w ON w.subject_id = r.subject_id AND CAST(w.ts AS DATE) <= r.week + 6
+  GROUP BY 1, 2),
+run_s AS (
+  SELECT r.subject_id, r.week, avg(s.value) AS savg
+  FROM runs0 r LEFT JOIN sn s ON s.subject_id = r.subject_id AND s.date <= r.week + 6
+  GROUP BY 1, 2),
+runs AS (
+  SELECT r.subject_id, r.week,
+         row_number() OVER (PARTITION BY r.subject_id ORDER BY r.week) AS run_number,
+         r.anomaly_count, w.wn AS workout_count, {rnd("w.wmin / 60", 1)} AS workout_duration_hrs,
+         {rnd("s.savg", 2)} AS sleep_avg_hrs
+  FROM runs0 r JOIN run_w w USING (subject_id, week) JOIN run_s s USING (subject_id, week)),
+sm AS (
+  SELECT s.subject_id, s.week, s.metric, {rnd("s.avg7", 2)} AS avg, {rnd("s.cur", 2)} AS current,
+         {rnd("s.min7", 2)} AS min, {rnd("s.max7", 2)} AS max, {rnd("s.avg90", 2)} AS avg_90d,
+         {POLARITY_CASE} AS direction, {UNIT_CASE} AS unit, r.run_number
+  FROM snap1 s JOIN runs r USING (subject_id, week)),
+last4 AS (
+  SELECT *, count(*) OVER (PARTITION BY subject_id) AS nruns,
+         row_number() OVER (PARTITION BY subject_id ORDER BY run_number DESC) AS k
+  FROM runs),
+recent AS (SELECT *, least(nruns, 4) AS weeks_covered FROM last4 WHERE k <= 4 AND nruns >= 2)
+"""
+
 ORACLE = {
     "daily_mean": f"""
 WITH {EV_DAILY}
@@ -370,4 +455,49 @@ FROM wt WHERE ts IS NOT NULL GROUP BY 1
     "corr_evening_sleep": corr_sql(2),
     "corr_baseline_dev": corr_sql(3),
     "corr_p_value": corr_all_sql("CAST(0 AS BIGINT)"),
+    "snapshot_metrics": f"""
+WITH {SNAP_CTES}
+SELECT subject_id, week, metric, avg, current, min, max, avg_90d, direction, unit FROM sm
+""",
+    "snapshot_runs": f"""
+WITH {SNAP_CTES}
+SELECT subject_id, week, run_number, anomaly_count, workout_count, workout_duration_hrs, sleep_avg_hrs
+FROM runs
+""",
+    "wow_deltas": f"""
+WITH {SNAP_CTES},
+pairs AS (
+  SELECT c.subject_id, c.week, c.metric, c.unit, c.avg AS current_avg, p.avg AS previous_avg,
+         {rnd("c.avg - p.avg", 2)} AS delta
+  FROM sm c JOIN sm p
+    ON c.subject_id = p.subject_id AND c.metric = p.metric AND c.run_number = p.run_number + 1
+  WHERE c.avg IS NOT NULL AND p.avg IS NOT NULL)
+SELECT subject_id, week, metric, delta,
+       CASE WHEN previous_avg = 0 THEN 0.0 ELSE {rnd("delta / previous_avg * 100", 1)} END AS pct_change,
+       CASE WHEN abs(delta) < 0.01 THEN 'unchanged' WHEN delta > 0 THEN 'up' ELSE 'down' END AS direction,
+       unit, current_avg, previous_avg
+FROM pairs
+""",
+    "monthly_rollup": f"""
+WITH {SNAP_CTES}
+SELECT m.subject_id, m.metric, {rnd("avg(m.avg)", 2)} AS month_avg, {rnd("max(m.avg)", 2)} AS best_week,
+       {rnd("min(m.avg)", 2)} AS worst_week, min(m.unit) AS unit
+FROM sm m JOIN recent r USING (subject_id, week)
+WHERE m.avg IS NOT NULL
+GROUP BY 1, 2
+""",
+    "monthly_totals": f"""
+WITH {SNAP_CTES}
+SELECT subject_id, max(weeks_covered) AS weeks_covered,
+       CAST(sum(anomaly_count) AS BIGINT) AS total_anomalies,
+       CAST(sum(workout_count) AS BIGINT) AS total_workouts,
+       {rnd("sum(workout_duration_hrs)", 1)} AS total_workout_hrs,
+       {rnd("avg(sleep_avg_hrs)", 2)} AS avg_sleep_hrs
+FROM recent GROUP BY 1
+""",
+    "monthly_due": f"""
+WITH {SNAP_CTES}
+SELECT subject_id, max(run_number) AS latest_run, max(run_number) % 4 = 0 AS monthly_due
+FROM runs GROUP BY 1
+""",
 }

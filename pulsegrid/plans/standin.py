@@ -27,8 +27,10 @@ from pulsegrid.model import WORKOUT_PREFIX, MetricDim
 # Stand-in dimension for the event types (parameters of the mapping).
 EVENTS_DIM = MetricDim(
     agg={"click": "sum", "purchase": "sum"},
-    polarity={"click": "higher", "purchase": "higher", "signup": "higher", "error": "lower"},
-    unit={"click": "clicks", "purchase": "usd", "error": "errors", "signup": "signups", "view": "min"},
+    polarity={"click": "higher", "purchase": "higher", "signup": "higher", "error": "lower",
+              "sleep_duration": "higher"},
+    unit={"click": "clicks", "purchase": "usd", "error": "errors", "signup": "signups", "view": "min",
+          "sleep_duration": "hrs"},
     hk_type={"click": "Click", "purchase": "Purchase", "error": "Error", "signup": "Signup"},
 )
 ORDERS_DIM = MetricDim(unit={})
