@@ -24,6 +24,9 @@ from pulsegrid.operators.daily import daily_series, daily_values
 from pulsegrid.operators.history import (
     monthly_due, monthly_rollup, monthly_totals, snapshot_history, wow_deltas,
 )
+from pulsegrid.operators.report import (
+    context_text, metric_log, report_anomalies, report_overview, top_anomalies,
+)
 from pulsegrid.operators.rolling import chart_data, rolling_baseline, rolling_means, series_stats
 from pulsegrid.operators.trend import classify_trends, trend_summary
 from pulsegrid.plans.standin import (
@@ -277,6 +280,54 @@ def q_monthly_due(spark, sf):
     return monthly_due(event_history(spark, sf)[1])
 
 
+# -- step 8: report tables ------------------------------------------------------------
+
+LOG_DATE = "2024-01-30"
+
+
+def event_full_analysis(spark, sf):
+    """Daily series with sleep, its anomalies and trend summary."""
+    nightly = sleep_nightly(event_sleep_totals(spark, sf))
+    daily = daily_series(event_records(spark, sf), EVENTS_DIM, nightly)
+    anomalies = detect_anomalies(daily)
+    trend = trend_summary(daily, anomalies, EVENTS_DIM, EVENTS_AS_OF)
+    return daily, anomalies, trend
+
+
+def q_report_overview(spark, sf):
+    _, _, trend = event_full_analysis(spark, sf)
+    metric, run = event_history(spark, sf)
+    wow = wow_deltas(metric, run).where(F.col("week") == F.lit("2024-01-29").cast("date"))
+    return report_overview(trend, wow, EVENTS_DIM)
+
+
+def q_report_anomalies(spark, sf):
+    _, anomalies, _ = event_full_analysis(spark, sf)
+    return report_anomalies(anomalies, EVENTS_AS_OF)
+
+
+def q_top5_anomalies(spark, sf):
+    _, anomalies, _ = event_full_analysis(spark, sf)
+    return top_anomalies(anomalies, 5)
+
+
+def q_metric_log_upsert(spark, sf):
+    daily, _, trend = event_full_analysis(spark, sf)
+    return metric_log(rolling_means(daily), trend, EVENTS_DIM, LOG_DATE)
+
+
+def q_context_text(spark, sf):
+    _, anomalies, trend = event_full_analysis(spark, sf)
+    corr = corr_intensity_next_day(spark, sf)
+    for f in (corr_sleep_next_day, corr_evening_sleep, corr_baseline_dev):
+        corr = corr.unionByName(f(spark, sf))
+    ev = event_records(spark, sf)
+    rng = ev.groupBy("subject_id").agg(
+        F.date_format(F.min("start_local"), "yyyy-MM-dd").alias("start"),
+        F.date_format(F.max("start_local"), "yyyy-MM-dd").alias("end"))
+    return context_text(trend, anomalies, corr, rng)
+
+
 QUERIES = {
     "daily_mean": q_daily_mean,
     "daily_sum_zero_filled": q_daily_sum_zero_filled,
@@ -309,4 +360,9 @@ QUERIES = {
     "monthly_rollup": q_monthly_rollup,
     "monthly_totals": q_monthly_totals,
     "monthly_due": q_monthly_due,
+    "report_overview": q_report_overview,
+    "report_anomalies": q_report_anomalies,
+    "top5_anomalies": q_top5_anomalies,
+    "metric_log_upsert": q_metric_log_upsert,
+    "context_text": q_context_text,
 }

@@ -20,7 +20,8 @@ def rnd(expr: str, digits: int) -> str:
 
 # Daily series of the events stand-in: zero-filled sums for click/purchase,
 # sparse means for the rest.
-EV_DAILY = f"""
+def ev_daily(name: str = "daily") -> str:
+    return f"""
 ev_day AS (
   SELECT user_id AS subject_id, event_type AS metric, CAST(ts AS DATE) AS date,
          avg(value) AS mean_v, sum(value) AS sum_v
@@ -33,7 +34,7 @@ ev_spine AS (
   SELECT subject_id, metric,
          CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
   FROM ev_span),
-daily AS (
+{name} AS (
   SELECT s.subject_id, s.metric, s.date, coalesce(d.sum_v, 0.0) AS value
   FROM ev_spine s LEFT JOIN ev_day d USING (subject_id, metric, date)
   UNION ALL
@@ -41,6 +42,9 @@ daily AS (
   WHERE metric NOT IN {SUM_TYPES} AND mean_v IS NOT NULL)
 """
 
+
+EV_DAILY = ev_daily()
+
 ORD_DAILY = """
 daily AS (
   SELECT CAST(0 AS BIGINT) AS subject_id, o_orderpriority AS metric,
@@ -50,31 +54,34 @@ daily AS (
 """
 
 
-def anomalies_sql(daily_cte: str, thr: float = 2.0) -> str:
+def anomalies_select(src: str, thr: float = 2.0) -> str:
     return f"""
-WITH {daily_cte},
-b AS (
-  SELECT subject_id, metric, date, value,
-         count(*) OVER (PARTITION BY subject_id, metric) AS npts,
-         count(value) OVER w AS c,
-         avg(value) OVER w AS mu,
-         stddev_samp(value) OVER w AS sd
-  FROM daily
-  WINDOW w AS (PARTITION BY subject_id, metric ORDER BY date
-               ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
-f AS (
-  SELECT *, abs(value - mu) / sd AS dev FROM b
-  WHERE npts >= 10 AND c >= 7 AND sd IS NOT NULL AND sd <> 0)
 SELECT subject_id, date, metric,
        {rnd("value", 2)} AS value, {rnd("mu", 2)} AS rolling_mean, {rnd("sd", 2)} AS rolling_std,
        {rnd(f"mu - {thr} * sd", 2)} AS expected_low, {rnd(f"mu + {thr} * sd", 2)} AS expected_high,
        {rnd("dev", 2)} AS deviation_sigma,
        CASE WHEN dev >= {thr + 1.5} THEN 'critical'
             WHEN dev >= {thr + 0.5} THEN 'high' ELSE 'moderate' END AS severity
-FROM f WHERE dev >= {thr}
+FROM (
+  SELECT *, abs(value - mu) / sd AS dev
+  FROM (
+    SELECT subject_id, metric, date, value,
+           count(*) OVER (PARTITION BY subject_id, metric) AS npts,
+           count(value) OVER w AS c,
+           avg(value) OVER w AS mu,
+           stddev_samp(value) OVER w AS sd
+    FROM {src}
+    WINDOW w AS (PARTITION BY subject_id, metric ORDER BY date
+                 ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) b
+  WHERE npts >= 10 AND c >= 7 AND sd IS NOT NULL AND sd <> 0) f
+WHERE dev >= {thr}
 """
 
 
+def anomalies_sql(daily_cte: str, thr: float = 2.0) -> str:
+    return f"WITH {daily_cte} {anomalies_select('daily', thr)}"
+
+
 def rolling_sql(daily_cte: str) -> str:
     def gated(n):
         mp = max(1, n // 3)
@@ -92,11 +99,11 @@ FROM daily
 
 
 # Per-series summary: positions counted from the newest day (rn = 1).
-EV_STATS = f"""
-{EV_DAILY},
+def stats_ctes(src: str) -> str:
+    return f"""
 rk AS (
   SELECT *, row_number() OVER (PARTITION BY subject_id, metric ORDER BY date DESC) AS rn
-  FROM daily),
+  FROM {src}),
 st AS (
   SELECT subject_id, metric, count(*) AS n_points,
          arg_max(value, date) AS cur,
@@ -118,7 +125,7 @@ tr AS (
 tl AS (
   SELECT *,
          CASE WHEN trend_raw IN ('stable', 'insufficient_data') THEN trend_raw
-              WHEN metric IN ('click', 'purchase', 'signup')
+              WHEN metric IN ('click', 'purchase', 'signup', 'sleep_duration')
                    THEN CASE WHEN trend_raw = 'increasing' THEN 'improving' ELSE 'declining' END
               WHEN metric IN ('error')
                    THEN CASE WHEN trend_raw = 'decreasing' THEN 'improving' ELSE 'declining' END
@@ -126,6 +133,9 @@ tl AS (
   FROM tr)
 """
 
+
+EV_STATS = f"{EV_DAILY}, {stats_ctes('daily')}"
+
 EV_ANOM = f"ev_anom AS ({anomalies_sql(EV_DAILY)})"
 EV_AS_OF = "DATE '2024-01-31'"
 
@@ -256,11 +266,15 @@ CASE metric WHEN 'click' THEN 'clicks' WHEN 'purchase' THEN 'usd' WHEN 'error' T
             WHEN 'signup' THEN 'signups' WHEN 'view' THEN 'min' WHEN 'sleep_duration' THEN 'hrs'
             ELSE '' END"""
 
-SNAP_CTES = f"""
-{EV_DAILY}, {sleep_ctes()},
+FULL_BASE = f"""
+{ev_daily('evd')}, {sleep_ctes()},
 dall AS (
-  SELECT subject_id, metric, date, value FROM daily
-  UNION ALL SELECT subject_id, 'sleep_duration' AS metric, date, value FROM sn),
+  SELECT subject_id, metric, date, value FROM evd
+  UNION ALL SELECT subject_id, 'sleep_duration' AS metric, date, value FROM sn)
+"""
+
+SNAP_CTES = f"""
+{FULL_BASE},
 fl AS (
   SELECT subject_id, metric, date, value,
          coalesce(count(value) OVER w >= 7 AND stddev_samp(value) OVER w <> 0
@@ -325,6 +339,104 @@ last4 AS (
 recent AS (SELECT *, least(nruns, 4) AS weeks_covered FROM last4 WHERE k <= 4 AND nruns >= 2)
 """
 
+
+def unit_case(col: str) -> str:
+    return UNIT_CASE.replace("CASE metric", f"CASE {col}")
+
+
+def display_sql(col: str) -> str:
+    """Title case after '_' -> ' ': upper-case a letter at the start or after a non-letter."""
+    s = f"replace({col}, '_', ' ')"
+    return (f"array_to_string(list_transform(range(1, length({s}) + 1), lambda i: "
+            f"CASE WHEN i = 1 OR NOT regexp_matches(substr({s}, i - 1, 1), '[A-Za-z]') "
+            f"THEN upper(substr({s}, i, 1)) ELSE lower(substr({s}, i, 1)) END), '')")
+
+
+def arrow_sql(col: str) -> str:
+    k = f"lower(trim({col}))"
+    return (f"CASE WHEN {k} IN ('up', 'increasing', 'rising') THEN 'up' "
+            f"WHEN {k} IN ('down', 'decreasing', 'falling') THEN 'down' ELSE 'flat' END")
+
+
+WOW_PAIRS = f"""
+wow_pairs AS (
+  SELECT c.subject_id, c.week, c.metric, c.unit, c.avg AS current_avg, p.avg AS previous_avg,
+         {rnd("c.avg - p.avg", 2)} AS delta
+  FROM sm c JOIN sm p
+    ON c.subject_id = p.subject_id AND c.metric = p.metric AND c.run_number = p.run_number + 1
+  WHERE c.avg IS NOT NULL AND p.avg IS NOT NULL),
+wow AS (
+  SELECT subject_id, week, metric, delta,
+         CASE WHEN previous_avg = 0 THEN 0.0 ELSE {rnd("delta / previous_avg * 100", 1)} END AS pct_change,
+         CASE WHEN abs(delta) < 0.01 THEN 'unchanged' WHEN delta > 0 THEN 'up' ELSE 'down' END AS direction,
+         unit, current_avg, previous_avg
+  FROM wow_pairs)
+"""
+
+REPORT_CTES = f"""
+{SNAP_CTES}, {stats_ctes('dall')}, {WOW_PAIRS},
+fan AS ({anomalies_select('dall')}),
+tsum AS (
+  SELECT subject_id, metric, direction, {rnd("cur", 2)} AS current_value, {rnd("avg90", 2)} AS avg_90d,
+         CASE WHEN avg90 = 0 THEN NULL ELSE {rnd("(cur - avg90) / avg90 * 100", 1)} END AS pct_vs_90d
+  FROM tl)
+"""
+
+
+def context_sql() -> str:
+    corr_union = " UNION ALL ".join(f"({pearson_sql(rel, x, y)})" for rel, x, y in CORR_RELATIONS)
+    nl = "chr(10)"
+    trend_line = (
+        "'• **' || metric || '**: trend is **' || direction || '**' || "
+        "CASE WHEN current_value IS NOT NULL THEN ' (current: ' || printf('%.1f', " + rnd("current_value", 1) + ") || "
+        "CASE WHEN avg_90d IS NOT NULL THEN ' vs 90d avg: ' || printf('%.1f', " + rnd("avg_90d", 1) + ") ELSE '' END || ')' "
+        "ELSE '' END || "
+        "CASE WHEN pct_vs_90d IS NOT NULL THEN ', ' || printf('%+.1f', " + rnd("pct_vs_90d", 1) + ") || '% vs 90d avg' ELSE '' END")
+    return f"""
+WITH {REPORT_CTES}, {corr_ctes('user_id').replace(sleep_ctes('user_id'), '').rstrip().rstrip(',')},
+cor AS ({corr_union}),
+topa AS (
+  SELECT *, row_number() OVER (PARTITION BY subject_id, metric ORDER BY date DESC) AS k,
+         count(*) OVER (PARTITION BY subject_id, metric) AS n_readings
+  FROM fan),
+lines AS (
+  SELECT subject_id, 1 AS sec, metric, 0 AS k, {trend_line} AS line FROM tsum
+  UNION ALL
+  SELECT subject_id, 2, metric, 0,
+         '• **' || metric || '** — ' || CAST(n_readings AS VARCHAR) || ' anomalous reading(s):'
+  FROM topa WHERE k = 1
+  UNION ALL
+  SELECT subject_id, 2, metric, k,
+         '  – ' || strftime(date, '%Y-%m-%d') || ' 00:00:00: value=' || CAST(value AS VARCHAR) ||
+         CASE WHEN deviation_sigma IS NOT NULL
+              THEN ' (z-score ' || printf('%+.2f', deviation_sigma) || ')' ELSE '' END
+  FROM topa WHERE k <= 5
+  UNION ALL
+  SELECT subject_id, 3, relationship, 0,
+         '• **' || relationship || '**: r = ' ||
+         CASE WHEN r IS NULL THEN 'nan' ELSE printf('%.3f', {rnd("r", 3)}) END
+  FROM cor),
+sec AS (
+  SELECT subject_id, sec, string_agg(line, {nl} ORDER BY metric, k, line) AS body
+  FROM lines GROUP BY 1, 2),
+rng AS (
+  SELECT user_id AS subject_id, strftime(min(ts), '%Y-%m-%d') AS s, strftime(max(ts), '%Y-%m-%d') AS e
+  FROM events GROUP BY 1),
+subj AS (SELECT DISTINCT subject_id FROM tsum)
+SELECT subj.subject_id,
+       '## Data Context  (date range: ' || coalesce(rng.s, 'unknown') || ' to ' || coalesce(rng.e, 'unknown') || ')'
+       || {nl} || {nl} || '### Trends' || {nl} || coalesce(s1.body, 'No trend data available.')
+       || {nl} || {nl} || '### Anomalies' || {nl} || coalesce(s2.body, 'No anomalies detected.')
+       || {nl} || {nl} || '### Correlations' || {nl} || coalesce(s3.body, 'No correlation data available.')
+       AS text
+FROM subj
+LEFT JOIN (SELECT * FROM sec WHERE sec = 1) s1 ON s1.subject_id = subj.subject_id
+LEFT JOIN (SELECT * FROM sec WHERE sec = 2) s2 ON s2.subject_id = subj.subject_id
+LEFT JOIN (SELECT * FROM sec WHERE sec = 3) s3 ON s3.subject_id = subj.subject_id
+LEFT JOIN rng ON rng.subject_id = subj.subject_id
+"""
+
+
 ORACLE = {
     "daily_mean": f"""
 WITH {EV_DAILY}
@@ -465,18 +577,8 @@ SELECT subject_id, week, run_number, anomaly_count, workout_count, workout_durat
 FROM runs
 """,
     "wow_deltas": f"""
-WITH {SNAP_CTES},
-pairs AS (
-  SELECT c.subject_id, c.week, c.metric, c.unit, c.avg AS current_avg, p.avg AS previous_avg,
-         {rnd("c.avg - p.avg", 2)} AS delta
-  FROM sm c JOIN sm p
-    ON c.subject_id = p.subject_id AND c.metric = p.metric AND c.run_number = p.run_number + 1
-  WHERE c.avg IS NOT NULL AND p.avg IS NOT NULL)
-SELECT subject_id, week, metric, delta,
-       CASE WHEN previous_avg = 0 THEN 0.0 ELSE {rnd("delta / previous_avg * 100", 1)} END AS pct_change,
-       CASE WHEN abs(delta) < 0.01 THEN 'unchanged' WHEN delta > 0 THEN 'up' ELSE 'down' END AS direction,
-       unit, current_avg, previous_avg
-FROM pairs
+WITH {SNAP_CTES}, {WOW_PAIRS}
+SELECT * FROM wow
 """,
     "monthly_rollup": f"""
 WITH {SNAP_CTES}
@@ -500,4 +602,48 @@ WITH {SNAP_CTES}
 SELECT subject_id, max(run_number) AS latest_run, max(run_number) % 4 = 0 AS monthly_due
 FROM runs GROUP BY 1
 """,
+    "report_overview": f"""
+WITH {REPORT_CTES}
+SELECT t.subject_id, t.metric, {display_sql("t.metric")} AS display_name,
+       trim(regexp_replace({display_sql("t.metric")}, '[<>:"/\\\\|?*]', '', 'g')) AS page_name,
+       t.current_value, {unit_case("t.metric")} AS unit, {arrow_sql("t.direction")} AS arrow,
+       t.direction, t.avg_90d,
+       w.delta AS wow_delta, w.pct_change AS wow_pct_change, w.direction AS wow_direction
+FROM tsum t LEFT JOIN (SELECT * FROM wow WHERE week = {LAST_WEEK}) w USING (subject_id, metric)
+WHERE t.direction <> 'insufficient_data'
+""",
+    "report_anomalies": f"""
+WITH {FULL_BASE}, fan AS ({anomalies_select('dall')})
+SELECT subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY date DESC, metric) AS row_no,
+       metric, {display_sql("metric")} AS display_name, strftime(date, '%Y-%m-%d') AS date, value,
+       deviation_sigma AS deviation, printf('%+.2fσ', deviation_sigma) AS deviation_text,
+       CASE WHEN abs(deviation_sigma) >= 2.0 THEN 'warning' ELSE 'info' END AS callout, severity
+FROM fan WHERE date >= {EV_AS_OF} - INTERVAL 7 DAY
+""",
+    "top5_anomalies": f"""
+WITH {FULL_BASE}, fan AS ({anomalies_select('dall')})
+SELECT subject_id, metric, k, date, value, deviation_sigma, n_readings
+FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, metric ORDER BY date DESC) AS k,
+             count(*) OVER (PARTITION BY subject_id, metric) AS n_readings
+      FROM fan)
+WHERE k <= 5
+""",
+    "metric_log_upsert": f"""
+WITH {FULL_BASE}, {stats_ctes('dall')},
+keep AS (SELECT subject_id, metric, {rnd("cur", 2)} AS cv, direction FROM tl
+         WHERE direction <> 'insufficient_data'),
+tail AS (
+  SELECT d.subject_id, d.metric, d.date, {rnd("d.value", 2)} AS value, 'flat' AS trend
+  FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, metric ORDER BY date DESC) AS r FROM dall) d
+  WHERE d.r <= 90 AND (d.subject_id, d.metric) IN (SELECT subject_id, metric FROM keep)),
+newr AS (SELECT subject_id, metric, DATE '2024-01-30' AS date, cv AS value, direction AS trend FROM keep),
+merged AS (
+  SELECT * FROM newr
+  UNION ALL
+  SELECT * FROM tail t WHERE NOT EXISTS (
+    SELECT 1 FROM newr n WHERE n.subject_id = t.subject_id AND n.metric = t.metric AND n.date = t.date))
+SELECT subject_id, metric, date, value, {unit_case("metric")} AS unit, trend, {arrow_sql("trend")} AS arrow
+FROM merged
+""",
+    "context_text": context_sql(),
 }
