@@ -34,7 +34,11 @@ from pulsegrid.model import (
 )
 from pulsegrid.operators.trend import as_date
 
-WEEK = F.expr("INTERVAL 7 DAYS")
+
+
+def _week_step():
+    return F.expr("INTERVAL 7 DAYS")
+
 METRIC_COLUMNS = ["subject_id", "week", "metric", "avg", "current", "min", "max", "avg_90d",
                   "direction", "unit"]
 RUN_COLUMNS = ["subject_id", "week", "run_number", "anomaly_count", "workout_count",
@@ -110,7 +114,7 @@ def snapshot_history(daily: DataFrame, dim: MetricDim, last_week, *, workouts: D
     ww = Window.partitionBy(*SERIES_KEY).orderBy("week")
     owned_until = F.coalesce(F.date_sub(F.lead("week").over(ww), 7), last)
     carried = (week_last.withColumn("_until", owned_until)
-               .select("*", F.explode(F.sequence("week", "_until", WEEK)).alias("snap_week")))
+               .select("*", F.explode(F.sequence("week", "_until", _week_step())).alias("snap_week")))
     raw = trend_class("n_trend", "slope", "sd_trend")
     metric = carried.select(
         "subject_id", F.col("snap_week").alias("week"), "metric",
