@@ -27,11 +27,13 @@ from pulsegrid.operators.history import (
 from pulsegrid.operators.report import (
     context_text, metric_log, report_anomalies, report_overview, top_anomalies,
 )
+from pulsegrid.operators.typing import dataset_profile, dataset_totals, kept_skipped, type_records
+from pulsegrid.plans.analysis import analysis_overview, analyze
 from pulsegrid.operators.rolling import chart_data, rolling_baseline, rolling_means, series_stats
 from pulsegrid.operators.trend import classify_trends, trend_summary
 from pulsegrid.plans.standin import (
-    EVENTS_AS_OF, EVENTS_DIM, ORDERS_DIM, event_records, order_records, sleep_records,
-    workout_records,
+    EVENTS_AS_OF, EVENTS_DIM, ORDERS_DIM, event_raw_records, event_records, order_records,
+    sleep_records, workout_records,
 )
 
 SUM_EVENT_TYPES = sorted(m for m, a in EVENTS_DIM.agg.items() if a == "sum")
@@ -328,6 +330,39 @@ def q_context_text(spark, sf):
     return context_text(trend, anomalies, corr, rng)
 
 
+# -- step 9: ingest, typing, profile ----------------------------------------------------
+
+def q_dataset_profile(spark, sf):
+    return dataset_profile(event_records(spark, sf))
+
+
+def q_dataset_totals(spark, sf):
+    return dataset_totals(event_records(spark, sf))
+
+
+def q_kept_skipped_counts(spark, sf):
+    return kept_skipped(event_raw_records(spark, sf), EVENTS_DIM)
+
+
+def q_typed_records(spark, sf):
+    t = type_records(event_raw_records(spark, sf), EVENTS_DIM)
+    return t.select("subject_id", "metric", "value",
+                    F.date_format("start_local", "yyyy-MM-dd HH:mm:ss").alias("start_local"),
+                    F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_utc"))
+
+
+# -- step 10: the whole analysis ---------------------------------------------------------
+
+def event_analysis(spark, sf):
+    records = event_records(spark, sf).unionByName(sleep_records(spark, sf), allowMissingColumns=True)
+    return analyze(records, workout_records(spark, sf), EVENTS_DIM, EVENTS_AS_OF,
+                   hrv="signup", rhr="error", temp="click")
+
+
+def q_full_analysis(spark, sf):
+    return analysis_overview(event_analysis(spark, sf))
+
+
 QUERIES = {
     "daily_mean": q_daily_mean,
     "daily_sum_zero_filled": q_daily_sum_zero_filled,
@@ -365,4 +400,9 @@ QUERIES = {
     "top5_anomalies": q_top5_anomalies,
     "metric_log_upsert": q_metric_log_upsert,
     "context_text": q_context_text,
+    "dataset_profile": q_dataset_profile,
+    "dataset_totals": q_dataset_totals,
+    "kept_skipped_counts": q_kept_skipped_counts,
+    "typed_records": q_typed_records,
+    "full_analysis": q_full_analysis,
 }

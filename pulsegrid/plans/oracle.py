@@ -646,4 +646,47 @@ SELECT subject_id, metric, date, value, {unit_case("metric")} AS unit, trend, {a
 FROM merged
 """,
     "context_text": context_sql(),
+    "dataset_profile": """
+SELECT event_type AS metric, count(*) AS rows,
+       strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_start,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_start
+FROM events GROUP BY 1
+""",
+    "dataset_totals": """
+SELECT count(*) AS total_records, count(DISTINCT event_type) AS n_metrics FROM events
+""",
+    "kept_skipped_counts": """
+SELECT CASE WHEN event_type IN ('click', 'purchase', 'error', 'signup') THEN 'kept' ELSE 'skipped' END AS status,
+       count(*) AS n_records
+FROM events GROUP BY 1
+""",
+    "typed_records": """
+WITH raw AS (
+  SELECT user_id AS subject_id, event_type AS metric,
+         CASE WHEN event_type = 'view' THEN 'HKCategoryValueSleepAnalysisAsleep'
+              ELSE CAST(value AS VARCHAR) END AS vtext,
+         strftime(ts, '%Y-%m-%d %H:%M:%S') || ' -0600' AS stext
+  FROM events WHERE event_type IN ('click', 'purchase', 'error', 'signup')),
+parsed AS (
+  SELECT subject_id, metric, TRY_CAST(vtext AS DOUBLE) AS value,
+         strptime(substr(stext, 1, 19), '%Y-%m-%d %H:%M:%S') AS loc,
+         (CASE WHEN substr(stext, 21, 1) = '-' THEN -1 ELSE 1 END)
+           * (CAST(substr(stext, 22, 2) AS INTEGER) * 60 + CAST(substr(stext, 24, 2) AS INTEGER)) AS off_min
+  FROM raw)
+SELECT subject_id, metric, value, strftime(loc, '%Y-%m-%d %H:%M:%S') AS start_local,
+       strftime(loc - to_minutes(off_min), '%Y-%m-%d %H:%M:%S') AS start_utc
+FROM parsed
+""",
+    "full_analysis": f"""
+WITH {FULL_BASE}, fan AS ({anomalies_select('dall')}),
+ser AS (SELECT subject_id, count(DISTINCT metric) AS n_series, count(*) AS n_daily_rows FROM dall GROUP BY 1),
+an AS (SELECT subject_id, count(*) AS n FROM fan GROUP BY 1),
+sst AS (SELECT subject_id, count(*) AS total_nights, {rnd("avg(value)", 2)} AS mean_hrs FROM sn GROUP BY 1),
+wst AS (SELECT user_id AS subject_id, count(*) AS total_workouts FROM events
+        WHERE event_type = 'purchase' AND ts IS NOT NULL GROUP BY 1)
+SELECT ser.subject_id, ser.n_series, ser.n_daily_rows, coalesce(an.n, 0) AS n_anomalies,
+       coalesce(sst.total_nights, 0) AS total_nights, sst.mean_hrs,
+       coalesce(wst.total_workouts, 0) AS total_workouts
+FROM ser LEFT JOIN an USING (subject_id) LEFT JOIN sst USING (subject_id) LEFT JOIN wst USING (subject_id)
+""",
 }

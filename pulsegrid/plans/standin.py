@@ -87,3 +87,17 @@ def workout_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("start_local"),
         F.col("ts").cast("timestamp").alias("start_ts"),
     )
+
+
+def event_raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events rendered as raw export attributes (all text), for the typing
+    path: type = initcap(event_type) ('View' is not registered), dates as
+    'yyyy-MM-dd HH:mm:ss -0600', sleep-like 'view' values as category text."""
+    ev = table(spark, sf_dir, "events")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" -0600"))
+    value = F.when(F.col("event_type") == "view", F.lit("HKCategoryValueSleepAnalysisAsleep")) \
+        .otherwise(F.col("value").cast("string"))
+    return ev.select(
+        F.col("user_id").alias("subject_id"), F.initcap("event_type").alias("type"),
+        F.lit("Watch").alias("sourceName"), F.lit("count").alias("unit"), value.alias("value"),
+        stamp.alias("creationDate"), stamp.alias("startDate"), F.lit(None).cast("string").alias("endDate"))
