@@ -64,8 +64,18 @@ def ingest(spark: SparkSession, src: str, dst: str, force: bool = False,
     workouts = type_workouts(raw_w).observe(obs_w, F.count(F.lit(1)).alias("workouts"))
     write_workouts(workouts, dst, mode)
 
-    counts = dict(obs_r.get)
-    counts.update(obs_w.get)
+    counts = _observed(obs_r, ["records_seen", "kept", "skipped"])
+    counts.update(_observed(obs_w, ["workouts"]))
     counts["mode"] = mode
     return counts
 
+
+def _observed(obs: Observation, names) -> dict:
+    """Observed metrics; when no row reached the observation (an incremental
+    run with nothing new) Spark has no metrics row, which means zero."""
+    try:
+        got = dict(obs.get)
+    except Exception:  # noqa: BLE001 - no metrics row was produced
+        got = {}
+    return {n: int(got.get(n) or 0) for n in names}
+

@@ -32,7 +32,7 @@ def _stream(spark: SparkSession, landing: str, tag: str, attrs) -> DataFrame:
 
 def ingest_available(spark: SparkSession, landing: str, dst: str, checkpoint: str,
                      dim: MetricDim | None = None) -> dict:
-    """Process the files not yet seen and stop; returns rows written per table."""
+    """Process the files not yet seen and stop; returns input rows read per table."""
     dim = dim or MetricDim.health()
     records = type_records(_stream(spark, landing, "Record", RECORD_ATTRS), dim)
     workouts = type_workouts(_stream(spark, landing, "Workout", WORKOUT_ATTRS))
