@@ -2,8 +2,9 @@
 
 Every callable takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
 whole input tables.  Floating outputs that are not already rounded by the
-operator's own rule are rounded to 6 digits in the final projection only, so
-that summation order cannot change the compared value.
+operator's own rule are rounded to 4 digits (after clearing float noise at 6)
+in the final projection only, so that summation order cannot change the
+compared value.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ from pulsegrid.plans.standin import (
 SUM_EVENT_TYPES = sorted(m for m, a in EVENTS_DIM.agg.items() if a == "sum")
 
 
-def _r6(c):
-    return half_up(c, 6)
+def _r4(c):
+    """Report rounding of floats that have no rounding rule of their own."""
+    return half_up(c, 4)
 
 
 def event_daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,12 +57,12 @@ def order_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_daily_mean(spark, sf):
     d = event_daily(spark, sf).where(~F.col("metric").isin(*SUM_EVENT_TYPES))
-    return d.select("subject_id", "metric", "date", _r6("value").alias("value"))
+    return d.select("subject_id", "metric", "date", _r4("value").alias("value"))
 
 
 def q_daily_sum_zero_filled(spark, sf):
     d = event_daily(spark, sf).where(F.col("metric").isin(*SUM_EVENT_TYPES))
-    return d.select("subject_id", "metric", "date", _r6("value").alias("value"))
+    return d.select("subject_id", "metric", "date", _r4("value").alias("value"))
 
 
 def q_anomalies(spark, sf):
@@ -83,9 +85,9 @@ def q_anomaly_severity_counts(spark, sf):
 # -- step 2: rolling frames and last-n ---------------------------------------
 
 def _rolling_out(r):
-    return r.select("subject_id", "metric", "date", _r6("raw").alias("raw"),
-                    _r6("rolling_7").alias("rolling_7"), _r6("rolling_30").alias("rolling_30"),
-                    _r6("rolling_90").alias("rolling_90"))
+    return r.select("subject_id", "metric", "date", _r4("raw").alias("raw"),
+                    _r4("rolling_7").alias("rolling_7"), _r4("rolling_30").alias("rolling_30"),
+                    _r4("rolling_90").alias("rolling_90"))
 
 
 def q_rolling_7_30_90(spark, sf):
@@ -98,9 +100,9 @@ def q_rolling_long_history(spark, sf):
 
 def q_baseline_deviation(spark, sf):
     b = rolling_baseline(event_daily(spark, sf))
-    return b.select("subject_id", "metric", "date", _r6("value").alias("value"),
-                    _r6("rolling_mean").alias("rolling_mean"),
-                    _r6("baseline_deviation").alias("baseline_deviation"))
+    return b.select("subject_id", "metric", "date", _r4("value").alias("value"),
+                    _r4("rolling_mean").alias("rolling_mean"),
+                    _r4("baseline_deviation").alias("baseline_deviation"))
 
 
 def q_last7_stats(spark, sf):
@@ -115,8 +117,8 @@ def q_last7_stats(spark, sf):
 
 def q_chart_last90(spark, sf):
     c = chart_data(rolling_means(order_daily(spark, sf)))
-    return c.select("subject_id", "metric", "date", _r6("raw").alias("raw"),
-                    _r6("rolling_7").alias("rolling_7"))
+    return c.select("subject_id", "metric", "date", _r4("raw").alias("raw"),
+                    _r4("rolling_7").alias("rolling_7"))
 
 
 # -- step 3: trends ----------------------------------------------------------
@@ -155,19 +157,19 @@ def event_sleep_totals(spark, sf):
 
 def q_sleep_nightly(spark, sf):
     n = sleep_nightly(event_sleep_totals(spark, sf))
-    return n.select("subject_id", "night", _r6("hours").alias("hours"))
+    return n.select("subject_id", "night", _r4("hours").alias("hours"))
 
 
 def q_sleep_stage_pivot(spark, sf):
     p = sleep_stages(event_sleep_totals(spark, sf))
-    return p.select("subject_id", "night", *[_r6(c).alias(c) for c in STAGE_COLUMNS])
+    return p.select("subject_id", "night", *[_r4(c).alias(c) for c in STAGE_COLUMNS])
 
 
 def q_sleep_rolling(spark, sf):
     r = sleep_rolling(sleep_nightly(event_sleep_totals(spark, sf)))
-    return r.select("subject_id", "night", _r6("hours").alias("hours"),
-                    _r6("avg_duration_7d").alias("avg_duration_7d"),
-                    _r6("avg_duration_30d").alias("avg_duration_30d"))
+    return r.select("subject_id", "night", _r4("hours").alias("hours"),
+                    _r4("avg_duration_7d").alias("avg_duration_7d"),
+                    _r4("avg_duration_30d").alias("avg_duration_30d"))
 
 
 def q_sleep_stats(spark, sf):

@@ -13,10 +13,11 @@ SUM_TYPES = "('click', 'purchase')"
 
 
 def rnd(expr: str, digits: int) -> str:
-    """HALF_UP rounding after clearing float noise at 6 decimals (the Spark
-    side rounds the same way; DuckDB's own double ``round`` is not HALF_UP on
-    every tie)."""
-    return f"CAST(round(CAST(({expr}) AS DECIMAL(38, 6)), {digits}) AS DOUBLE)"
+    """HALF_UP rounding of the shortest decimal text of the double, first to 6
+    decimals (clearing float noise), then to ``digits``: the same rule as the
+    Spark side.  DuckDB's own double ``round`` and double->DECIMAL cast scale
+    in floating point and can round exact ties the other way."""
+    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38, 6)), {digits}) AS DOUBLE)"
 
 # Daily series of the events stand-in: zero-filled sums for click/purchase,
 # sparse means for the rest.
@@ -91,9 +92,9 @@ def rolling_sql(daily_cte: str) -> str:
                 f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END")
     return f"""
 WITH {daily_cte}
-SELECT subject_id, metric, date, {rnd("value", 6)} AS raw,
-       {rnd(gated(7), 6)} AS rolling_7, {rnd(gated(30), 6)} AS rolling_30,
-       {rnd(gated(90), 6)} AS rolling_90
+SELECT subject_id, metric, date, {rnd("value", 4)} AS raw,
+       {rnd(gated(7), 4)} AS rolling_7, {rnd(gated(30), 4)} AS rolling_30,
+       {rnd(gated(90), 4)} AS rolling_90
 FROM daily
 """
 
@@ -440,12 +441,12 @@ LEFT JOIN rng ON rng.subject_id = subj.subject_id
 ORACLE = {
     "daily_mean": f"""
 WITH {EV_DAILY}
-SELECT subject_id, metric, date, {rnd("value", 6)} AS value
+SELECT subject_id, metric, date, {rnd("value", 4)} AS value
 FROM daily WHERE metric NOT IN {SUM_TYPES}
 """,
     "daily_sum_zero_filled": f"""
 WITH {EV_DAILY}
-SELECT subject_id, metric, date, {rnd("value", 6)} AS value
+SELECT subject_id, metric, date, {rnd("value", 4)} AS value
 FROM daily WHERE metric IN {SUM_TYPES}
 """,
     "anomalies": anomalies_sql(EV_DAILY),
@@ -467,8 +468,8 @@ b AS (
   FROM daily
   WINDOW w AS (PARTITION BY subject_id, metric ORDER BY date
                ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
-SELECT subject_id, metric, date, {rnd("value", 6)} AS value, {rnd("mu", 6)} AS rolling_mean,
-       {rnd("value - mu", 6)} AS baseline_deviation
+SELECT subject_id, metric, date, {rnd("value", 4)} AS value, {rnd("mu", 4)} AS rolling_mean,
+       {rnd("value - mu", 4)} AS baseline_deviation
 FROM b
 """,
     "last7_stats": f"""
@@ -487,7 +488,7 @@ r AS (
   FROM daily
   WINDOW w AS (PARTITION BY subject_id, metric ORDER BY date
                ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
-SELECT subject_id, metric, date, {rnd("raw", 6)} AS raw, {rnd("rolling_7", 6)} AS rolling_7
+SELECT subject_id, metric, date, {rnd("raw", 4)} AS raw, {rnd("rolling_7", 4)} AS rolling_7
 FROM r WHERE rn <= 90 AND n >= 2
 """,
     "trend_class": f"""
@@ -516,23 +517,23 @@ FROM ev_anom WHERE date >= CAST({EV_AS_OF} - INTERVAL 14 DAY AS DATE)
 """,
     "sleep_nightly": f"""
 WITH {sleep_ctes()}
-SELECT subject_id, date AS night, {rnd("value", 6)} AS hours FROM sn
+SELECT subject_id, date AS night, {rnd("value", 4)} AS hours FROM sn
 """,
     "sleep_stage_pivot": f"""
 WITH {sleep_ctes()}
 SELECT subject_id, night,
-       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'asleep_unspecified'), 0.0)", 6)} AS asleep_unspecified,
-       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'core'), 0.0)", 6)} AS core,
-       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'deep'), 0.0)", 6)} AS deep,
-       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'rem'), 0.0)", 6)} AS rem,
-       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'unknown'), 0.0)", 6)} AS unknown
+       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'asleep_unspecified'), 0.0)", 4)} AS asleep_unspecified,
+       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'core'), 0.0)", 4)} AS core,
+       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'deep'), 0.0)", 4)} AS deep,
+       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'rem'), 0.0)", 4)} AS rem,
+       {rnd("coalesce(sum(hrs * 60) FILTER (WHERE stage = 'unknown'), 0.0)", 4)} AS unknown
 FROM skept WHERE has_stages GROUP BY 1, 2
 """,
     "sleep_rolling": f"""
 WITH {sleep_ctes()}
-SELECT subject_id, date AS night, {rnd("value", 6)} AS hours,
-       {rnd("CASE WHEN count(value) OVER w7 >= 3 THEN avg(value) OVER w7 END", 6)} AS avg_duration_7d,
-       {rnd("CASE WHEN count(value) OVER w30 >= 7 THEN avg(value) OVER w30 END", 6)} AS avg_duration_30d
+SELECT subject_id, date AS night, {rnd("value", 4)} AS hours,
+       {rnd("CASE WHEN count(value) OVER w7 >= 3 THEN avg(value) OVER w7 END", 4)} AS avg_duration_7d,
+       {rnd("CASE WHEN count(value) OVER w30 >= 7 THEN avg(value) OVER w30 END", 4)} AS avg_duration_30d
 FROM sn
 WINDOW w7 AS (PARTITION BY subject_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
        w30 AS (PARTITION BY subject_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
