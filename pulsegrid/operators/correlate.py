@@ -30,23 +30,35 @@ def pearson(x: DataFrame, y: DataFrame, relationship: str,
             min_pairs: int = CORR_MIN_PAIRS) -> DataFrame:
     """J1 + A12 + U1 per subject: r (4 digits), two-sided p (6 digits), n pairs.
 
-    A subject gets a row when it has data on both sides (the relation exists);
-    with fewer than ``min_pairs`` aligned days r and p are NULL.
+    A subject gets a row when both input series have rows (the relation
+    exists, even with no aligned non-null pair); with fewer than
+    ``min_pairs`` aligned days r and p are NULL.
+
+    Plan: both daily series are unioned and aligned by a (subject, date)
+    aggregation -- the inner equi-join on date -- then one per-subject
+    aggregate yields n, r and whether each side exists.  Two partial
+    aggregations, no join; a subject's rows are bounded by its days.
     """
-    a = x.where(F.col("value").isNotNull()).select("subject_id", "date", F.col("value").alias("x"))
-    b = y.where(F.col("value").isNotNull()).select("subject_id", "date", F.col("value").alias("y"))
-    stats = (a.join(b, ["subject_id", "date"], "inner")
-             .groupBy("subject_id")
-             .agg(F.count(F.lit(1)).alias("n"), pearson_r("x", "y").alias("r_raw")))
-    present = (a.select("subject_id").distinct()
-               .join(b.select("subject_id").distinct(), "subject_id", "inner"))
-    n = F.coalesce(F.col("n"), F.lit(0))
+    none = F.lit(None).cast("double")
+    a = x.select("subject_id", "date", F.col("value").alias("x"), none.alias("y"),
+                 F.lit(True).alias("in_x"), F.lit(False).alias("in_y"))
+    b = y.select("subject_id", "date", none.alias("x"), F.col("value").alias("y"),
+                 F.lit(False).alias("in_x"), F.lit(True).alias("in_y"))
+    aligned = (a.unionByName(b).groupBy("subject_id", "date")
+               .agg(F.max("x").alias("x"), F.max("y").alias("y"),
+                    F.bool_or("in_x").alias("in_x"), F.bool_or("in_y").alias("in_y")))
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    px, py = F.when(both, F.col("x")), F.when(both, F.col("y"))
+    stats = (aligned.groupBy("subject_id")
+             .agg(F.count_if(both).alias("n"), pearson_r(px, py).alias("r_raw"),
+                  F.bool_or("in_x").alias("in_x"), F.bool_or("in_y").alias("in_y"))
+             .where(F.col("in_x") & F.col("in_y")))
+    n = F.col("n")
     r = F.when(n >= min_pairs, F.col("r_raw"))
-    return (present.join(stats, "subject_id", "left")
-            .select("subject_id", F.lit(relationship).alias("relationship"),
-                    half_up(r, 4).alias("r"),
-                    half_up(pearson_p_value(r, n), 6).alias("p"),
-                    n.cast("bigint").alias("n")))
+    return stats.select("subject_id", F.lit(relationship).alias("relationship"),
+                        half_up(r, 4).alias("r"),
+                        half_up(pearson_p_value(r, n), 6).alias("p"),
+                        n.cast("bigint").alias("n"))
 
 
 def baseline_change(series: DataFrame, window: int = ANOMALY_WINDOW,

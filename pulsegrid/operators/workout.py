@@ -91,5 +91,4 @@ def daily_intensity(workouts: DataFrame, evening_hour: int | None = None) -> Dat
     if evening_hour is not None:
         rows = rows.where(F.hour("start_local") >= evening_hour)
     return (rows.select("subject_id", F.to_date("start_local").alias("date"), intensity.alias("x"))
-            .groupBy("subject_id", "date").agg(F.avg("x").alias("value"))
-            .where(F.col("value").isNotNull()))
+            .groupBy("subject_id", "date").agg(F.avg("x").alias("value")))

@@ -222,8 +222,7 @@ SELECT p.subject_id, '{rel}' AS relationship,
        CASE WHEN coalesce(st.n, 0) >= 5 THEN {rnd("st.r", 4)} END AS r,
        CASE WHEN coalesce(st.n, 0) >= 5 AND st.r IS NOT NULL THEN {rnd(p_value_sql("st.r", "st.n"), 6)} END AS p,
        coalesce(st.n, 0) AS n
-FROM (SELECT DISTINCT subject_id FROM {x} WHERE value IS NOT NULL
-      INTERSECT SELECT DISTINCT subject_id FROM {y} WHERE value IS NOT NULL) p
+FROM (SELECT DISTINCT subject_id FROM {x} INTERSECT SELECT DISTINCT subject_id FROM {y}) p
 LEFT JOIN (
   SELECT a.subject_id, count(*) AS n,
          CASE WHEN isnan(corr(a.value, b.value)) THEN NULL ELSE corr(a.value, b.value) END AS r

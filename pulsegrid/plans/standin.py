@@ -39,8 +39,17 @@ ORDERS_DIM = MetricDim(unit={})
 EVENTS_AS_OF = dt.date(2024, 1, 31)
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """The driver table ``name``; the scan DataFrame is built once per session
+    (file listing and footer schema are read once, the plan is immutable)."""
+    key = (id(spark), os.path.join(sf_dir, f"{name}.parquet"))
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _TABLES[key] = spark.read.parquet(key[1])
+    return df
 
 
 def event_records(spark: SparkSession, sf_dir: str, metrics=None) -> DataFrame:
