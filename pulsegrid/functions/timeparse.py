@@ -38,8 +38,11 @@ def parse_local(raw) -> Column:
 
 
 def parse_double(raw) -> Column:
-    """text -> DOUBLE; NULL, empty or unparseable -> NULL (never raises)."""
-    return _c(raw).try_cast("double")
+    """F2 + P17: text -> DOUBLE; NULL, empty or unparseable -> NULL (never
+    raises).  'nan' also becomes NULL: it means missing, and Spark would
+    otherwise carry NaN through every aggregate."""
+    x = _c(raw).try_cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def day(ts_local) -> Column:

@@ -25,10 +25,25 @@ from pulsegrid.functions.timeparse import day
 from pulsegrid.model import SERIES_KEY, SKIP_METRICS, MetricDim
 
 
-def daily_values(records: DataFrame, dim: MetricDim, date_col: str = "start_local",
+# P5: the date column is chosen by presence, not per row.
+DATE_PRIORITY = ["date", "start_local", "creation_local", "creation_ts"]
+
+
+def pick_date_column(df: DataFrame) -> str | None:
+    return next((c for c in DATE_PRIORITY if c in df.columns), None)
+
+
+def daily_values(records: DataFrame, dim: MetricDim, date_col: str | None = None,
                  skip: list[str] | None = None) -> DataFrame:
-    """A1 + A2 over a long ``records`` table (subject_id, metric, <date_col>, value)."""
+    """A1 + A2 over a long ``records`` table (subject_id, metric, <date>, value).
+
+    The date column is ``date_col`` or, by presence, date > start > creation
+    (P5): a NULL start does not fall back to the creation date.
+    """
     skip = SKIP_METRICS if skip is None else skip
+    date_col = date_col or pick_date_column(records)
+    if date_col is None:
+        return records.sparkSession.createDataFrame([], "subject_id bigint, metric string, date date, value double")
     rows = (records
             .where(F.col(date_col).isNotNull() & ~F.col("metric").isin(*skip))
             .select("subject_id", "metric", day(date_col).alias("date"), "value"))
@@ -55,7 +70,7 @@ def daily_values(records: DataFrame, dim: MetricDim, date_col: str = "start_loca
 
 
 def daily_series(records: DataFrame, dim: MetricDim, sleep_nightly: DataFrame | None = None,
-                 date_col: str = "start_local") -> DataFrame:
+                 date_col: str | None = None) -> DataFrame:
     """Every metric's daily series plus the derived ``sleep_duration``."""
     out = daily_values(records, dim, date_col=date_col)
     if sleep_nightly is not None:

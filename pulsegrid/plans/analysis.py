@@ -108,8 +108,15 @@ def run(spark: SparkSession, src: str, dst: str, as_of, dim: MetricDim | None =
 
     reports = os.path.join(dst, "reports")
     write_report(report_overview(res["trend"], wow_now, dim), reports, "overview")
-    write_report(report_anomalies(res["anomalies"], as_of), reports, "anomalies")
-    write_report(top_anomalies(res["anomalies"]), reports, "top_anomalies")
+    write_report(report_anomalies(res["anomalies"], as_of), reports, "anomalies",
+                 order_by=["subject_id", "row_no"])
+    write_report(top_anomalies(res["anomalies"]), reports, "top_anomalies",
+                 order_by=["subject_id", "metric", "k"])
+    write_report(res["workout_by_type"], reports, "workouts_by_type",
+                 order_by=["subject_id", F.desc("sessions"), "activity"])
+    write_report(res["workout_weekly"], reports, "workout_weekly", order_by=["subject_id", "week"])
+    write_report(res["sleep_nightly"], reports, "sleep_nightly", order_by=["subject_id", "night"])
+    write_report(res["sleep_stats"], reports, "sleep_stats")
     write_report(res["chart"], reports, "chart_data")
     rng = records.groupBy("subject_id").agg(
         F.date_format(F.min("start_local"), "yyyy-MM-dd").alias("start"),

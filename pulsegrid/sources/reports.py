@@ -19,8 +19,12 @@ from pulsegrid.sources.tables import exists
 
 
 def write_report(df: DataFrame, root: str, name: str, fmt: str = "parquet",
-                 partition_by: str | None = "subject_id") -> str:
+                 partition_by: str | None = "subject_id", order_by=None) -> str:
+    """Write one report table.  ``order_by`` is the presentation order
+    (K2-K4), applied within each output file only -- no global sort."""
     path = os.path.join(root, name)
+    if order_by:
+        df = df.sortWithinPartitions(*order_by)
     writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer = writer.option("header", True)

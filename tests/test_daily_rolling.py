@@ -113,3 +113,19 @@ def test_partition_count_does_not_change_results(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_date_column_by_presence(spark):
+    from pulsegrid.operators.daily import pick_date_column
+    recs = _recs(spark, "hr", [1, 2])
+    assert pick_date_column(recs) == "start_local"
+    assert pick_date_column(recs.withColumn("date", F.to_date("start_local"))) == "date"
+    assert pick_date_column(recs.drop("start_local", "start_ts")) is None
+    assert daily_values(recs.drop("start_local", "start_ts"), DIM).count() == 0
+
+
+def test_nan_text_is_missing(spark):
+    from pulsegrid.functions.timeparse import parse_double
+    got = [r.v for r in spark.createDataFrame([("nan",), ("7",), (" 7 ",), ("x",), ("",), (None,)], "t string")
+           .select(parse_double("t").alias("v")).collect()]
+    assert got == [None, 7.0, 7.0, None, None, None]

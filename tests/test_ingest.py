@@ -191,3 +191,14 @@ def test_weekly_run_end_to_end(spark, tmp):
     ctx = spark.read.parquet(os.path.join(rep, "context")).first().text
     assert ctx.startswith("## Data Context  (date range: 2024-01-01 to 2024-02-09)")
     assert spark.read.parquet(os.path.join(rep, "monthly_totals")).first().weeks_covered == 2
+
+
+def test_streaming_daily_with_watermark(spark, tmp, export_dir):
+    from pulsegrid.streaming.ingest import daily_stream
+
+    q = (daily_stream(spark, export_dir).writeStream.outputMode("update").format("memory")
+         .queryName("daily_stream_test").option("checkpointLocation", os.path.join(tmp, "ck_daily"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {(r.metric, r.value) for r in spark.sql("SELECT * FROM daily_stream_test").collect()}
+    assert ("resting_heart_rate", 55.0) in got and ("step_count", 1200.0) in got

@@ -135,3 +135,25 @@ def test_p_value_matches_numeric_integration(spark, r, n):
     df = n - 2
     t = r * math.sqrt(df / (1 - r * r))
     assert got == pytest.approx(_t_sf(t, df), abs=1e-7)
+
+
+def test_next_day_relation_equals_pandas_merge(spark):
+    """Property of J2: equal to a plain merge on shifted calendar dates."""
+    import random
+    import pandas as pd
+    rnd = random.Random(11)
+    wk_rows, hrv_pts = [], []
+    for d in range(60):
+        if rnd.random() < 0.6:
+            for _ in range(rnd.randint(1, 3)):
+                wk_rows.append((1, "HKWorkoutActivityTypeRunning", rnd.uniform(10, 90),
+                                f"{D0 + dt.timedelta(days=d)} {rnd.randint(5, 22):02d}:00:00"))
+        if rnd.random() < 0.7:
+            hrv_pts.append((d, rnd.uniform(20, 80)))
+    r = intensity_vs_next_day_hrv(workouts_df(spark, wk_rows), daily_df(spark, {"h": hrv_pts}).drop("metric")).first()
+    w = pd.DataFrame([(dt.date.fromisoformat(s[:10]), d) for _, _, d, s in wk_rows], columns=["date", "x"])
+    w = w.groupby("date").x.mean()
+    h = pd.Series({D0 + dt.timedelta(days=d - 1): v for d, v in hrv_pts})
+    m = pd.concat([w.rename("x"), h.rename("y")], axis=1).dropna()
+    assert r.n == len(m)
+    assert r.r == pytest.approx(round(m.x.corr(m.y), 4), abs=1e-4)
