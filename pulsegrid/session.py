@@ -20,6 +20,11 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Broadcast only what has a measured size: no broadcast from planner
+    # estimates; AQE may still turn a join into a broadcast join after the
+    # shuffle stage has measured the small side's real size.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     # Upserts (snapshot history, metric log) overwrite only the partitions
     # they touch; the static default would drop the rest of the history.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
