@@ -18,9 +18,7 @@ from pyspark.sql import functions as F
 from pulsegrid.model import MetricDim
 from pulsegrid.operators.typing import classify_records, type_records, type_workouts
 from pulsegrid.sources.tables import exists, write_records, write_workouts
-from pulsegrid.sources.xml import (
-    read_records_text, read_records_xml, read_workouts_text, read_workouts_xml,
-)
+from pulsegrid.sources.xml import SPLIT_BYTES, read_records, read_workouts
 
 
 def _last_ingest(spark: SparkSession, path: str):
@@ -30,17 +28,17 @@ def _last_ingest(spark: SparkSession, path: str):
 
 
 def ingest(spark: SparkSession, src: str, dst: str, force: bool = False,
-           dim: MetricDim | None = None, single_huge_file: bool = False) -> dict:
+           dim: MetricDim | None = None, split_bytes: int = SPLIT_BYTES) -> dict:
     """Parse ``src`` (a folder of exports or one file) into ``dst``.
 
-    Returns the S10 counters: elements seen, kept, skipped, workouts.
+    Exports larger than ``split_bytes`` are split across tasks (text scan),
+    smaller ones parsed whole (XML row-tag source).  Returns the S10
+    counters: elements seen, kept, skipped, workouts.
     """
     dim = dim or MetricDim.health()
     if not exists(spark, src):
         raise FileNotFoundError(f"health export not found at {src}")
-    read_r = read_records_text if single_huge_file else read_records_xml
-    read_w = read_workouts_text if single_huge_file else read_workouts_xml
-    raw_r, raw_w = read_r(spark, src), read_w(spark, src)
+    raw_r, raw_w = read_records(spark, src, split_bytes), read_workouts(spark, src, split_bytes)
     mode = "overwrite"
     if not force:
         last_r = _last_ingest(spark, os.path.join(dst, "records"))

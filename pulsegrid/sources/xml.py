@@ -71,18 +71,25 @@ def _unescape(c: Column) -> Column:
 
 
 def _attribute(head: Column, name: str) -> Column:
-    pattern = r'(?:^|\s)' + name + r'="([^"]*)"'
-    return F.when(head.rlike(pattern), _unescape(F.regexp_extract(head, pattern, 1)))
+    pattern = r"""(?:^|\s)""" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    value = F.when(F.regexp_extract(head, pattern, 0) != "",
+                   F.concat(F.regexp_extract(head, pattern, 1), F.regexp_extract(head, pattern, 2)))
+    return _unescape(value)
 
 
-def _read_text(spark: SparkSession, path: str, tag: str, attrs) -> DataFrame:
+# The attribute list of an element: everything up to the first '>' that is
+# not inside a quoted value (a raw '>' is legal inside attribute values).
+_HEAD = r"""^((?:[^"'<>]|"[^"]*"|'[^']*')*)"""
+
+
+def _read_text(spark: SparkSession, path, tag: str, attrs) -> DataFrame:
     chunks = spark.read.option("lineSep", f"<{tag} ").text(path)
     chunks = _with_subject(chunks)
-    # Everything before the first '>' is the element's attribute list; the
-    # file's prolog (the first chunk) has no element attributes and is dropped.
-    head = F.substring_index(F.col("value"), ">", 1)
+    # The file's prolog (each file's first chunk) carries no element
+    # attributes and is dropped.
+    head = F.regexp_extract(F.col("value"), _HEAD, 1)
     rows = chunks.select("subject_id", "source_mtime", head.alias("head")) \
-        .where(F.col("head").rlike(r'^\s*[A-Za-z_][\w:.-]*="'))
+        .where(F.col("head").rlike(r"""^\s*[A-Za-z_][\w:.-]*\s*=\s*["']"""))
     return rows.select("subject_id", "source_mtime", *[_attribute(F.col("head"), a).alias(a) for a in attrs])
 
 
@@ -96,6 +103,58 @@ def read_workouts_text(spark: SparkSession, path: str) -> DataFrame:
     return _read_text(spark, path, "Workout", WORKOUT_ATTRS)
 
 
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(file, bytes) under ``path`` (recursive; hidden and ``_`` files skipped).
+    File metadata only -- the same listing a file scan performs."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return []
+    it = fs.listFiles(hpath, True)
+    out = []
+    while it.hasNext():
+        st = it.next()
+        name = st.getPath().getName()
+        if not name.startswith((".", "_")):
+            out.append((st.getPath().toString(), int(st.getLen())))
+    return out
+
+
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def _read_auto(spark: SparkSession, path: str, tag: str, attrs, split_bytes: int) -> DataFrame:
+    files = list_files(spark, path)
+    small = [f for f, n in files if n <= split_bytes]
+    big = [f for f, n in files if n > split_bytes]
+    parts = []
+    if small:
+        parts.append(_read_xml(spark, small, tag, attrs))
+    if big:
+        parts.append(_read_text(spark, big, tag, attrs))
+    if not parts:
+        return spark.createDataFrame([], T.StructType(
+            [T.StructField("subject_id", T.LongType()), T.StructField("source_mtime", T.TimestampType())]
+            + [T.StructField(a, T.StringType()) for a in attrs]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def read_records(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """S1 by file size: exports up to ``split_bytes`` with the XML row-tag
+    reader (one task per file, files in parallel), larger ones with the
+    splittable text scan, so no single export is parsed by one task."""
+    return _read_auto(spark, path, "Record", RECORD_ATTRS, split_bytes)
+
+
+def read_workouts(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """S2 by file size, as ``read_records``."""
+    return _read_auto(spark, path, "Workout", WORKOUT_ATTRS, split_bytes)
+
+
 def xml_schema(kind: str) -> T.StructType:
     """Schema of the raw XML rows, for streaming reads."""
     return _xml_schema(RECORD_ATTRS if kind == "Record" else WORKOUT_ATTRS)

@@ -202,3 +202,25 @@ def test_streaming_daily_with_watermark(spark, tmp, export_dir):
     q.awaitTermination()
     got = {(r.metric, r.value) for r in spark.sql("SELECT * FROM daily_stream_test").collect()}
     assert ("resting_heart_rate", 55.0) in got and ("step_count", 1200.0) in got
+
+
+def test_text_scan_quoted_gt_and_single_quotes(spark, tmp):
+    d = os.path.join(tmp, "q")
+    os.makedirs(d)
+    body = (" <Record type='HKQuantityTypeIdentifierHeartRate' sourceName='Watch > Phone' unit=\"count/min\" "
+            "creationDate=\"2024-01-15 08:30:00 -0600\" startDate=\"2024-01-15 08:30:00 -0600\" "
+            "endDate=\"2024-01-15 08:30:00 -0600\" value=\"61\"/>\n")
+    with open(os.path.join(d, "subject=5.xml"), "w") as f:
+        f.write(HEADER + body + FOOTER)
+    cols = ["subject_id", "type", "sourceName", "unit", "value", "startDate"]
+    a = [tuple(r) for r in read_records_xml(spark, d).select(*cols).collect()]
+    b = [tuple(r) for r in read_records_text(spark, d).select(*cols).collect()]
+    assert a == b and a[0][2] == "Watch > Phone"
+
+
+def test_auto_reader_splits_large_files(spark, tmp, export_dir):
+    from pulsegrid.sources.xml import read_records
+    cols = ["subject_id", "type", "sourceName", "value", "startDate"]
+    whole = sorted(map(tuple, read_records(spark, export_dir).select(*cols).collect()), key=str)
+    split = sorted(map(tuple, read_records(spark, export_dir, split_bytes=100).select(*cols).collect()), key=str)
+    assert whole == split and len(whole) == 10
