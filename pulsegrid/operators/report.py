@@ -68,24 +68,30 @@ def top_anomalies(anomalies: DataFrame, k: int = 5) -> DataFrame:
 
 def metric_log(rolling: DataFrame, trend: DataFrame, dim: MetricDim, report_date,
                existing: DataFrame | None = None, backfill: int = 90) -> DataFrame:
-    """Per-metric data log.  A new page is back-filled with the last
-    ``backfill`` raw points (trend 'flat'); the report date's row is then
-    inserted or replaced (newest wins per (subject, metric, date)).  Only
-    metrics with enough data get a page."""
+    """Per-metric data log, one row per (subject, metric, date).
+
+    First run (``existing`` is None, a new page): the last ``backfill`` raw
+    points with trend 'flat'; the report date's row is written only for a
+    series without history.  Later runs: the report date's row replaces the
+    row of that date or is appended (newest wins).  Only metrics with enough
+    data get a page.
+    """
     keep = trend.where(F.col("direction") != "insufficient_data").select(*SERIES_KEY, "current_value", "direction")
     unit = dim.unit_expr(F.col("metric"))
     day = as_date(report_date)
     new_row = keep.select(*SERIES_KEY, day.alias("date"), F.col("current_value").alias("value"),
-                          unit.alias("unit"), F.col("direction").alias("trend"), F.lit(2).alias("_prio"))
+                          unit.alias("unit"), F.col("direction").alias("trend"))
     if existing is None:
         rn = F.row_number().over(Window.partitionBy(*SERIES_KEY).orderBy(F.desc("date")))
         tail = (rolling.select(*SERIES_KEY, "date", "raw", rn.alias("_rn"))
                 .where(F.col("_rn") <= backfill)
                 .join(keep.select(*SERIES_KEY), SERIES_KEY, "left_semi"))
-        existing = tail.select(*SERIES_KEY, "date", half_up("raw", 2).alias("value"), unit.alias("unit"),
-                               F.lit("flat").alias("trend"))
+        history = tail.select(*SERIES_KEY, "date", half_up("raw", 2).alias("value"), unit.alias("unit"),
+                              F.lit("flat").alias("trend"))
+        first = history.unionByName(new_row.join(history.select(*SERIES_KEY), SERIES_KEY, "left_anti"))
+        return first.select("*", arrow_class(F.col("trend")).alias("arrow"))
     old = existing.select(*SERIES_KEY, "date", "value", "unit", "trend", F.lit(1).alias("_prio"))
-    both = old.unionByName(new_row)
+    both = old.unionByName(new_row.withColumn("_prio", F.lit(2)))
     w = Window.partitionBy(*SERIES_KEY, "date").orderBy(F.desc("_prio"))
     return (both.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1)
             .select(*SERIES_KEY, "date", "value", "unit", "trend",

@@ -316,8 +316,12 @@ def q_top5_anomalies(spark, sf):
 
 
 def q_metric_log_upsert(spark, sf):
+    """Two weekly runs on the same report date: the first creates the pages
+    (history back-fill), the second upserts the report date's row."""
     daily, _, trend = event_full_analysis(spark, sf)
-    return metric_log(rolling_means(daily), trend, EVENTS_DIM, LOG_DATE)
+    rolling = rolling_means(daily)
+    first = metric_log(rolling, trend, EVENTS_DIM, LOG_DATE)
+    return metric_log(rolling, trend, EVENTS_DIM, LOG_DATE, existing=first)
 
 
 def q_context_text(spark, sf):

@@ -112,3 +112,18 @@ def test_deviation_bound(spark, values):
             n = min(i + 1, 30)
             dev = abs(r.value - r.rolling_mean) / r.rolling_std
             assert dev <= (n - 1) / math.sqrt(n) + 1e-6
+
+
+def test_metric_log_new_page_then_upsert(spark):
+    from pulsegrid.operators.report import metric_log
+    from pulsegrid.operators.rolling import rolling_means
+    d = daily_df(spark, {"up_good": [(i, float(i)) for i in range(10)]})
+    trend = trend_summary(d, detect_anomalies(d), DIM, "2024-01-10")
+    roll = rolling_means(d)
+    first = metric_log(roll, trend, DIM, "2024-01-10")
+    assert first.count() == 10 and {r.trend for r in first.collect()} == {"flat"}
+    second = metric_log(roll, trend, DIM, "2024-01-11", existing=first).collect()   # appends
+    assert len(second) == 11 and [r.trend for r in second if r.date == dt.date(2024, 1, 11)] == ["improving"]
+    third = metric_log(roll, trend, DIM, "2024-01-09", existing=first).collect()   # replaces a history row
+    row = [r for r in third if r.date == dt.date(2024, 1, 9)]
+    assert len(third) == 10 and row[0].trend == "improving" and row[0].value == 9.0
