@@ -501,7 +501,7 @@ WITH {EV_STATS}, {EV_ANOM},
 rec AS (
   SELECT subject_id, metric, count(*) AS n,
          string_agg(strftime(date, '%Y-%m-%d'), ',' ORDER BY date DESC) AS dates
-  FROM ev_anom WHERE date >= {EV_AS_OF} - INTERVAL 14 DAY
+  FROM ev_anom WHERE date >= {EV_AS_OF} - INTERVAL 14 DAY AND date <= {EV_AS_OF}
   GROUP BY 1, 2)
 SELECT t.subject_id, t.metric, t.direction, {rnd("t.cur", 2)} AS current_value,
        {rnd("t.avg90", 2)} AS avg_90d,
@@ -512,7 +512,7 @@ FROM tl t LEFT JOIN rec r USING (subject_id, metric)
     "recent_anomalies": f"""
 WITH {EV_ANOM}
 SELECT subject_id, metric, date, value, deviation_sigma, severity
-FROM ev_anom WHERE date >= CAST({EV_AS_OF} - INTERVAL 14 DAY AS DATE)
+FROM ev_anom WHERE date >= CAST({EV_AS_OF} - INTERVAL 14 DAY AS DATE) AND date <= {EV_AS_OF}
 """,
     "sleep_nightly": f"""
 WITH {sleep_ctes()}
