@@ -44,8 +44,12 @@ def daily_values(records: DataFrame, dim: MetricDim, date_col: str | None = None
     date_col = date_col or pick_date_column(records)
     if date_col is None:
         return records.sparkSession.createDataFrame([], "subject_id bigint, metric string, date date, value double")
+    # Keys are filtered explicitly: joins downstream would otherwise infer
+    # these filters on one branch only and the branches over this table
+    # could no longer share its scan and shuffle.
     rows = (records
-            .where(F.col(date_col).isNotNull() & ~F.col("metric").isin(*skip))
+            .where(F.col("subject_id").isNotNull() & F.col("metric").isNotNull()
+                   & F.col(date_col).isNotNull() & ~F.col("metric").isin(*skip))
             .select("subject_id", "metric", day(date_col).alias("date"), "value"))
     per_day = (rows
                .groupBy("subject_id", "metric", "date")

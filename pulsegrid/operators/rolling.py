@@ -58,7 +58,10 @@ def series_stats(daily: DataFrame, trend_window: int = TREND_WINDOW, keys=None)
     """
     keys = keys or SERIES_KEY
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("date")))
-    ranked = daily.where(F.col("value").isNotNull()).select(*keys, "date", "value", rn.alias("rn"))
+    # Daily rows never carry a NULL value (A1 drops empty days, A2 fills 0.0),
+    # so no filter here: the plan stays identical to the other branches over
+    # the same daily table and Spark reuses its exchange.
+    ranked = daily.select(*keys, "date", "value", rn.alias("rn"))
     v = F.col("value")
     last = lambda n: F.when(F.col("rn") <= n, v)
     return ranked.groupBy(*keys).agg(

@@ -24,11 +24,16 @@ def test_anomalies_two_shuffles_pushdown_and_pruning(spark):
     # partial aggregation before the first shuffle, one shuffle for all windows
     assert "partial_avg" in plan
     assert _exchanges(plan) == 2
-    assert "PushedFilters: [IsNotNull(ts)" in plan
+    assert re.search(r"PushedFilters: \[[^\n]*IsNotNull\(ts\)", plan)
     scan = re.search(r"ReadSchema: (struct<[^>]*>)", plan).group(1)
     assert "props" not in scan and "event_id" not in scan
 
 
+def test_trend_and_anomaly_branches_share_the_daily_scan(spark):
+    plan = _plan(entry_mod.queries()["trend_summary"](spark, SF))
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
 def test_rolling_windows_share_one_exchange(spark):
     plan = _plan(entry_mod.queries()["rolling_7_30_90"](spark, SF))
     assert _exchanges(plan) == 2
