@@ -3,6 +3,10 @@
 ``force=True`` re-parses everything and overwrites.  Otherwise the job is
 incremental (S5 re-aimed): only export files modified after the newest
 ``source_mtime`` already ingested are read, and their rows are appended.
+That watermark lives in a one-row state file (``_ingest_state``) written
+after the data, so a crash between the two re-reads the last batch of
+files; ``streaming.ingest`` is the exactly-once variant (its checkpoint
+commits files and output together).
 (``streaming.ingest`` offers the same as a Structured Streaming job with a
 checkpoint.)  Kept / skipped counts (S10) are collected with ``observe`` on
 the write itself -- no second pass over the data.
@@ -21,10 +25,26 @@ from pulsegrid.sources.tables import exists, write_records, write_workouts
 from pulsegrid.sources.xml import SPLIT_BYTES, read_records, read_workouts
 
 
-def _last_ingest(spark: SparkSession, path: str):
+def _state_path(dst: str, table: str) -> str:
+    return os.path.join(dst, "_ingest_state", table)
+
+
+def _last_ingest(spark: SparkSession, dst: str, table: str):
+    """Newest source modification time already ingested for ``table``: read
+    from a one-row state file written with every ingest (not a scan of the
+    ingested table)."""
+    path = _state_path(dst, table)
     if not exists(spark, path):
         return None
-    return spark.read.parquet(path).agg(F.max("source_mtime")).first()[0]
+    return spark.read.parquet(path).first()[0]
+
+
+def _save_state(spark: SparkSession, dst: str, table: str, newest, previous) -> None:
+    newest = max([t for t in (newest, previous) if t is not None], default=None)
+    if newest is None:
+        return
+    spark.createDataFrame([(newest,)], "source_mtime timestamp").coalesce(1) \
+        .write.mode("overwrite").parquet(_state_path(dst, table))
 
 
 def ingest(spark: SparkSession, src: str, dst: str, force: bool = False,
@@ -40,9 +60,10 @@ def ingest(spark: SparkSession, src: str, dst: str, force: bool = False,
         raise FileNotFoundError(f"health export not found at {src}")
     raw_r, raw_w = read_records(spark, src, split_bytes), read_workouts(spark, src, split_bytes)
     mode = "overwrite"
-    if not force:
-        last_r = _last_ingest(spark, os.path.join(dst, "records"))
-        last_w = _last_ingest(spark, os.path.join(dst, "workouts"))
+    last_r = last_w = None
+    if not force and exists(spark, os.path.join(dst, "records")):
+        last_r = _last_ingest(spark, dst, "records")
+        last_w = _last_ingest(spark, dst, "workouts")
         if last_r is not None or last_w is not None:
             mode = "append"
             if last_r is not None:
@@ -54,26 +75,30 @@ def ingest(spark: SparkSession, src: str, dst: str, force: bool = False,
     classified = classify_records(raw_r, dim).observe(
         obs_r, F.count(F.lit(1)).alias("records_seen"),
         F.count_if(F.col("metric").isNotNull()).alias("kept"),
-        F.count_if(F.col("metric").isNull()).alias("skipped"))
+        F.count_if(F.col("metric").isNull()).alias("skipped"),
+        F.max("source_mtime").alias("newest"))
     typed = type_records(classified.drop("metric"), dim)
     write_records(typed, dst, mode)
 
     obs_w = Observation("workouts")
-    workouts = type_workouts(raw_w).observe(obs_w, F.count(F.lit(1)).alias("workouts"))
+    workouts = type_workouts(raw_w).observe(obs_w, F.count(F.lit(1)).alias("workouts"),
+                                            F.max("source_mtime").alias("newest"))
     write_workouts(workouts, dst, mode)
 
-    counts = _observed(obs_r, ["records_seen", "kept", "skipped"])
-    counts.update(_observed(obs_w, ["workouts"]))
+    got_r, got_w = _observed_row(obs_r), _observed_row(obs_w)
+    _save_state(spark, dst, "records", got_r.get("newest"), last_r)
+    _save_state(spark, dst, "workouts", got_w.get("newest"), last_w)
+    counts = {n: int(got_r.get(n) or 0) for n in ("records_seen", "kept", "skipped")}
+    counts["workouts"] = int(got_w.get("workouts") or 0)
     counts["mode"] = mode
     return counts
 
 
-def _observed(obs: Observation, names) -> dict:
+def _observed_row(obs: Observation) -> dict:
     """Observed metrics; when no row reached the observation (an incremental
     run with nothing new) Spark has no metrics row, which means zero."""
     try:
-        got = dict(obs.get)
+        return dict(obs.get)
     except Exception:  # noqa: BLE001 - no metrics row was produced
-        got = {}
-    return {n: int(got.get(n) or 0) for n in names}
+        return {}
 
