@@ -195,6 +195,7 @@ def q_workout_stats(spark, sf):
 # signup, error and click events.
 
 MEAN_DIM = MetricDim()
+CORR_METRICS = ["signup", "error", "click"]
 
 
 def _one_subject(df):
@@ -202,10 +203,13 @@ def _one_subject(df):
 
 
 def _mean_series(spark, sf, metric, collapse=False):
-    recs = event_records(spark, sf, [metric])
+    """One metric's daily means.  All correlation metrics come from one shared
+    daily table, so several series in one query reuse a single scan+shuffle."""
+    recs = event_records(spark, sf, CORR_METRICS)
     if collapse:
         recs = _one_subject(recs)
-    return daily_values(recs, MEAN_DIM).select("subject_id", "date", "value")
+    daily = daily_values(recs, MEAN_DIM)
+    return daily.where(F.col("metric") == metric).select("subject_id", "date", "value")
 
 
 def _sleep_series(spark, sf, collapse=False):

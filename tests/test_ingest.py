@@ -191,6 +191,10 @@ def test_weekly_run_end_to_end(spark, tmp):
     ctx = spark.read.parquet(os.path.join(rep, "context")).first().text
     assert ctx.startswith("## Data Context  (date range: 2024-01-01 to 2024-02-09)")
     assert spark.read.parquet(os.path.join(rep, "monthly_totals")).first().weeks_covered == 2
+    from pulsegrid.sources.reports import read_metric_log
+    log = read_metric_log(spark, rep)
+    assert log.where("date = DATE'2024-02-14'").count() >= 1           # second run upserted its row
+    assert log.where("date = DATE'2024-02-07'").count() == 0           # first run: history only
 
 
 def test_streaming_daily_with_watermark(spark, tmp, export_dir):
