@@ -16,7 +16,7 @@ from pulsegrid.functions.rounding import half_up
 from pulsegrid.model import STAGE_COLUMNS, MetricDim
 from pulsegrid.operators.anomaly import detect_anomalies
 from pulsegrid.operators.correlate import (
-    evening_workout_vs_sleep, intensity_vs_next_day_hrv, sleep_vs_next_day_rhr,
+    correlations, evening_workout_vs_sleep, intensity_vs_next_day_hrv, sleep_vs_next_day_rhr,
     temp_deviation_vs_rhr_change,
 )
 from pulsegrid.operators.sleep import sleep_nightly, sleep_rolling, sleep_stages, sleep_stats, stage_totals
@@ -244,14 +244,16 @@ def corr_baseline_dev(spark, sf, collapse=False):
                                         _mean_series(spark, sf, "error", collapse))
 
 
+def event_correlations(spark, sf, collapse=False):
+    """C4 on the stand-in series: all four relations in one aligned pass."""
+    return correlations(_workouts(spark, sf, collapse), _mean_series(spark, sf, "signup", collapse),
+                        _mean_series(spark, sf, "error", collapse), _mean_series(spark, sf, "click", collapse),
+                        _sleep_series(spark, sf, collapse))
+
+
 def q_corr_p_value(spark, sf):
     """All four relations with every user pooled into one subject (n ~ 30)."""
-    parts = [f(spark, sf, True) for f in (corr_intensity_next_day, corr_sleep_next_day,
-                                          corr_evening_sleep, corr_baseline_dev)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return event_correlations(spark, sf, collapse=True)
 
 
 # -- step 7: snapshot history ----------------------------------------------------------
@@ -330,9 +332,7 @@ def q_metric_log_upsert(spark, sf):
 
 def q_context_text(spark, sf):
     _, anomalies, trend = event_full_analysis(spark, sf)
-    corr = corr_intensity_next_day(spark, sf)
-    for f in (corr_sleep_next_day, corr_evening_sleep, corr_baseline_dev):
-        corr = corr.unionByName(f(spark, sf))
+    corr = event_correlations(spark, sf)
     ev = event_records(spark, sf)
     rng = ev.groupBy("subject_id").agg(
         F.date_format(F.min("start_local"), "yyyy-MM-dd").alias("start"),
