@@ -33,17 +33,12 @@ def pick_date_column(df: DataFrame) -> str | None:
     return next((c for c in DATE_PRIORITY if c in df.columns), None)
 
 
-def daily_values(records: DataFrame, dim: MetricDim, date_col: str | None = None,
-                 skip: list[str] | None = None) -> DataFrame:
-    """A1 + A2 over a long ``records`` table (subject_id, metric, <date>, value).
-
-    The date column is ``date_col`` or, by presence, date > start > creation
-    (P5): a NULL start does not fall back to the creation date.
-    """
+def _per_day(records: DataFrame, dim: MetricDim, date_col: str | None, skip: list[str] | None) -> DataFrame | None:
+    """A1/A2 before gap filling: (subject_id, metric, date, value, is_sum)."""
     skip = SKIP_METRICS if skip is None else skip
     date_col = date_col or pick_date_column(records)
     if date_col is None:
-        return records.sparkSession.createDataFrame([], "subject_id bigint, metric string, date date, value double")
+        return None
     # Keys are filtered explicitly: joins downstream would otherwise infer
     # these filters on one branch only and the branches over this table
     # could no longer share its scan and shuffle.
@@ -55,30 +50,56 @@ def daily_values(records: DataFrame, dim: MetricDim, date_col: str | None = None
                .groupBy("subject_id", "metric", "date")
                .agg(F.avg("value").alias("mean_v"), F.sum("value").alias("sum_v")))
     is_sum = dim.is_sum(F.col("metric"))
-    per_day = (per_day
-               .withColumn("is_sum", is_sum)
-               .withColumn("value", F.when(F.col("is_sum"), F.coalesce("sum_v", F.lit(0.0)))
-                           .otherwise(F.col("mean_v")))
-               .where(F.col("is_sum") | F.col("value").isNotNull()))
-    # J11 as a gap fill: each sum-day owns the missing days up to the next one.
+    return (per_day
+            .withColumn("is_sum", is_sum)
+            .withColumn("value", F.when(F.col("is_sum"), F.coalesce("sum_v", F.lit(0.0)))
+                        .otherwise(F.col("mean_v")))
+            .where(F.col("is_sum") | F.col("value").isNotNull())
+            .select("subject_id", "metric", "date", "value", "is_sum"))
+
+
+def _gap_fill(per_day: DataFrame) -> DataFrame:
+    """J11 as a gap fill: each sum-day owns the missing days up to the next one."""
     w = Window.partitionBy(*SERIES_KEY).orderBy("date")
     last_owned = F.when(F.col("is_sum"), F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.col("date"))) \
         .otherwise(F.col("date"))
-    filled = (per_day
-              .select("subject_id", "metric", "date", "value", last_owned.alias("last_owned"))
-              .select("subject_id", "metric", "value",
-                      F.posexplode(F.sequence("date", "last_owned")).alias("pos", "day"))
-              .select("subject_id", "metric", F.col("day").alias("date"),
-                      F.when(F.col("pos") == 0, F.col("value")).otherwise(F.lit(0.0)).alias("value")))
-    return filled
+    return (per_day
+            .select("subject_id", "metric", "date", "value", last_owned.alias("last_owned"))
+            .select("subject_id", "metric", "value",
+                    F.posexplode(F.sequence("date", "last_owned")).alias("pos", "day"))
+            .select("subject_id", "metric", F.col("day").alias("date"),
+                    F.when(F.col("pos") == 0, F.col("value")).otherwise(F.lit(0.0)).alias("value")))
+
+
+def _empty_daily(records: DataFrame) -> DataFrame:
+    return records.sparkSession.createDataFrame([], "subject_id bigint, metric string, date date, value double")
+
+
+def daily_values(records: DataFrame, dim: MetricDim, date_col: str | None = None,
+                 skip: list[str] | None = None) -> DataFrame:
+    """A1 + A2 over a long ``records`` table (subject_id, metric, <date>, value).
+
+    The date column is ``date_col`` or, by presence, date > start > creation
+    (P5): a NULL start does not fall back to the creation date.
+    """
+    per_day = _per_day(records, dim, date_col, skip)
+    return _empty_daily(records) if per_day is None else _gap_fill(per_day)
 
 
 def daily_series(records: DataFrame, dim: MetricDim, sleep_nightly: DataFrame | None = None,
                  date_col: str | None = None) -> DataFrame:
-    """Every metric's daily series plus the derived ``sleep_duration``."""
-    out = daily_values(records, dim, date_col=date_col)
+    """Every metric's daily series plus the derived ``sleep_duration``.
+
+    The nightly sleep series joins the per-day rows *before* the gap-fill
+    window (as a mean-type series it is never filled), so one
+    (subject_id, metric) exchange serves the gap fill and every later window;
+    a union after the window would lose that partitioning and shuffle all
+    daily rows again.
+    """
+    per_day = _per_day(records, dim, date_col, None)
     if sleep_nightly is not None:
         sleep = sleep_nightly.select("subject_id", F.lit("sleep_duration").alias("metric"),
-                                     F.col("night").alias("date"), F.col("hours").alias("value"))
-        out = out.unionByName(sleep)
-    return out
+                                     F.col("night").alias("date"), F.col("hours").alias("value"),
+                                     F.lit(False).alias("is_sum"))
+        per_day = sleep if per_day is None else per_day.unionByName(sleep)
+    return _empty_daily(records) if per_day is None else _gap_fill(per_day)

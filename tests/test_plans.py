@@ -60,3 +60,18 @@ def test_no_python_udfs(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan and "PythonUDF" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_daily_with_sleep_keeps_one_series_exchange(spark):
+    """The nightly sleep series joins the per-day rows before the gap-fill
+    window, so the rolling windows reuse that window's (subject, metric)
+    partitioning instead of shuffling every daily row again."""
+    from pulsegrid.operators.daily import daily_series
+    from pulsegrid.operators.rolling import rolling_means
+    from pulsegrid.operators.sleep import sleep_nightly, stage_totals
+    from pulsegrid.plans.standin import EVENTS_DIM, event_records, sleep_records
+
+    nightly = sleep_nightly(stage_totals(sleep_records(spark, SF)))
+    plan = _plan(rolling_means(daily_series(event_records(spark, SF), EVENTS_DIM, nightly)))
+    series_exchanges = re.findall(r"Exchange hashpartitioning\(subject_id#\d+L, metric#\d+, \d+\)", plan)
+    assert len(series_exchanges) == 1
