@@ -1,10 +1,11 @@
 """Full analysis (C9) and the weekly run (C14).
 
 ``analyze`` returns a dict of lazy DataFrames.  The daily table feeds the
-rolling, anomaly, trend and correlation branches; with ``materialize_daily``
-it is written once to the shared checkpoint folder so the branches share one
-computed table (and a lost executor re-reads files instead of recomputing
-the raw aggregation).
+rolling, anomaly, trend and correlation branches; anomalies and the trend
+summary feed the snapshot and four report tables.  With ``materialize_daily``
+these three are each written once to the shared checkpoint folder, so every
+consumer reads one computed table (and a lost executor re-reads files instead
+of recomputing the raw aggregation and the window passes).
 """
 
 from __future__ import annotations
@@ -45,7 +46,11 @@ def analyze(records: DataFrame, workouts: DataFrame, dim: MetricDim, as_of,
         daily = materialize(daily, "daily")
     rolling = rolling_means(daily)
     anomalies = detect_anomalies(daily)
+    if materialize_daily:
+        anomalies = materialize(anomalies, "anomalies")
     trend = trend_summary(daily, anomalies, dim, as_of)
+    if materialize_daily:
+        trend = materialize(trend, "trend")
 
     def series(metric):
         return daily.where(F.col("metric") == metric).select("subject_id", "date", "value")
