@@ -202,16 +202,24 @@ def _one_subject(df):
     return df.withColumn("subject_id", F.lit(0).cast("bigint"))
 
 
-def _mean_series(spark, sf, metric, collapse=False):
-    """One metric's daily means.  All correlation metrics come from one shared
-    daily table, so several series in one query reuse a single scan+shuffle."""
+def _corr_daily(spark, sf, collapse=False):
+    """Daily means of every correlation metric, one table: several series in
+    one query are filters of it and share a single scan + shuffle."""
     recs = event_records(spark, sf, CORR_METRICS)
     if collapse:
         recs = _one_subject(recs)
-    daily = daily_values(recs, MEAN_DIM)
+    return daily_values(recs, MEAN_DIM)
+
+
+def _series_of(daily, metric):
     return daily.where(F.col("metric") == metric).select("subject_id", "date", "value")
 
 
+def _mean_series(spark, sf, metric, collapse=False):
+    """One metric's daily means."""
+    return _series_of(_corr_daily(spark, sf, collapse), metric)
+
+
 def _sleep_series(spark, sf, collapse=False):
     recs = sleep_records(spark, sf)
     if collapse:
@@ -240,14 +248,15 @@ def corr_evening_sleep(spark, sf, collapse=False):
 
 
 def corr_baseline_dev(spark, sf, collapse=False):
-    return temp_deviation_vs_rhr_change(_mean_series(spark, sf, "click", collapse),
-                                        _mean_series(spark, sf, "error", collapse))
+    daily = _corr_daily(spark, sf, collapse)
+    return temp_deviation_vs_rhr_change(_series_of(daily, "click"), _series_of(daily, "error"))
 
 
 def event_correlations(spark, sf, collapse=False):
     """C4 on the stand-in series: all four relations in one aligned pass."""
-    return correlations(_workouts(spark, sf, collapse), _mean_series(spark, sf, "signup", collapse),
-                        _mean_series(spark, sf, "error", collapse), _mean_series(spark, sf, "click", collapse),
+    daily = _corr_daily(spark, sf, collapse)
+    return correlations(_workouts(spark, sf, collapse), _series_of(daily, "signup"),
+                        _series_of(daily, "error"), _series_of(daily, "click"),
                         _sleep_series(spark, sf, collapse))
 
 

@@ -19,6 +19,11 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Window stages are CPU-heavy per byte (30-row frames, stddev, slopes):
+    # let AQE keep small shuffles spread over the cores instead of coalescing
+    # them to one task.  Large shuffles are sized by the advisory partition
+    # size as before, so this only matters for small inputs.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Broadcast only what has a measured size: no broadcast from planner
     # estimates; AQE may still turn a join into a broadcast join after the
