@@ -157,3 +157,36 @@ def test_next_day_relation_equals_pandas_merge(spark):
     m = pd.concat([w.rename("x"), h.rename("y")], axis=1).dropna()
     assert r.n == len(m)
     assert r.r == pytest.approx(round(m.x.corr(m.y), 4), abs=1e-4)
+
+
+def test_one_pass_correlations_equal_single_relations(spark):
+    """C4 aligns all four relations in one aggregation; each relation's row
+    must equal the relation computed on its own, for several subjects."""
+    import random
+    from pulsegrid.operators.correlate import correlations, sleep_vs_next_day_rhr
+    rnd = random.Random(3)
+    wk_rows, series = [], {}
+    for subject in (1, 2, 3):
+        for d in range(45):
+            if rnd.random() < 0.5:
+                wk_rows.append((subject, "HKWorkoutActivityTypeRunning", rnd.uniform(10, 90),
+                                f"{D0 + dt.timedelta(days=d)} {rnd.randint(6, 22):02d}:00:00"))
+        for m in ("hrv", "rhr", "temp", "sleep"):
+            series[(subject, m)] = [(d, rnd.uniform(0, 10)) for d in range(45) if rnd.random() < 0.7]
+    wk = workouts_df(spark, wk_rows)
+
+    def s(m):
+        out = None
+        for subject in (1, 2, 3):
+            part = daily_df(spark, {m: series[(subject, m)]}, subject=subject).drop("metric")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    hrv, rhr, temp, sleep = s("hrv"), s("rhr"), s("temp"), s("sleep")
+    singles = (intensity_vs_next_day_hrv(wk, hrv).unionByName(sleep_vs_next_day_rhr(sleep, rhr))
+               .unionByName(evening_workout_vs_sleep(wk, sleep))
+               .unionByName(temp_deviation_vs_rhr_change(temp, rhr)))
+    key = lambda r: (r.subject_id, r.relationship)
+    got = sorted(correlations(wk, hrv, rhr, temp, sleep).collect(), key=key)
+    want = sorted(singles.collect(), key=key)
+    assert len(got) == 12 and got == want
