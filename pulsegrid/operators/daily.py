@@ -50,12 +50,10 @@ def _per_day(records: DataFrame, dim: MetricDim, date_col: str | None, skip: lis
                .groupBy("subject_id", "metric", "date")
                .agg(F.avg("value").alias("mean_v"), F.sum("value").alias("sum_v")))
     is_sum = dim.is_sum(F.col("metric"))
+    value = F.when(is_sum, F.coalesce("sum_v", F.lit(0.0))).otherwise(F.col("mean_v"))
     return (per_day
-            .withColumn("is_sum", is_sum)
-            .withColumn("value", F.when(F.col("is_sum"), F.coalesce("sum_v", F.lit(0.0)))
-                        .otherwise(F.col("mean_v")))
-            .where(F.col("is_sum") | F.col("value").isNotNull())
-            .select("subject_id", "metric", "date", "value", "is_sum"))
+            .select("subject_id", "metric", "date", value.alias("value"), is_sum.alias("is_sum"))
+            .where(F.col("is_sum") | F.col("value").isNotNull()))
 
 
 def _gap_fill(per_day: DataFrame) -> DataFrame:

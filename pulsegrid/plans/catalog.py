@@ -304,10 +304,15 @@ def q_monthly_due(spark, sf):
 LOG_DATE = "2024-01-30"
 
 
+def event_daily_with_sleep(spark, sf):
+    """Daily series of every event metric plus the nightly sleep series."""
+    nightly = sleep_nightly(event_sleep_totals(spark, sf))
+    return daily_series(event_records(spark, sf), EVENTS_DIM, nightly)
+
+
 def event_full_analysis(spark, sf):
     """Daily series with sleep, its anomalies and trend summary."""
-    nightly = sleep_nightly(event_sleep_totals(spark, sf))
-    daily = daily_series(event_records(spark, sf), EVENTS_DIM, nightly)
+    daily = event_daily_with_sleep(spark, sf)
     anomalies = detect_anomalies(daily)
     trend = trend_summary(daily, anomalies, EVENTS_DIM, EVENTS_AS_OF)
     return daily, anomalies, trend
@@ -321,12 +326,12 @@ def q_report_overview(spark, sf):
 
 
 def q_report_anomalies(spark, sf):
-    _, anomalies, _ = event_full_analysis(spark, sf)
+    anomalies = detect_anomalies(event_daily_with_sleep(spark, sf))
     return report_anomalies(anomalies, EVENTS_AS_OF)
 
 
 def q_top5_anomalies(spark, sf):
-    _, anomalies, _ = event_full_analysis(spark, sf)
+    anomalies = detect_anomalies(event_daily_with_sleep(spark, sf))
     return top_anomalies(anomalies, 5)
 
 
