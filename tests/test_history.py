@@ -145,3 +145,24 @@ def test_backfill_last_week_equals_weekly_snapshot(spark):
         h = last[r.metric]
         assert (r.avg, r.current, r.min, r.max, r.avg_90d, r.direction, r.unit) == \
                (h.avg, h.current, h.min, h.max, h.avg_90d, h.direction, h.unit)
+
+
+def test_snapshot_upsert_is_idempotent(spark, tmp):
+    """Re-running a failed or repeated weekly save leaves the store unchanged."""
+    path = os.path.join(tmp, "snap")
+    metric = _metric(spark, [(1, 0, "a", 1.0), (1, 0, "b", 2.0), (2, 0, "a", 4.0)])
+    run = spark.createDataFrame([(1, W(0), 1, 2, 3.0, 7.0), (2, W(0), 0, 0, 0.0, None)],
+                                RS.replace("run_number bigint, ", ""))
+    save_snapshot(spark, _metric(spark, [(1, 1, "a", 9.0)]),
+                  spark.createDataFrame([(1, W(1), 0, 0, 0.0, None)], RS.replace("run_number bigint, ", "")), path)
+
+    def state():
+        m, r = load_snapshots(spark, path)
+        return sorted(map(tuple, m.collect())), sorted(map(tuple, r.collect()))
+
+    save_snapshot(spark, metric, run, path)
+    once = state()
+    save_snapshot(spark, metric, run, path)
+    assert state() == once
+    runs = {(x.subject_id, x.week): x.run_number for x in load_snapshots(spark, path)[1].collect()}
+    assert runs == {(1, W(1)): 1, (1, W(0)): 2, (2, W(0)): 1}
