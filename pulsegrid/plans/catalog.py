@@ -32,6 +32,7 @@ from pulsegrid.operators.typing import dataset_profile, dataset_totals, kept_ski
 from pulsegrid.plans.analysis import analysis_overview, analyze
 from pulsegrid.operators.rolling import chart_data, rolling_baseline, rolling_means, series_stats
 from pulsegrid.operators.trend import classify_trends, trend_summary
+from pulsegrid.session import materialize
 from pulsegrid.plans.standin import (
     EVENTS_AS_OF, EVENTS_DIM, ORDERS_DIM, event_raw_records, event_records, order_records,
     sleep_records, workout_records,
@@ -267,10 +268,12 @@ def q_corr_p_value(spark, sf):
 
 # -- step 7: snapshot history ----------------------------------------------------------
 
-def event_history(spark, sf):
-    """Weekly snapshots back-filled from the events stand-in, sleep included."""
+def event_history(spark, sf, daily=None):
+    """Weekly snapshots back-filled from the events stand-in, sleep included
+    (``daily``: an already computed daily table to read instead)."""
     nightly = sleep_nightly(event_sleep_totals(spark, sf))
-    daily = daily_series(event_records(spark, sf), EVENTS_DIM, nightly)
+    if daily is None:
+        daily = daily_series(event_records(spark, sf), EVENTS_DIM, nightly)
     return snapshot_history(daily, EVENTS_DIM, EVENTS_AS_OF,
                             workouts=workout_records(spark, sf), sleep_nightly=nightly)
 
@@ -310,17 +313,28 @@ def event_daily_with_sleep(spark, sf):
     return daily_series(event_records(spark, sf), EVENTS_DIM, nightly)
 
 
-def event_full_analysis(spark, sf):
+def event_daily_table(spark, sf):
+    """The daily table with sleep, written once under the shared checkpoint
+    folder.  Composite queries read it in several branches that prune it
+    differently, so Spark could not reuse one exchange for them: written
+    once, every branch reads the same files instead of recomputing the raw
+    aggregation (and a lost executor re-reads instead of recomputing)."""
+    return materialize(event_daily_with_sleep(spark, sf), "events-daily")
+
+
+def event_full_analysis(spark, sf, daily=None):
     """Daily series with sleep, its anomalies and trend summary."""
-    daily = event_daily_with_sleep(spark, sf)
+    if daily is None:
+        daily = event_daily_with_sleep(spark, sf)
     anomalies = detect_anomalies(daily)
     trend = trend_summary(daily, anomalies, EVENTS_DIM, EVENTS_AS_OF)
     return daily, anomalies, trend
 
 
 def q_report_overview(spark, sf):
-    _, _, trend = event_full_analysis(spark, sf)
-    metric, run = event_history(spark, sf)
+    daily = event_daily_table(spark, sf)
+    _, _, trend = event_full_analysis(spark, sf, daily)
+    metric, run = event_history(spark, sf, daily)
     wow = wow_deltas(metric, run).where(F.col("week") == F.lit("2024-01-29").cast("date"))
     return report_overview(trend, wow, EVENTS_DIM)
 
@@ -338,14 +352,14 @@ def q_top5_anomalies(spark, sf):
 def q_metric_log_upsert(spark, sf):
     """Two weekly runs on the same report date: the first creates the pages
     (history back-fill), the second upserts the report date's row."""
-    daily, _, trend = event_full_analysis(spark, sf)
+    daily, _, trend = event_full_analysis(spark, sf, event_daily_table(spark, sf))
     rolling = rolling_means(daily)
     first = metric_log(rolling, trend, EVENTS_DIM, LOG_DATE)
     return metric_log(rolling, trend, EVENTS_DIM, LOG_DATE, existing=first)
 
 
 def q_context_text(spark, sf):
-    _, anomalies, trend = event_full_analysis(spark, sf)
+    _, anomalies, trend = event_full_analysis(spark, sf, event_daily_table(spark, sf))
     corr = event_correlations(spark, sf)
     ev = event_records(spark, sf)
     rng = ev.groupBy("subject_id").agg(
