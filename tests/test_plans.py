@@ -75,3 +75,14 @@ def test_daily_with_sleep_keeps_one_series_exchange(spark):
     plan = _plan(rolling_means(daily_series(event_records(spark, SF), EVENTS_DIM, nightly)))
     series_exchanges = re.findall(r"Exchange hashpartitioning\(subject_id#\d+L, metric#\d+, \d+\)", plan)
     assert len(series_exchanges) == 1
+
+
+def test_correlations_share_two_shuffles(spark):
+    """C4 aligns every relation in one (subject, relationship, date)
+    aggregation and reduces them in one (subject, relationship) aggregation."""
+    from pulsegrid.plans.catalog import event_correlations
+
+    plan = _plan(event_correlations(spark, SF))
+    keyed = re.findall(r"Exchange hashpartitioning\(([^)]*relationship[^)]*)\)", plan)
+    with_date = [k for k in keyed if "date#" in k]
+    assert len(keyed) == 2 and len(with_date) == 1
