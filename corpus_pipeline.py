@@ -10,9 +10,8 @@ rereads it, so a lost executor costs one stage's tasks.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pulsegrid.llm import exact_dedup, fertility, near_dedup
+from pulsegrid.llm import exact_dedup, fertility, mixing, near_dedup, packing
 from pulsegrid.llm.common import staged, table
 
 
@@ -32,10 +31,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: pieces of sequences, with their token ids."""
+    return packing.packed(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_copies),
     ("MinHash near-dedup", near_copies),
+    ("mixing", mixed_sources),
+    ("packing", packed_sequences),
 ]
 
 #: Tokenisers, sampling and greedy packing have no SQL; tests/llm holds the stages

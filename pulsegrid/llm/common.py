@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.session import materialize
@@ -42,3 +42,20 @@ def row_key(*columns: Column) -> Column:
 def pieces(count: int, per_piece: int) -> int:
     """How many pieces of at most about ``per_piece`` rows hold ``count`` rows."""
     return max(1, math.ceil(count / per_piece))
+
+
+def ranked(df: DataFrame, *order: Column, out: str = "_rank") -> DataFrame:
+    """``df`` with its place, from 0, in the order of ``order``.  Rows are dealt
+    by range, ties too, so no task and no window holds more than a part; what
+    reaches the driver is one count per part."""
+    keys = [F.col(f"_o{k}") for k in range(len(order))]
+    dealt = df.withColumns({f"_o{k}": c for k, c in enumerate(order)} | {"_tie": F.monotonically_increasing_id()})
+    parts = staged(dealt.repartitionByRange(*keys, F.col("_tie")).withColumn("_part", F.spark_partition_id()), "ranked")
+    offsets, at = [], 0
+    for part, n in sorted(tuple(r) for r in parts.groupBy("_part").count().collect()):
+        offsets.append((part, at))
+        at += n
+    before = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    own = Window.partitionBy("_part").orderBy(*keys, "_tie")
+    return parts.withColumn("_within", F.row_number().over(own)).join(F.broadcast(before), "_part") \
+                .select(*df.columns, (F.col("_before") + F.col("_within") - 1).cast("long").alias(out))

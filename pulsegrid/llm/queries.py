@@ -1,16 +1,21 @@
 """Registered queries of the training-data operators, and their SQL."""
 
-from pulsegrid.llm import exact_dedup, fertility, near_dedup
+from pulsegrid.llm import exact_dedup, fertility, mixing, near_dedup, packing, sharding, warc
 
 QUERIES = {
+    "op1_cube_mixing": mixing.op1_cube_mixing,
+    "op2_bm25_packing": packing.op2_bm25_packing,
     "op4_tokeniser_fertility": fertility.op4_tokeniser_fertility,
+    "op5_seekable_zstd": warc.op5_seekable_zstd,
     "op6_bbit_minhash": near_dedup.op6_bbit_minhash,
+    "op9_vector_bin_packing": sharding.op9_vector_bin_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 #: Verdicts of tokenisers, models and greedy methods have no SQL; tests/llm holds
 #: those queries against brute force.
 ORACLE_SQL = {
+    "op5_seekable_zstd": warc.SQL,
     "op6_bbit_minhash": near_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
