@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,25 +194,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, width:
     return placed.groupBy("cell").cogroup(sent.groupBy("at")).applyInPandas(linked, "a long, b long")
 
 
+def _observed(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` staged, and their count and sum of hashes, taken on the way."""
+    seen = Observation()
+    kept = staged(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")), "edges")
+    if kept.isEmpty():  # without rows nothing is observed
+        return kept, (0, None)
+    return kept, (seen.get["n"], seen.get["h"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b), the component being
     its smallest node.  Large-star and small-star steps until the edges stay."""
-    now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                 .where("u <> v").distinct(), "edges")
-    state = None
+    now, state = _observed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                           .where("u <> v").distinct())
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Staged before they are joined: a node with very many edges is then a
+        # Staged before it is joined: a node with very many edges is then a
         # skewed join, which Spark splits.
         least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "edges")
-        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(low, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+        # From here on a node has an edge to each of its neighbours' minima only.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.select("u", F.col("m").alias("v"))).distinct()
-        now = staged(small, "edges")
-        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        now, seen = _observed(small)
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
