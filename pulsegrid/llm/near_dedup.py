@@ -18,7 +18,8 @@
    still hold several components can hide a link that matters; there, members
    outside the leader's component are compared with all members of other
    components by their signatures, in blocks of bounded size, and what passes is
-   confirmed as before.  Links inside one component are not needed for its id.
+   confirmed in the block.  A block returns links that join components, never
+   pairs; links inside one component are not needed for its id.
 6. *Components* by alternating large-star and small-star steps over staged edge
    tables.
 
@@ -47,8 +48,8 @@ PERCENT = 75
 ROWS, BANDS, BITS = 4, 32, 4
 MARGIN = 0.2
 SEED = 20240217
-#: Members of a bucket that one block of stage 5 compares on each side.
-BLOCK = 2048
+#: Documents that one block of stage 5 compares on each side.
+BLOCK = 512
 #: Bytes of text that one cell of the confirmation holds on each side (or one
 #: larger document), and what a document counts besides its text.
 CELL_BYTES, DOC_BYTES = 4_000_000, 500
@@ -161,6 +162,11 @@ def estimate(a: Column, b: Column, count: int, bits: int) -> Column:
     return (1 - unequal / count - chance) / (1 - chance)
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """Of ``pairs`` (a, b, near) those whose full sets are linked.  ``texts``:
     doc_id, text, text_bytes of at least their documents.  Pairs with the same
@@ -184,11 +190,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, width:
         sets: dict[int, list[np.ndarray]] = {}
         for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
             sets.setdefault(doc, []).append(shingles((text or "").encode().lower(), hashes, width))
-        keep = []
-        for a, b in zip(mine["a"], mine["b"], strict=True):
-            keep.append(any(100 * both >= percent * (len(x) + len(y) - both)
-                            for x in sets[a] for y in sets[b]
-                            for both in [len(np.intersect1d(x, y, assume_unique=True))]))
+        keep = [any(_linked(x, y, percent) for x in sets[a] for y in sets[b])
+                for a, b in zip(mine["a"], mine["b"], strict=True)]
         return mine.loc[keep, ["a", "b"]]
 
     return placed.groupBy("cell").cogroup(sent.groupBy("at")).applyInPandas(linked, "a long, b long")
@@ -225,6 +228,84 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
+def _across(region: DataFrame, texts: DataFrame, cut: float, count: int, bits: int, percent: int, width: int) -> DataFrame:
+    """Links between components inside regions.  ``region``: main, doc_id,
+    component, outside, packed; a region is the documents of all open buckets
+    whose leaders are in component ``main``, so it holds every pair that shares
+    one of those.  Documents outside the main component meet all others in blocks
+    of bounded documents and bytes; a block compares signatures, confirms what
+    passes, best estimates first, and returns the links that join components it
+    hadn't joined yet: at most one per document."""
+    sized = region.join(texts.groupBy("doc_id").agg(F.sum("text_bytes").alias("text_bytes")), "doc_id")
+    sizes = sized.groupBy("main").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("text_bytes").alias("bytes"), F.count_if("outside").alias("n_out"),
+        F.sum(F.when(F.col("outside"), F.col("text_bytes")).otherwise(0)).alias("bytes_out"))
+    blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / CELL_BYTES), F.lit(1))
+    sizes = staged(sizes.select("main", "n", blocks("n_out", "bytes_out").alias("lefts"), blocks("n", "bytes").alias("rights")), "region-sizes")
+    shared = pieces(sizes.where("lefts = 1 AND rights = 1").agg(F.sum("n")).first()[0] or 0, BLOCK)
+    cell = F.when((F.col("lefts") == 1) & (F.col("rights") == 1), F.pmod(F.xxhash64("main"), F.lit(shared))) \
+            .otherwise(F.xxhash64("main", "i", "j"))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = region.join(sizes.drop("n"), "main")
+    left = rows.where("outside").withColumn("i", own("lefts")).withColumn("j", every("rights")).withColumn("left", F.lit(True))
+    right = rows.withColumn("j", own("rights")).withColumn("i", every("lefts")).withColumn("left", F.lit(False))
+    dealt = left.unionByName(right).select(cell.alias("cell"), "main", "left", "doc_id", "component", "packed")
+    dealt = dealt.join(texts.select("doc_id", "text"), "doc_id")
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for _, of_region in rows.groupby("main"):
+            out += _block_links(of_region, cut, count, bits, percent, width)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("cell").applyInPandas(block, "a long, b long")
+
+
+def _block_links(rows: pd.DataFrame, cut: float, count: int, bits: int, percent: int, width: int) -> list[tuple[int, int]]:
+    texts: dict[int, list[str]] = {}
+    for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
+        own = texts.setdefault(doc, [])
+        if text not in own:
+            own.append(text)
+    hashes, sets = _WordHashes(), {}
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    def set_of(doc: int) -> list[np.ndarray]:
+        if doc not in sets:
+            sets[doc] = [shingles((t or "").encode().lower(), hashes, width) for t in texts[doc]]
+        return sets[doc]
+
+    rows = rows.drop_duplicates(["left", "doc_id", "component"])
+    sides = [rows[rows["left"]], rows[~rows["left"]]]
+    (xs, cx, px), (ys, cy, py) = ((r["doc_id"].to_numpy(), r["component"].to_numpy(),
+                                   np.array(r["packed"].tolist(), dtype=np.int64).view(np.uint64)) for r in sides)
+    out = []
+    ones = np.uint64(sum(1 << (k * bits) for k in range(64 // bits)))
+    chance = 2.0 ** -bits
+    for at in range(0, len(xs), 64):
+        differ = px[at:at + 64, None, :] ^ py[None, :, :]
+        folded = differ.copy()
+        for step in range(1, bits):
+            folded |= differ >> np.uint64(step)
+        unequal = np.bitwise_count(folded & ones).sum(axis=2)
+        similar = (1 - unequal / count - chance) / (1 - chance)
+        similar[cx[at:at + 64, None] == cy[None, :]] = -1.0
+        first, second = np.nonzero(similar >= cut)
+        for k in np.argsort(-similar[first, second], kind="stable"):
+            x, y = at + first[k], second[k]
+            a, b = root(cx[x]), root(cy[y])
+            if a != b and any(_linked(s, t, percent) for s in set_of(xs[x]) for t in set_of(ys[y])):
+                parent[max(a, b)] = min(a, b)
+                out.append((int(xs[x]), int(ys[y])))
+    return out
+
+
 def _leader_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``members``: bucket, doc_id, size (of the bucket).  Each bucket's leader,
     and the pairs of leaders with the other members."""
@@ -290,25 +371,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
                    .withColumn("component", F.coalesce("component", "doc_id"))
     of_leader = label.join(leaders.withColumnRenamed("leader", "doc_id"), ["bucket", "doc_id"], "left_semi") \
                      .select("bucket", F.col("component").alias("main")).distinct()
-    label = staged(label.join(of_leader, "bucket").withColumn("outside", F.col("component") != F.col("main")), "labels")
-    outside = label.where("outside").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_out"))
-    rest = label.join(outside, "bucket").join(packed, "doc_id") \
-                .withColumn("lb", F.ceil(F.col("n_out") / BLOCK)).withColumn("rb", F.ceil(F.col("size") / BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = rest.where("outside").withColumn("i", block("lb")).withColumn("j", every("rb")) \
-               .select("bucket", "i", "j", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("packed").alias("px"))
-    right = rest.withColumn("j", block("rb")).withColumn("i", every("lb")) \
-                .select("bucket", "i", "j", F.col("doc_id").alias("y"), F.col("component").alias("cy"),
-                        F.col("packed").alias("py"), F.col("outside").alias("oy"), "main")
-    across = left.join(right, ["bucket", "i", "j"]).where(
-        (F.col("cx") != F.col("cy")) & (~F.col("oy") | (F.col("x") < F.col("y")))
-        & (estimate(F.col("px"), F.col("py"), count, bits) >= cut))
-    second = across.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) \
-                   .agg(F.min("main").alias("near")).join(first, ["a", "b"], "left_anti")
-    second = staged(second, "pairs")
-    if not second.isEmpty():
-        links = links.union(staged(confirmed(second, texts, percent, width), "links"))
+    label = label.join(of_leader, "bucket").withColumn("outside", F.col("component") != F.col("main"))
+    label = staged(label.select("bucket", "doc_id", "component", "main", "outside"), "labels")
+    open_ = label.where("outside").select("bucket").distinct()
+    region = label.join(open_, "bucket", "left_semi") \
+                  .groupBy("main", "doc_id", "component").agg(F.max("outside").alias("outside"))
+    region = staged(region.join(packed, "doc_id"), "regions")
+    if not region.isEmpty():
+        links = links.union(staged(_across(region, texts, cut, count, bits, percent, width), "links"))
         found = staged(components(links), "components")
 
     of_class = held.join(found.withColumnRenamed("node", "rep"), "rep", "left") \

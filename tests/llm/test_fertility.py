@@ -64,7 +64,9 @@ def test_fertility_figures_match_whole_text_tokens():
 
 def test_learned_bands_reject_noise_and_keep_prose(spark):
     rng = random.Random(4)
-    prose = "the river runs past an old stone house where people walk in the morning light and talk about the weather".split()
+    prose = ("the river runs past an old stone house where people walk in the morning light and talk about the weather while "
+             "children play under tall trees near a bridge that was built long ago by workers from another town who came here "
+             "looking for better land and water").split()
     rows = [(k, " ".join(rng.choice(prose) for _ in range(rng.randint(60, 90))), "en", True) for k in range(400)]
     noise = lambda: "".join(rng.choice("qxzjkvw0189") for _ in range(6))
     rows += [(1000 + k, " ".join(noise() for _ in range(70)), "en", False) for k in range(20)]

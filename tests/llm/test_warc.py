@@ -68,6 +68,6 @@ def test_bundles_are_plain_zstandard_with_a_footer(spark, tmp):
 
 def test_small_bundles_and_empty_table(spark, tmp):
     index = written(spark, tmp, bundle_bytes=1)
-    assert index.select("bundle").distinct().count() > 4
+    assert index.agg({"frame": "max"}).first()[0] <= 1  # closed after the first frame that passes the limit
     assert sorted(r.page_id or 0 for r in warc.read_bundles(index).collect()) == sorted(i or 0 for i, _, _ in PAGES)
     assert warc.read_bundles(written(spark, tmp, [])).count() == 0
