@@ -1,9 +1,10 @@
 """rounding of reported numbers.
 
 Values are computed unrounded and rounded only in output projections, HALF_UP
-(deviation D4).  Rounding is done in two steps -- first to 6 decimals, then
-to the requested digits -- so that float noise from summation order (a mean
-that is exactly x.xx5 arriving as x.xx4999999999) cannot flip the last digit.
+(deviation D4).  Before that, noise beyond the 9th decimal is cleared, so that
+summation order (a mean that is exactly x.xx5 arriving as x.xx4999999999)
+cannot flip the last digit; a value that differs from a tie by more than float
+noise is rounded once.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CLEAN_DIGITS = 6
+CLEAN_DIGITS = 9
 
 
 def half_up(col, digits: int) -> Column:

@@ -37,12 +37,17 @@ def parse_local(raw) -> Column:
     return F.when(parse_instant(raw).isNotNull(), wall)
 
 
+# Numbers as text: decimal or exponent notation, or infinity.  The guard keeps
+# out type suffixes ('1d', '2f') that the cast alone would accept.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+
+
 def parse_double(raw) -> Column:
     """F2 + P17: text -> DOUBLE; NULL, empty or unparseable -> NULL (never
     raises).  'nan' also becomes NULL: it means missing, and Spark would
     otherwise carry NaN through every aggregate."""
-    x = _c(raw).try_cast("double")
-    return F.when(~F.isnan(x), x)
+    raw = _c(raw)
+    return F.when(raw.rlike(NUMBER), F.trim(raw).try_cast("double"))
 
 
 def day(ts_local) -> Column:

@@ -2,8 +2,7 @@
 
 The registry is tiny and fixed, so lookups are compiled into literal map
 expressions (constant-folded by Catalyst, evaluated inside whole-stage
-codegen) instead of being joined.  ``MetricDim.to_df`` gives the same facts as
-a dimension table for queries that want one.
+codegen) instead of being joined.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,6 +101,9 @@ NIGHT_CUTOFF_HOUR = 18
 CORR_MIN_PAIRS = 5
 MONTHLY_SNAPSHOTS = 4
 
+# The subject of an export whose path names none (one export, one person).
+DEFAULT_SUBJECT = 0
+
 # Date text as written in health exports, e.g. 2024-01-15 08:30:00 -0600.
 EXPORT_TS_PATTERN = "yyyy-MM-dd HH:mm:ss Z"
 
@@ -159,20 +161,6 @@ class MetricDim:
             return F.lit(None).cast("string")
         return _lit_map(reverse)[type_col]
 
-    def to_df(self, spark: SparkSession) -> DataFrame:
-        names = sorted(set(self.agg) | set(self.polarity) | set(self.unit) | set(self.hk_type))
-        rows = [(m, self.hk_type.get(m), self.unit.get(m, ""), self.agg.get(m, "mean"),
-                 self.polarity.get(m)) for m in names]
-        return spark.createDataFrame(rows, METRIC_DIM_SCHEMA)
-
-
-METRIC_DIM_SCHEMA = T.StructType([
-    T.StructField("metric", T.StringType(), False),
-    T.StructField("hk_type", T.StringType(), True),
-    T.StructField("unit", T.StringType(), False),
-    T.StructField("agg", T.StringType(), False),
-    T.StructField("polarity", T.StringType(), True),
-])
 
 # Canonical typed tables (see FIXTURES.md).
 RECORDS_SCHEMA = T.StructType([
@@ -204,11 +192,4 @@ WORKOUTS_SCHEMA = T.StructType([
     T.StructField("start_local", T.TimestampNTZType()),
 ])
 
-DAILY_SCHEMA = T.StructType([
-    T.StructField("subject_id", T.LongType()),
-    T.StructField("metric", T.StringType()),
-    T.StructField("date", T.DateType()),
-    T.StructField("value", T.DoubleType()),
-])
-
 SERIES_KEY = ["subject_id", "metric"]

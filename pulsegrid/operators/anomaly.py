@@ -12,9 +12,6 @@ from pulsegrid.model import (
 )
 from pulsegrid.operators.rolling import rolling_baseline
 
-ANOMALY_COLUMNS = ["subject_id", "date", "metric", "value", "rolling_mean", "rolling_std",
-                   "expected_low", "expected_high", "deviation_sigma", "severity"]
-
 
 def detect_anomalies(daily: DataFrame, threshold: float = ANOMALY_THRESHOLD,
                      window: int = ANOMALY_WINDOW, min_periods: int = ANOMALY_MIN_PERIODS,

@@ -39,14 +39,13 @@ def classify_trends(daily: DataFrame, dim: MetricDim) -> DataFrame:
 
 
 def recent_anomaly_lists(anomalies: DataFrame, as_of, days: int = RECENT_ANOMALY_DAYS) -> DataFrame:
-    """Per series, anomalies dated from ``as_of - days`` through
-    ``as_of``, newest first, nested as an array of structs -- at most
-    ``days + 1`` entries, however long the history (a back-dated ``as_of``
-    never nests later anomalies)."""
+    """Per series, anomalies dated from ``as_of - days`` on, newest
+    first, nested as an array of structs.  No upper bound (P14, as P15): the
+    report date is the end of the data."""
     cutoff = F.date_sub(as_date(as_of), days)
     entry = F.struct("date", "value", "rolling_mean", "rolling_std", "expected_low",
                      "expected_high", "deviation_sigma", "severity")
-    return (anomalies.where((F.col("date") >= cutoff) & (F.col("date") <= as_date(as_of)))
+    return (anomalies.where(F.col("date") >= cutoff)
             .groupBy(*SERIES_KEY)
             .agg(F.sort_array(F.collect_list(entry), asc=False).alias("recent_anomalies")))
 

@@ -28,10 +28,6 @@ def kept_skipped(raw: DataFrame, dim: MetricDim) -> DataFrame:
     return c.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def _carry(df: DataFrame):
-    return [F.col("source_mtime")] if "source_mtime" in df.columns else []
-
-
 def type_records(raw: DataFrame, dim: MetricDim, category_codes: dict | None = None) -> DataFrame:
     """P1 + P2 + P3 + F1 + F2: the typed ``records`` table.
 
@@ -56,7 +52,6 @@ def type_records(raw: DataFrame, dim: MetricDim, category_codes: dict | None = N
         parse_instant("endDate").alias("end_ts"),
         parse_local("startDate").alias("start_local"),
         parse_local("endDate").alias("end_local"),
-        *_carry(c),
     )
     return typed.na.drop(how="all", subset=["creation_ts", "start_ts", "end_ts"])
 
@@ -77,7 +72,6 @@ def type_workouts(raw: DataFrame) -> DataFrame:
         parse_instant("startDate").alias("start_ts"),
         parse_instant("endDate").alias("end_ts"),
         parse_local("startDate").alias("start_local"),
-        *_carry(raw),
     )
     return typed.na.drop(how="all", subset=["creation_ts", "start_ts", "end_ts"])
 

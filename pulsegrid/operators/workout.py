@@ -15,7 +15,7 @@ from pulsegrid.functions.rounding import half_up
 from pulsegrid.functions.timeparse import week_start
 
 
-def _duration(workouts: DataFrame):
+def workout_duration(workouts: DataFrame):
     """Duration column by presence (duration > total_duration), else NULL."""
     for c in ("duration", "total_duration"):
         if c in workouts.columns:
@@ -23,6 +23,14 @@ def _duration(workouts: DataFrame):
     return F.lit(None).cast("double")
 
 
+def workout_day(workouts: DataFrame):
+    """P5: the start by presence (start_local > start_ts > date), else NULL."""
+    for c in ("start_local", "start_ts", "date"):
+        if c in workouts.columns:
+            return F.col(c).cast("timestamp_ntz")
+    return F.lit(None).cast("timestamp_ntz")
+
+
 def _heart_rate(workouts: DataFrame):
     """The average heart rate column, when the table has one."""
     return F.col("average_heart_rate").cast("double") if "average_heart_rate" in workouts.columns else None
@@ -42,7 +50,7 @@ def workout_by_type(workouts: DataFrame) -> DataFrame:
     if act is None:
         return workouts.sparkSession.createDataFrame(
             [], "subject_id bigint, activity string, sessions bigint, avg_duration_min double")
-    return (workouts.select("subject_id", act.alias("activity"), _duration(workouts).alias("d"))
+    return (workouts.select("subject_id", act.alias("activity"), workout_duration(workouts).alias("d"))
             .groupBy("subject_id", "activity")
             .agg(F.count(F.lit(1)).alias("sessions"), half_up(F.avg("d"), 1).alias("avg_duration_min")))
 
@@ -52,9 +60,10 @@ def workout_weekly(workouts: DataFrame) -> DataFrame:
     rate (NULL without a heart-rate column, D15) and the load estimate
     total * avg_hr / 100 on the rounded inputs, or the total when no HR."""
     hr = _heart_rate(workouts)
-    rows = (workouts.where(F.col("start_local").isNotNull())
-            .select("subject_id", week_start("start_local").alias("week"),
-                    _duration(workouts).alias("d"),
+    day = workout_day(workouts)
+    rows = (workouts.where(day.isNotNull())
+            .select("subject_id", week_start(day).alias("week"),
+                    workout_duration(workouts).alias("d"),
                     (hr if hr is not None else F.lit(None).cast("double")).alias("hr")))
     weekly = rows.groupBy("subject_id", "week").agg(
         half_up(F.coalesce(F.sum("d"), F.lit(0.0)), 1).alias("total_duration_min"),
@@ -70,8 +79,8 @@ def workout_stats(workouts: DataFrame) -> DataFrame:
     """Sessions with a valid start, total hours (1 digit), mean minutes
     (NULL when no duration), distinct activities."""
     act = _activity(workouts)
-    rows = workouts.where(F.col("start_local").isNotNull()).select(
-        "subject_id", _duration(workouts).alias("d"),
+    rows = workouts.where(workout_day(workouts).isNotNull()).select(
+        "subject_id", workout_duration(workouts).alias("d"),
         (act if act is not None else F.lit(None).cast("string")).alias("activity"))
     return rows.groupBy("subject_id").agg(
         F.count(F.lit(1)).alias("total_workouts"),
@@ -86,9 +95,10 @@ def daily_intensity(workouts: DataFrame, evening_hour: int | None = None) -> Dat
     table has it, else duration (P6); with ``evening_hour`` only sessions
     starting at or after that hour (P8)."""
     hr = _heart_rate(workouts)
-    intensity = hr if hr is not None else _duration(workouts)
-    rows = workouts.where(F.col("start_local").isNotNull())
+    intensity = hr if hr is not None else workout_duration(workouts)
+    start = workout_day(workouts)
+    rows = workouts.where(start.isNotNull())
     if evening_hour is not None:
-        rows = rows.where(F.hour("start_local") >= evening_hour)
-    return (rows.select("subject_id", F.to_date("start_local").alias("date"), intensity.alias("x"))
+        rows = rows.where(F.hour(start) >= evening_hour)
+    return (rows.select("subject_id", F.to_date(start).alias("date"), intensity.alias("x"))
             .groupBy("subject_id", "date").agg(F.avg("x").alias("value")))

@@ -1,104 +1,87 @@
 """Ingest job (C1 / S6): XML exports -> typed, partitioned Parquet tables.
 
-``force=True`` re-parses everything and overwrites.  Otherwise the job is
-incremental (S5 re-aimed): only export files modified after the newest
-``source_mtime`` already ingested are read, and their rows are appended.
-That watermark lives in a one-row state file (``_ingest_state``) written
-after the data, so a crash between the two re-reads the last batch of
-files; ``streaming.ingest`` is the exactly-once variant (its checkpoint
-commits files and output together).
-(``streaming.ingest`` offers the same as a Structured Streaming job with a
-checkpoint.)  Kept / skipped counts (S10) are collected with ``observe`` on
-the write itself -- no second pass over the data.
+An export holds its subject's whole history, so a subject's rows are those of its
+newest export (modification time, then path): a re-export replaces them, an older
+file that lands late doesn't.  The manifest of the tables tells which export each
+subject's rows come from; the job lists the exports, takes by anti join the
+subjects whose newest one isn't in the manifest (by path, time and length), parses
+those files only, in one scan, and writes a new version of the tables from their
+rows and the other subjects' old ones.  ``force`` parses all and takes nothing
+over.  Until the new version is complete readers see the old one, so a failed job
+is just run again.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.model import MetricDim
 from pulsegrid.operators.typing import classify_records, type_records, type_workouts
-from pulsegrid.sources.tables import exists, write_records, write_workouts
-from pulsegrid.sources.xml import SPLIT_BYTES, read_records, read_workouts
-
-
-def _state_path(dst: str, table: str) -> str:
-    return os.path.join(dst, "_ingest_state", table)
-
+from pulsegrid.session import materialize
+from pulsegrid.sources.tables import (
+    current_version, exists, read_manifest, read_records, read_workouts, write_version,
+)
+from pulsegrid.sources.xml import exports, parse, records_of, uncommented, workouts_of
 
-def _last_ingest(spark: SparkSession, dst: str, table: str):
-    """Newest source modification time already ingested for ``table``: read
-    from a one-row state file written with every ingest (not a scan of the
-    ingested table)."""
-    path = _state_path(dst, table)
-    if not exists(spark, path):
-        return None
-    return spark.read.parquet(path).first()[0]
+NOTHING = {"records_seen": 0, "kept": 0, "skipped": 0, "workouts": 0}
 
 
-def _save_state(spark: SparkSession, dst: str, table: str, newest, previous) -> None:
-    newest = max([t for t in (newest, previous) if t is not None], default=None)
-    if newest is None:
-        return
-    spark.createDataFrame([(newest,)], "source_mtime timestamp").coalesce(1) \
-        .write.mode("overwrite").parquet(_state_path(dst, table))
+def newest_exports(files: DataFrame) -> DataFrame:
+    """Per subject its newest file (columns of the manifest)."""
+    top = files.groupBy("subject_id").agg(F.max(F.struct("mtime", "path", "length")).alias("f"))
+    return top.select("subject_id", "f.path", "f.mtime", "f.length")
 
 
-def ingest(spark: SparkSession, src: str, dst: str, force: bool = False,
-           dim: MetricDim | None = None, split_bytes: int = SPLIT_BYTES) -> dict:
-    """Parse ``src`` (a folder of exports or one file) into ``dst``.
+def ingest(spark: SparkSession, src: str, dst: str, force: bool = False, dim: MetricDim | None = None,
+           subject: int | None = None, category_codes: dict | None = None) -> dict:
+    """Bring the tables under ``dst`` up to the exports under ``src`` (a folder
+    or one file).  ``subject``: id of an export whose path names none.
+    ``category_codes``: the opt-in of D2 (sleep category text -> stage code).
 
-    Exports larger than ``split_bytes`` are split across tasks (text scan),
-    smaller ones parsed whole (XML row-tag source).  Returns the S10
-    counters: elements seen, kept, skipped, workouts.
+    Returns the S10 counters of the files parsed (elements seen, kept, skipped,
+    workouts) and the ``mode``: full, update or unchanged.
     """
-    dim = dim or MetricDim.health()
     if not exists(spark, src):
         raise FileNotFoundError(f"health export not found at {src}")
-    raw_r, raw_w = read_records(spark, src, split_bytes), read_workouts(spark, src, split_bytes)
-    mode = "overwrite"
-    last_r = last_w = None
-    if not force and exists(spark, os.path.join(dst, "records")):
-        last_r = _last_ingest(spark, dst, "records")
-        last_w = _last_ingest(spark, dst, "workouts")
-        if last_r is not None or last_w is not None:
-            mode = "append"
-            if last_r is not None:
-                raw_r = raw_r.where(F.col("source_mtime") > F.lit(last_r))
-            if last_w is not None:
-                raw_w = raw_w.where(F.col("source_mtime") > F.lit(last_w))
-
-    obs_r = Observation("records")
-    classified = classify_records(raw_r, dim).observe(
-        obs_r, F.count(F.lit(1)).alias("records_seen"),
-        F.count_if(F.col("metric").isNotNull()).alias("kept"),
-        F.count_if(F.col("metric").isNull()).alias("skipped"),
-        F.max("source_mtime").alias("newest"))
-    typed = type_records(classified.drop("metric"), dim)
-    write_records(typed, dst, mode)
-
-    obs_w = Observation("workouts")
-    workouts = type_workouts(raw_w).observe(obs_w, F.count(F.lit(1)).alias("workouts"),
-                                            F.max("source_mtime").alias("newest"))
-    write_workouts(workouts, dst, mode)
-
-    got_r, got_w = _observed_row(obs_r), _observed_row(obs_w)
-    _save_state(spark, dst, "records", got_r.get("newest"), last_r)
-    _save_state(spark, dst, "workouts", got_w.get("newest"), last_w)
-    counts = {n: int(got_r.get(n) or 0) for n in ("records_seen", "kept", "skipped")}
-    counts["workouts"] = int(got_w.get("workouts") or 0)
-    counts["mode"] = mode
-    return counts
-
-
-def _observed_row(obs: Observation) -> dict:
-    """Observed metrics; when no row reached the observation (an incremental
-    run with nothing new) Spark has no metrics row, which means zero."""
-    try:
-        return dict(obs.get)
-    except Exception:  # noqa: BLE001 - no metrics row was produced
-        return {}
+    newest = newest_exports(exports(spark, src, subject))
+    old = not force and current_version(spark, dst) is not None
+    if old:
+        newest = newest.join(read_manifest(spark, dst), ["subject_id", "path", "mtime", "length"], "left_anti")
+    newest = materialize(newest, "exports")
+    count = newest.count()
+    if old and not count:
+        return NOTHING | {"mode": "unchanged"}
+    if not count:
+        raise FileNotFoundError(f"no export files under {src}")
+    parsed = materialize(parse(spark, newest, count, subject), "elements")
+    counts = merge(spark, uncommented(parsed), newest, dst, dim, category_codes, old)
+    return counts | {"mode": "update" if old else "full"}
+
+
+def merge(spark: SparkSession, data: DataFrame, newest: DataFrame, dst: str, dim: MetricDim | None = None,
+          category_codes: dict | None = None, old: bool = True) -> dict:
+    """A new version under ``dst``: the elements ``data`` for the subjects of
+    ``newest`` and, with ``old``, the present rows of all others."""
+    dim = dim or MetricDim.health()
+    raw = records_of(data)
+    records, workouts = type_records(raw, dim, category_codes), type_workouts(workouts_of(data))
+    manifest = newest.select("subject_id", "path", "mtime", "length")
+    if old and current_version(spark, dst) is not None:
+        replaced = newest.select("subject_id").distinct()
+        kept = lambda table: table.join(replaced, "subject_id", "left_anti")
+        records = records.unionByName(kept(read_records(spark, dst)))
+        workouts = workouts.unionByName(kept(read_workouts(spark, dst)), allowMissingColumns=True)
+        manifest = manifest.unionByName(kept(read_manifest(spark, dst)))
+    write_version(spark, dst, records, workouts, manifest)
+    return _counters(data, raw, dim)
+
+
+def _counters(data: DataFrame, raw: DataFrame, dim: MetricDim) -> dict:
+    """S10, from the written elements."""
+    seen = classify_records(raw, dim).agg(
+        F.count(F.lit(1)).alias("records_seen"), F.count("metric").alias("kept")).first()
+    return {"records_seen": seen["records_seen"], "kept": seen["kept"], "skipped": seen["records_seen"] - seen["kept"],
+            "workouts": workouts_of(data).count()}
+
 

@@ -1,51 +1,66 @@
 """Report sinks (S11, S12): report tables as Parquet (or CSV) under a folder.
 
 The Markdown notes themselves are not built (text layout); these tables hold
-every value a note would show.  The metric log is an upsert keyed by
-(subject, metric, date): the existing log is read, merged with the new rows
-(newest wins) and written to a fresh version folder, because a Parquet path
-cannot be overwritten while it is being read.
+every value a note would show.  A report is written as a whole for its report
+date, ``<name>/report_date=<date>``, with its subjects sorted inside the files:
+a subject that left isn't in it, a report without rows still has its schema, and
+the number of files follows the data, not the subjects.
+
+The metric log is an upsert keyed by (subject, metric, date), stored by date;
+only the touched dates are read and written.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegrid.model import SERIES_KEY
 from pulsegrid.session import materialize
 from pulsegrid.sources.tables import exists
 
+LOG_SCHEMA = "subject_id long, metric string, value double, unit string, trend string, arrow string, date date"
+
 
-def write_report(df: DataFrame, root: str, name: str, fmt: str = "parquet",
-                 partition_by: str | None = "subject_id", order_by=None) -> str:
-    """Write one report table.  ``order_by`` is the presentation order
+def write_report(df: DataFrame, root: str, name: str, report_date=None, fmt: str = "parquet", order_by=None) -> str:
+    """Write one report table for ``report_date`` (null: a table without dates),
+    replacing what was there for it.  ``order_by`` is the presentation order
     (K2-K4), applied within each output file only -- no global sort."""
     path = os.path.join(root, name)
+    if report_date is not None:
+        path = os.path.join(path, f"report_date={report_date}")
     if order_by:
         df = df.sortWithinPartitions(*order_by)
-    writer = df.write.mode("overwrite")
+    # Static overwrite whatever the session says: the folder is this report alone.
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if fmt == "csv":
         writer = writer.option("header", True)
-    if partition_by and fmt == "parquet":
-        writer = writer.partitionBy(partition_by)
     writer.format(fmt).save(path)
     return path
 
 
+def read_report(spark: SparkSession, root: str, name: str, report_date=None) -> DataFrame:
+    """The report of one date, or of all with their ``report_date``."""
+    path = os.path.join(root, name)
+    return spark.read.parquet(path if report_date is None else os.path.join(path, f"report_date={report_date}"))
+
+
 def read_metric_log(spark: SparkSession, root: str) -> DataFrame | None:
-    pointer = os.path.join(root, "metric_log", "_current")
-    if not exists(spark, pointer):
-        return None
-    current = spark.read.text(pointer).first()[0]
-    return spark.read.parquet(current)
-
-
-def write_metric_log(spark: SparkSession, log: DataFrame, root: str) -> str:
-    """Write a new version of the metric log and point ``_current`` at it."""
-    version = os.path.join(root, "metric_log", f"v-{uuid.uuid4().hex}")
-    materialize(log, "metric-log").write.mode("overwrite").parquet(version)
-    spark.createDataFrame([(version,)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(os.path.join(root, "metric_log", "_current"))
-    return version
+    path = os.path.join(root, "metric_log")
+    return spark.read.schema(LOG_SCHEMA).parquet(path) if exists(spark, path) else None
+
+
+def write_metric_log(spark: SparkSession, rows: DataFrame, root: str) -> str:
+    """Upsert ``rows`` (``metric_log_rows``): the dates they touch are rewritten
+    with the present rows of other series, or of other dates left alone."""
+    path = os.path.join(root, "metric_log")
+    columns = ["subject_id", "metric", "value", "unit", "trend", "arrow", "date"]
+    rows = materialize(rows.select(*columns), "metric-log-rows")
+    old = read_metric_log(spark, root)
+    if old is not None:
+        touched = old.join(rows.select("date").distinct(), "date", "left_semi")
+        rows = materialize(touched.join(rows, [*SERIES_KEY, "date"], "left_anti").select(*columns).unionByName(rows), "metric-log")
+    (rows.sortWithinPartitions("date", *SERIES_KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("date").parquet(path))
+    return path

@@ -1,43 +1,47 @@
 """Snapshot history store.
 
-Our store is two Parquet tables partitioned by ``week``:
+Our store is two Parquet tables partitioned by ``report_date``:
 ``<path>/runs`` (snapshot_run) and ``<path>/metrics`` (snapshot_metric).
-Saving is an upsert: the weeks being saved are rewritten with dynamic
-partition overwrite, every other week is left untouched.  A subject's run
-number is kept when its week already exists, otherwise it is the subject's
-highest run number + 1.  The new rows are first written to the shared
-checkpoint folder, so the overwrite never reads the files it replaces.
+Saving is an upsert: the report dates being saved are rewritten with dynamic
+partition overwrite, all others are left untouched and unread but for the runs'
+numbers.  A subject's run number is kept when its report date already exists,
+otherwise it is the subject's highest run number + 1.  The new rows are first
+written to the shared checkpoint folder, so the overwrite never reads the files
+it replaces.
 
 The JSON history format (one array of snapshot objects with a ``metrics``
-map) is read with an explicit schema and exploded to the same two tables.
+map) is read with an explicit schema and exploded to the same two tables; its
+``week`` holds the run's date.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.functions.timeparse import week_start
 from pulsegrid.session import materialize
 from pulsegrid.sources.tables import exists
-from pulsegrid.sources.xml import subject_from_path
+from pulsegrid.sources.xml import subject_of
 
 RUN_SCHEMA = T.StructType([
-    T.StructField("subject_id", T.LongType()), T.StructField("week", T.DateType()),
+    T.StructField("subject_id", T.LongType()), T.StructField("report_date", T.DateType()),
+    T.StructField("week", T.DateType()), T.StructField("generated_at", T.StringType()),
     T.StructField("run_number", T.LongType()), T.StructField("anomaly_count", T.LongType()),
     T.StructField("workout_count", T.LongType()), T.StructField("workout_duration_hrs", T.DoubleType()),
-    T.StructField("sleep_avg_hrs", T.DoubleType()),
+    T.StructField("workouts_in_week", T.LongType()), T.StructField("sleep_avg_hrs", T.DoubleType()),
 ])
 METRIC_SCHEMA = T.StructType([
-    T.StructField("subject_id", T.LongType()), T.StructField("week", T.DateType()),
-    T.StructField("metric", T.StringType()), T.StructField("avg", T.DoubleType()),
+    T.StructField("subject_id", T.LongType()), T.StructField("report_date", T.DateType()),
+    T.StructField("week", T.DateType()), T.StructField("metric", T.StringType()), T.StructField("avg", T.DoubleType()),
     T.StructField("current", T.DoubleType()), T.StructField("min", T.DoubleType()),
     T.StructField("max", T.DoubleType()), T.StructField("avg_90d", T.DoubleType()),
     T.StructField("direction", T.StringType()), T.StructField("unit", T.StringType()),
 ])
-METRIC_STRUCT = T.StructType([f for f in METRIC_SCHEMA.fields if f.name not in ("subject_id", "week", "metric")])
+METRIC_STRUCT = T.StructType([f for f in METRIC_SCHEMA.fields if f.name not in ("subject_id", "report_date", "week", "metric")])
 JSON_SCHEMA = T.StructType([
     T.StructField("week", T.StringType()), T.StructField("generated_at", T.StringType()),
     T.StructField("run_number", T.LongType()),
@@ -65,62 +69,66 @@ def load_snapshots_json(spark: SparkSession, path: str):
         return (spark.createDataFrame([], METRIC_SCHEMA), spark.createDataFrame([], RUN_SCHEMA))
     raw = (spark.read.option("multiLine", True).option("mode", "DROPMALFORMED")
            .schema(JSON_SCHEMA).json(path)
-           .where(F.col("week").isNotNull())
-           .withColumn("subject_id", F.coalesce(subject_from_path(F.col("_metadata.file_path")), F.lit(0).cast("bigint")))
-           .withColumn("week", F.to_date(F.substring("week", 1, 10))))
-    runs = raw.select("subject_id", "week", "run_number", "anomaly_count", "workout_count",
-                      "workout_duration_hrs", "sleep_avg_hrs")
-    metrics = (raw.select("subject_id", "week", F.explode("metrics").alias("metric", "m"))
-               .select("subject_id", "week", "metric", "m.*"))
+           .withColumn("report_date", F.to_date(F.substring("week", 1, 10)))
+           .where(F.col("report_date").isNotNull())
+           .withColumn("subject_id", subject_of(F.col("_metadata.file_path")).cast("bigint"))
+           .withColumn("week", week_start("report_date"))
+           .withColumn("workouts_in_week", F.lit(None).cast("bigint")))
+    runs = raw.select(*RUN_SCHEMA.fieldNames())
+    metrics = (raw.select("subject_id", "report_date", "week", F.explode("metrics").alias("metric", "m"))
+               .select("subject_id", "report_date", "week", "metric", "m.*"))
     return metrics, runs
 
 
 def to_json_documents(metric: DataFrame, run: DataFrame) -> DataFrame:
-    """Back to one nested document per snapshot (metrics as a map)."""
-    nested = (metric.groupBy("subject_id", "week")
+    """Back to one nested document per snapshot (metrics as a map), with
+    ``week`` as the JSON history writes it: the run's date."""
+    nested = (metric.groupBy("subject_id", "report_date")
               .agg(F.map_from_entries(F.collect_list(F.struct(
                   "metric", F.struct(*[c.name for c in METRIC_STRUCT.fields])))).alias("metrics")))
-    return run.join(nested, ["subject_id", "week"], "left")
+    docs = run.join(nested, ["subject_id", "report_date"], "left")
+    return docs.select("subject_id", F.date_format("report_date", "yyyy-MM-dd").alias("week"), "generated_at", "run_number",
+                       "metrics", "anomaly_count", "workout_count", "workout_duration_hrs", "sleep_avg_hrs")
+
+
+def write_snapshots_json(metric: DataFrame, run: DataFrame, path: str) -> None:
+    """The JSON history, one array of documents per subject, oldest first,
+    under ``subject=<id>`` (a subject's history has a document per week)."""
+    docs = to_json_documents(metric, run)
+    fields = F.struct("week", *[c for c in docs.columns if c not in ("subject_id", "week")])
+    # In order of the run's date; maps have no order, so they stay out of the sort.
+    listed = docs.groupBy(F.col("subject_id").alias("subject")).agg(
+        F.array_sort(F.collect_list(fields), lambda a, b: F.when(a["week"] < b["week"], -1).when(a["week"] > b["week"], 1).otherwise(0))
+        .alias("docs"))
+    listed.select("subject", F.to_json("docs").alias("value")).write.partitionBy("subject").text(path)
 
 
 def save_snapshot(spark: SparkSession, metric: DataFrame, run: DataFrame, path: str):
-    """Upsert the snapshot rows of the given weeks.
+    """Upsert the snapshot rows of the given report dates.
 
-    ``run`` may lack ``run_number``; it is assigned here.  Returns the stored
-    (snapshot_metric, snapshot_run) rows that were written.
+    ``run`` may lack ``run_number``; it is assigned here, to several new dates
+    of one subject in their order.  Returns the stored (snapshot_metric,
+    snapshot_run) rows of these dates.
     """
     old_metric, old_run = load_snapshots(spark, path)
-    new_run = run.drop("run_number") if "run_number" in run.columns else run
-    kept = old_run.select("subject_id", "week", F.col("run_number").alias("_kept"))
+    new_run = materialize(run.drop("run_number"), "snapshot-run")
+    # A weekly job saves one date, an import as many as its history has weeks.
+    dates = [r[0] for r in new_run.select("report_date").distinct().collect()]
+    key = ["subject_id", "report_date"]
+    touched_run = old_run.where(F.col("report_date").isin(dates))
+    touched_metric = old_metric.where(F.col("report_date").isin(dates))
+    kept = touched_run.select(*key, F.col("run_number").alias("_kept"))
     top = old_run.groupBy("subject_id").agg(F.max("run_number").alias("_top"))
-    numbered = (new_run.join(kept, ["subject_id", "week"], "left").join(top, "subject_id", "left")
-                .withColumn("run_number", F.coalesce("_kept", F.coalesce("_top", F.lit(0)) + 1).cast("bigint"))
+    fresh = F.sum(F.when(F.col("_kept").isNull(), 1).otherwise(0)).over(Window.partitionBy("subject_id").orderBy("report_date"))
+    numbered = (new_run.join(kept, key, "left").join(top, "subject_id", "left")
+                .withColumn("run_number", F.coalesce("_kept", F.coalesce("_top", F.lit(0)) + fresh).cast("bigint"))
                 .select(*RUN_SCHEMA.fieldNames()))
-    weeks = new_run.select("week").distinct()
-    subjects_weeks = new_run.select("subject_id", "week")
-    # Other subjects' rows in the touched weeks survive the partition rewrite.
-    other_runs = (old_run.join(weeks, "week", "left_semi")
-                  .join(subjects_weeks, ["subject_id", "week"], "left_anti")
-                  .select(*RUN_SCHEMA.fieldNames()))
-    other_metrics = (old_metric.join(weeks, "week", "left_semi")
-                     .join(subjects_weeks, ["subject_id", "week"], "left_anti")
-                     .select(*METRIC_SCHEMA.fieldNames()))
+    # Other subjects' rows of the touched dates survive the partition rewrite.
+    other_runs = touched_run.join(new_run.select(*key), key, "left_anti").select(*RUN_SCHEMA.fieldNames())
+    other_metrics = touched_metric.join(new_run.select(*key), key, "left_anti").select(*METRIC_SCHEMA.fieldNames())
     runs_out = materialize(numbered.unionByName(other_runs), "snapshot-runs")
-    metrics_out = materialize(metric.select(*METRIC_SCHEMA.fieldNames()).unionByName(other_metrics),
-                              "snapshot-metrics")
-    with _dynamic_overwrite(spark):
-        runs_out.write.mode("overwrite").partitionBy("week").parquet(os.path.join(path, "runs"))
-        metrics_out.write.mode("overwrite").partitionBy("week").parquet(os.path.join(path, "metrics"))
+    metrics_out = materialize(metric.select(*METRIC_SCHEMA.fieldNames()).unionByName(other_metrics), "snapshot-metrics")
+    for table, rows in (("runs", runs_out), ("metrics", metrics_out)):
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("report_date").parquet(os.path.join(path, table)))
     return metrics_out, runs_out
-
-
-class _dynamic_overwrite:
-    def __init__(self, spark):
-        self.spark = spark
-
-    def __enter__(self):
-        self.old = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-
-    def __exit__(self, *exc):
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", self.old)

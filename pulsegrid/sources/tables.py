@@ -1,49 +1,85 @@
-"""Parquet table sink and scan for the typed tables.
+"""Parquet tables of the typed data (S3, S4, K1), written as versions.
 
-Records are written partitioned by ``metric`` (a metric subset is read by
-partition pruning) and sorted within files by (subject_id, start_ts), so a
-later per-subject scan reads row groups with tight min/max statistics.  No
-global sort: ``sortWithinPartitions`` after a hash repartition on
-(metric, subject_id) keeps each task's output local.
+One ingest writes records, workouts and the manifest of the exports they come
+from under a new ``v-<id>`` folder and then adds a line to ``current`` that names
+it.  A reader follows the last line, so it sees all three tables of one ingest;
+a job that fails before that line has changed nothing.
+
+Records are partitioned by ``metric`` (a metric subset is read by partition
+pruning) and sorted within files by (subject_id, start_ts).  They are dealt to
+tasks by ``rebalance``, which splits a metric or a subject of any size.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.model import RECORDS_SCHEMA, WORKOUTS_SCHEMA
 
+MANIFEST_SCHEMA = "subject_id long, path string, mtime timestamp, length long"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` exists on the session's file system (any scheme)."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def current_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """Number and folder of the last complete version, if there is one."""
+    pointer = os.path.join(path, "current")
+    if not exists(spark, pointer):
+        return None
+    row = spark.read.schema("number long, folder string").json(pointer).orderBy(F.desc("number"), "folder").first()
+    return None if row is None else (row["number"], os.path.join(path, row["folder"]))
+
 
-def write_records(records: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """S3: partitioned Parquet, one folder per metric."""
-    (records.repartition("metric", "subject_id")
-     .sortWithinPartitions("subject_id", "start_ts")
-     .write.mode(mode).partitionBy("metric").parquet(os.path.join(path, "records")))
+def write_version(spark: SparkSession, path: str, records: DataFrame, workouts: DataFrame, manifest: DataFrame) -> str:
+    """S3: a new version with the three tables; the folder's path."""
+    last = current_version(spark, path)
+    name = f"v-{uuid.uuid4().hex}"
+    folder = os.path.join(path, name)
+    (records.select(*RECORDS_SCHEMA.fieldNames()).hint("rebalance", F.col("metric"))
+     .sortWithinPartitions("metric", "subject_id", "start_ts")
+     .write.partitionBy("metric").parquet(os.path.join(folder, "records")))
+    (workouts.select(*WORKOUTS_SCHEMA.fieldNames()).hint("rebalance").sortWithinPartitions("subject_id", "start_ts")
+     .write.parquet(os.path.join(folder, "workouts")))
+    manifest.write.parquet(os.path.join(folder, "manifest"))
+    # An appended file is committed as a whole; nothing is replaced.
+    spark.createDataFrame([(1 + (last[0] if last else 0), name)], "number long, folder string").coalesce(1) \
+        .write.mode("append").json(os.path.join(path, "current"))
+    return folder
 
 
-def write_workouts(workouts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    (workouts.repartition("subject_id").sortWithinPartitions("subject_id", "start_ts")
-     .write.mode(mode).parquet(os.path.join(path, "workouts")))
+def _folder(spark: SparkSession, path: str) -> str:
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no ingested tables at {path}")
+    return version[1]
 
 
 def read_records(spark: SparkSession, path: str, metrics=None) -> DataFrame:
     """Typed records; ``metrics`` prunes partitions."""
-    df = spark.read.schema(RECORDS_SCHEMA).parquet(os.path.join(path, "records"))
+    df = spark.read.schema(RECORDS_SCHEMA).parquet(os.path.join(_folder(spark, path), "records"))
     if metrics is not None:
         df = df.where(F.col("metric").isin(*metrics))
     return df
 
 
 def read_workouts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(WORKOUTS_SCHEMA).parquet(os.path.join(path, "workouts"))
+    return spark.read.schema(WORKOUTS_SCHEMA).parquet(os.path.join(_folder(spark, path), "workouts"))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` exists on the session's file system (any scheme)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The export behind each subject's rows."""
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(os.path.join(_folder(spark, path), "manifest"))

@@ -1,26 +1,29 @@
-"""Health-export XML sources.
-
-Two scans, same output (one row per element, attributes as text):
-
-* ``read_records_xml`` / ``read_workouts_xml`` -- Spark's XML source with a
-  row tag.  A file is parsed by one task, so this is the choice for many
-  export files (one per subject): files are scanned in parallel.
-* ``read_records_text`` / ``read_workouts_text`` -- for a single huge export:
-  the text source split on the element's opening ``<Record `` /
-  ``<Workout `` token, which splits one file across many tasks; attributes
-  are then extracted with regular expressions and the five XML entities
-  unescaped.  ``multiLine=false`` on the XML source is *not* used: it emits
-  spurious rows for elements with children.
-
-The subject of each row comes from its file path (``subject=<id>`` in the
-path, else the last number in the file name).
+"""Health-export XML source (S1, S2): one parser for files of every size.
+
+The text source cuts files at ``<``, which can't occur inside an attribute
+value, so each row is one tag with the text after it, and a file of any size is
+shared by many tasks.  One scan serves both elements.  Attributes are taken from
+the tag's head by regular expressions; the five named entities and numeric
+character references are decoded.
+
+Comments.  An element between ``<!--`` and ``-->`` is no data.  Rows that open or
+close a comment are kept with their place in the file, and elements between
+them are dropped; exports hold few comments, if any.
+
+The subject of an element is the ``subject=<id>`` of its file's path, else the
+``subject`` parameter, else the default subject.  Nothing is guessed from other
+digits in a name, and more than one file without an id is an error, since two
+people would become one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from pulsegrid.model import DEFAULT_SUBJECT
 
 # Attribute lists of the two elements, as exported.
 RECORD_ATTRS = ["type", "sourceName", "unit", "value", "creationDate", "startDate", "endDate"]
@@ -28,133 +31,146 @@ WORKOUT_ATTRS = [
     "workoutActivityType", "duration", "durationUnit", "totalDistance", "totalDistanceUnit",
     "totalEnergyBurned", "totalEnergyBurnedUnit", "sourceName", "creationDate", "startDate", "endDate",
 ]
-XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
-
-
-def _xml_schema(attrs) -> T.StructType:
-    return T.StructType([T.StructField("_" + a, T.StringType()) for a in attrs])
-
-
-def subject_from_path(path: Column) -> Column:
-    tagged = F.regexp_extract(path, r"subject=(\d+)", 1)
-    named = F.regexp_extract(path, r"(\d+)[^/\d]*$", 1)
-    pick = F.when(tagged != "", tagged).when(named != "", named)
-    return pick.cast("bigint")
-
-
-def _with_subject(df: DataFrame) -> DataFrame:
-    return df.withColumn("subject_id", subject_from_path(F.col("_metadata.file_path"))) \
-             .withColumn("source_mtime", F.col("_metadata.file_modification_time"))
-
-
-def _read_xml(spark: SparkSession, path: str, tag: str, attrs) -> DataFrame:
-    df = (spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_")
-          .schema(_xml_schema(attrs)).load(path))
-    df = _with_subject(df)
-    return df.select("subject_id", "source_mtime", *[F.col("_" + a).alias(a) for a in attrs])
-
-
-def read_records_xml(spark: SparkSession, path: str) -> DataFrame:
+XML_ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")]
+
+ATTRS = list(dict.fromkeys(RECORD_ATTRS + WORKOUT_ATTRS))
+SUBJECT = r"subject=(\d+)"
+
+# The attributes of a tag: everything up to the first '>' that is not inside a
+# quoted value (a raw '>' is legal there).  Possessive, so it never backtracks.
+_HEAD = r"""^(?:Record|Workout)(\s(?:[^"'<>]++|"[^"]*+"|'[^']*+')*+)"""
+_ATTRIBUTE = r"""[A-Za-z_][\w:.-]*+\s*+=\s*+(?:"[^"]*+"|'[^']*+')"""
+_REFERENCE = r"^(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[a-z]+);"
+
+
+def subject_of(path: Column, subject: int | None = None) -> Column:
+    tagged = F.regexp_extract(path, SUBJECT, 1)
+    return F.when(tagged != "", tagged.cast("bigint")).otherwise(F.lit(DEFAULT_SUBJECT if subject is None else subject))
+
+
+def _decoded(part: Column) -> Column:
+    """Text that followed an ``&``, its reference decoded; an unknown one, or
+    one to no character, stays as written."""
+    ref = F.regexp_extract(part, _REFERENCE, 1)
+    digits = F.when(F.lower(ref).startswith("#x"), F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7))
+    code = F.when(ref.startswith("#"), digits.cast("int"))
+    exists = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    char = F.when(exists, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    for name, value in XML_ENTITIES:
+        char = F.when(ref == name, F.lit(value)).otherwise(char)
+    rest = F.substr(part, F.length(ref) + F.lit(2))
+    return F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
+
+
+def _unescaped(value: Column) -> Column:
+    """References decoded in one pass, so that a decoded ``&`` starts no other."""
+    plain = F.translate(value, "\n\r\t", "   ")  # white space in attribute values is a space each
+    parts = F.split(plain, "&")
+    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _decoded), ""))
+    return F.when(plain.contains("&"), decoded).otherwise(plain)
+
+
+def _attribute(found: Column, name: str) -> Column:
+    """The value of the first attribute ``name`` among 'name="value"' texts."""
+    own = F.get(F.filter(found, lambda a: a.rlike(rf"^{name}\s*=")), F.lit(0))
+    return _unescaped(F.regexp_extract(own, r"""^[^=]*=\s*["']((?s:.*))["']$""", 1))
+
+
+def elements(rows: DataFrame, subject: int | None = None, ordered: bool = True) -> DataFrame:
+    """From ``rows`` of the text scan: subject_id, path, mtime, length, place,
+    kind (Record, Workout or null), marker (open or close of a comment, file for
+    a file's start, or null) and all attributes as text.  The rows of a stream
+    aren't ``ordered``: their place in the file is unknown."""
+    value = F.col("value")
+    kind = F.when(value.rlike(r"^Record[\s/>]"), "Record").when(value.rlike(r"^Workout[\s/>]"), "Workout")
+    ends = value.contains("-->")
+    start = (F.col("block") == 0) & (F.length(F.trim(value)) <= 1)  # before the first tag, a byte order mark at most
+    marker = F.when(value.startswith("!--") & ~ends, "open").when(ends & ~value.startswith("!--"), "close").when(start, "file")
+    tags = rows.select(subject_of(F.col("path"), subject).alias("subject_id"), "path", "mtime", "length",
+                       F.struct("block", (F.monotonically_increasing_id() if ordered else F.lit(None).cast("bigint")).alias("row"))
+                       .alias("place"),
+                       kind.alias("kind"), marker.alias("marker"), F.regexp_extract(value, _HEAD, 1).alias("head")) \
+               .where(F.col("kind").isNotNull() | F.col("marker").isNotNull())
+    listed = tags.withColumn("found", F.regexp_extract_all("head", F.lit(_ATTRIBUTE), F.lit(0))).drop("head")
+    return listed.select("subject_id", "path", "mtime", "length", "place", "kind", "marker",
+                         *[_attribute(F.col("found"), a).alias(a) for a in ATTRS])
+
+
+def scan(spark: SparkSession, paths, stream: bool = False) -> DataFrame:
+    """The tags of the files under ``paths``, for ``elements``."""
+    reader = spark.readStream if stream else spark.read
+    text = reader.format("text").option("lineSep", "<").option("recursiveFileLookup", "true").load(paths)
+    return text.select("value", F.col("_metadata.file_path").alias("path"),
+                       F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("length"),
+                       F.col("_metadata.file_block_start").alias("block"))
+
+
+def uncommented(parsed: DataFrame) -> DataFrame:
+    """The elements of ``parsed`` (a written table of ``elements``) that are in
+    no comment.  Only comment marks are sorted, per file."""
+    marks = parsed.where("marker IN ('open', 'close')").select("path", "place", "marker")
+    later = Window.partitionBy("path").orderBy("place").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    close = F.min(F.when(F.col("marker") == "close", F.col("place"))).over(later)
+    spans = marks.select(F.col("path").alias("_path"), F.col("place").alias("_from"), close.alias("_to"), "marker") \
+                 .where("marker = 'open'").drop("marker")
+    data = parsed.where("kind IS NOT NULL")
+    if spans.isEmpty():
+        return data
+    inside = (F.col("path") == F.col("_path")) & (F.col("place") > F.col("_from")) \
+        & (F.col("_to").isNull() | (F.col("place") <= F.col("_to")))
+    return data.join(spans, inside, "left_anti")
+
+
+def records_of(data: DataFrame) -> DataFrame:
     """``<Record>`` elements, 7 text attributes; children are ignored."""
-    return _read_xml(spark, path, "Record", RECORD_ATTRS)
+    return data.where("kind = 'Record'").select("subject_id", *RECORD_ATTRS)
 
 
-def read_workouts_xml(spark: SparkSession, path: str) -> DataFrame:
+def workouts_of(data: DataFrame) -> DataFrame:
     """``<Workout>`` elements, 11 text attributes."""
-    return _read_xml(spark, path, "Workout", WORKOUT_ATTRS)
-
-
-def _unescape(c: Column) -> Column:
-    for ent, ch in XML_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
-
+    return data.where("kind = 'Workout'").select("subject_id", *WORKOUT_ATTRS)
 
-def _attribute(head: Column, name: str) -> Column:
-    pattern = r"""(?:^|\s)""" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    value = F.when(F.regexp_extract(head, pattern, 0) != "",
-                   F.concat(F.regexp_extract(head, pattern, 1), F.regexp_extract(head, pattern, 2)))
-    return _unescape(value)
 
+def exports(spark: SparkSession, path: str, subject: int | None = None) -> DataFrame:
+    """The export files under ``path`` (subject_id, path, mtime, length), by the
+    scan's own listing, contents unread.  Files that name no subject must be one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.select(subject_of(F.col("path"), subject).alias("subject_id"), "path",
+                         F.col("modificationTime").alias("mtime"), "length")
+    unnamed = files.where(~F.col("path").rlike(SUBJECT)).limit(2).count()
+    if unnamed > 1:
+        raise ValueError(f"several exports under {path} name no subject; put each under subject=<id>")
+    return files
 
-# The attribute list of an element: everything up to the first '>' that is
-# not inside a quoted value (a raw '>' is legal inside attribute values).
-_HEAD = r"""^((?:[^"'<>]|"[^"]*"|'[^']*')*)"""
 
+#: Paths in one scan; more files are read by several scans, united.
+FILES_PER_SCAN = 10_000
 
-def _read_text(spark: SparkSession, path, tag: str, attrs) -> DataFrame:
-    chunks = spark.read.option("lineSep", f"<{tag} ").text(path)
-    chunks = _with_subject(chunks)
-    # The file's prolog (each file's first chunk) carries no element
-    # attributes and is dropped.
-    head = F.regexp_extract(F.col("value"), _HEAD, 1)
-    rows = chunks.select("subject_id", "source_mtime", head.alias("head")) \
-        .where(F.col("head").rlike(r"""^\s*[A-Za-z_][\w:.-]*\s*=\s*["']"""))
-    return rows.select("subject_id", "source_mtime", *[_attribute(F.col("head"), a).alias(a) for a in attrs])
-
-
-def read_records_text(spark: SparkSession, path: str) -> DataFrame:
-    """S1 for one huge file: split on ``<Record `` so many tasks share it."""
-    return _read_text(spark, path, "Record", RECORD_ATTRS)
 
+def parse(spark: SparkSession, files: DataFrame, count: int, subject: int | None = None) -> DataFrame:
+    """``elements`` of the ``count`` files listed in ``files``."""
+    scans = max(1, -(-count // FILES_PER_SCAN))
+    share = F.pmod(F.xxhash64("path"), F.lit(scans))
+    parts = []
+    for k in range(scans):
+        paths = [r["path"] for r in files.where(share == k).select("path").collect()]
+        if paths:
+            parts.append(elements(scan(spark, paths), subject))
+    return reduce(DataFrame.unionByName, parts)
 
-def read_workouts_text(spark: SparkSession, path: str) -> DataFrame:
-    """S2 for one huge file."""
-    return _read_text(spark, path, "Workout", WORKOUT_ATTRS)
 
+def read_records(spark: SparkSession, path: str, subject: int | None = None) -> DataFrame:
+    """S1 over all files under ``path``, read and written once (see ``uncommented``)."""
+    return records_of(_all(spark, path, subject))
 
-def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """(file, bytes) under ``path`` (recursive; hidden and ``_`` files skipped).
-    File metadata only -- the same listing a file scan performs."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return []
-    it = fs.listFiles(hpath, True)
-    out = []
-    while it.hasNext():
-        st = it.next()
-        name = st.getPath().getName()
-        if not name.startswith((".", "_")):
-            out.append((st.getPath().toString(), int(st.getLen())))
-    return out
 
+def read_workouts(spark: SparkSession, path: str, subject: int | None = None) -> DataFrame:
+    """S2 over all files under ``path``."""
+    return workouts_of(_all(spark, path, subject))
 
-SPLIT_BYTES = 128 * 1024 * 1024
 
+def _all(spark: SparkSession, path: str, subject: int | None) -> DataFrame:
+    from pulsegrid.session import materialize
 
-def _read_auto(spark: SparkSession, path: str, tag: str, attrs, split_bytes: int) -> DataFrame:
-    files = list_files(spark, path)
-    small = [f for f, n in files if n <= split_bytes]
-    big = [f for f, n in files if n > split_bytes]
-    parts = []
-    if small:
-        parts.append(_read_xml(spark, small, tag, attrs))
-    if big:
-        parts.append(_read_text(spark, big, tag, attrs))
-    if not parts:
-        return spark.createDataFrame([], T.StructType(
-            [T.StructField("subject_id", T.LongType()), T.StructField("source_mtime", T.TimestampType())]
-            + [T.StructField(a, T.StringType()) for a in attrs]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def read_records(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """S1 by file size: exports up to ``split_bytes`` with the XML row-tag
-    reader (one task per file, files in parallel), larger ones with the
-    splittable text scan, so no single export is parsed by one task."""
-    return _read_auto(spark, path, "Record", RECORD_ATTRS, split_bytes)
-
-
-def read_workouts(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """S2 by file size, as ``read_records``."""
-    return _read_auto(spark, path, "Workout", WORKOUT_ATTRS, split_bytes)
-
-
-def xml_schema(kind: str) -> T.StructType:
-    """Schema of the raw XML rows, for streaming reads."""
-    return _xml_schema(RECORD_ATTRS if kind == "Record" else WORKOUT_ATTRS)
+    files = exports(spark, path, subject)
+    return uncommented(materialize(parse(spark, files, files.count(), subject), "elements"))

@@ -1,10 +1,15 @@
 """Incremental ingest as Structured Streaming (S5 re-aimed).
 
-A file-source stream over the landing folder, typed with the same
-projection as the batch job, written to partitioned Parquet with
-``trigger(availableNow=True)``: every run processes exactly the export files
-that arrived since the last run (tracked in the checkpoint) and stops.  A
-re-run with no new files writes nothing, so exports are never ingested twice.
+A file-source stream over the landing folder with ``trigger(availableNow=True)``:
+each run takes the export files that arrived since the last one (tracked in the
+checkpoint) and stops.  Each micro-batch is parsed by the batch job's parser and
+merged like there: the newest export of the batch replaces its subject's rows,
+unless the tables already hold a newer one.  A batch that is run again after a
+failure replaces the same rows again, so nothing is counted twice.
+
+The file source knows files by path: a re-export must land under a new name
+(``subject=<id>/<date>.xml``).  Files rewritten in place are for the batch job,
+which compares times and lengths.
 
 Row-based rolling windows are not streaming operators in Spark, so analysis
 runs as batch on the written tables (or per micro-batch in ``foreachBatch``).
@@ -12,50 +17,49 @@ runs as batch on the written tables (or per micro-batch in ``foreachBatch``).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.model import MetricDim
-from pulsegrid.operators.typing import type_records, type_workouts
-from pulsegrid.sources.xml import RECORD_ATTRS, WORKOUT_ATTRS, subject_from_path, xml_schema
+from pulsegrid.operators.typing import type_records
+from pulsegrid.plans.ingest import NOTHING, merge, newest_exports
+from pulsegrid.session import materialize
+from pulsegrid.sources.tables import current_version, read_manifest
+from pulsegrid.sources.xml import elements, records_of, scan, uncommented
 
 
-def _stream(spark: SparkSession, landing: str, tag: str, attrs) -> DataFrame:
-    df = (spark.readStream.format("xml").option("rowTag", tag).option("attributePrefix", "_")
-          .schema(xml_schema(tag)).load(landing))
-    return df.select(subject_from_path(F.col("_metadata.file_path")).alias("subject_id"),
-                     F.col("_metadata.file_modification_time").alias("source_mtime"),
-                     *[F.col("_" + a).alias(a) for a in attrs])
+def ingest_available(spark: SparkSession, landing: str, dst: str, checkpoint: str, dim: MetricDim | None = None,
+                     subject: int | None = None, category_codes: dict | None = None) -> dict:
+    """Merge the files not yet seen into the tables under ``dst`` and stop; the
+    S10 counters of what was merged."""
+    total = dict(NOTHING)
 
+    def merged(batch: DataFrame, _: int) -> None:
+        parsed = materialize(elements(batch, subject), "elements")
+        newest = newest_exports(parsed.select("subject_id", "path", "mtime", "length").distinct())
+        if current_version(spark, dst) is not None:
+            held = read_manifest(spark, dst).select("subject_id", F.col("mtime").alias("_held"))
+            newest = newest.join(held, "subject_id", "left").where("_held IS NULL OR _held <= mtime").drop("_held")
+        newest = materialize(newest, "exports")
+        if newest.isEmpty():
+            return
+        data = uncommented(parsed).join(newest.select("path"), "path", "left_semi")
+        for name, n in merge(spark, data, newest, dst, dim, category_codes).items():
+            total[name] += n
 
-def ingest_available(spark: SparkSession, landing: str, dst: str, checkpoint: str,
-                     dim: MetricDim | None = None) -> dict:
-    """Process the files not yet seen and stop; returns input rows read per table."""
-    dim = dim or MetricDim.health()
-    records = type_records(_stream(spark, landing, "Record", RECORD_ATTRS), dim)
-    workouts = type_workouts(_stream(spark, landing, "Workout", WORKOUT_ATTRS))
-    out = {}
-    for name, df, parts in (("records", records, ["metric"]), ("workouts", workouts, [])):
-        writer = (df.writeStream.format("parquet")
-                  .option("checkpointLocation", os.path.join(checkpoint, name))
-                  .option("path", os.path.join(dst, name))
-                  .trigger(availableNow=True))
-        if parts:
-            writer = writer.partitionBy(*parts)
-        q = writer.start()
-        q.awaitTermination()
-        out[name] = sum(p.get("numInputRows", 0) for p in q.recentProgress)
-    return out
+    query = (scan(spark, landing, stream=True).writeStream.foreachBatch(merged)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return total
 
 
 def daily_stream(spark: SparkSession, landing: str, dim: MetricDim | None = None,
                  watermark: str = "2 days") -> DataFrame:
     """Optional streaming daily mean per (subject, metric, day) with a
-    watermark on the reading time, for dashboards that want partial days."""
+    watermark on the reading time, for dashboards that want partial days.  Rows
+    of a stream have no order, so comments aren't recognised here."""
     dim = dim or MetricDim.health()
-    typed = type_records(_stream(spark, landing, "Record", RECORD_ATTRS), dim)
+    typed = type_records(records_of(elements(scan(spark, landing, stream=True), ordered=False)), dim)
     return (typed.where(F.col("start_ts").isNotNull())
             .withWatermark("start_ts", watermark)
             .groupBy("subject_id", "metric", F.window("start_ts", "1 day"))
