@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.labels import arrow_class, callout_class, display_name, safe_name
 from pulsegrid.functions.rounding import half_up
-from pulsegrid.model import ANOMALY_THRESHOLD, REPORT_ANOMALY_DAYS, SERIES_KEY, MetricDim
+from pulsegrid.model import ANOMALY_THRESHOLD, REPORT_ANOMALY_DAYS, SERIES_KEY, SLEEP_DURATION_METRIC, MetricDim
 from pulsegrid.operators.trend import as_date
 
 
@@ -66,36 +66,41 @@ def top_anomalies(anomalies: DataFrame, k: int = 5) -> DataFrame:
         *SERIES_KEY, F.col("k").cast("bigint").alias("k"), "date", "value", "deviation_sigma", "n_readings")
 
 
-def metric_log(rolling: DataFrame, trend: DataFrame, dim: MetricDim, report_date,
-               existing: DataFrame | None = None, backfill: int = 90) -> DataFrame:
-    """Per-metric data log, one row per (subject, metric, date).
+def metric_log_rows(rolling: DataFrame, trend: DataFrame, dim: MetricDim, report_date,
+                    existing: DataFrame | None = None, backfill: int = 90) -> DataFrame:
+    """The rows one run adds to the per-metric data log or replaces there.
 
-    First run (``existing`` is None, a new page): the last ``backfill`` raw
-    points with trend 'flat'; the report date's row is written only for a
-    series without history.  Later runs: the report date's row replaces the
-    row of that date or is appended (newest wins).  Only metrics with enough
-    data get a page.
+    A series without rows in ``existing`` gets a new page: its last ``backfill``
+    raw points with trend 'flat'.  A series with a page gets the report date's
+    row.  Only metrics with enough data get a page, so each has raw points.
     """
     keep = trend.where(F.col("direction") != "insufficient_data").select(*SERIES_KEY, "current_value", "direction")
-    unit = dim.unit_expr(F.col("metric"))
-    day = as_date(report_date)
-    new_row = keep.select(*SERIES_KEY, day.alias("date"), F.col("current_value").alias("value"),
-                          unit.alias("unit"), F.col("direction").alias("trend"))
     if existing is None:
-        rn = F.row_number().over(Window.partitionBy(*SERIES_KEY).orderBy(F.desc("date")))
-        tail = (rolling.select(*SERIES_KEY, "date", "raw", rn.alias("_rn"))
-                .where(F.col("_rn") <= backfill)
-                .join(keep.select(*SERIES_KEY), SERIES_KEY, "left_semi"))
-        history = tail.select(*SERIES_KEY, "date", half_up("raw", 2).alias("value"), unit.alias("unit"),
-                              F.lit("flat").alias("trend"))
-        first = history.unionByName(new_row.join(history.select(*SERIES_KEY), SERIES_KEY, "left_anti"))
-        return first.select("*", arrow_class(F.col("trend")).alias("arrow"))
-    old = existing.select(*SERIES_KEY, "date", "value", "unit", "trend", F.lit(1).alias("_prio"))
-    both = old.unionByName(new_row.withColumn("_prio", F.lit(2)))
-    w = Window.partitionBy(*SERIES_KEY, "date").orderBy(F.desc("_prio"))
-    return (both.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1)
-            .select(*SERIES_KEY, "date", "value", "unit", "trend",
-                    arrow_class(F.col("trend")).alias("arrow")))
+        paged = keep.select(*SERIES_KEY, F.lit(False).alias("_paged"))
+    else:
+        pages = existing.groupBy(*SERIES_KEY).agg(F.lit(True).alias("_paged"))
+        paged = keep.select(*SERIES_KEY).join(pages, SERIES_KEY, "left").fillna(False, ["_paged"])
+    keep = keep.join(paged, SERIES_KEY)
+    rn = F.row_number().over(Window.partitionBy(*SERIES_KEY).orderBy(F.desc("date")))
+    tail = rolling.select(*SERIES_KEY, "date", F.col("raw").alias("value"), rn.alias("_rn")).where(F.col("_rn") <= backfill)
+    new = keep.where("NOT _paged").select(*SERIES_KEY)
+    history = tail.join(new, SERIES_KEY, "left_semi").select(
+        *SERIES_KEY, "date", half_up("value", 2).alias("value"), F.lit("flat").alias("trend"))
+    own = keep.where("_paged").select(
+        *SERIES_KEY, as_date(report_date).alias("date"), F.col("current_value").alias("value"), F.col("direction").alias("trend"))
+    return history.unionByName(own).select(
+        *SERIES_KEY, "date", "value", dim.unit_expr(F.col("metric")).alias("unit"), "trend",
+        arrow_class(F.col("trend")).alias("arrow"))
+
+
+def metric_log(rolling: DataFrame, trend: DataFrame, dim: MetricDim, report_date,
+               existing: DataFrame | None = None, backfill: int = 90) -> DataFrame:
+    """The whole log after a run, one row per (subject, metric, date)."""
+    rows = metric_log_rows(rolling, trend, dim, report_date, existing, backfill)
+    if existing is None:
+        return rows
+    old = existing.select(*rows.columns)
+    return old.join(rows, [*SERIES_KEY, "date"], "left_anti").select(*rows.columns).unionByName(rows)
 
 
 def _fmt1(c):
@@ -137,19 +142,29 @@ def context_text(trend: DataFrame, anomalies: DataFrame, correlations: DataFrame
                                F.lit(0).alias("k"),
                                F.concat(F.lit("• **"), F.col("relationship"), F.lit("**: r = "), r_txt).alias("line"))
 
-    lines = trends.unionByName(head).unionByName(entries).unionByName(corr)
-    blocks = (lines.groupBy("subject_id", "sec")
-              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("metric", "k", "line"))),
-                                            lambda s: s["line"]), "\n").alias("body")))
-    wide = blocks.groupBy("subject_id").pivot("sec", [1, 2, 3]).agg(F.first("body"))
-    rng = date_range.select("subject_id", "start", "end")
-    subjects = trend.select("subject_id").distinct()
-    j = subjects.join(wide, "subject_id", "left").join(rng, "subject_id", "left")
+    # One row for the date range, then all lines of a subject meet once.
+    span = date_range.select("subject_id", F.lit(0).alias("sec"), F.lit("").alias("metric"), F.lit(0).alias("k"),
+                             F.concat(F.coalesce("start", F.lit("unknown")), F.lit(" to "),
+                                      F.coalesce("end", F.lit("unknown"))).alias("line"))
+    lines = trends.unionByName(head).unionByName(entries).unionByName(corr).unionByName(span)
+    each = lines.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("sec", "metric", "k", "line"))).alias("l"))
+
+    def section(sec: int, otherwise: str):
+        own = F.filter("l", lambda s: s["sec"] == sec)
+        return F.when(F.size(own) > 0, F.array_join(F.transform(own, lambda s: s["line"]), "\n")).otherwise(F.lit(otherwise))
+
+    # Fixed text: headings and fallbacks of the context.
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("## Data Context  (date range: "), F.coalesce("start", F.lit("unknown")), F.lit(" to "),
-                 F.coalesce("end", F.lit("unknown")), F.lit(")")),
-        F.lit(""), F.lit("### Trends"), F.coalesce(F.col("1"), F.lit("No trend data available.")),
-        F.lit(""), F.lit("### Anomalies"), F.coalesce(F.col("2"), F.lit("No anomalies detected.")),
-        F.lit(""), F.lit("### Correlations"), F.coalesce(F.col("3"), F.lit("No correlation data available.")))
-    return j.select("subject_id", text.alias("text"))
+        F.concat(F.lit("## Data Context  (date range: "), section(0, "unknown to unknown"), F.lit(")")),
+        F.lit(""), F.lit("### Trends"), section(1, "No trend data available."),
+        F.lit(""), F.lit("### Anomalies"), section(2, "No anomalies detected."),
+        F.lit(""), F.lit("### Correlations"), section(3, "No correlation data available."))
+    return each.where(F.exists("l", lambda s: s["sec"] == 1)).select("subject_id", text.alias("text"))
+
+
+def date_range_of(daily: DataFrame) -> DataFrame:
+    """First and last day with readings per subject (the nightly sleep series
+    is derived, and doesn't count)."""
+    return daily.where(F.col("metric") != SLEEP_DURATION_METRIC).groupBy("subject_id").agg(
+        F.date_format(F.min("date"), "yyyy-MM-dd").alias("start"), F.date_format(F.max("date"), "yyyy-MM-dd").alias("end"))

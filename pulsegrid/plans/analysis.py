@@ -5,30 +5,35 @@ rolling, anomaly, trend and correlation branches; anomalies and the trend
 summary feed the snapshot and four report tables.  With ``materialize_daily``
 these three are each written once to the shared checkpoint folder, so every
 consumer reads one computed table (and a lost executor re-reads files instead
-of recomputing the raw aggregation and the window passes).
+of recomputing the raw aggregation and the window passes), as do those of the
+nightly sleep.
 """
 
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.model import SLEEP_METRIC, MetricDim
+from pulsegrid.functions.rounding import half_up
+from pulsegrid.model import ANOMALY_THRESHOLD, ROLLING_WINDOWS, SLEEP_METRIC, MetricDim
 from pulsegrid.operators.anomaly import detect_anomalies
 from pulsegrid.operators.correlate import correlations
 from pulsegrid.operators.daily import daily_series
-from pulsegrid.operators.history import build_snapshot, monthly_due, monthly_rollup, monthly_totals, wow_deltas
+from pulsegrid.operators.history import (
+    build_snapshot, last_snapshots, monthly_due, monthly_rollup, monthly_totals, wow_deltas,
+)
 from pulsegrid.operators.report import (
-    context_text, metric_log, report_anomalies, report_overview, top_anomalies,
+    context_text, date_range_of, metric_log_rows, report_anomalies, report_overview, top_anomalies,
 )
 from pulsegrid.operators.rolling import chart_data, rolling_means
 from pulsegrid.operators.sleep import sleep_nightly, sleep_rolling, sleep_stages, sleep_stats, stage_totals
-from pulsegrid.operators.trend import trend_summary
+from pulsegrid.operators.trend import as_date, trend_summary
 from pulsegrid.operators.typing import dataset_profile
 from pulsegrid.operators.workout import workout_by_type, workout_stats, workout_weekly
-from pulsegrid.session import materialize
+from pulsegrid.session import materialize, scratch_tables
 
 # Metric names used by the correlation relations (C4).
 HRV, RHR, TEMP = "hrv", "resting_heart_rate", "wrist_temperature"
@@ -36,16 +41,20 @@ HRV, RHR, TEMP = "hrv", "resting_heart_rate", "wrist_temperature"
 
 def analyze(records: DataFrame, workouts: DataFrame, dim: MetricDim, as_of,
             materialize_daily: bool = False, hrv: str = HRV, rhr: str = RHR,
-            temp: str = TEMP) -> dict[str, DataFrame]:
+            temp: str = TEMP, threshold: float = ANOMALY_THRESHOLD,
+            windows: tuple[int, ...] = ROLLING_WINDOWS) -> dict[str, DataFrame]:
     """Every analysis output of one run, lazily.  ``hrv``/``rhr``/``temp``
-    name the metrics the correlation relations use."""
+    name the metrics the correlation relations use; ``threshold`` and
+    ``windows`` are the job parameters of anomalies and rolling means (S13)."""
     totals = stage_totals(records.where(F.col("metric") == SLEEP_METRIC))
     nightly = sleep_nightly(totals)
+    if materialize_daily:
+        nightly = materialize(nightly, "nightly")
     daily = daily_series(records, dim, nightly)
     if materialize_daily:
         daily = materialize(daily, "daily")
-    rolling = rolling_means(daily)
-    anomalies = detect_anomalies(daily)
+    rolling = rolling_means(daily, windows)
+    anomalies = detect_anomalies(daily, threshold)
     if materialize_daily:
         anomalies = materialize(anomalies, "anomalies")
     trend = trend_summary(daily, anomalies, dim, as_of)
@@ -56,10 +65,9 @@ def analyze(records: DataFrame, workouts: DataFrame, dim: MetricDim, as_of,
         return daily.where(F.col("metric") == metric).select("subject_id", "date", "value")
 
     sleep_daily = nightly.select("subject_id", F.col("night").alias("date"), F.col("hours").alias("value"))
-    return {
+    out = {
         "daily": daily,
         "rolling": rolling,
-        "chart": chart_data(rolling),
         "anomalies": anomalies,
         "trend": trend,
         "correlations": correlations(workouts, series(hrv), series(rhr), series(temp), sleep_daily),
@@ -71,6 +79,9 @@ def analyze(records: DataFrame, workouts: DataFrame, dim: MetricDim, as_of,
         "workout_weekly": workout_weekly(workouts),
         "workout_stats": workout_stats(workouts),
     }
+    if 7 in windows:  # the chart shows the 7-row mean
+        out["chart"] = chart_data(rolling)
+    return out
 
 
 def analysis_overview(result: dict[str, DataFrame]) -> DataFrame:
@@ -89,53 +100,86 @@ def analysis_overview(result: dict[str, DataFrame]) -> DataFrame:
                       F.coalesce("total_workouts", F.lit(0)).cast("bigint").alias("total_workouts"))
 
 
+#: Of each output, the columns that a checksum adds up (rounded figures).
+CHECKED = {
+    "daily": ["value"], "rolling": ["raw", "rolling_7", "rolling_30", "rolling_90"], "chart": ["raw", "rolling_7"],
+    "anomalies": ["value", "deviation_sigma"], "trend": ["current_value", "avg_90d", "pct_vs_90d"], "correlations": ["r", "p"],
+    "sleep_nightly": ["hours"], "sleep_stages": ["asleep_unspecified", "core", "deep", "rem", "unknown"],
+    "sleep_rolling": ["hours", "avg_duration_7d", "avg_duration_30d"], "sleep_stats": ["mean_hrs", "median_hrs", "total_nights"],
+    "workout_by_type": ["sessions", "avg_duration_min"], "workout_weekly": ["total_duration_min", "session_count"],
+    "workout_stats": ["total_workouts", "total_duration_hrs", "avg_duration_min", "unique_types"],
+}
+
+
+def output_checks(result: dict[str, DataFrame], checked: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row per output of a run: its rows, its figures that are present, and
+    the sum of its figures in hundredths (each rounded first, to 4 digits and
+    then 2, so the sum is exact).  For comparing runs: every output is computed."""
+    def one(name: str, columns: list[str]) -> DataFrame:
+        hundredths = [F.round(half_up(half_up(F.col(c).cast("double"), 4), 2) * 100).cast("bigint") for c in columns]
+        return result[name].agg(
+            F.lit(name).alias("output"), F.count(F.lit(1)).alias("n_rows"),
+            sum((F.count(c) for c in columns), F.lit(0)).cast("bigint").alias("n_figures"),
+            sum((F.coalesce(F.sum(h), F.lit(0)) for h in hundredths), F.lit(0)).cast("bigint").alias("hundredths"))
+
+    return reduce(DataFrame.unionByName, [one(n, c) for n, c in (checked or CHECKED).items()])
+
+
 def run(spark: SparkSession, src: str, dst: str, as_of, dim: MetricDim | None = None,
-        force: bool = False, force_monthly: bool = False) -> dict:
-    """C14: ingest -> analyze -> snapshot upsert -> week-over-week -> monthly -> reports."""
+        force: bool = False, force_monthly: bool = False, subject: int | None = None,
+        category_codes: dict | None = None, threshold: float = ANOMALY_THRESHOLD,
+        windows: tuple[int, ...] = ROLLING_WINDOWS) -> dict:
+    """C14: ingest -> analyze -> snapshot upsert -> week-over-week -> monthly -> reports.
+
+    ``subject``, ``category_codes``: as in ``ingest``; ``threshold``,
+    ``windows``: as in ``analyze``.  Intermediate tables go at the end of the run.
+    """
+    with scratch_tables(spark):
+        return _run(spark, src, dst, as_of, dim or MetricDim.health(), force, force_monthly, subject, category_codes,
+                    threshold, windows)
+
+
+def _run(spark, src, dst, as_of, dim, force, force_monthly, subject, category_codes, threshold, windows) -> dict:
     from pulsegrid.plans.ingest import ingest
     from pulsegrid.sources.reports import read_metric_log, write_metric_log, write_report
     from pulsegrid.sources.snapshots import load_snapshots, save_snapshot
     from pulsegrid.sources.tables import read_records, read_workouts
 
-    dim = dim or MetricDim.health()
-    counts = ingest(spark, src, os.path.join(dst, "tables"), force=force, dim=dim)
-    records = read_records(spark, os.path.join(dst, "tables"))
-    workouts = read_workouts(spark, os.path.join(dst, "tables"))
-    res = analyze(records, workouts, dim, as_of, materialize_daily=True)
+    tables = os.path.join(dst, "tables")
+    counts = ingest(spark, src, tables, force=force, dim=dim, subject=subject, category_codes=category_codes)
+    records, workouts = read_records(spark, tables), read_workouts(spark, tables)
+    res = analyze(records, workouts, dim, as_of, materialize_daily=True, threshold=threshold, windows=windows)
 
-    metric, run_rows = build_snapshot(res["trend"], res["anomalies"], res["workout_stats"],
-                                      res["sleep_stats"], dim, as_of)
-    save_snapshot(spark, metric, run_rows, os.path.join(dst, "snapshots"))
-    hist_metric, hist_run = load_snapshots(spark, os.path.join(dst, "snapshots"))
-    wow = wow_deltas(hist_metric, hist_run)
-    latest = hist_run.groupBy("subject_id").agg(F.max("week").alias("week"))
-    wow_now = wow.join(latest, ["subject_id", "week"], "left_semi")
+    snapshots = os.path.join(dst, "snapshots")
+    metric, run_rows = build_snapshot(res["trend"], res["anomalies"], res["workout_stats"], res["sleep_stats"], dim, as_of,
+                                      workout_weekly=res["workout_weekly"])
+    save_snapshot(spark, metric, run_rows, snapshots)
+    hist_metric, hist_run = load_snapshots(spark, snapshots)
+    # Subjects without this run have no change to report; two runs are enough.
+    upto = hist_metric.where(F.col("report_date") <= as_date(as_of))
+    wow_now = wow_deltas(last_snapshots(upto, 2)).where(F.col("report_date") == as_date(as_of))
 
     reports = os.path.join(dst, "reports")
-    write_report(report_overview(res["trend"], wow_now, dim), reports, "overview")
-    write_report(report_anomalies(res["anomalies"], as_of), reports, "anomalies",
-                 order_by=["subject_id", "row_no"])
-    write_report(top_anomalies(res["anomalies"]), reports, "top_anomalies",
-                 order_by=["subject_id", "metric", "k"])
-    write_report(res["workout_by_type"], reports, "workouts_by_type",
-                 order_by=["subject_id", F.desc("sessions"), "activity"])
-    write_report(res["workout_weekly"], reports, "workout_weekly", order_by=["subject_id", "week"])
-    write_report(res["sleep_nightly"], reports, "sleep_nightly", order_by=["subject_id", "night"])
-    write_report(res["sleep_stats"], reports, "sleep_stats")
-    write_report(res["chart"], reports, "chart_data")
-    rng = records.groupBy("subject_id").agg(
-        F.date_format(F.min("start_local"), "yyyy-MM-dd").alias("start"),
-        F.date_format(F.max("start_local"), "yyyy-MM-dd").alias("end"))
-    write_report(context_text(res["trend"], res["anomalies"], res["correlations"], rng), reports, "context")
-    log = metric_log(res["rolling"], res["trend"], dim, as_of, existing=read_metric_log(spark, reports))
-    write_metric_log(spark, log, reports)
+
+    def write(df: DataFrame, name: str, order_by=None) -> None:
+        write_report(df, reports, name, as_of, order_by=order_by)
+
+    write(report_overview(res["trend"], wow_now, dim), "overview", ["subject_id", "metric"])
+    write(report_anomalies(res["anomalies"], as_of, threshold=threshold), "anomalies", ["subject_id", "row_no"])
+    write(top_anomalies(res["anomalies"]), "top_anomalies", ["subject_id", "metric", "k"])
+    write(res["workout_by_type"], "workouts_by_type", ["subject_id", F.desc("sessions"), "activity"])
+    write(res["workout_weekly"], "workout_weekly", ["subject_id", "week"])
+    write(res["sleep_nightly"], "sleep_nightly", ["subject_id", "night"])
+    write(res["sleep_stats"], "sleep_stats", ["subject_id"])
+    if 7 in windows:
+        write(res["chart"], "chart_data", ["subject_id", "metric", "date"])
+    write(context_text(res["trend"], res["anomalies"], res["correlations"], date_range_of(res["daily"])), "context", ["subject_id"])
+    write_metric_log(spark, metric_log_rows(res["rolling"], res["trend"], dim, as_of, read_metric_log(spark, reports)), reports)
     due = monthly_due(hist_run)
     if force_monthly:
         due = due.withColumn("monthly_due", F.lit(True))
     due_subjects = due.where("monthly_due").select("subject_id")
-    write_report(monthly_rollup(hist_metric, hist_run).join(due_subjects, "subject_id", "left_semi"),
-                 reports, "monthly_metrics")
-    write_report(monthly_totals(hist_run).join(due_subjects, "subject_id", "left_semi"),
-                 reports, "monthly_totals")
-    write_report(dataset_profile(records), reports, "profile", partition_by=None)
+    write(monthly_rollup(hist_metric).join(due_subjects, "subject_id", "left_semi"), "monthly_metrics", ["subject_id", "metric"])
+    write(monthly_totals(hist_run).join(due_subjects, "subject_id", "left_semi"), "monthly_totals", ["subject_id"])
+    write(dataset_profile(records), "profile", ["metric"])
     return counts

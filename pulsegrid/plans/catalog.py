@@ -9,6 +9,9 @@ compared value.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +26,24 @@ from pulsegrid.operators.sleep import sleep_nightly, sleep_rolling, sleep_stages
 from pulsegrid.operators.workout import workout_by_type, workout_stats, workout_weekly
 from pulsegrid.operators.daily import daily_series, daily_values
 from pulsegrid.operators.history import (
-    monthly_due, monthly_rollup, monthly_totals, snapshot_history, wow_deltas,
+    build_snapshot, last_snapshots, monthly_due, monthly_rollup, monthly_totals, snapshot_history, wow_deltas,
 )
 from pulsegrid.operators.report import (
-    context_text, metric_log, report_anomalies, report_overview, top_anomalies,
+    context_text, date_range_of, metric_log, report_anomalies, report_overview, top_anomalies,
 )
 from pulsegrid.operators.typing import dataset_profile, dataset_totals, kept_skipped, type_records
-from pulsegrid.plans.analysis import analysis_overview, analyze
+from pulsegrid.plans.analysis import analysis_overview, analyze, output_checks
+from pulsegrid.plans.ingest import ingest
 from pulsegrid.operators.rolling import chart_data, rolling_baseline, rolling_means, series_stats
-from pulsegrid.operators.trend import classify_trends, trend_summary
-from pulsegrid.session import materialize
+from pulsegrid.functions.timeparse import week_start
+from pulsegrid.operators.trend import as_date, classify_trends, trend_summary
+from pulsegrid.session import ensure_checkpoint_dir, materialize
+from pulsegrid.sources.reports import read_report, write_report
+from pulsegrid.sources.snapshots import load_snapshots, load_snapshots_json, save_snapshot, write_snapshots_json
+from pulsegrid.sources.tables import read_records, read_workouts
 from pulsegrid.plans.standin import (
     EVENTS_AS_OF, EVENTS_DIM, ORDERS_DIM, event_raw_records, event_records, order_records,
-    sleep_records, workout_records,
+    sleep_records, table, workout_records,
 )
 
 SUM_EVENT_TYPES = sorted(m for m, a in EVENTS_DIM.agg.items() if a == "sum")
@@ -279,19 +287,19 @@ def event_history(spark, sf, daily=None):
 
 
 def q_snapshot_metrics(spark, sf):
-    return event_history(spark, sf)[0]
+    return event_history(spark, sf)[0].drop("report_date")
 
 
 def q_snapshot_runs(spark, sf):
-    return event_history(spark, sf)[1]
+    return event_history(spark, sf)[1].drop("report_date", "generated_at")
 
 
 def q_wow_deltas(spark, sf):
-    return wow_deltas(*event_history(spark, sf))
+    return wow_deltas(event_history(spark, sf)[0]).drop("report_date")
 
 
 def q_monthly_rollup(spark, sf):
-    return monthly_rollup(*event_history(spark, sf))
+    return monthly_rollup(event_history(spark, sf)[0])
 
 
 def q_monthly_totals(spark, sf):
@@ -334,8 +342,8 @@ def event_full_analysis(spark, sf, daily=None):
 def q_report_overview(spark, sf):
     daily = event_daily_table(spark, sf)
     _, _, trend = event_full_analysis(spark, sf, daily)
-    metric, run = event_history(spark, sf, daily)
-    wow = wow_deltas(metric, run).where(F.col("week") == F.lit("2024-01-29").cast("date"))
+    metric, _ = event_history(spark, sf, daily)
+    wow = wow_deltas(last_snapshots(metric, 2)).where(F.col("week") == week_start(as_date(EVENTS_AS_OF)))
     return report_overview(trend, wow, EVENTS_DIM)
 
 
@@ -349,23 +357,30 @@ def q_top5_anomalies(spark, sf):
     return top_anomalies(anomalies, 5)
 
 
+#: A series of this metric has no page before the upsert.
+LOG_NEW_METRIC = "click"
+
+
 def q_metric_log_upsert(spark, sf):
     """Two weekly runs on the same report date: the first creates the pages
-    (history back-fill), the second upserts the report date's row."""
+    (history back-fill) but for one metric's, the second upserts the report
+    date's row and back-fills the pages that are new."""
     daily, _, trend = event_full_analysis(spark, sf, event_daily_table(spark, sf))
     rolling = rolling_means(daily)
-    first = metric_log(rolling, trend, EVENTS_DIM, LOG_DATE)
+    first = metric_log(rolling, trend, EVENTS_DIM, LOG_DATE).where(F.col("metric") != LOG_NEW_METRIC)
     return metric_log(rolling, trend, EVENTS_DIM, LOG_DATE, existing=first)
 
 
 def q_context_text(spark, sf):
-    _, anomalies, trend = event_full_analysis(spark, sf, event_daily_table(spark, sf))
-    corr = event_correlations(spark, sf)
-    ev = event_records(spark, sf)
-    rng = ev.groupBy("subject_id").agg(
-        F.date_format(F.min("start_local"), "yyyy-MM-dd").alias("start"),
-        F.date_format(F.max("start_local"), "yyyy-MM-dd").alias("end"))
-    return context_text(trend, anomalies, corr, rng)
+    nightly = materialize(sleep_nightly(event_sleep_totals(spark, sf)), "events-nightly")
+    daily = materialize(daily_series(event_records(spark, sf), EVENTS_DIM, nightly), "events-daily")
+    _, anomalies, trend = event_full_analysis(spark, sf, daily)
+    # click is summed in the daily table and averaged for the relations.
+    means = _corr_daily(spark, sf)
+    sleep_daily = nightly.select("subject_id", F.col("night").alias("date"), F.col("hours").alias("value"))
+    corr = correlations(_workouts(spark, sf), _series_of(daily, "signup"), _series_of(daily, "error"),
+                        _series_of(means, "click"), sleep_daily)
+    return context_text(trend, anomalies, corr, date_range_of(daily))
 
 
 # -- step 9: ingest, typing, profile ----------------------------------------------------
@@ -391,16 +406,139 @@ def q_typed_records(spark, sf):
 
 # -- step 10: the whole analysis ---------------------------------------------------------
 
-def event_analysis(spark, sf):
+def event_analysis(spark, sf, materialize_daily=False):
     records = event_records(spark, sf).unionByName(sleep_records(spark, sf), allowMissingColumns=True)
     return analyze(records, workout_records(spark, sf), EVENTS_DIM, EVENTS_AS_OF,
-                   hrv="signup", rhr="error", temp="click")
+                   materialize_daily=materialize_daily, hrv="signup", rhr="error", temp="click")
 
 
 def q_full_analysis(spark, sf):
     return analysis_overview(event_analysis(spark, sf))
 
 
+def q_analysis_outputs(spark, sf):
+    """All 13 outputs of one analysis, each computed in full."""
+    return output_checks(event_analysis(spark, sf, materialize_daily=True))
+
+
+def q_build_snapshot(spark, sf):
+    """The weekly snapshot from a finished analysis: metrics and run figures."""
+    res = event_analysis(spark, sf, materialize_daily=True)
+    metric, run = build_snapshot(res["trend"], res["anomalies"], res["workout_stats"], res["sleep_stats"], EVENTS_DIM,
+                                 EVENTS_AS_OF, workout_weekly=res["workout_weekly"], generated_at="2024-01-31T00:00:00")
+    return metric.join(run.drop("week"), ["subject_id", "report_date"])
+
+
+# -- step 11: sinks and sources, written and read back -------------------------------------
+
+def _folder(spark, name):
+    return os.path.join(ensure_checkpoint_dir(spark), "queries", f"{name}-{uuid.uuid4().hex}")
+
+
+def q_snapshot_upsert(spark, sf):
+    """Four saves of three report dates: the last week, the first (out of
+    order), the second, and the second again with other figures."""
+    metric, run = event_history(spark, sf)
+    metric, run = materialize(metric, "history-metrics"), materialize(run, "history-runs")
+    path = _folder(spark, "snapshots")
+
+    def save(week: str, shift: float = 0.0) -> None:
+        on = F.col("week") == F.lit(week).cast("date")
+        save_snapshot(spark, metric.where(on).withColumn("avg", F.col("avg") + shift), run.where(on), path)
+
+    for week, shift in (("2024-01-29", 0.0), ("2024-01-01", 0.0), ("2024-01-08", 5.0), ("2024-01-08", 0.0)):
+        save(week, shift)
+    stored, runs = load_snapshots(spark, path)
+    return stored.join(runs.select("subject_id", "report_date", "run_number"), ["subject_id", "report_date"]) \
+                 .select("subject_id", "report_date", "week", "metric", "avg", "run_number")
+
+
+def q_snapshot_json_roundtrip(spark, sf):
+    """The history as JSON documents, written per subject and read back."""
+    metric, run = event_history(spark, sf)
+    path = _folder(spark, "json")
+    write_snapshots_json(metric, run, path)
+    metric, run = load_snapshots_json(spark, path)
+    return metric.join(run.select("subject_id", "report_date", "run_number", "anomaly_count"), ["subject_id", "report_date"])
+
+
+def q_report_sink_roundtrip(spark, sf):
+    """A report written for two dates, the second after half of the subjects
+    left, and read back by date."""
+    top = materialize(q_top5_anomalies(spark, sf), "top5")
+    root = _folder(spark, "reports")
+    write_report(top, root, "top", "2024-01-24", order_by=["subject_id"])
+    write_report(top, root, "top", "2024-01-31", order_by=["subject_id"])
+    write_report(top.where("subject_id % 2 = 0"), root, "top", "2024-01-31", order_by=["subject_id"])
+    return read_report(spark, root, "top").groupBy("report_date").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("subject_id").alias("n_subjects"),
+        F.sum("n_readings").alias("n_readings")).withColumn("report_date", F.col("report_date").cast("date"))
+
+
+def _write_exports(spark, sf, folder, where="true"):
+    """The events stand-in as export XML, one file per subject: records and, for
+    purchases, workouts as well."""
+    raw = event_raw_records(spark, sf).where(where)
+    text = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&#34;"))
+    attribute = lambda name, c: F.concat(F.lit(f' {name}="'), text(c), F.lit('"'))
+    record = F.concat(F.lit(" <Record"), *[attribute(n, F.col(n)) for n in ("type", "sourceName", "unit", "value", "creationDate", "startDate")],
+                      F.lit('/>'))
+    workout = F.concat(F.lit(' <Workout workoutActivityType="HKWorkoutActivityTypeOther"'), attribute("duration", F.col("value")),
+                       attribute("startDate", F.col("startDate")), F.lit('/>'))
+    both = F.when(F.col("type") == "Purchase", F.concat(record, F.lit("\n"), workout)).otherwise(record)
+    lines = raw.select(F.col("subject_id").alias("subject"), both.alias("value"))
+    lines.repartition("subject").write.mode("append").partitionBy("subject").text(folder)
+
+
+def q_ingest_roundtrip(spark, sf):
+    """Events as export XML, ingested, then one more ingest after new exports of
+    the even subjects, without their errors; the tables read back."""
+    landing, tables = _folder(spark, "landing"), _folder(spark, "tables")
+    _write_exports(spark, sf, os.path.join(landing, "1"))
+    ingest(spark, landing, tables, dim=EVENTS_DIM)
+    _write_exports(spark, sf, os.path.join(landing, "2"), "subject_id % 2 = 0 AND type <> 'Error'")
+    ingest(spark, landing, tables, dim=EVENTS_DIM)
+    records = read_records(spark, tables).select(
+        "subject_id", "metric", "value", F.date_format("start_local", "yyyy-MM-dd HH:mm:ss").alias("start_local"))
+    workouts = read_workouts(spark, tables).select(
+        "subject_id", F.lit("workout").alias("metric"), F.col("duration").alias("value"),
+        F.date_format("start_local", "yyyy-MM-dd HH:mm:ss").alias("start_local"))
+    return records.unionByName(workouts).groupBy("subject_id", "metric").agg(
+        F.count(F.lit(1)).alias("n"), _r4(F.sum("value")).alias("total"), F.min("start_local").alias("first"),
+        F.max("start_local").alias("last"))
+
+
+def dirty_raw_records(spark, sf):
+    """Events as raw text with the faults of real exports: missing and
+    non-numeric values, bad dates, two offsets, days late."""
+    ev = table(spark, sf, "events")
+    k = F.col("event_id") % 11
+    value = F.when(k == 0, F.lit(None)).when(k == 1, F.concat(F.floor("value").cast("string"), F.lit("d"))).when(k == 2, F.lit("")) \
+             .when(k == 3, F.lit("nan")).when(k == 4, F.concat(F.floor("value").cast("string"), F.lit(".5e1"))).otherwise(F.col("value").cast("string"))
+    offset = F.when(k % 2 == 0, F.lit(" -0600")).otherwise(F.lit(" +0230"))
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), offset)
+    start = F.when(k == 5, F.lit("bad")).when(k == 6, F.lit(None)).otherwise(stamp)
+    end = F.when(k.isin(5, 7), stamp)
+    return ev.select(F.col("user_id").alias("subject_id"), F.initcap("event_type").alias("type"), F.lit("Watch").alias("sourceName"),
+                     F.lit("count").alias("unit"), value.alias("value"), F.lit(None).cast("string").alias("creationDate"),
+                     start.alias("startDate"), end.alias("endDate"))
+
+
+def q_dirty_records(spark, sf):
+    """Typing of faulty input: what is kept, what is missing, both clocks."""
+    t = type_records(dirty_raw_records(spark, sf), EVENTS_DIM)
+    return t.groupBy("subject_id", "metric").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"), _r4(F.sum("value")).alias("total"),
+        F.count("start_ts").alias("n_starts"), F.date_format(F.min("start_local"), "yyyy-MM-dd HH:mm:ss").alias("first_local"),
+        F.date_format(F.max("start_ts"), "yyyy-MM-dd HH:mm:ss").alias("last_utc"))
+
+
+def q_dirty_daily(spark, sf):
+    """Daily series of faulty input: no day without a date, no mean without a value."""
+    t = type_records(dirty_raw_records(spark, sf), EVENTS_DIM)
+    return daily_values(t, EVENTS_DIM).select("subject_id", "metric", "date", _r4("value").alias("value"))
+
+
 QUERIES = {
     "daily_mean": q_daily_mean,
     "daily_sum_zero_filled": q_daily_sum_zero_filled,
@@ -443,4 +581,12 @@ QUERIES = {
     "kept_skipped_counts": q_kept_skipped_counts,
     "typed_records": q_typed_records,
     "full_analysis": q_full_analysis,
+    "analysis_outputs": q_analysis_outputs,
+    "build_snapshot": q_build_snapshot,
+    "snapshot_upsert": q_snapshot_upsert,
+    "snapshot_json_roundtrip": q_snapshot_json_roundtrip,
+    "report_sink_roundtrip": q_report_sink_roundtrip,
+    "ingest_roundtrip": q_ingest_roundtrip,
+    "dirty_records": q_dirty_records,
+    "dirty_daily": q_dirty_daily,
 }

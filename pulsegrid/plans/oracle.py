@@ -13,11 +13,11 @@ SUM_TYPES = "('click', 'purchase')"
 
 
 def rnd(expr: str, digits: int) -> str:
-    """HALF_UP rounding of the shortest decimal text of the double, first to 6
-    decimals (clearing float noise), then to ``digits``: the same rule as the
+    """HALF_UP rounding of the shortest decimal text of the double, float noise
+    beyond the 9th decimal cleared first: the same rule as the
     Spark side.  DuckDB's own double ``round`` and double->DECIMAL cast scale
     in floating point and can round exact ties the other way."""
-    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38, 6)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38, 9)), {digits}) AS DOUBLE)"
 
 # Daily series of the events stand-in: zero-filled sums for click/purchase,
 # sparse means for the rest.
@@ -317,6 +317,10 @@ run_w AS (
   SELECT r.subject_id, r.week, count(w.ts) AS wn, coalesce(sum(w.d), 0.0) AS wmin
   FROM runs0 r LEFT JOIN wo w ON w.subject_id = r.subject_id AND CAST(w.ts AS DATE) <= r.week + 6
   GROUP BY 1, 2),
+run_i AS (
+  SELECT r.subject_id, r.week, count(w.ts) AS wiw
+  FROM runs0 r LEFT JOIN wo w ON w.subject_id = r.subject_id AND CAST(date_trunc('week', w.ts) AS DATE) = r.week
+  GROUP BY 1, 2),
 run_s AS (
   SELECT r.subject_id, r.week, avg(s.value) AS savg
   FROM runs0 r LEFT JOIN sn s ON s.subject_id = r.subject_id AND s.date <= r.week + 6
@@ -325,8 +329,9 @@ runs AS (
   SELECT r.subject_id, r.week,
          row_number() OVER (PARTITION BY r.subject_id ORDER BY r.week) AS run_number,
          r.anomaly_count, w.wn AS workout_count, {rnd("w.wmin / 60", 1)} AS workout_duration_hrs,
-         {rnd("s.savg", 2)} AS sleep_avg_hrs
-  FROM runs0 r JOIN run_w w USING (subject_id, week) JOIN run_s s USING (subject_id, week)),
+         i.wiw AS workouts_in_week, {rnd("s.savg", 2)} AS sleep_avg_hrs
+  FROM runs0 r JOIN run_w w USING (subject_id, week) JOIN run_i i USING (subject_id, week)
+       JOIN run_s s USING (subject_id, week)),
 sm AS (
   SELECT s.subject_id, s.week, s.metric, {rnd("s.avg7", 2)} AS avg, {rnd("s.cur", 2)} AS current,
          {rnd("s.min7", 2)} AS min, {rnd("s.max7", 2)} AS max, {rnd("s.avg90", 2)} AS avg_90d,
@@ -501,7 +506,7 @@ WITH {EV_STATS}, {EV_ANOM},
 rec AS (
   SELECT subject_id, metric, count(*) AS n,
          string_agg(strftime(date, '%Y-%m-%d'), ',' ORDER BY date DESC) AS dates
-  FROM ev_anom WHERE date >= {EV_AS_OF} - INTERVAL 14 DAY AND date <= {EV_AS_OF}
+  FROM ev_anom WHERE date >= {EV_AS_OF} - INTERVAL 14 DAY
   GROUP BY 1, 2)
 SELECT t.subject_id, t.metric, t.direction, {rnd("t.cur", 2)} AS current_value,
        {rnd("t.avg90", 2)} AS avg_90d,
@@ -512,7 +517,7 @@ FROM tl t LEFT JOIN rec r USING (subject_id, metric)
     "recent_anomalies": f"""
 WITH {EV_ANOM}
 SELECT subject_id, metric, date, value, deviation_sigma, severity
-FROM ev_anom WHERE date >= CAST({EV_AS_OF} - INTERVAL 14 DAY AS DATE) AND date <= {EV_AS_OF}
+FROM ev_anom WHERE date >= CAST({EV_AS_OF} - INTERVAL 14 DAY AS DATE)
 """,
     "sleep_nightly": f"""
 WITH {sleep_ctes()}
@@ -573,7 +578,7 @@ SELECT subject_id, week, metric, avg, current, min, max, avg_90d, direction, uni
 """,
     "snapshot_runs": f"""
 WITH {SNAP_CTES}
-SELECT subject_id, week, run_number, anomaly_count, workout_count, workout_duration_hrs, sleep_avg_hrs
+SELECT subject_id, week, run_number, anomaly_count, workout_count, workout_duration_hrs, workouts_in_week, sleep_avg_hrs
 FROM runs
 """,
     "wow_deltas": f"""
@@ -636,7 +641,8 @@ tail AS (
   SELECT d.subject_id, d.metric, d.date, {rnd("d.value", 2)} AS value, 'flat' AS trend
   FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, metric ORDER BY date DESC) AS r FROM dall) d
   WHERE d.r <= 90 AND (d.subject_id, d.metric) IN (SELECT subject_id, metric FROM keep)),
-newr AS (SELECT subject_id, metric, DATE '2024-01-30' AS date, cv AS value, direction AS trend FROM keep),
+newr AS (SELECT subject_id, metric, DATE '2024-01-30' AS date, cv AS value, direction AS trend FROM keep
+         WHERE metric <> 'click'),  -- click has no page yet: history only
 merged AS (
   SELECT * FROM newr
   UNION ALL
@@ -690,3 +696,117 @@ SELECT ser.subject_id, ser.n_series, ser.n_daily_rows, coalesce(an.n, 0) AS n_an
 FROM ser LEFT JOIN an USING (subject_id) LEFT JOIN sst USING (subject_id) LEFT JOIN wst USING (subject_id)
 """,
 }
+
+
+# -- all outputs of one analysis, sinks and sources ----------------------------------------
+
+def outputs_sql() -> str:
+    """Rows, figures and the sum of figures in hundredths of every output; the
+    figures are rounded to 4 digits where an output has no rounding of its own."""
+    daily = f"{FULL_BASE}, daily AS (SELECT * FROM dall)"
+    body = " UNION ALL ".join(f"({pearson_sql(rel, x, y)})" for rel, x, y in CORR_RELATIONS)
+    mean_click = "tmp AS (SELECT subject_id, date, value FROM ms WHERE metric = 'click' AND value IS NOT NULL)"
+    ctes = corr_ctes("user_id")
+    assert mean_click in ctes
+    correlations = f"WITH {ev_daily('evd')}, " + ctes.replace(
+        mean_click, "tmp AS (SELECT subject_id, date, value FROM evd WHERE metric = 'click')") + body
+    parts = {
+        "daily": (f"WITH {daily} SELECT {rnd('value', 4)} AS value FROM daily", ["value"]),
+        "rolling": (rolling_sql(daily), ["raw", "rolling_7", "rolling_30", "rolling_90"]),
+        "chart": (ORACLE["chart_last90"].replace(ORD_DAILY, daily), ["raw", "rolling_7"]),
+        "anomalies": (f"WITH {FULL_BASE} {anomalies_select('dall')}", ["value", "deviation_sigma"]),
+        "trend": (f"WITH {REPORT_CTES} SELECT * FROM tsum", ["current_value", "avg_90d", "pct_vs_90d"]),
+        "correlations": (correlations, ["r", "p"]),
+        "sleep_nightly": (ORACLE["sleep_nightly"], ["hours"]),
+        "sleep_stages": (ORACLE["sleep_stage_pivot"], ["asleep_unspecified", "core", "deep", "rem", "unknown"]),
+        "sleep_rolling": (ORACLE["sleep_rolling"], ["hours", "avg_duration_7d", "avg_duration_30d"]),
+        "sleep_stats": (ORACLE["sleep_stats"], ["mean_hrs", "median_hrs", "total_nights"]),
+        "workout_by_type": (ORACLE["workouts_by_type"], ["sessions", "avg_duration_min"]),
+        "workout_weekly": (ORACLE["workout_weekly_load"], ["total_duration_min", "session_count"]),
+        "workout_stats": (ORACLE["workout_stats"], ["total_workouts", "total_duration_hrs", "avg_duration_min", "unique_types"]),
+    }
+    assert ORD_DAILY in ORACLE["chart_last90"]
+
+    def one(name: str, sql: str, columns: list[str]) -> str:
+        figures = " + ".join(f"count({c})" for c in columns)
+        total = " + ".join(f"coalesce(sum(CAST(round({rnd(c, 2)} * 100) AS BIGINT)), 0)" for c in columns)
+        return f"SELECT '{name}' AS output, count(*) AS n_rows, {figures} AS n_figures, CAST({total} AS BIGINT) AS hundredths FROM ({sql})"
+
+    return " UNION ALL ".join(one(n, q, c) for n, (q, c) in parts.items())
+
+
+DIRTY = """
+dirty AS (
+  SELECT user_id, event_type, event_id % 11 AS k, ts,
+         CASE WHEN event_id % 11 IN (0, 1, 2, 3) THEN NULL
+              WHEN event_id % 11 = 4 THEN floor(value) * 10 + 5 ELSE value END AS value
+  FROM events WHERE event_type IN ('click', 'purchase', 'error', 'signup') AND event_id % 11 <> 6)
+"""
+
+ORACLE |= {
+    "analysis_outputs": outputs_sql(),
+    "build_snapshot": f"""
+WITH {FULL_BASE}, {stats_ctes('dall')}, fan AS ({anomalies_select('dall')}),
+an AS (SELECT subject_id, count(*) AS n FROM fan GROUP BY 1),
+wo AS (SELECT user_id AS subject_id, count(*) AS n, {rnd("coalesce(sum(value), 0.0) / 60", 1)} AS hrs,
+              count(value) FILTER (WHERE CAST(date_trunc('week', ts) AS DATE) = {LAST_WEEK}) AS own
+       FROM events WHERE event_type = 'purchase' AND ts IS NOT NULL GROUP BY 1),
+sl_avg AS (SELECT subject_id, {rnd("avg(value)", 2)} AS hrs FROM sn GROUP BY 1)
+SELECT t.subject_id, {EV_AS_OF} AS report_date, {LAST_WEEK} AS week, t.metric,
+       {rnd("coalesce(t.avg7, t.cur)", 2)} AS avg, {rnd("t.cur", 2)} AS current, {rnd("t.min7", 2)} AS min,
+       {rnd("t.max7", 2)} AS max, {rnd("t.avg90", 2)} AS avg_90d, t.direction, {unit_case("t.metric")} AS unit,
+       '2024-01-31T00:00:00' AS generated_at, coalesce(an.n, 0) AS anomaly_count, coalesce(wo.n, 0) AS workout_count,
+       coalesce(wo.hrs, 0.0) AS workout_duration_hrs, coalesce(wo.own, 0) AS workouts_in_week, sl_avg.hrs AS sleep_avg_hrs
+FROM tl t LEFT JOIN an USING (subject_id) LEFT JOIN wo USING (subject_id) LEFT JOIN sl_avg USING (subject_id)
+""",
+    "snapshot_upsert": f"""
+WITH {SNAP_CTES},
+saved AS (
+  SELECT subject_id, week, row_number() OVER (PARTITION BY subject_id ORDER BY CASE week
+         WHEN DATE '2024-01-29' THEN 1 WHEN DATE '2024-01-01' THEN 2 ELSE 3 END) AS number
+  FROM runs WHERE week IN (DATE '2024-01-29', DATE '2024-01-01', DATE '2024-01-08'))
+SELECT sm.subject_id, CAST(sm.week + 6 AS DATE) AS report_date, sm.week, sm.metric, sm.avg, saved.number AS run_number
+FROM sm JOIN saved USING (subject_id, week)
+""",
+    "snapshot_json_roundtrip": f"""
+WITH {SNAP_CTES}
+SELECT sm.subject_id, CAST(sm.week + 6 AS DATE) AS report_date, sm.week, sm.metric, sm.avg, sm.current, sm.min, sm.max,
+       sm.avg_90d, sm.direction, sm.unit, runs.run_number, runs.anomaly_count
+FROM sm JOIN runs USING (subject_id, week)
+""",
+    "report_sink_roundtrip": f"""
+WITH top AS ({ORACLE["top5_anomalies"]})
+SELECT DATE '2024-01-24' AS report_date, count(*) AS n_rows, count(DISTINCT subject_id) AS n_subjects,
+       CAST(sum(n_readings) AS BIGINT) AS n_readings FROM top HAVING count(*) > 0
+UNION ALL
+SELECT DATE '2024-01-31', count(*), count(DISTINCT subject_id), CAST(sum(n_readings) AS BIGINT)
+FROM top WHERE subject_id % 2 = 0 HAVING count(*) > 0
+""",
+    "ingest_roundtrip": f"""
+SELECT user_id AS subject_id, event_type AS metric, count(*) AS n, {rnd("sum(value)", 4)} AS total,
+       strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last
+FROM events
+WHERE event_type IN ('click', 'purchase', 'error', 'signup') AND NOT (user_id % 2 = 0 AND event_type = 'error')
+GROUP BY 1, 2
+UNION ALL
+SELECT user_id, 'workout', count(*), {rnd("sum(value)", 4)},
+       strftime(min(ts), '%Y-%m-%d %H:%M:%S'), strftime(max(ts), '%Y-%m-%d %H:%M:%S')
+FROM events WHERE event_type = 'purchase' GROUP BY 1
+""",
+    "dirty_records": f"""
+WITH {DIRTY},
+clocks AS (
+  SELECT *, CASE WHEN k <> 5 THEN date_trunc('second', ts) END AS loc,
+         CASE WHEN k = 5 THEN NULL WHEN k % 2 = 0 THEN date_trunc('second', ts) + INTERVAL 6 HOUR
+              ELSE date_trunc('second', ts) - INTERVAL 150 MINUTE END AS utc
+  FROM dirty)
+SELECT user_id AS subject_id, event_type AS metric, count(*) AS n, count(value) AS n_values, {rnd("sum(value)", 4)} AS total,
+       count(utc) AS n_starts, strftime(min(loc), '%Y-%m-%d %H:%M:%S') AS first_local,
+       strftime(max(utc), '%Y-%m-%d %H:%M:%S') AS last_utc
+FROM clocks GROUP BY 1, 2
+""",
+    "dirty_daily": f"""
+WITH {DIRTY}, {ev_daily().replace("FROM events WHERE ts IS NOT NULL", "FROM dirty WHERE k <> 5")}
+SELECT subject_id, metric, date, {rnd("value", 4)} AS value FROM daily
+""",
+}

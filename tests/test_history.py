@@ -10,12 +10,12 @@ from pulsegrid.model import MetricDim
 from pulsegrid.operators.history import (
     monthly_due, monthly_rollup, monthly_totals, snapshot_history, wow_deltas,
 )
-from pulsegrid.sources.snapshots import load_snapshots, load_snapshots_json, save_snapshot, to_json_documents
+from pulsegrid.sources.snapshots import load_snapshots, load_snapshots_json, save_snapshot, to_json_documents, write_snapshots_json
 
-MS = "subject_id bigint, week date, metric string, avg double, current double, min double, max double, " \
+MS = "subject_id bigint, report_date date, week date, metric string, avg double, current double, min double, max double, " \
      "avg_90d double, direction string, unit string"
-RS = "subject_id bigint, week date, run_number bigint, anomaly_count bigint, workout_count bigint, " \
-     "workout_duration_hrs double, sleep_avg_hrs double"
+RS = "subject_id bigint, report_date date, week date, generated_at string, run_number bigint, anomaly_count bigint, " \
+     "workout_count bigint, workout_duration_hrs double, workouts_in_week bigint, sleep_avg_hrs double"
 
 
 def W(k):
@@ -23,25 +23,28 @@ def W(k):
 
 
 def _metric(spark, rows):
-    return spark.createDataFrame([(s, W(k), m, a, a, a, a, a, "stable", "u") for s, k, m, a in rows], MS)
+    return spark.createDataFrame([(s, W(k), W(k), m, a, a, a, a, a, "stable", "u") for s, k, m, a in rows], MS)
 
 
 def _runs(spark, rows):
-    return spark.createDataFrame([(s, W(k), k + 1, a, w, h, sl) for s, k, a, w, h, sl in rows], RS)
+    return spark.createDataFrame([(s, W(k), W(k), "t", k + 1, a, w, h, None, sl) for s, k, a, w, h, sl in rows], RS)
+
+
+def _unnumbered(spark, rows):
+    return _runs(spark, rows).drop("run_number")
 
 
 def test_wow_rules(spark):
     metric = _metric(spark, [(1, 0, "a", 10.0), (1, 1, "a", 10.009), (1, 0, "b", 0.0), (1, 1, "b", 5.0),
                              (1, 0, "c", 3.0), (1, 1, "c", 3.01), (1, 1, "only_now", 1.0),
                              (1, 0, "gap", 1.0), (1, 2, "gap", 2.0)])
-    runs = _runs(spark, [(1, k, 0, 0, 0.0, None) for k in range(3)])
-    got = {r.metric: r for r in wow_deltas(metric, runs).collect()}
+    got = {r.metric: r for r in wow_deltas(metric).collect()}
     assert set(got) == {"a", "b", "c"}                     # missing / non-consecutive skipped
     assert (got["a"].delta, got["a"].direction) == (0.01, "up")
     assert (got["b"].pct_change, got["b"].direction) == (0.0, "up")    # previous 0 -> 0.0
     assert (got["c"].delta, got["c"].pct_change, got["c"].direction) == (0.01, 0.3, "up")
     m2 = _metric(spark, [(1, 0, "a", 10.0), (1, 1, "a", 10.004)])
-    assert wow_deltas(m2, runs).first().direction == "unchanged"
+    assert wow_deltas(m2).first().direction == "unchanged"
 
 
 @pytest.mark.parametrize("n_runs,covered", [(1, None), (2, 2), (4, 4), (5, 4)])
@@ -49,7 +52,7 @@ def test_monthly_gates(spark, n_runs, covered):
     runs = _runs(spark, [(1, k, 1, 2, 1.5, 7.0 + k) for k in range(n_runs)])
     metric = _metric(spark, [(1, k, "a", float(k)) for k in range(n_runs)])
     tot = monthly_totals(runs).collect()
-    roll = monthly_rollup(metric, runs).collect()
+    roll = monthly_rollup(metric).collect()
     if covered is None:
         assert tot == [] and roll == []
         return
@@ -70,7 +73,7 @@ def test_monthly_due(spark):
 def test_snapshot_upsert_keeps_run_number_and_other_subjects(spark, tmp):
     path = os.path.join(tmp, "snap")
     m = lambda s, k, a: _metric(spark, [(s, k, "a", a)])
-    r = lambda s, k: spark.createDataFrame([(s, W(k), 1, 2, 3.0, 7.0)], RS.replace("run_number bigint, ", ""))
+    r = lambda s, k: _unnumbered(spark, [(s, k, 1, 2, 3.0, 7.0)])
     save_snapshot(spark, m(1, 0, 1.0), r(1, 0), path)
     save_snapshot(spark, m(2, 0, 5.0), r(2, 0), path)
     save_snapshot(spark, m(1, 1, 2.0), r(1, 1), path)
@@ -93,11 +96,12 @@ def test_load_json_history(spark, tmp):
         json.dump(doc, f)
     metric, runs = load_snapshots_json(spark, p)
     r = runs.first()
-    assert (r.subject_id, r.week, r.run_number, r.anomaly_count) == (9, dt.date(2024, 1, 7), 1, 2)
+    assert (r.subject_id, r.report_date, r.run_number, r.anomaly_count) == (9, dt.date(2024, 1, 7), 1, 2)
+    assert (r.week, r.generated_at) == (dt.date(2024, 1, 1), "x")
     mm = metric.first()
     assert (mm.metric, mm.avg, mm.direction) == ("hrv", 50.1, "improving")
     docs = to_json_documents(metric, runs).first()
-    assert docs.metrics["hrv"].unit == "ms"
+    assert docs.metrics["hrv"].unit == "ms" and (docs.week, docs.generated_at) == ("2024-01-07", "x")
     empty_m, empty_r = load_snapshots_json(spark, os.path.join(tmp, "missing"))
     assert empty_r.count() == 0
 
@@ -151,10 +155,8 @@ def test_snapshot_upsert_is_idempotent(spark, tmp):
     """Re-running a failed or repeated weekly save leaves the store unchanged."""
     path = os.path.join(tmp, "snap")
     metric = _metric(spark, [(1, 0, "a", 1.0), (1, 0, "b", 2.0), (2, 0, "a", 4.0)])
-    run = spark.createDataFrame([(1, W(0), 1, 2, 3.0, 7.0), (2, W(0), 0, 0, 0.0, None)],
-                                RS.replace("run_number bigint, ", ""))
-    save_snapshot(spark, _metric(spark, [(1, 1, "a", 9.0)]),
-                  spark.createDataFrame([(1, W(1), 0, 0, 0.0, None)], RS.replace("run_number bigint, ", "")), path)
+    run = _unnumbered(spark, [(1, 0, 1, 2, 3.0, 7.0), (2, 0, 0, 0, 0.0, None)])
+    save_snapshot(spark, _metric(spark, [(1, 1, "a", 9.0)]), _unnumbered(spark, [(1, 1, 0, 0, 0.0, None)]), path)
 
     def state():
         m, r = load_snapshots(spark, path)
@@ -164,5 +166,50 @@ def test_snapshot_upsert_is_idempotent(spark, tmp):
     once = state()
     save_snapshot(spark, metric, run, path)
     assert state() == once
-    runs = {(x.subject_id, x.week): x.run_number for x in load_snapshots(spark, path)[1].collect()}
-    assert runs == {(1, W(1)): 1, (1, W(0)): 2, (2, W(0)): 1}
+    metrics, stored = load_snapshots(spark, path)
+    assert {(x.subject_id, x.week): x.run_number for x in stored.collect()} == {(1, W(1)): 1, (1, W(0)): 2, (2, W(0)): 1}
+    # The earlier week was saved later: it is still the one before.
+    delta = wow_deltas(metrics).collect()
+    assert [(d.subject_id, d.week, d.metric, d.delta) for d in delta] == [(1, W(1), "a", 8.0)]
+
+
+def test_two_report_dates_of_one_week_are_two_runs(spark, tmp):
+    path = os.path.join(tmp, "snap")
+    for day, avg in ((1, 1.0), (3, 4.0)):
+        date = F.lit(D0 + dt.timedelta(days=day))
+        save_snapshot(spark, _metric(spark, [(1, 0, "a", avg)]).withColumn("report_date", date),
+                      _unnumbered(spark, [(1, 0, 0, 0, 0.0, None)]).withColumn("report_date", date), path)
+    metric, runs = load_snapshots(spark, path)
+    assert sorted(r.run_number for r in runs.collect()) == [1, 2] and {r.week for r in runs.collect()} == {W(0)}
+    assert [d.delta for d in wow_deltas(metric).collect()] == [3.0]
+
+
+def test_json_history_round_trip(spark, tmp):
+    path = os.path.join(tmp, "json")
+    metric = _metric(spark, [(s, k, m, float(k)) for s in (1, 22) for k in range(3) for m in ("a", "b")])
+    runs = _runs(spark, [(s, k, k, 0, 0.5, None) for s in (1, 22) for k in range(3)])
+    write_snapshots_json(metric, runs, path)
+    back_m, back_r = load_snapshots_json(spark, path)
+    assert sorted(map(tuple, back_m.select(*metric.columns).collect())) == sorted(map(tuple, metric.collect()))
+    assert sorted(map(str, back_r.select(*runs.columns).collect())) == sorted(map(str, runs.collect()))
+
+
+def test_metric_log_back_fills_each_new_page(spark, tmp):
+    from pulsegrid.operators.report import metric_log_rows
+    from pulsegrid.operators.rolling import rolling_means
+    from pulsegrid.operators.trend import classify_trends
+    from pulsegrid.sources.reports import read_metric_log, write_metric_log
+
+    dim = MetricDim()
+    first = daily_df(spark, {"a": [(d, float(d)) for d in range(20)]})
+    both = first.unionByName(daily_df(spark, {"b": [(d, 1.0 + d) for d in range(20)]})) \
+        .unionByName(daily_df(spark, {"a": [(d, 2.0 + d) for d in range(20)]}, subject=2))
+
+    def save(daily, day):
+        trend = classify_trends(daily, dim).withColumn("current_value", F.col("current"))
+        write_metric_log(spark, metric_log_rows(rolling_means(daily), trend, dim, D0 + dt.timedelta(days=day), read_metric_log(spark, tmp)), tmp)
+        return {(r.subject_id, r.metric): r["count"] for r in read_metric_log(spark, tmp).groupBy("subject_id", "metric").count().collect()}
+
+    assert save(first, 25) == {(1, "a"): 20}
+    assert save(both, 30) == {(1, "a"): 21, (1, "b"): 20, (2, "a"): 20}
+    assert save(both, 30) == {(1, "a"): 21, (1, "b"): 21, (2, "a"): 21}

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry_mod
+from pulsegrid.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,7 +55,7 @@ def test_sleep_flag_is_not_broadcast_or_collected(spark):
     assert "partial_sum" in plan
 
 
-@pytest.mark.parametrize("name", sorted(entry_mod.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_udfs(spark, name):
     df = entry_mod.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
