@@ -368,6 +368,7 @@ def q_metric_log_upsert(spark, sf):
     daily, _, trend = event_full_analysis(spark, sf, event_daily_table(spark, sf))
     rolling = rolling_means(daily)
     first = metric_log(rolling, trend, EVENTS_DIM, LOG_DATE).where(F.col("metric") != LOG_NEW_METRIC)
+    first = materialize(first, "events-metric-log")  # a later run reads a written log
     return metric_log(rolling, trend, EVENTS_DIM, LOG_DATE, existing=first)
 
 
