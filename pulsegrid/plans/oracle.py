@@ -701,8 +701,8 @@ FROM ser LEFT JOIN an USING (subject_id) LEFT JOIN sst USING (subject_id) LEFT J
 # -- all outputs of one analysis, sinks and sources ----------------------------------------
 
 def outputs_sql() -> str:
-    """Rows, figures and the sum of figures in hundredths of every output; the
-    figures are rounded to 4 digits where an output has no rounding of its own."""
+    """Rows, figures and the sum of figures in hundredths of every output, each
+    figure rounded to 4 digits and then to 2."""
     daily = f"{FULL_BASE}, daily AS (SELECT * FROM dall)"
     body = " UNION ALL ".join(f"({pearson_sql(rel, x, y)})" for rel, x, y in CORR_RELATIONS)
     mean_click = "tmp AS (SELECT subject_id, date, value FROM ms WHERE metric = 'click' AND value IS NOT NULL)"
@@ -729,7 +729,7 @@ def outputs_sql() -> str:
 
     def one(name: str, sql: str, columns: list[str]) -> str:
         figures = " + ".join(f"count({c})" for c in columns)
-        total = " + ".join(f"coalesce(sum(CAST(round({rnd(c, 2)} * 100) AS BIGINT)), 0)" for c in columns)
+        total = " + ".join(f"coalesce(sum(CAST(round({rnd(rnd(c, 4), 2)} * 100) AS BIGINT)), 0)" for c in columns)
         return f"SELECT '{name}' AS output, count(*) AS n_rows, {figures} AS n_figures, CAST({total} AS BIGINT) AS hundredths FROM ({sql})"
 
     return " UNION ALL ".join(one(n, q, c) for n, (q, c) in parts.items())
