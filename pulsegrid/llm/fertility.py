@@ -30,6 +30,7 @@ from __future__ import annotations
 import base64
 import itertools
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,21 +120,27 @@ class Vocabularies:
         with open(place(BYTES), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.memo: dict[bytes, tuple[np.ndarray, int]] = {}
+        #: Per word its number of byte-level tokens and its piece ids, as 32-bit numbers.
+        self.memo: dict[bytes, bytes] = {}
         self.memo_words = memo_words
 
-    def of(self, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece ids of all words one after the other, how many each word has,
+        and how many byte-level tokens."""
         new = [w for w in words if w not in self.memo]
         texts = [w.decode("utf-8", "replace") for w in new]
         ids = self.pieces.encode(texts, num_threads=1) if texts else []
-        fresh = {w: (np.asarray(i, dtype=np.int64), len(self.bytes.encode_ordinary(" " + t)))
+        fresh = {w: array("i", [len(self.bytes.encode_ordinary(" " + t)), *i]).tobytes()
                  for w, t, i in zip(new, texts, ids, strict=True)}
         found = [fresh.get(w) or self.memo[w] for w in words]
         if len(self.memo) + len(fresh) > self.memo_words:
             self.memo.clear()
         if len(fresh) <= self.memo_words:
             self.memo.update(fresh)
-        return [i for i, _ in found], np.array([n for _, n in found], dtype=np.int64)
+        flat = np.frombuffer(b"".join(found), dtype=np.int32).astype(np.int64)
+        sizes = np.array([len(f) for f in found], dtype=np.int64) // 4
+        heads = np.cumsum(sizes) - sizes
+        return np.delete(flat, heads), sizes - 1, flat[heads]
 
 
 def _per_text(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -176,9 +183,7 @@ def measure(texts: list[bytes], langs: list[str | None], vocabularies: Vocabular
     owner = np.repeat(np.arange(n), n_words)
     words = list(number)
     chars = np.array([len(w.decode("utf-8", "replace")) for w in words], dtype=np.int64)
-    pieces, byte_tokens = vocabularies.of(words)
-    flat = np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.int64)
-    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+    flat, sizes, byte_tokens = vocabularies.of(words)
     starts = np.cumsum(sizes) - sizes
     fallback = np.bincount(np.repeat(np.arange(len(words)), sizes), weights=vocabularies.is_byte[flat], minlength=len(words))
 

@@ -59,11 +59,10 @@ class Tokeniser:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         place = (lambda name: os.path.join(folder, name)) if folder else public_tokenizers.path
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.full = Tokenizer.from_file(place(VOCABULARY))
+        self.vocabulary, self.full = place(VOCABULARY), None
         with open(place(RANKS), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -72,6 +71,10 @@ class Tokeniser:
     def __call__(self, text: str) -> np.ndarray:
         if self.plain.fullmatch(text) and SPECIAL not in text:
             return np.array(self.fast.encode_ordinary(text), dtype=np.uint16)
+        if self.full is None:  # few corpora need it, and it takes memory
+            from tokenizers import Tokenizer
+
+            self.full = Tokenizer.from_file(self.vocabulary)
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
 
 
