@@ -3,9 +3,10 @@
 The index maps each word of the licence templates to its postings (template,
 position).  A file is scanned in four steps, in DataFrame operations only:
 
-1. its licence words are looked up, the ones of highest inverse document
-   frequency first (``LOOKUPS`` per file; a template that is a key phrase is
-   always looked up by its own rarest word, so none of its places is missed);
+1. each template is looked up by its own words of highest inverse document
+   frequency, whatever else the file holds: by the rarest word of its mandatory
+   key phrases, which stands in every place that counts (a template without
+   such a word by as many as a share of ``LEAST_SHARE`` can't do without);
 2. a posting at position p of a word at position q of the file says that the
    template would start at q - p: postings are intersected by that start, as the
    share (weighted by inverse document frequency) of the template's words that
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import lower_ascii, table
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-LOOKUPS = 4
 LEAST_SHARE = 0.8
 
 
@@ -91,19 +91,37 @@ def inverse_frequencies(df: DataFrame, text_col: str, templates: tuple[Template,
     return {w: 1 + math.log((total + 1) / (counts.get(w, 0) + 1)) for w in words}
 
 
-def _alignments(template: Template, idf: dict[str, float], words: Column, hits: Column, rarest: Column) -> Column:
+def _anchors(template: Template, idf: dict[str, float]) -> dict[str, list[int]]:
+    """Words, with their positions, one of which stands at its place in every
+    alignment that counts: no place of the template is missed."""
+    text = template.text.split()
+    rarity = lambda p: (idf[text[p]], text[p], -p)
+    places = sorted((p for p, w in enumerate(text) if w in idf), key=rarity, reverse=True)
+    phrases = [(_place(text, m.split()), len(m.split())) for m in template.mandatory]
+    needed = [p for p in places if template.base or any(a <= p < a + n for a, n in phrases)]
+    chosen, weight = needed[:1], 0.0
+    if not chosen:
+        # What misses all of these has a smaller share.
+        for p in places:
+            chosen, weight = [*chosen, p], weight + idf[text[p]]
+            if weight > (1 - LEAST_SHARE) * (1 + 1e-9) * sum(idf[text[q]] for q in places):
+                break
+    out: dict[str, list[int]] = {}
+    for p in chosen:
+        out.setdefault(text[p], []).append(p)
+    return out
+
+
+def _alignments(template: Template, idf: dict[str, float], words: Column, hits: Column) -> Column:
     """Verified alignments of the template: array of (start, share)."""
     text = template.text.split()
     postings: dict[str, list[int]] = {}
     for p, w in enumerate(text):
         if w in idf:
             postings.setdefault(w, []).append(p)
-    if template.base:
-        top = max(postings, key=lambda w: (idf[w], w))
-        anchors = F.filter(hits, lambda h: h["word"] == top)
-    else:
-        anchors = F.filter(hits, lambda h: h["word"].isin(sorted(postings)) & F.array_contains(rarest, h["word"]))
-    table_ = F.create_map(*[x for w, at in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.lit(p) for p in at]))])
+    lookups = _anchors(template, idf)
+    anchors = F.filter(hits, lambda h: h["word"].isin(sorted(lookups)))
+    table_ = F.create_map(*[x for w, at in sorted(lookups.items()) for x in (F.lit(w), F.array(*[F.lit(p) for p in at]))])
     starts = F.array_distinct(F.flatten(F.transform(
         anchors, lambda h: F.transform(F.element_at(table_, h["word"]), lambda p: h["pos"] - p))))
     stands = lambda start, p: F.coalesce(F.get(words, start + p) == text[p], F.lit(False))
@@ -139,8 +157,7 @@ def _place(text: list[str], phrase: list[str]) -> int:
     return next(k for k in range(len(text)) if text[k:k + len(phrase)] == phrase)
 
 
-def scan(df: DataFrame, text_col: str = "text", out: str = "licence", templates: tuple[Template, ...] = TEMPLATES,
-         lookups: int = LOOKUPS) -> DataFrame:
+def scan(df: DataFrame, text_col: str = "text", out: str = "licence", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """``df`` with a struct ``out``: n_words, n_base, first_word, last_word,
     base_labels, labels, score and ``spans`` (label, start, words, share) of all
     verified alignments.
@@ -151,17 +168,13 @@ def scan(df: DataFrame, text_col: str = "text", out: str = "licence", templates:
     table stays empty.
     """
     idf = inverse_frequencies(df, text_col, templates)
-    vocabulary = sorted(idf)
-    weights = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
+    vocabulary = sorted({w for t in templates for w in _anchors(t, idf)})
     keep = [c for c in df.columns if c.lower() != out.lower()]
     step = df.select(*keep, _tokens(F.col(text_col)).alias("_words"))
     at = F.filter(F.sequence(F.lit(0), F.size("_words")), lambda i: F.get(F.col("_words"), i).isin(vocabulary))
     step = step.select(*keep, "_words", F.transform(at, lambda i: F.struct(i.alias("pos"), F.get(F.col("_words"), i).alias("word"))).alias("_hits"))
-    distinct = F.array_distinct(F.transform("_hits", lambda h: h["word"]))
-    heaviest = F.slice(F.sort_array(F.transform(distinct, lambda w: F.struct((-F.element_at(weights, w)).alias("k"), w.alias("w")))), 1, lookups)
-    step = step.select(*keep, "_words", "_hits", F.transform(heaviest, lambda s: s["w"]).alias("_rarest"))
-    found = [_spans(t, _alignments(t, idf, F.col("_words"), F.col("_hits"), F.col("_rarest"))) for t in templates]
-    # Without licence words there is nothing to align.
+    found = [_spans(t, _alignments(t, idf, F.col("_words"), F.col("_hits"))) for t in templates]
+    # Without looked-up words there is nothing to align.
     spans = F.when(F.size("_hits") > 0, F.concat(*found)).otherwise(F.slice(F.concat(*found), 1, 0))
     step = step.select(*keep, F.size("_words").cast("long").alias("_n"), spans.alias("_spans"))
     base = F.filter("_spans", lambda s: s["base"])

@@ -55,6 +55,25 @@ def test_templates_are_aligned_and_verified(spark):
     assert labels[2] == set() and got[2].score == 0
 
 
+def test_one_file_may_hold_every_template(spark):
+    every = " lorem ipsum ".join(t.text for t in li.TEMPLATES)
+    chance = "mozilla affero unencumbered redistribution creative lesser domain " * 3 + MIT
+    got = scanned(spark, [every, chance] + TEXTS)
+    assert got[0].labels.split(",") == sorted(t.label for t in li.TEMPLATES) and round(got[0].score, 9) == 1
+    at = {(s.label, s.start) for s in got[0].spans}
+    assert {(t.label, len(" lorem ipsum ".join(x.text for x in li.TEMPLATES[:k] + (li.Template("", "", ()),)).split()))
+            for k, t in enumerate(li.TEMPLATES)} <= at
+    assert got[1].labels == "mit-text" and round(got[1].score, 9) == 1
+
+
+def test_templates_without_key_phrases(spark):
+    free = (li.Template("free", "permission is hereby granted free of charge to any person", ()),)
+    rows = [(0, "Permission is hereby granted, free of charge, to any person"), (1, "x permission is hereby given free of charge to any person"),
+            (2, "granted person charge hereby")]
+    got = {r.doc_id: r.licence for r in li.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=free).collect()}
+    assert [got[k].labels for k in range(3)] == ["free", "free", ""] and round(got[0].score, 9) == 1 and 0.8 <= got[1].score < 0.9
+
+
 def test_repeated_rows_and_empty_table(spark):
     assert len(set(map(str, scanned(spark, [TEXTS[3]] * 3).values()))) == 1
     assert li.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
