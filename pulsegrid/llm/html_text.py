@@ -3,10 +3,11 @@
 A page is cut into blocks at block-level tags.  *First pass*, each block alone:
 structure (navigation, adverts, forms, comments and the like) and link density
 decide blocks as boilerplate; of the rest, long blocks with many stop words are
-decided as text, and what is short or has few stop words stays ambiguous.
+decided as text, and what is short or has few stop words stays ambiguous.  On a
+page in a language without a stop-word list length alone decides.
 *Second pass*: an ambiguous block inherits the label of its nearest decided
-neighbours; where they differ, blocks with stop words and headings above text
-count as text.
+neighbours; where they differ, long blocks and headings above text count as
+text.
 
 Where a page marks its article (``article`` or ``main``), blocks outside it are
 boilerplate, and inside it neighbours only speak for blocks of the same article;
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from pulsegrid.llm.common import table
 
 #: First-pass limits: characters, shares of a block's characters or words.
-MAX_LINK_DENSITY, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.2, 70, 200, 0.10, 0.15
+MAX_LINK_DENSITY, SHORT, LONG, MANY_STOPS = 0.2, 70, 200, 0.15
 
 # Frequent function words by language.
 STOP_WORDS = {
@@ -201,6 +202,7 @@ def blocks(page: str) -> list[Block]:
 
 
 def _first_pass(block: Block, stops: list[frozenset[str]]) -> str:
+    """good, bad, or ambiguous: near (not short, whatever its stop words) or short."""
     n = len(block.text)
     density = block.linked / max(1, len(block.text.replace(" ", "")))
     if block.boilerplate:
@@ -210,12 +212,10 @@ def _first_pass(block: Block, stops: list[frozenset[str]]) -> str:
     if not block.article and "©" in block.text:
         return "bad"
     words = _LETTERS.findall(block.text.lower())
-    share = max((sum(w in s for w in words) for s in stops), default=0) / max(1, len(words))
+    share = max(sum(w in s for w in words) for s in stops) / max(1, len(words)) if stops else 1.0
     if n >= LONG and share >= MANY_STOPS:
         return "good"
-    if n >= SHORT and share >= FEW_STOPS:
-        return "near"
-    return "short" if n < SHORT or block.article else "bad"
+    return "short" if n < SHORT else "near"
 
 
 def _second_pass(found: list[Block], default: str) -> None:
@@ -247,7 +247,8 @@ def main_text(page: str) -> str:
     """The text blocks of a page, joined by line feeds; empty if there are none."""
     found = blocks(page)
     lang = _LANG.search(page)
-    stops = [STOPS[lang[1].lower()]] if lang and lang[1].lower() in STOPS else list(STOPS.values())
+    # The attribute may be wrong: any list may show that a block is text.
+    stops = [] if lang and lang[1].lower() not in STOPS else list(STOPS.values())
     for block in found:
         block.label = _first_pass(block, stops)
     if any(b.article and not b.boilerplate for b in found):

@@ -50,3 +50,13 @@ def test_operator_edge_cases(spark):
     assert out.columns == ["page_id", "url", "text"]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, "u", LINE)] * 2 + [(2, None, ""), (3, "u", ""), (None, "u", "")]))
     assert ht.with_main_text(df.limit(0)).count() == 0
+
+
+def test_long_blocks_with_few_stop_words_are_text():
+    names = "Kowalski Nowak Wiśniewski Wójcik Kowalczyk Kamiński Lewandowski Zieliński Szymański 12 34 56"
+    polish = "Wczoraj wieczorem mieszkańcy miasta spotkali się nad rzeką, żeby porozmawiać o pogodzie oraz planach budowy nowego mostu. " * 2
+    polish, nav = polish.strip(), '<div class="menu"><a href="/">Home</a></div>'
+    assert ht.main_text(page(f"{nav}<p>{LINE}</p><p>{names}</p><p>{LINE}</p>{nav}")) == f"{LINE}\n{names}\n{LINE}"
+    for lang in ("pl", "en", "de"):  # without a list, and with a wrong attribute
+        assert ht.main_text(page(f"{nav}<h2>Most</h2><p>{polish}</p><p>{names}</p><p>{polish}</p>{nav}", lang)).split("\n")[-3:] == [polish, names, polish]
+    assert ht.main_text(page(f"{nav}<p>{LINE}</p><p>{names}</p>{nav}", "fr")) == f"{LINE}\n{names}"
