@@ -10,7 +10,8 @@ neighbours; where they differ, long blocks and headings above text count as
 text.
 
 Where a page marks its article (``article`` or ``main``), blocks outside it are
-boilerplate, and inside it neighbours only speak for blocks of the same article;
+boilerplate, and inside it only structure makes boilerplate: links alone leave a
+block ambiguous, neighbours only speak for blocks of the same article, and
 without decided neighbours an ambiguous block there is text.  On a page without
 any block decided as text, ambiguous blocks are the text.
 
@@ -207,7 +208,8 @@ def _first_pass(block: Block, stops: list[frozenset[str]]) -> str:
     density = block.linked / max(1, len(block.text.replace(" ", "")))
     if block.boilerplate:
         return "bad"
-    if density > MAX_LINK_DENSITY or (n < SHORT and block.linked and not block.article):
+    # In a marked article links alone don't make boilerplate.
+    if not block.article and (density > MAX_LINK_DENSITY or (n < SHORT and block.linked)):
         return "bad"
     if not block.article and "©" in block.text:
         return "bad"

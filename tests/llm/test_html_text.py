@@ -60,3 +60,13 @@ def test_long_blocks_with_few_stop_words_are_text():
     for lang in ("pl", "en", "de"):  # without a list, and with a wrong attribute
         assert ht.main_text(page(f"{nav}<h2>Most</h2><p>{polish}</p><p>{names}</p><p>{polish}</p>{nav}", lang)).split("\n")[-3:] == [polish, names, polish]
     assert ht.main_text(page(f"{nav}<p>{LINE}</p><p>{names}</p>{nav}", "fr")) == f"{LINE}\n{names}"
+
+
+def test_links_in_an_article_take_no_text_away():
+    linked, short = 'Read the <a href="/r">full report</a>.', ["So it was.", "Words 1 2 3.", "It ended."]
+    items = "".join(f'<li><a href="/{k}">Reference {k}</a></li>' for k in range(3))
+    body = f"<nav><a href='/'>Home</a></nav><article><p>{short[0]}</p><p>{linked}</p><p>{short[1]}</p><ul>{items}</ul><p>{short[2]}</p></article>"
+    want = [short[0], "Read the full report.", short[1], "Reference 0", "Reference 1", "Reference 2", short[2]]
+    assert ht.main_text(page(body)).split("\n") == want
+    assert ht.main_text(page(f"<article><p>{linked}</p></article>")) == "Read the full report."
+    assert ht.main_text(page(f'<article><p>{LINE}</p><div class="related"><a href="/">Other</a></div></article>')) == LINE
