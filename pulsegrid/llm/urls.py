@@ -7,10 +7,10 @@ entropy, parameter counts, and statistics of the host's suffix and of the path's
 ending among the labelled URLs.
 
 The trees are trained here, from labelled URLs; the query labels URLs by the
-rules.  Training takes at most ``TRAIN_ROWS`` labelled rows, those of smallest
-hash, so reruns take the same; suffix statistics come from the same rows and are
-bounded by them.  Everything else runs over all URLs, in DataFrame operations and
-Spark's own tree learner, without Python on the executors.
+rules.  Fitting the trees takes at most ``TRAIN_ROWS`` different labelled URLs,
+of each class those of smallest hash, so reruns take the same.  Everything else,
+the suffix statistics too, runs over all URLs, in DataFrame operations and Spark's
+own tree learner, without Python on the executors.
 """
 
 from __future__ import annotations
@@ -97,8 +97,8 @@ class UrlModel:
 
     def _rated(self, df: DataFrame) -> DataFrame:
         for kind, known in self.suffixes.items():
-            # Bounded: a suffix for each row of the training sample at most.
-            df = df.join(F.broadcast(known), kind, "left").fillna({f"{kind}_rate": self.rate, f"{kind}_rows": 0})
+            # Staged, so the planner knows its size: broadcast only under the session's threshold.
+            df = df.join(known, kind, "left").fillna({f"{kind}_rate": self.rate, f"{kind}_rows": 0})
         return df
 
     def judged(self, df: DataFrame) -> DataFrame:
@@ -114,27 +114,33 @@ class UrlModel:
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", rows: int = TRAIN_ROWS,
           trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> UrlModel:
     """A filter from ``labelled`` URLs; label 1 is block, 0 allow, rows with a
-    null label don't count.  At most ``rows`` rows are used, those whose URL has
-    the smallest hash."""
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    sample = labelled.where(F.col(label_col).isNotNull()) \
-                     .select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label"), F.xxhash64(url).alias("h")) \
-                     .orderBy("h", "url", "label").limit(rows)
-    sample = staged(with_features(with_parts(sample)), "url-sample")
-    n, blocked = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    null label don't count.  Suffix statistics are those of all labelled rows; the
+    trees are fitted on at most ``rows`` different URLs, of smallest hash, with the
+    classes in their proportion but a hundredth of each at least."""
+    known = with_parts(labelled.where(F.col(label_col).isNotNull()).select(
+        F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.col(label_col).cast("double").alias("label")))
+    keyed = with_features(known).select("host_suffix", "path_suffix", "label")
+    n, blocked = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < blocked < n:
         return UrlModel(None, {}, 0.0, "block" if n and blocked else "allow")
     rate, suffixes = blocked / n, {}
     for kind in ("host_suffix", "path_suffix"):
-        stats = sample.groupBy(kind).agg(F.count(F.lit(1)).alias(f"{kind}_rows"), F.sum("label").alias("_b"))
+        stats = keyed.groupBy(kind).agg(F.count(F.lit(1)).alias(f"{kind}_rows"), F.sum("label").alias("_b"))
         suffixes[kind] = staged(stats.select(
-            kind, f"{kind}_rows", ((F.col("_b") + PRIOR_ROWS * rate) / (F.col(f"{kind}_rows") + PRIOR_ROWS)).alias(f"{kind}_rate"))
-            .coalesce(1), kind.replace("_", "-"))
+            kind, f"{kind}_rows", ((F.col("_b") + PRIOR_ROWS * rate) / (F.col(f"{kind}_rows") + PRIOR_ROWS)).alias(f"{kind}_rate")),
+            kind.replace("_", "-"))
+    # A URL that is repeated takes one place.
+    single = staged(known.select("url", "label").distinct().withColumn("h", F.xxhash64("url")), "url-labels")
+    each = {r["label"]: r["count"] for r in single.groupBy("label").count().collect()}
+    least = {label: min(each[label], max(1, rows // 100)) for label in (0.0, 1.0)}
+    block = min(max(int(rows * each[1.0] / (each[0.0] + each[1.0])), least[1.0]), rows - least[0.0])
+    taken = [single.where(F.col("label") == label).orderBy("h", "url").limit(k) for label, k in ((0.0, rows - block), (1.0, block))]
+    sample = staged(with_features(with_parts(taken[0].unionByName(taken[1]))), "url-sample")
     model = UrlModel(None, suffixes, rate, "allow")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     fit = assembler.transform(model._rated(sample).withColumns({f: F.col(f).cast("double") for f in FEATURES}))
     learner = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.3)
-    fit = staged(fit.select("features", "label", "h").orderBy("h").coalesce(1), "url-features").coalesce(4)
+    fit = staged(fit.select("features", "label", "h", "url").orderBy("h", "url", "label").coalesce(1), "url-features").coalesce(4)
     model.trees = PipelineModel([assembler, learner.fit(fit.select("features", "label"))])
     return model
 

@@ -74,3 +74,24 @@ def test_entropy_and_empty_table(spark):
     df = urls.with_features(urls.with_parts(spark.createDataFrame([("aabb",), ("aaaa",), ("",), (None,)], "url string")))
     assert [round(r.entropy, 6) for r in df.collect()] == [1.0, 0.0, 0.0, 0.0]
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_suffix_statistics_cover_all_labelled_rows(spark):
+    rows = labelled(400, 3)
+    df = spark.createDataFrame(rows, "url string, label int")
+    model = urls.train(df, rows=60, trees=2)
+    for kind in ("host_suffix", "path_suffix"):
+        want = {r[kind]: (r["n"], r["b"]) for r in urls.with_features(urls.with_parts(df)).groupBy(kind)
+                .agg(F.count("*").alias("n"), F.sum("label").alias("b")).collect()}
+        got = {r[kind]: r for r in model.suffixes[kind].collect()}
+        assert {k: r[f"{kind}_rows"] for k, r in got.items()} == {k: n for k, (n, _) in want.items()}
+        rate = sum(label for _, label in rows) / len(rows)
+        for k, (n, b) in want.items():
+            assert abs(got[k][f"{kind}_rate"] - (b + urls.PRIOR_ROWS * rate) / (n + urls.PRIOR_ROWS)) < 1e-9
+
+
+def test_repeated_url_leaves_room_for_the_others(spark):
+    rows = labelled(300, 4)
+    hot = spark.createDataFrame(rows, "url string, label int").orderBy(F.xxhash64("url")).first()
+    df = spark.createDataFrame(rows + [tuple(hot)] * 1000, "url string, label int")
+    assert urls.train(df, rows=100, trees=2).trees is not None
