@@ -14,8 +14,9 @@ its band.  There are two bands.  The *wide* one is a parameter, by language or,
 for a language without one, by script.  The *learned* one comes from all
 documents that pass the base rules, by language (script, where the language is
 null) and size class: the far-out fences of the figure, ``FENCE`` interquartile
-ranges beyond the quartiles.  Groups of under ``LEAST_DOCS`` documents have
-none.  Quartiles come from exact counts of figures in fixed bins, so reruns
+ranges beyond the quartiles.  Size classes of under ``LEAST_DOCS`` documents are
+judged by the fences of their language over all size classes, however few its
+documents are; the fewer, the wider these fences.  Quartiles come from exact counts of figures in fixed bins, so reruns
 agree.
 
 Words are cut one by one (a piece never spans white space), so each distinct
@@ -52,6 +53,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 FENCE = 4.0
 LEAST_DOCS = 100
+#: The size class of the fences over all size classes.
+POOLED = -1
 #: Size classes double from MIN_WORDS words on, up to this many; the figures of
 #: short texts vary more.
 SIZE_CLASSES = 6
@@ -82,6 +85,8 @@ SCRIPT_BANDS: dict[str, Band] = {
     "cyrillic": Band(pieces=(0.8, 6.0), bytes=(0.4, 6.0), fallback=0.50, entropy=3.5),
     "cjk": Band(pieces=(0.3, 4.0), bytes=(0.3, 4.0), fallback=0.90, entropy=3.0),
     "other": Band(pieces=(0.2, 9.0), bytes=(0.2, 9.0), fallback=1.0, entropy=2.5),
+    # Of "other", what has no letter of any script: as strict as for text with a single Latin one.
+    "none": LATIN,
 }
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " \
@@ -208,8 +213,10 @@ def measure(texts: list[bytes], langs: list[str | None], vocabularies: Vocabular
     scripts, wide = [], []
     for k in range(n):
         known = langs[k] in bands
-        script = script_of(b"".join(split[k]).decode("utf-8", "replace")) if langs[k] is None or not known else None
-        band = bands[langs[k]] if known else script_bands[script]
+        text = "" if known else b"".join(split[k]).decode("utf-8", "replace")
+        script = None if known else script_of(text)
+        letterless = script == "other" and "none" in script_bands and not any(map(str.isalpha, text))
+        band = bands[langs[k]] if known else script_bands["none" if letterless else script]
         scripts.append(script)
         wide.append(bool(band.pieces[0] <= per_piece[k] <= band.pieces[1]
                          and band.bytes[0] <= per_byte[k] <= band.bytes[1]
@@ -285,23 +292,28 @@ def _band_keys(lang_col: str, out: str) -> list[Column]:
 def learned_bands(judged: DataFrame, lang_col: str = "lang", out: str = "fertility",
                   fence: float = FENCE, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Fences per group, size class and figure over all rows of ``judged`` (from
-    ``with_fertility``) that pass the base rules: columns _group, _class and a
-    map from the figure to its (low, high)."""
+    ``with_fertility``) that pass the base rules: columns _group, _class (those of
+    ``least_docs`` documents at least, and POOLED) and a map from the figure to its
+    (low, high)."""
     sound = judged.where(~F.col(f"{out}.base_failed"))
     figures = F.explode(F.array(*[
         F.struct(F.lit(name).alias("figure"), F.floor(F.col(f"{out}.{name}") / width).alias("bin"))
         for name, (width, _) in FENCED.items()]))
     counts = sound.select(*_band_keys(lang_col, out), figures.alias("f")) \
                   .groupBy("_group", "_class", "f.figure", "f.bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("_class", F.explode(F.array("_class", F.lit(POOLED)))) \
+                   .groupBy("_group", "_class", "figure", "bin").agg(F.sum("n").alias("n"))
     own = Window.partitionBy("_group", "_class", "figure")
     ranked = counts.select("*", F.sum("n").over(own.orderBy("bin")).alias("upto"), F.sum("n").over(own).alias("all"))
     quartile = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin")))
     quartiles = ranked.groupBy("_group", "_class", "figure") \
                       .agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.first("all").alias("all")) \
-                      .where(F.col("all") >= least_docs)
+                      .where((F.col("all") >= least_docs) | (F.col("_class") == POOLED))
     width = F.create_map(*[F.lit(x) for name, (w, _) in FENCED.items() for x in (name, w)])[F.col("figure")]
     upper = F.col("figure").isin([name for name, (_, both) in FENCED.items() if both])
-    reach = fence * (F.col("q3") - F.col("q1") + 1)
+    # Quartiles of few documents are off by about the inverse root of their number.
+    few = F.greatest(F.lit(1.0), F.sqrt(F.lit(least_docs) / F.col("all")))
+    reach = fence * (F.col("q3") - F.col("q1") + 1) * few
     return quartiles.groupBy("_group", "_class").agg(F.map_from_entries(F.collect_list(F.struct(
         "figure", F.struct(((F.col("q1") - reach) * width).alias("low"),
                            F.when(upper, (F.col("q3") + 1 + reach) * width).alias("high"))))).alias("_fences"))
@@ -321,7 +333,10 @@ def quality(df: DataFrame, text_col: str = "text", lang_col: str = "lang", out:
     for inside in fences:
         kept = kept & inside
     both = judged.withColumns({f"_{i}": key for i, key in enumerate(_band_keys(lang_col, out))})
-    met = both.join(bands, F.col("_0").eqNullSafe(bands["_group"]) & F.col("_1").eqNullSafe(bands["_class"]), "left")
+    own, pooled = bands.where(F.col("_class") != POOLED), bands.where(F.col("_class") == POOLED).toDF("_pool", "_all", "_pooled")
+    met = both.join(own, F.col("_0").eqNullSafe(own["_group"]) & F.col("_1").eqNullSafe(own["_class"]), "left") \
+              .join(pooled, F.col("_0").eqNullSafe(pooled["_pool"]), "left") \
+              .withColumn("_fences", F.coalesce("_fences", "_pooled"))
     return met.select(*[c for c in judged.columns if c != out], F.col(out).withField("kept", kept).alias(out))
 
 

@@ -85,3 +85,27 @@ def test_scripts():
     assert fe.script_of("привет") == "cyrillic"
     assert fe.script_of("日本語") == "cjk"
     assert fe.script_of("1234") == "other"
+
+
+def test_poor_documents_of_small_groups_are_rejected(spark):
+    rng = random.Random(5)
+    prose = ("the river runs past an old stone house where people walk in the morning light and talk about the weather while "
+             "children play under tall trees near a bridge that was built long ago by workers from another town who came here").split()
+    noise = lambda: "".join(rng.choice("qxzjkvw0189") for _ in range(6))
+    mixed = lambda n: " ".join(rng.choice(prose) if rng.random() < 0.6 else noise() for _ in range(n))
+    rows = []
+    for lang, n in (("en", 99), ("pl", 20)):
+        rows += [(" ".join(rng.choice(prose) for _ in range(rng.randint(60, 300))), lang, True) for _ in range(n - 3)]
+        rows += [(mixed(80), lang, False) for _ in range(3)]
+    df = spark.createDataFrame(rows, "text string, lang string, fine boolean")
+    got = fe.quality(df).select("fine", "fertility.base_failed", "fertility.in_wide_band", "fertility.kept").collect()
+    assert [r for r in got if r.fine and not r.base_failed and not r.kept] == []
+    assert all(r.in_wide_band and not r.base_failed and not r.kept for r in got if not r.fine)
+
+
+def test_text_without_letters_is_rejected():
+    vocabularies, rng = fe.Vocabularies(None), random.Random(6)
+    digits = " ".join(str(rng.randint(0, 10 ** 6)) for _ in range(80))
+    thai = "ภาษาไทย เป็น ภาษา ที่ มี ระดับ เสียง ของ คำ แน่นอน และ ออกเสียง " * 8
+    got = fe.measure([digits.encode(), thai.encode()], [None, None], vocabularies, fe.BANDS, fe.SCRIPT_BANDS)
+    assert got["script"] == ["other", "other"] and got["in_wide_band"] == [False, True]
