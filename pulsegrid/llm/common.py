@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.session import materialize
 
 #: Words of the contracts: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of text (or of ids) that a Python worker works on at once.
+SLICE_BYTES = 2_000_000
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -59,3 +66,54 @@ def ranked(df: DataFrame, *order: Column, out: str = "_rank") -> DataFrame:
     own = Window.partitionBy("_part").orderBy(*keys, "_tie")
     return parts.withColumn("_within", F.row_number().over(own)).join(F.broadcast(before), "_part") \
                 .select(*df.columns, (F.col("_before") + F.col("_within") - 1).cast("long").alias(out))
+
+
+def column(name: str) -> Column:
+    """The top-level column ``name``, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def byte_slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours of at most ``limit`` bytes, a larger value alone."""
+    start = total = 0
+    for k, size in enumerate(sizes):
+        if k > start and total + size > limit:
+            yield start, k
+            start, total = k, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def added(df: DataFrame, value: Column, work: Callable[[], Callable[[pa.Array], pa.Array]], out: dict[str, str],
+          keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``df`` and new columns ``out`` (name -> type) that
+    Arrow batches of ``value`` give: ``work()`` runs once per task and returns
+    the function from an Arrow array to a struct array with the fields of
+    ``out``, by place.  Names of ``df`` meet no internal name: its columns
+    travel in one struct.
+    """
+    fields = T.StructType([T.StructField(f"f{k}", T.StructType.fromDDL(f"x {kind}")[0].dataType) for k, kind in enumerate(out.values())])
+    row = F.struct(*[column(c).alias(f"c{k}") for k, c in enumerate(keep)], F.lit(0).alias("none"))
+    ready = df.select(row.alias("row"), value.alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        do = None
+        for batch in batches:
+            do = do or work()
+            value = batch.column(1)
+            for a, b in byte_slices(pc.fill_null(_bytes_of(value), 0).to_pylist(), SLICE_BYTES):
+                got = do(value.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), got], names=["row", "out"])
+
+    schema = T.StructType([ready.schema["row"], T.StructField("out", fields)])
+    made = ready.mapInArrow(run, schema)
+    return made.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(keep)],
+                       *[F.col("out")[f"f{k}"].alias(c) for k, c in enumerate(out)])
+
+
+def _bytes_of(value: pa.Array) -> pa.Array:
+    """Bytes of each text, or about those of each list of 32-bit numbers."""
+    if pa.types.is_list(value.type) or pa.types.is_large_list(value.type):
+        return pc.multiply(pc.list_value_length(value), 4)
+    return pc.binary_length(value)

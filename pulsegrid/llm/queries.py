@@ -1,6 +1,18 @@
 """Registered queries of the training-data operators, and their SQL."""
 
-from pulsegrid.llm import exact_dedup, fertility, html_text, licenses, mixing, near_dedup, packing, sharding, urls, warc
+from pulsegrid.llm import (
+    bpe,
+    exact_dedup,
+    fertility,
+    html_text,
+    licenses,
+    mixing,
+    near_dedup,
+    packing,
+    sharding,
+    urls,
+    warc,
+)
 
 QUERIES = {
     "op1_cube_mixing": mixing.op1_cube_mixing,
@@ -13,6 +25,7 @@ QUERIES = {
     "op8_block_rules": html_text.op8_block_rules,
     "op9_vector_bin_packing": sharding.op9_vector_bin_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op12_segment_tree_bpe": bpe.op12_segment_tree_bpe,
 }
 
 #: Verdicts of tokenisers, models and greedy methods have no SQL; tests/llm holds
