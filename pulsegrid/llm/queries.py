@@ -9,6 +9,7 @@ from pulsegrid.llm import (
     mixing,
     near_dedup,
     packing,
+    periodic_runs,
     sharding,
     urls,
     warc,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_vector_bin_packing": sharding.op9_vector_bin_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op12_segment_tree_bpe": bpe.op12_segment_tree_bpe,
+    "op13_minimizer_runs": periodic_runs.op13_minimizer_runs,
 }
 
 #: Verdicts of tokenisers, models and greedy methods have no SQL; tests/llm holds
