@@ -4,6 +4,7 @@ from pulsegrid.llm import (
     bpe,
     exact_dedup,
     fertility,
+    hard_negatives,
     html_text,
     licenses,
     mixing,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_block_rules": html_text.op8_block_rules,
     "op9_vector_bin_packing": sharding.op9_vector_bin_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_segment_summaries": hard_negatives.op11_segment_summaries,
     "op12_segment_tree_bpe": bpe.op12_segment_tree_bpe,
     "op13_minimizer_runs": periodic_runs.op13_minimizer_runs,
 }
@@ -36,4 +38,5 @@ ORACLE_SQL = {
     "op5_seekable_zstd": warc.SQL,
     "op6_bbit_minhash": near_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_segment_summaries": hard_negatives.SQL,
 }
