@@ -245,7 +245,7 @@ def mine(df: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col: str
     n_anchors, dims = rows.agg(F.count(F.when(F.col("is_anchor"), 1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     dims = max(1, pieces(dims, LEVELS[-1])) * LEVELS[-1]
     blocks = staged(_blocks(rows, dims, block), "negatives-blocks")
-    chunks = rows.where("is_anchor").repartition(pieces(n_anchors, chunk), "rid")
+    chunks = rows.where("is_anchor").repartition(pieces(n_anchors, chunk))
     chunks = staged(_blocks(chunks, dims, chunk).withColumn("chunk", F.monotonically_increasing_id()), "negatives-anchors")
     out = os.path.join(ensure_checkpoint_dir(spark), "tables", f"llm-negatives-{uuid.uuid4().hex}")
     spark.createDataFrame([], RESULT).write.parquet(out)
