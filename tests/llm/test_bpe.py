@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -52,8 +53,10 @@ def test_any_text_equals_the_library(text):
     text = text.encode("utf-8", "ignore").decode()
     ids, back = expected(library, text)
     assert own.encode(text) == ids
-    by_word = [i for w in text.encode().split() for i in own.encode(w.decode())]
-    assert by_word == ids
+    words = [w[:k] + end for w in text.encode().split() for k in (1, len(w)) for end in (b"", b".", b"'s", b"!x", b"E")]
+    words = [w.decode("utf-8", "ignore") for w in words]
+    for word in words:
+        assert own.encode(word) == library.encode(word, add_special_tokens=False).ids
     assert own.decode(ids) == back
 
 
@@ -86,8 +89,17 @@ def test_merges_equal_a_plain_scan(own):
     rng = random.Random(3)
     for n in (1, 2, 3, 7, 40, 200):
         for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz"):
-            symbols = [own.ids[rng.choice(letters)] for _ in range(n)]
+            word = "".join(rng.choice(letters) for _ in range(n))
+            symbols = [own.ids[x] for x in word[:-1]] + [own.ids[word[-1] + "</w>"]]
             assert own.merged(symbols) == plain(symbols)
+            assert np.frombuffer(own.pieces([word.encode()])[0], dtype=np.int32).tolist() == plain(symbols)
+
+
+def test_words_merged_together_equal_words_alone(own):
+    rng = random.Random(9)
+    words = [bytes(rng.choice(b"etaoinshrdlu.\xc3\xa9") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 8, 9, 17, 33, 64, 65, 66, 130]))) for _ in range(800)]
+    alone = [own.pieces([w])[0] for w in words]
+    assert own.pieces(words) == alone
 
 
 def test_very_long_word_and_small_memo(spark, library):
