@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.model import SERIES_KEY
 from pulsegrid.session import materialize
-from pulsegrid.sources.tables import exists
+from pulsegrid.sources.tables import read_if_present
 
 LOG_SCHEMA = "subject_id long, metric string, value double, unit string, trend string, arrow string, date date"
 
@@ -48,7 +48,7 @@ def read_report(spark: SparkSession, root: str, name: str, report_date=None) ->
 
 def read_metric_log(spark: SparkSession, root: str) -> DataFrame | None:
     path = os.path.join(root, "metric_log")
-    return spark.read.schema(LOG_SCHEMA).parquet(path) if exists(spark, path) else None
+    return read_if_present(lambda: spark.read.schema(LOG_SCHEMA).parquet(path))
 
 
 def write_metric_log(spark: SparkSession, rows: DataFrame, root: str) -> str:

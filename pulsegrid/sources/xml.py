@@ -18,8 +18,6 @@ people would become one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,10 +94,17 @@ def elements(rows: DataFrame, subject: int | None = None, ordered: bool = True)
                          *[_attribute(F.col("found"), a).alias(a) for a in ATTRS])
 
 
-def scan(spark: SparkSession, paths, stream: bool = False) -> DataFrame:
-    """The tags of the files under ``paths``, for ``elements``."""
-    reader = spark.readStream if stream else spark.read
-    text = reader.format("text").option("lineSep", "<").option("recursiveFileLookup", "true").load(paths)
+def scan(spark: SparkSession, path: str, stream: bool = False, since: str | None = None,
+         files_per_batch: int | None = None) -> DataFrame:
+    """The tags of the files under ``path``, for ``elements``; ``since`` leaves
+    files last changed up to that second (session time zone) out of the listing,
+    ``files_per_batch`` bounds a stream's micro-batches."""
+    reader = (spark.readStream if stream else spark.read).format("text").option("lineSep", "<").option("recursiveFileLookup", "true")
+    if since is not None:
+        reader = reader.option("modifiedAfter", since)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    text = reader.load(path)
     return text.select("value", F.col("_metadata.file_path").alias("path"),
                        F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("length"),
                        F.col("_metadata.file_block_start").alias("block"))
@@ -135,28 +140,30 @@ def exports(spark: SparkSession, path: str, subject: int | None = None) -> DataF
     """The export files under ``path`` (subject_id, path, mtime, length), by the
     scan's own listing, contents unread.  Files that name no subject must be one."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select(subject_of(F.col("path"), subject).alias("subject_id"), "path",
-                         F.col("modificationTime").alias("mtime"), "length")
+    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"),
+                         F.col("_metadata.file_size").alias("length"))
+    files = files.select(subject_of(F.col("path"), subject).alias("subject_id"), "path", "mtime", "length")
     unnamed = files.where(~F.col("path").rlike(SUBJECT)).limit(2).count()
     if unnamed > 1:
         raise ValueError(f"several exports under {path} name no subject; put each under subject=<id>")
     return files
 
 
-#: Paths in one scan; more files are read by several scans, united.
-FILES_PER_SCAN = 10_000
+#: Files (path, time and length of each: some 300 bytes) whose list is broadcast to
+#: the scan's tasks; a longer list meets the elements in a join by path.
+BROADCAST_FILES = 50_000
 
 
-def parse(spark: SparkSession, files: DataFrame, count: int, subject: int | None = None) -> DataFrame:
-    """``elements`` of the ``count`` files listed in ``files``."""
-    scans = max(1, -(-count // FILES_PER_SCAN))
-    share = F.pmod(F.xxhash64("path"), F.lit(scans))
-    parts = []
-    for k in range(scans):
-        paths = [r["path"] for r in files.where(share == k).select("path").collect()]
-        if paths:
-            parts.append(elements(scan(spark, paths), subject))
-    return reduce(DataFrame.unionByName, parts)
+def parse(spark: SparkSession, path: str, files: DataFrame, count: int, since: str | None = None,
+          subject: int | None = None) -> DataFrame:
+    """``elements`` of the ``count`` files under ``path`` that ``files`` lists, in
+    one scan, no path passing through this process.  ``since``: a
+    second before all of them, so that what was ingested before is not even opened."""
+    rows = scan(spark, path, since=since)
+    chosen, key = files.select("path", "mtime", "length"), ["path", "mtime", "length"]
+    if count <= BROADCAST_FILES:
+        return elements(rows.join(F.broadcast(chosen), key, "left_semi"), subject)
+    return elements(rows, subject).join(chosen, key, "left_semi")
 
 
 def read_records(spark: SparkSession, path: str, subject: int | None = None) -> DataFrame:
@@ -172,5 +179,5 @@ def read_workouts(spark: SparkSession, path: str, subject: int | None = None) ->
 def _all(spark: SparkSession, path: str, subject: int | None) -> DataFrame:
     from pulsegrid.session import materialize
 
-    files = exports(spark, path, subject)
-    return uncommented(materialize(parse(spark, files, files.count(), subject), "elements"))
+    exports(spark, path, subject)
+    return uncommented(materialize(elements(scan(spark, path), subject), "elements"))

@@ -3,9 +3,12 @@
 A file-source stream over the landing folder with ``trigger(availableNow=True)``:
 each run takes the export files that arrived since the last one (tracked in the
 checkpoint) and stops.  Each micro-batch is parsed by the batch job's parser and
-merged like there: the newest export of the batch replaces its subject's rows,
-unless the tables already hold a newer one.  A batch that is run again after a
-failure replaces the same rows again, so nothing is counted twice.
+*appended* to the tables as a part of its own, named by stream and batch: what a
+batch writes is in proportion to the batch, and nothing is read.  Which export of
+a subject counts is resolved at reading (newest time, then path), so a late older
+file changes nothing.  A batch that comes again after a failure writes the same part
+over, and one that was committed adds nothing.  Buckets that have gathered
+many parts are rewritten after the stream has stopped.
 
 The file source knows files by path: a re-export must land under a new name
 (``subject=<id>/<date>.xml``).  Files rewritten in place are for the batch job,
@@ -17,39 +20,42 @@ runs as batch on the written tables (or per micro-batch in ``foreachBatch``).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.model import MetricDim
 from pulsegrid.operators.typing import type_records
-from pulsegrid.plans.ingest import NOTHING, merge, newest_exports
+from pulsegrid.plans.ingest import NOTHING, append, newest_exports
 from pulsegrid.session import materialize
-from pulsegrid.sources.tables import current_version, read_manifest
+from pulsegrid.sources.tables import BUCKETS, compact
 from pulsegrid.sources.xml import elements, records_of, scan, uncommented
 
+#: Live parts in a bucket from which on it is rewritten as one.
+COMPACT_PARTS = 16
+
 
 def ingest_available(spark: SparkSession, landing: str, dst: str, checkpoint: str, dim: MetricDim | None = None,
-                     subject: int | None = None, category_codes: dict | None = None) -> dict:
-    """Merge the files not yet seen into the tables under ``dst`` and stop; the
-    S10 counters of what was merged."""
+                     subject: int | None = None, category_codes: dict | None = None, buckets: int = BUCKETS,
+                     files_per_batch: int | None = None, compact_parts: int = COMPACT_PARTS) -> dict:
+    """Append the files not yet seen to the tables under ``dst`` and stop; the
+    S10 counters of what was appended.  ``files_per_batch`` bounds a micro-batch."""
     total = dict(NOTHING)
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def merged(batch: DataFrame, _: int) -> None:
+    def appended(batch: DataFrame, number: int) -> None:
         parsed = materialize(elements(batch, subject), "elements")
-        newest = newest_exports(parsed.select("subject_id", "path", "mtime", "length").distinct())
-        if current_version(spark, dst) is not None:
-            held = read_manifest(spark, dst).select("subject_id", F.col("mtime").alias("_held"))
-            newest = newest.join(held, "subject_id", "left").where("_held IS NULL OR _held <= mtime").drop("_held")
-        newest = materialize(newest, "exports")
-        if newest.isEmpty():
-            return
+        newest = materialize(newest_exports(parsed.select("subject_id", "path", "mtime", "length").distinct()), "exports")
         data = uncommented(parsed).join(newest.select("path"), "path", "left_semi")
-        for name, n in merge(spark, data, newest, dst, dim, category_codes).items():
+        for name, n in append(spark, data, newest, dst, f"s-{stream}-{number}", dim, category_codes, buckets).items():
             total[name] += n
 
-    query = (scan(spark, landing, stream=True).writeStream.foreachBatch(merged)
+    files = scan(spark, landing, stream=True, files_per_batch=files_per_batch)
+    query = (files.writeStream.foreachBatch(appended)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
+    compact(spark, dst, compact_parts)
     return total
 
 
