@@ -101,3 +101,13 @@ def daily_series(records: DataFrame, dim: MetricDim, sleep_nightly: DataFrame |
                                      F.lit(False).alias("is_sum"))
         per_day = sleep if per_day is None else per_day.unionByName(sleep)
     return _empty_daily(records) if per_day is None else _gap_fill(per_day)
+
+
+def daily_from_totals(days: DataFrame, dim: MetricDim) -> DataFrame:
+    """A1 + A2 + J11 from per-day totals (subject_id, metric, date, total,
+    n_values), as a stream keeps them: the same table as ``daily_values`` gives
+    from the readings."""
+    is_sum = dim.is_sum(F.col("metric"))
+    value = F.when(is_sum, F.coalesce("total", F.lit(0.0))).otherwise(F.try_divide("total", "n_values"))
+    rows = days.select(*SERIES_KEY, "date", value.alias("value"), is_sum.alias("is_sum"))
+    return _gap_fill(rows.where(F.col("is_sum") | F.col("value").isNotNull()))

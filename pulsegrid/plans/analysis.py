@@ -12,6 +12,7 @@ nightly sleep.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,6 +101,14 @@ def analysis_overview(result: dict[str, DataFrame]) -> DataFrame:
                       F.coalesce("total_workouts", F.lit(0)).cast("bigint").alias("total_workouts"))
 
 
+#: K2-K4: the presentation order of each report, kept inside its files ("-": descending).
+REPORT_ORDER = {
+    "overview": ["subject_id", "metric"], "anomalies": ["subject_id", "row_no"], "top_anomalies": ["subject_id", "metric", "k"],
+    "workouts_by_type": ["subject_id", "-sessions", "activity"], "workout_weekly": ["subject_id", "week"],
+    "sleep_nightly": ["subject_id", "night"], "sleep_stats": ["subject_id"], "chart_data": ["subject_id", "metric", "date"],
+    "context": ["subject_id"], "monthly_metrics": ["subject_id", "metric"], "monthly_totals": ["subject_id"], "profile": ["metric"],
+}
+
 #: Of each output, the columns that a checksum adds up (rounded figures).
 CHECKED = {
     "daily": ["value"], "rolling": ["raw", "rolling_7", "rolling_30", "rolling_90"], "chart": ["raw", "rolling_7"],
@@ -128,58 +137,67 @@ def output_checks(result: dict[str, DataFrame], checked: dict[str, list[str]] |
 def run(spark: SparkSession, src: str, dst: str, as_of, dim: MetricDim | None = None,
         force: bool = False, force_monthly: bool = False, subject: int | None = None,
         category_codes: dict | None = None, threshold: float = ANOMALY_THRESHOLD,
-        windows: tuple[int, ...] = ROLLING_WINDOWS) -> dict:
+        windows: tuple[int, ...] = ROLLING_WINDOWS, hrv: str = HRV, rhr: str = RHR, temp: str = TEMP,
+        before: Callable[[str], None] | None = None) -> dict:
     """C14: ingest -> analyze -> snapshot upsert -> week-over-week -> monthly -> reports.
 
     ``subject``, ``category_codes``: as in ``ingest``; ``threshold``,
-    ``windows``: as in ``analyze``.  Intermediate tables go at the end of the run.
+    ``windows``, ``hrv``, ``rhr``, ``temp``: as in ``analyze``.  ``before`` is told the
+    name of each step (ingest, analysis, snapshot, each report) as it begins, for
+    progress.  A run for an earlier date compares with the runs up to that date.
+    Intermediate tables go at the end of the run.
     """
     with scratch_tables(spark):
         return _run(spark, src, dst, as_of, dim or MetricDim.health(), force, force_monthly, subject, category_codes,
-                    threshold, windows)
+                    {"threshold": threshold, "windows": windows, "hrv": hrv, "rhr": rhr, "temp": temp}, before or (lambda step: None))
 
 
-def _run(spark, src, dst, as_of, dim, force, force_monthly, subject, category_codes, threshold, windows) -> dict:
+def _run(spark, src, dst, as_of, dim, force, force_monthly, subject, category_codes, options, before) -> dict:
     from pulsegrid.plans.ingest import ingest
-    from pulsegrid.sources.reports import read_metric_log, write_metric_log, write_report
+    from pulsegrid.sources.reports import read_metric_pages, write_metric_log, write_report
     from pulsegrid.sources.snapshots import load_snapshots, save_snapshot
     from pulsegrid.sources.tables import read_records, read_workouts
 
     tables = os.path.join(dst, "tables")
+    before("ingest")
     counts = ingest(spark, src, tables, force=force, dim=dim, subject=subject, category_codes=category_codes)
+    before("analysis")
     records, workouts = read_records(spark, tables), read_workouts(spark, tables)
-    res = analyze(records, workouts, dim, as_of, materialize_daily=True, threshold=threshold, windows=windows)
+    res = analyze(records, workouts, dim, as_of, materialize_daily=True, **options)
 
+    before("snapshot")
     snapshots = os.path.join(dst, "snapshots")
     metric, run_rows = build_snapshot(res["trend"], res["anomalies"], res["workout_stats"], res["sleep_stats"], dim, as_of,
                                       workout_weekly=res["workout_weekly"])
     save_snapshot(spark, metric, run_rows, snapshots)
-    hist_metric, hist_run = load_snapshots(spark, snapshots)
+    upto = F.col("report_date") <= as_date(as_of)
+    hist_metric, hist_run = (stored.where(upto) for stored in load_snapshots(spark, snapshots))
     # Subjects without this run have no change to report; two runs are enough.
-    upto = hist_metric.where(F.col("report_date") <= as_date(as_of))
-    wow_now = wow_deltas(last_snapshots(upto, 2)).where(F.col("report_date") == as_date(as_of))
+    wow_now = wow_deltas(last_snapshots(hist_metric, 2)).where(F.col("report_date") == as_date(as_of))
 
     reports = os.path.join(dst, "reports")
 
-    def write(df: DataFrame, name: str, order_by=None) -> None:
-        write_report(df, reports, name, as_of, order_by=order_by)
-
-    write(report_overview(res["trend"], wow_now, dim), "overview", ["subject_id", "metric"])
-    write(report_anomalies(res["anomalies"], as_of, threshold=threshold), "anomalies", ["subject_id", "row_no"])
-    write(top_anomalies(res["anomalies"]), "top_anomalies", ["subject_id", "metric", "k"])
-    write(res["workout_by_type"], "workouts_by_type", ["subject_id", F.desc("sessions"), "activity"])
-    write(res["workout_weekly"], "workout_weekly", ["subject_id", "week"])
-    write(res["sleep_nightly"], "sleep_nightly", ["subject_id", "night"])
-    write(res["sleep_stats"], "sleep_stats", ["subject_id"])
-    if 7 in windows:
-        write(res["chart"], "chart_data", ["subject_id", "metric", "date"])
-    write(context_text(res["trend"], res["anomalies"], res["correlations"], date_range_of(res["daily"])), "context", ["subject_id"])
-    write_metric_log(spark, metric_log_rows(res["rolling"], res["trend"], dim, as_of, read_metric_log(spark, reports)), reports)
+    def write(df: DataFrame, name: str) -> None:
+        before(name)
+        write_report(df, reports, name, as_of, order_by=REPORT_ORDER.get(name))
+
+    write(report_overview(res["trend"], wow_now, dim), "overview")
+    write(report_anomalies(res["anomalies"], as_of, threshold=options["threshold"]), "anomalies")
+    write(top_anomalies(res["anomalies"]), "top_anomalies")
+    write(res["workout_by_type"], "workouts_by_type")
+    write(res["workout_weekly"], "workout_weekly")
+    write(res["sleep_nightly"], "sleep_nightly")
+    write(res["sleep_stats"], "sleep_stats")
+    if "chart" in res:
+        write(res["chart"], "chart_data")
+    write(context_text(res["trend"], res["anomalies"], res["correlations"], date_range_of(res["daily"])), "context")
+    before("metric_log")
+    write_metric_log(spark, metric_log_rows(res["rolling"], res["trend"], dim, as_of, read_metric_pages(spark, reports)), reports, as_of)
     due = monthly_due(hist_run)
     if force_monthly:
         due = due.withColumn("monthly_due", F.lit(True))
     due_subjects = due.where("monthly_due").select("subject_id")
-    write(monthly_rollup(hist_metric).join(due_subjects, "subject_id", "left_semi"), "monthly_metrics", ["subject_id", "metric"])
-    write(monthly_totals(hist_run).join(due_subjects, "subject_id", "left_semi"), "monthly_totals", ["subject_id"])
-    write(dataset_profile(records), "profile", ["metric"])
+    write(monthly_rollup(hist_metric).join(due_subjects, "subject_id", "left_semi"), "monthly_metrics")
+    write(monthly_totals(hist_run).join(due_subjects, "subject_id", "left_semi"), "monthly_totals")
+    write(dataset_profile(records), "profile")
     return counts

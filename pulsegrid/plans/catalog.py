@@ -437,25 +437,23 @@ def _folder(spark, name):
 
 
 def q_snapshot_upsert(spark, sf):
-    """Four saves of three report dates: the last week, the first (out of
-    order), the second, and the second again with other figures."""
+    """Every week of the history saved out of order, every second one first, with
+    figures that are off; then all saved again with the right ones."""
     metric, run = event_history(spark, sf)
     metric, run = materialize(metric, "history-metrics"), materialize(run, "history-runs")
     path = _folder(spark, "snapshots")
-
-    def save(week: str, shift: float = 0.0) -> None:
-        on = F.col("week") == F.lit(week).cast("date")
-        save_snapshot(spark, metric.where(on).withColumn("avg", F.col("avg") + shift), run.where(on), path)
-
-    for week, shift in (("2024-01-29", 0.0), ("2024-01-01", 0.0), ("2024-01-08", 5.0), ("2024-01-08", 0.0)):
-        save(week, shift)
+    weeks = sorted(r[0] for r in run.select("week").distinct().collect())
+    for week in weeks[1::2] + weeks[0::2]:
+        on = F.col("week") == F.lit(week)
+        save_snapshot(spark, metric.where(on).withColumn("avg", F.col("avg") + 5.0), run.where(on), path)
+    save_snapshot(spark, metric, run, path)
     stored, runs = load_snapshots(spark, path)
     return stored.join(runs.select("subject_id", "report_date", "run_number"), ["subject_id", "report_date"]) \
                  .select("subject_id", "report_date", "week", "metric", "avg", "run_number")
 
 
 def q_snapshot_json_roundtrip(spark, sf):
-    """The history as JSON documents, written per subject and read back."""
+    """The history as JSON documents, written in bundles and read back."""
     metric, run = event_history(spark, sf)
     path = _folder(spark, "json")
     write_snapshots_json(metric, run, path)
@@ -463,23 +461,29 @@ def q_snapshot_json_roundtrip(spark, sf):
     return metric.join(run.select("subject_id", "report_date", "run_number", "anomaly_count"), ["subject_id", "report_date"])
 
 
+def _still_there(spark, sf):
+    """The subjects with a reading on the last day of the data."""
+    day = event_records(spark, sf).select("subject_id", F.to_date("start_local").alias("day"))
+    last = day.agg(F.max("day").alias("day"))
+    return day.join(last, "day").select("subject_id").distinct()
+
+
 def q_report_sink_roundtrip(spark, sf):
-    """A report written for two dates, the second after half of the subjects
+    """A report written for two dates, the second again after some subjects
     left, and read back by date."""
     top = materialize(q_top5_anomalies(spark, sf), "top5")
     root = _folder(spark, "reports")
     write_report(top, root, "top", "2024-01-24", order_by=["subject_id"])
     write_report(top, root, "top", "2024-01-31", order_by=["subject_id"])
-    write_report(top.where("subject_id % 2 = 0"), root, "top", "2024-01-31", order_by=["subject_id"])
+    write_report(top.join(_still_there(spark, sf), "subject_id", "left_semi"), root, "top", "2024-01-31", order_by=["subject_id"])
     return read_report(spark, root, "top").groupBy("report_date").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("subject_id").alias("n_subjects"),
         F.sum("n_readings").alias("n_readings")).withColumn("report_date", F.col("report_date").cast("date"))
 
 
-def _write_exports(spark, sf, folder, where="true"):
-    """The events stand-in as export XML, one file per subject: records and, for
+def write_exports(raw, folder):
+    """Raw records as export XML, one file per subject: records and, for
     purchases, workouts as well."""
-    raw = event_raw_records(spark, sf).where(where)
     text = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&#34;"))
     attribute = lambda name, c: F.concat(F.lit(f' {name}="'), text(c), F.lit('"'))
     record = F.concat(F.lit(" <Record"), *[attribute(n, F.col(n)) for n in ("type", "sourceName", "unit", "value", "creationDate", "startDate")],
@@ -493,12 +497,19 @@ def _write_exports(spark, sf, folder, where="true"):
 
 def q_ingest_roundtrip(spark, sf):
     """Events as export XML, ingested, then one more ingest after new exports of
-    the even subjects, without their errors; the tables read back."""
+    the subjects that are still there, without their errors; the tables read back."""
     landing, tables = _folder(spark, "landing"), _folder(spark, "tables")
-    _write_exports(spark, sf, os.path.join(landing, "1"))
-    ingest(spark, landing, tables, dim=EVENTS_DIM)
-    _write_exports(spark, sf, os.path.join(landing, "2"), "subject_id % 2 = 0 AND type <> 'Error'")
+    raw = event_raw_records(spark, sf)
+    write_exports(raw, os.path.join(landing, "1"))
+    ingest(spark, landing, tables, dim=EVENTS_DIM, buckets=16)
+    again = raw.where("type <> 'Error'").join(_still_there(spark, sf), "subject_id", "left_semi")
+    write_exports(again, os.path.join(landing, "2"))
     ingest(spark, landing, tables, dim=EVENTS_DIM)
+    return stored_totals(spark, tables)
+
+
+def stored_totals(spark, tables):
+    """Rows, sum, first and last start per subject and metric, workouts as one more metric."""
     records = read_records(spark, tables).select(
         "subject_id", "metric", "value", F.date_format("start_local", "yyyy-MM-dd HH:mm:ss").alias("start_local"))
     workouts = read_workouts(spark, tables).select(

@@ -735,6 +735,9 @@ def outputs_sql() -> str:
     return " UNION ALL ".join(one(n, q, c) for n, (q, c) in parts.items())
 
 
+#: Subjects with a reading on the last day of the data.
+STILL_THERE = "(SELECT user_id FROM events WHERE CAST(ts AS DATE) = (SELECT CAST(max(ts) AS DATE) FROM events))"
+
 DIRTY = """
 dirty AS (
   SELECT user_id, event_type, event_id % 11 AS k, ts,
@@ -761,10 +764,10 @@ FROM tl t LEFT JOIN an USING (subject_id) LEFT JOIN wo USING (subject_id) LEFT J
 """,
     "snapshot_upsert": f"""
 WITH {SNAP_CTES},
+placed AS (SELECT week, row_number() OVER (ORDER BY week) AS place FROM (SELECT DISTINCT week FROM runs)),
 saved AS (
-  SELECT subject_id, week, row_number() OVER (PARTITION BY subject_id ORDER BY CASE week
-         WHEN DATE '2024-01-29' THEN 1 WHEN DATE '2024-01-01' THEN 2 ELSE 3 END) AS number
-  FROM runs WHERE week IN (DATE '2024-01-29', DATE '2024-01-01', DATE '2024-01-08'))
+  SELECT subject_id, week, row_number() OVER (PARTITION BY subject_id ORDER BY place % 2, week) AS number
+  FROM runs JOIN placed USING (week))
 SELECT sm.subject_id, CAST(sm.week + 6 AS DATE) AS report_date, sm.week, sm.metric, sm.avg, saved.number AS run_number
 FROM sm JOIN saved USING (subject_id, week)
 """,
@@ -780,13 +783,13 @@ SELECT DATE '2024-01-24' AS report_date, count(*) AS n_rows, count(DISTINCT subj
        CAST(sum(n_readings) AS BIGINT) AS n_readings FROM top HAVING count(*) > 0
 UNION ALL
 SELECT DATE '2024-01-31', count(*), count(DISTINCT subject_id), CAST(sum(n_readings) AS BIGINT)
-FROM top WHERE subject_id % 2 = 0 HAVING count(*) > 0
+FROM top WHERE subject_id IN {STILL_THERE} HAVING count(*) > 0
 """,
     "ingest_roundtrip": f"""
 SELECT user_id AS subject_id, event_type AS metric, count(*) AS n, {rnd("sum(value)", 4)} AS total,
        strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last
 FROM events
-WHERE event_type IN ('click', 'purchase', 'error', 'signup') AND NOT (user_id % 2 = 0 AND event_type = 'error')
+WHERE event_type IN ('click', 'purchase', 'error', 'signup') AND NOT (user_id IN {STILL_THERE} AND event_type = 'error')
 GROUP BY 1, 2
 UNION ALL
 SELECT user_id, 'workout', count(*), {rnd("sum(value)", 4)},

@@ -104,6 +104,8 @@ def scan(spark: SparkSession, path: str, stream: bool = False, since: str | None
         reader = reader.option("modifiedAfter", since)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if stream:  # by default a file over a week older than the newest one is passed over
+        reader = reader.option("maxFileAge", "36500d")
     text = reader.load(path)
     return text.select("value", F.col("_metadata.file_path").alias("path"),
                        F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("length"),

@@ -1,0 +1,138 @@
+"""The bucketed store: what a commit writes, what readers see."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from pulsegrid.sources import tables
+from test_ingest import HEART, STEPS, days, put, rec, stored
+
+
+def files(root, *names):
+    """Data files under ``root`` and their bytes."""
+    found = {}
+    for folder, _, inside in os.walk(os.path.join(root, *names)):
+        found |= {os.path.join(folder, f): os.path.getsize(os.path.join(folder, f)) for f in inside if f.endswith(".parquet")}
+    return found
+
+
+def buckets(found):
+    return {part for f in found for part in f.split(os.sep) if part.startswith("bucket=")}
+
+
+@pytest.fixture()
+def population(tmp):
+    src, dst = os.path.join(tmp, "landing"), os.path.join(tmp, "tables")
+    for i in range(40):
+        put(src, f"subject={i}/a.xml", *days(STEPS, [i, i + 1]), *days(HEART, [60]), mtime=1_700_000_000 + i)
+    return src, dst
+
+
+def test_second_ingest_writes_one_bucket(spark, population):
+    from pulsegrid.plans.ingest import ingest
+
+    src, dst = population
+    ingest(spark, src, dst, buckets=8)
+    before, want = files(dst), stored(spark, dst)
+    assert len(buckets(before)) == 8
+    put(src, "subject=5/b.xml", *days(STEPS, [500]), mtime=1_700_000_900)
+    got = ingest(spark, src, dst)
+    assert (got["mode"], got["records_seen"], got["kept"]) == ("update", 1, 1)
+    new = set(files(dst)) - set(before)
+    own = spark.range(5, 6).select(tables.bucket_of(F.col("id"), 8)).first()[0]
+    assert buckets(new) == {f"bucket={own}"}
+    assert stored(spark, dst) == sorted([r for r in want if r[0] != 5] + [(5, "step_count", 500.0)])
+    assert all(os.path.exists(f) for f in before)  # a reader of the old version still finds its files
+    assert ingest(spark, src, dst)["mode"] == "unchanged" and set(files(dst)) == set(before) | new
+
+
+def test_parse_is_one_scan_and_lists_nothing(spark, population, monkeypatch):
+    from pulsegrid.plans.ingest import newest_exports
+    from pulsegrid.session import materialize
+    from pulsegrid.sources import xml
+
+    src, _ = population
+    newest = materialize(newest_exports(xml.exports(spark, src)), "exports")
+    for limit in (100, 3):  # broadcast list, and join
+        monkeypatch.setattr(xml, "BROADCAST_FILES", limit)
+        parsed = xml.parse(spark, src, newest.where("subject_id < 30"), 30)
+        plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [value") == 1 and "Union" not in plan and "LocalRelation" not in plan
+        assert parsed.where("kind = 'Record'").select("subject_id").distinct().count() == 30
+
+
+def test_since_opens_only_what_is_newer(spark, population):
+    from pulsegrid.sources import xml
+
+    src, _ = population
+    late = xml.scan(spark, src, since="2023-11-14T22:13:50")  # 1_700_000_030
+    assert late.select("path").distinct().count() == 9
+    assert xml.scan(spark, src).select("path").distinct().count() == 40
+
+
+def test_stream_appends_in_proportion_and_replays_nothing(spark, population, tmp):
+    from pulsegrid.streaming.ingest import ingest_available
+
+    src, dst = population
+    ck = os.path.join(tmp, "ck")
+    total = ingest_available(spark, src, dst, ck, buckets=8, files_per_batch=25)
+    assert total == {"records_seen": 120, "kept": 120, "skipped": 0, "workouts": 0}
+    before, want, number = files(dst), stored(spark, dst), tables.current_version(spark, dst).number
+    assert number == 2
+    put(src, "subject=7/b.xml", *days(STEPS, [70, 71, 72]), rec("Unknown", "1", "2024-01-01 08:00:00 -0600"), mtime=1_700_000_900)
+    put(src, "subject=8/old.xml", *days(STEPS, [1]), mtime=1_600_000_000)  # late and older: doesn't count
+    assert ingest_available(spark, src, dst, ck) == {"records_seen": 5, "kept": 4, "skipped": 1, "workouts": 0}
+    new = {f: n for f, n in files(dst).items() if f not in before}
+    assert len(buckets(new)) <= 2 and sum(new.values()) < sum(before.values()) / 2
+    want = sorted([r for r in want if r[0] != 7] + [(7, "step_count", v) for v in (70.0, 71.0, 72.0)])
+    assert stored(spark, dst) == want
+    # A batch that comes again, its commit already in the log.
+    part = {p for _, _, p in tables.current_version(spark, dst).live if p.endswith("-2")}
+    assert len(part) == 1
+    empty = [spark.createDataFrame([], s) for s in tables.TABLES.values()]
+    assert tables.append_part(spark, dst, part.pop(), *empty) is False
+    # Compaction changes what is stored, not what is read.
+    assert tables.compact(spark, dst) and stored(spark, dst) == want
+    assert all(len(tables.current_version(spark, dst).parts(b)) == 1 for b in range(8))
+    assert tables.compact(spark, dst) == []
+    manifest = {r.subject_id: os.path.basename(r.path) for r in tables.read_manifest(spark, dst).collect()}
+    assert manifest[7] == "b.xml" and manifest[8] == "a.xml" and len(manifest) == 40
+
+
+def test_failed_batch_comes_again(spark, population, tmp, monkeypatch):
+    """The part is written, the commit is lost, the batch runs again."""
+    from pulsegrid.streaming.ingest import ingest_available
+
+    src, dst = population
+    ck = os.path.join(tmp, "ck")
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(Exception):
+            ingest_available(spark, src, dst, ck, buckets=4)
+    assert tables.current_version(spark, dst) is None
+    assert ingest_available(spark, src, dst, ck, buckets=4)["records_seen"] == 120
+    assert len(stored(spark, dst)) == 120 and tables.current_version(spark, dst).number == 1
+
+
+def test_batch_update_over_appended_parts(spark, population, tmp):
+    from pulsegrid.plans.ingest import ingest
+    from pulsegrid.streaming.ingest import ingest_available
+
+    src, dst = population
+    ingest_available(spark, src, dst, os.path.join(tmp, "ck"), buckets=2, files_per_batch=15)
+    assert ingest(spark, src, dst)["mode"] == "unchanged"
+    put(src, "subject=3/b.xml", *days(HEART, [61, 62]), mtime=1_700_000_900)
+    ingest(spark, src, dst)
+    got = stored(spark, dst)
+    assert len(got) == 39 * 3 + 2 and [r for r in got if r[0] == 3] == [(3, "heart_rate", 61.0), (3, "heart_rate", 62.0)]
+
+
+def test_counts_when_nothing_is_kept(spark, tmp):
+    from pulsegrid.plans.ingest import ingest
+
+    src, dst = os.path.join(tmp, "landing"), os.path.join(tmp, "tables")
+    put(src, "subject=1.xml", rec("Unknown", "1", "2024-01-01 08:00:00 -0600"))
+    got = ingest(spark, src, dst)
+    assert got == {"records_seen": 1, "kept": 0, "skipped": 1, "workouts": 0, "mode": "full"}
+    assert stored(spark, dst) == [] and tables.read_manifest(spark, dst).count() == 1
