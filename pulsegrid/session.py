@@ -31,6 +31,9 @@ BASE_CONF = {
     # shuffle stage has measured the small side's real size.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    # Landing folders hold a folder per subject; a listing task for each folder
+    # costs more than the listing.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
     "spark.ui.enabled": "false",
 }
 
