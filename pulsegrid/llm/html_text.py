@@ -1,17 +1,24 @@
 """Main text of web pages by two-pass block rules (operator 8).
 
 A page is cut into blocks at block-level tags.  *First pass*, each block alone:
-structure (navigation, adverts, forms, comments and the like) and link density
-decide blocks as boilerplate; of the rest, long blocks with many stop words are
-decided as text, and what is short or has few stop words stays ambiguous.  On a
-page in a language without a stop-word list length alone decides.
+elements that hold no main text (navigation, footers, scripts, hidden ones and the
+like), link density, length and stop words.  Long blocks with many stop words are
+decided as text, link-dense ones as boilerplate; what is short or has few stop words
+stays ambiguous.  On a page in a language without a stop-word list length alone decides.
 *Second pass*: an ambiguous block inherits the label of its nearest decided
 neighbours; where they differ, long blocks and headings above text count as
 text.
 
+Class and id names only help.  A name made of nothing but boilerplate words
+(``ad``, ``comment-list``, ``cookie-notice``) marks boilerplate, but never the
+page's own ``article`` or ``main``, and should a page be left without any text, the
+long blocks under such marks are its text.  A name that merely contains such a word
+(``social-science``, ``related-work``) only takes link-dense blocks away.  A form
+is one if it has little text for its controls; a page wrapped in a form is a page.
+
 Where a page marks its article (``article`` or ``main``), blocks outside it are
-boilerplate, and inside it only structure makes boilerplate: links alone leave a
-block ambiguous, neighbours only speak for blocks of the same article, and
+boilerplate, unless only these are text by the first pass.  Inside it links alone
+leave a block ambiguous, neighbours only speak for blocks of the same article, and
 without decided neighbours an ambiguous block there is text.  On a page without
 any block decided as text, ambiguous blocks are the text.
 
@@ -23,15 +30,13 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pulsegrid.llm.common import table
+from pulsegrid.llm.common import added, column, table
 
 #: First-pass limits: characters, shares of a block's characters or words.
 MAX_LINK_DENSITY, SHORT, LONG, MANY_STOPS = 0.2, 70, 200, 0.15
@@ -50,8 +55,10 @@ STOP_WORDS = {
 # Elements of HTML by their part in the page.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
-DROPPED = {"nav", "footer", "aside", "form", "button", "select", "template", "svg", "math", "head", "object", "audio", "video",
-           "canvas", "map", "menu", "dialog", "noscript", "fieldset"} | RAW
+DROPPED = {"nav", "footer", "aside", "button", "select", "template", "svg", "head", "object", "audio", "video",
+           "canvas", "map", "menu", "dialog", "noscript", "datalist", "annotation", "annotation-xml"} | RAW
+FORMS = {"form", "fieldset"}
+CONTROLS = {"input", "textarea", "select", "button"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
           "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
           "time", "tt", "u", "var", "wbr", "br"}
@@ -69,48 +76,89 @@ BAD_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertis
 
 #: Of these, the ones that hold articles of others, never the page's own.
 OTHERS_WORDS = {"comment", "comments", "commentlist", "disqus", "related", "replies", "respond"}
+#: Words that say nothing about what an element with such a name holds.
+NEUTRAL_WORDS = {"area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content",
+                 "contents", "form", "global", "group", "holder", "icon", "icons", "inner", "item", "items", "layer", "left", "link",
+                 "links", "list", "message", "outer", "overlay", "pane", "panel", "posts", "right", "row", "section", "site", "slot",
+                 "stories", "text", "title", "top", "unit", "wrap", "wrapper"}
 #: Class names that begin so tell what a page has, not what the element is.
 LAYOUT = ("has-", "with-", "no-", "is-")
+#: Characters of text per control below which a form is a form, not a layout.
+FORM_TEXT = 200
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_ROLE = re.compile(r"""\brole\s*=\s*["']?\s*([\w-]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/][^\s"'=<>/]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z]+)""", re.I)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _LETTERS = re.compile(r"[^\W\d_]+")
 STOPS = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
 
 
+#: What a name says of its element.
+NOTHING, HINT, MARK, OTHERS = range(4)
+
+
 @dataclass
 class Block:
     article: int
-    boilerplate: bool
-    heading: bool
+    gone: bool  # inside an element that holds no main text
+    mark: int = NOTHING
+    heading: bool = False
+    form: int = 0
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
     label: str = ""
 
 
-def _mark(attrs: str) -> int:
-    """Whether class, id or role name boilerplate: 0 no, 1 yes, but an article
-    inside is an article, 2 yes."""
-    if (role := _ROLE.search(attrs)) and role[1].lower() in BAD_ROLES:
-        return 2
-    names = (x for m in _MARK.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").split() if not x.lower().startswith(LAYOUT))
-    words = {w.lower() for x in names for w in _NAME_WORD.findall(x)}
-    return 2 if words & OTHERS_WORDS else 1 if words & BAD_WORDS else 0
+@dataclass
+class Element:
+    name: str = ""
+    gone: bool = False
+    mark: int = NOTHING
+    article: int = 0
+    form: int = 0
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Names in lower case and values, the first of a name."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), a or b or c)
+    return out
+
+
+def _mark(given: dict[str, str]) -> int:
+    """What class and id names say.  A name marks boilerplate only if all its
+    words are of that kind or neutral."""
+    found = NOTHING
+    for name in f"{given.get('class', '')} {given.get('id', '')}".split():
+        if name.lower().startswith(LAYOUT):
+            continue
+        words = {w.lower() for w in _NAME_WORD.findall(name)}
+        bad = words & BAD_WORDS
+        if bad and all(w in BAD_WORDS or w in NEUTRAL_WORDS or len(w) < 3 for w in words):
+            found = max(found, OTHERS if bad & OTHERS_WORDS else MARK)
+        elif bad:
+            found = max(found, HINT)
+    return found
+
+
+def _hidden(given: dict[str, str]) -> bool:
+    return ("hidden" in given and given["hidden"].lower() != "until-found") or given.get("aria-hidden", "").lower() == "true" \
+        or bool(_NO_DISPLAY.search(given.get("style", "")))
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # name, boilerplate (0 to 2), number of its article (0: none)
+    stack: list[Element] = []
     open_ = Counter()
-    state = {"articles": 0, "breaks": 0, "links": 0}
+    state = {"articles": 0, "breaks": 0}
+    controls, forms = Counter(), 0  # of each form
     current: Block | None = None
 
     def end_block() -> None:
@@ -125,11 +173,15 @@ def blocks(page: str) -> list[Block]:
         nonlocal current
         if not text:
             return
+        inside = stack[-1] if stack else Element()
+        if current is not None and inside.gone != current.gone:
+            if inside.gone:  # a hidden part of a line
+                return
+            end_block()
         if current is None:
             if text.isspace():
                 return
-            name, bad, article = stack[-1] if stack else ("", 0, 0)
-            current = Block(article, bad > 0, any(n in HEADINGS for n, _, _ in stack[-4:]))
+            current = Block(inside.article, inside.gone, inside.mark, any(e.name in HEADINGS for e in stack[-4:]), inside.form)
         text = html.unescape(text)
         current.parts.append(text)
         if open_["a"]:
@@ -138,8 +190,8 @@ def blocks(page: str) -> list[Block]:
             state["breaks"] = 0
 
     def close(at: int) -> None:
-        for name, _, _ in stack[at:]:
-            open_[name] -= 1
+        for e in stack[at:]:
+            open_[e.name] -= 1
         del stack[at:]
 
     def close_last(names: set[str], stop: set[str]) -> None:
@@ -147,10 +199,10 @@ def blocks(page: str) -> list[Block]:
         if not any(open_[n] for n in names):
             return
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
+            if stack[k].name in names:
                 close(k)
                 return
-            if stack[k][0] in stop:
+            if stack[k].name in stop:
                 return
 
     at = 0
@@ -168,37 +220,55 @@ def blocks(page: str) -> list[Block]:
             elif current is not None:
                 current.parts.append(" ")
             continue
-        if name not in INLINE:
+        inline = name in INLINE or name == "math" or open_["math"]
+        if not inline:
             end_block()
             state["breaks"] = 0
         if end:
             if open_[name]:
-                k = max(i for i, e in enumerate(stack) if e[0] == name) if stack[-1][0] != name else len(stack) - 1
+                k = max(i for i, e in enumerate(stack) if e.name == name) if stack[-1].name != name else len(stack) - 1
                 close(k)
             continue
-        if name not in INLINE:
+        if not inline:
             close_last({"p"}, {"div", "section", "article", "main", "li", "td", "th", "body", "blockquote", "aside", "nav"})
         if name in CLOSES:
             close_last(CLOSES[name], {"ul", "ol", "dl", "table", "select"})
         if name == "body":
             close_last({"head"}, set())
+        inside = stack[-1] if stack else Element()
+        if name in CONTROLS and inside.form and not (name == "input" and attributes(attrs).get("type", "").lower() == "hidden"):
+            controls[inside.form] += 1
         if name in VOID or attrs.endswith("/") and name not in RAW:
             continue
-        _, bad, article = stack[-1] if stack else ("", 0, 0)
-        mark = _mark(attrs) if attrs and name not in ("html", "body") else 0
-        if name in ("article", "main") and bad < 2 and not mark and not article:
+        given = attributes(attrs) if attrs else {}
+        gone, mark, article, form = inside.gone, inside.mark, inside.article, inside.form
+        own = _mark(given) if name not in ("html", "body") else NOTHING
+        if name in ("article", "main") and not gone and mark < OTHERS and own < OTHERS and not article:
             state["articles"] += 1
-            bad, article = 0, state["articles"]
+            mark, article = NOTHING, state["articles"]
+        else:
+            mark = max(mark, own)
+        if name in FORMS and not form:
+            forms += 1
+            form = forms
         # A header inside an article is its title; elsewhere it is the site's.
-        gone = name in DROPPED or (name == "header" and not article) or (name != "body" and bool(_HIDDEN.search(attrs)))
-        bad = max(bad, mark, 2 if gone else 0)
-        stack.append((name, bad, article))
+        gone = gone or name in DROPPED or (name == "header" and not article) or given.get("role", "").lower() in BAD_ROLES \
+            or (name not in ("html", "body") and _hidden(given))
+        stack.append(Element(name, gone, mark, article, form))
         open_[name] += 1
         if name in RAW:
             found = re.compile(f"</{name}\\b", re.I).search(page, at)
             at = found.start() if found else len(page)
     add(page[at:])
     end_block()
+    # A form with much text for its controls is the layout of a page.
+    size = Counter()
+    for block in out:
+        if not block.gone:
+            size[block.form] += len(block.text)
+    for block in out:
+        if block.form and size[block.form] >= FORM_TEXT * controls[block.form]:
+            block.form = 0
     return out
 
 
@@ -206,23 +276,26 @@ def _first_pass(block: Block, stops: list[frozenset[str]]) -> str:
     """good, bad, or ambiguous: near (not short, whatever its stop words) or short."""
     n = len(block.text)
     density = block.linked / max(1, len(block.text.replace(" ", "")))
-    if block.boilerplate:
+    if block.gone or block.mark >= MARK or (block.form and n < LONG):
         return "bad"
-    # In a marked article links alone don't make boilerplate.
-    if not block.article and (density > MAX_LINK_DENSITY or (n < SHORT and block.linked)):
+    # In a marked article links alone don't make boilerplate, nor does a name with a hint.
+    if density > MAX_LINK_DENSITY and (not block.article or block.mark):
         return "bad"
-    if not block.article and "©" in block.text:
+    if not block.article and n < LONG and ((n < SHORT and block.linked) or "©" in block.text):
         return "bad"
-    words = _LETTERS.findall(block.text.lower())
-    share = max(sum(w in s for w in words) for s in stops) / max(1, len(words)) if stops else 1.0
-    if n >= LONG and share >= MANY_STOPS:
+    if n >= LONG and _stop_share(block.text, stops) >= MANY_STOPS:
         return "good"
     return "short" if n < SHORT else "near"
 
 
+def _stop_share(text: str, stops: list[frozenset[str]]) -> float:
+    words = _LETTERS.findall(text.lower())
+    return max(sum(w in s for w in words) for s in stops) / max(1, len(words)) if stops else 1.0
+
+
 def _second_pass(found: list[Block], default: str) -> None:
     """Ambiguous blocks of ``found`` inherit from the nearest decided ones."""
-    decided = [b.label if b.label in ("good", "bad") and not (b.article and b.boilerplate) else "" for b in found]
+    decided = [b.label if b.label in ("good", "bad") and not (b.article and b.label == "bad") else "" for b in found]
     before, after, last = [], [], ("", 0)
     for k, label in enumerate(decided):
         before.append(last)
@@ -253,7 +326,10 @@ def main_text(page: str) -> str:
     stops = [] if lang and lang[1].lower() not in STOPS else list(STOPS.values())
     for block in found:
         block.label = _first_pass(block, stops)
-    if any(b.article and not b.boilerplate for b in found):
+    inside = [b for b in found if b.article and b.label != "bad"]
+    outside = [b for b in found if not b.article and b.label == "good"]
+    teasers = not any(b.label == "good" for b in inside) and sum(len(b.text) for b in outside) > sum(len(b.text) for b in inside)
+    if inside and not teasers:
         for block in found:
             if not block.article:
                 block.label = "bad"
@@ -263,8 +339,14 @@ def main_text(page: str) -> str:
         _second_pass(found, "good" if not any(b.label == "good" for b in found) else "bad")
         if not any(b.label == "good" for b in found):
             for block in found:
-                if not block.boilerplate and _first_pass(block, stops) in ("near", "short"):
+                if _first_pass(block, stops) in ("near", "short"):
                     block.label = "good"
+    if not any(b.label == "good" for b in found):
+        # Names have taken all: what is long and reads like text is the text.
+        for block in found:
+            bare = replace(block, mark=min(block.mark, HINT), form=0)
+            if len(block.text) >= LONG and _first_pass(bare, stops) in ("good", "near"):
+                block.label = "good"
     return "\n".join(b.text for b in found if b.label == "good")
 
 
@@ -276,17 +358,14 @@ def with_main_text(df: DataFrame, html_col: str = "html", out: str = "text") ->
     rows give equal texts; an empty table stays empty.
     """
     through = [c for c in df.columns if c.lower() not in (html_col.lower(), out.lower())]
-    ready = df.select(F.col(html_col).cast("string").alias("_html"), *through)
-    schema = T.StructType([df.schema[c] for c in through]).add(out, T.StringType())
 
-    def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = pa.array([main_text(x.as_py() or "") for x in part.column(0)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], texts], names=[*part.schema.names[1:], out])
+    def work():
+        def texts(pages: pa.Array) -> pa.Array:
+            return pa.StructArray.from_arrays([pa.array([main_text(x or "") for x in pages.to_pylist()], pa.string())], names=["f0"])
+
+        return texts
 
-    return ready.mapInArrow(extracted, schema)
+    return added(df, column(html_col).cast("string"), work, {out: "string"}, through)
 
 
 def op8_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,87 @@ def test_links_in_an_article_take_no_text_away():
     assert ht.main_text(page(body)).split("\n") == want
     assert ht.main_text(page(f"<article><p>{linked}</p></article>")) == "Read the full report."
     assert ht.main_text(page(f'<article><p>{LINE}</p><div class="related"><a href="/">Other</a></div></article>')) == LINE
+
+
+PARAGRAPH = "This is the kind of text that a reader came for, and it is as long as it has to be so that nobody will take it for a menu. " * 3
+PARAGRAPH = PARAGRAPH.strip()
+
+
+def test_words_in_names_take_no_article_away():
+    text = f"<p>{PARAGRAPH}</p><p>So it was.</p>"
+    want = f"{PARAGRAPH}\nSo it was."
+    for body in (f'<div class="social-science">{text}</div>', f'<article class="public-notice">{text}</article>',
+                 f'<main class="widget-page">{text}</main>', f'<article><div id="login-to-power-grid">{text}</div></article>',
+                 f'<p title="a hidden gem">{PARAGRAPH}</p><p>So it was.</p>', f"<form action='/x'><input type=hidden><input type=hidden>{text}</form>",
+                 f'<article><section class="related-work">{text}</section></article>', f'<article class="widget">{text}</article>'):
+        assert ht.main_text(page(body)) == want, body
+
+
+def test_every_boilerplate_word_as_part_of_a_name():
+    for word in sorted(ht.BAD_WORDS):
+        for name in (f"{word}-studies", f"history_of_{word}", f"{word}Essay"):
+            assert ht.main_text(page(f'<div class="{name}"><p>{PARAGRAPH}</p></div>')) == PARAGRAPH, name
+            assert ht.main_text(page(f'<article><div id="{name}"><p>{PARAGRAPH}</p><p>Yes.</p></div></article>')) == f"{PARAGRAPH}\nYes.", name
+        # The name alone marks boilerplate beside a text, but a page is never emptied by it.
+        both = f'<article><p>{LINE}</p><div class="{word}"><p>{PARAGRAPH}</p></div></article>'
+        assert ht.main_text(page(both)) == LINE, word
+        assert ht.main_text(page(f'<div class="{word}"><p>{PARAGRAPH}</p></div>')) == PARAGRAPH, word
+
+
+def test_names_of_boilerplate_words_only():
+    for name in ("ad", "ad-slot", "comment-list", "cookie_notice", "relatedPosts", "footer-links", "newsletter-signup", "sidebar-content"):
+        assert ht.main_text(page(f'<article><p>{LINE}</p><div class="x {name}"><p>{PARAGRAPH}</p></div></article>')) == LINE, name
+
+
+def test_forms_formulas_signs_and_hidden_elements():
+    search = '<form><label>Search</label> <input> <button>Go</button></form>'
+    assert ht.main_text(page(f"<article><p>{LINE}</p>{search}<p>End.</p></article>")) == f"{LINE}\nEnd."
+    wrapped = f'<form><input type="hidden"><div class="menu"><a href="/">Home</a></div><article><p>{LINE}</p><p>End.</p></article><input></form>'
+    assert ht.main_text(page(wrapped)) == f"{LINE}\nEnd."
+    formula = "where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>TeX</annotation></math> holds."
+    assert ht.main_text(page(f"<article><p>{LINE}</p><p>{formula}</p></article>")) == f"{LINE}\nwhere x=2 holds."
+    assert ht.main_text(page(f"<p>© 1999 {PARAGRAPH}</p>")) == f"© 1999 {PARAGRAPH}"
+    assert ht.main_text(page(f"<p>{LINE}</p><p>© 1999 Site</p>")) == LINE
+    for how in ("hidden", 'hidden=""', 'aria-hidden="true"', 'style="color:red; display: none"', "style='visibility:hidden'"):
+        assert ht.main_text(page(f"<article><p>{LINE}</p><div {how}><p>{PARAGRAPH}</p></div></article>")) == LINE, how
+    assert ht.main_text(page("<article><p>a <span hidden>b</span>c</p><p><i hidden>d</i>e</p></article>")) == "a c\ne"
+    for how in ('hidden="until-found"', 'alt="display:none"', 'title="hidden"', 'data-x="hidden" aria-hidden="false"'):
+        assert ht.main_text(page(f"<article><p>{LINE}</p><div {how}><p>{PARAGRAPH}</p></div></article>")) == f"{LINE}\n{PARAGRAPH}", how
+
+
+def test_teasers_marked_as_articles_are_not_the_page():
+    teasers = "".join(f'<article><h3>Other story {k}</h3></article>' for k in range(3))
+    assert ht.main_text(page(f"<div><h1>Title</h1><p>{LINE}</p><p>{PARAGRAPH}</p></div>{teasers}")).split("\n")[:3] == ["Title", LINE, PARAGRAPH]
+
+
+def test_inheritance_label_by_label():
+    """The second pass against a search outwards from each block."""
+    import random
+
+    rng = random.Random(1)
+    for trial in range(400):
+        article = trial % 2
+        found = [ht.Block(article, False, heading=rng.random() < 0.2) for _ in range(rng.randrange(1, 12))]
+        for b in found:
+            b.label = rng.choice(["good", "bad", "near", "short", "short"])
+        given = [b.label for b in found]
+        ht._second_pass(found, "good")
+        for k, block in enumerate(found):
+            # In an article only text decides for others.
+            decides = lambda x: x == "good" or (x == "bad" and not article)
+            left = next((x for x in reversed(given[:k]) if decides(x)), None)
+            right = next((x for x in given[k + 1:] if decides(x)), None)
+            if given[k] in ("good", "bad"):
+                want = given[k]
+            elif left is None or right is None or left == right:
+                want = left or right or "good"
+            else:
+                want = "good" if article or given[k] == "near" or (block.heading and right == "good") else "bad"
+            assert block.label == want
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, page(f"<article><p>{LINE}</p></article>"), "a", "b", "c", "d")], "id long, html string, _html string, row string, value string, f0 string")
+    got = ht.with_main_text(df)
+    assert got.columns == ["id", "_html", "row", "value", "f0", "text"]
+    assert tuple(got.first()) == (1, "a", "b", "c", "d", LINE)
