@@ -2,18 +2,19 @@
 
 What is placed are groups of equal texts.  A group is a vector (bytes, tokens,
 rows), measured in shares of the totals and weighted by ``WEIGHTS``; a shard's
-capacity is its equal share of each.  Groups are placed by falling size, each into the shard where the dot
-product of the group's vector with the residual capacity is highest, among the
-shards that still hold it if there are any.
+capacity is its equal share of each.  Groups are placed by falling size (their
+largest share), each into the shard where the dot product of the group's vector with
+the residual capacity is highest, among the shards that still hold it, or its bytes at
+least, if there are any.
 
 Greedy placing is sequential, so it runs in lots: groups are dealt to lots of
 about ``LOT``, each lot fills its own bins in parallel, and the bins of all lots
 are groups of the next level, until one lot is left; its bins are the shards.  A
 group's shard follows from its bins, level by level.
 
-A group whose share of any total exceeds ``1 / (shards * SPLIT)`` is cut into
-parts by a hash of the row, since placed whole it would be the imbalance.  There
-are at most ``3 * shards * SPLIT`` such groups, whatever the input.
+A group lies in one shard.  Only one that is larger than a shard in some dimension
+is cut, by a hash of the row, into a part per shard, which leaves all shards the same
+room for the other groups; there are fewer than ``3 * shards`` such groups, whatever the input.
 """
 
 from __future__ import annotations
@@ -27,23 +28,24 @@ from pulsegrid.llm.common import WORD, pieces, ranked, staged, table
 
 SHARDS = 16
 LOT = 4096
-SPLIT = 16
 DIMENSIONS = ("bytes", "tokens", "rows")
 #: Of each dimension in the dot product; the law's own counts most.
 WEIGHTS = (8.0, 1.0, 1.0)
 
 
 def place(vectors: np.ndarray, bins: int) -> np.ndarray:
-    """The bin of each row of ``vectors`` (items by dimensions), in order of
-    falling size, ties as they stand."""
+    """The bin of each row of ``vectors`` (items by dimensions, the law's first), in
+    order of falling size, ties as they stand."""
     totals = vectors.sum(axis=0)
     weights = np.array(WEIGHTS)
     share = vectors / np.where(totals > 0, totals, 1.0)
     residual = np.full((bins, vectors.shape[1]), 1.0 / bins)
     out = np.zeros(len(vectors), dtype=np.int64)
-    for k in np.argsort(-share @ weights, kind="stable"):
+    for k in np.argsort(-share.max(axis=1), kind="stable"):
         fits = (residual >= share[k] - 1e-12).all(axis=1)
         score = residual @ (weights * share[k])
+        if not fits.any():
+            fits = residual[:, 0] >= share[k, 0] - 1e-12
         if fits.any():
             score = np.where(fits, score, -np.inf)
         best = int(np.argmax(score))
@@ -83,7 +85,7 @@ def placed(items: DataFrame, bins: int, lot: int = LOT) -> DataFrame:
 
 
 def shards_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS,
-              lot: int = LOT, split: int = SPLIT) -> DataFrame:
+              lot: int = LOT) -> DataFrame:
     """One row per input row: id, ``size`` (UTF-8 bytes plus 1), ``text_crc32``,
     ``n_tokens`` (words), ``law`` (bytes), ``shard`` and ``slot`` in it, gapless
     from 0 in order of id; ``grown_shard`` is null under this law.
@@ -100,9 +102,9 @@ def shards_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     groups = staged(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"),
                                                F.count(F.lit(1)).alias("rows")), "shard-groups")
     totals = groups.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DIMENSIONS]).first()
-    share = F.greatest(*[F.col(d) / max(1, totals[d]) for d in DIMENSIONS]) * (shards * split)
-    # Bounded: each of these groups holds over 1 / (shards * split) of a total.
-    large = staged(groups.where(share > 1).select("digest", F.ceil(share).cast("long").alias("parts")).coalesce(1), "large-groups")
+    share = F.greatest(*[F.col(d) / max(1, totals[d]) for d in DIMENSIONS]) * shards
+    # Bounded: each of these groups holds over 1 / shards of a total.
+    large = staged(groups.where(share > 1).select("digest", F.lit(shards).cast("long").alias("parts")).coalesce(1), "large-groups")
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.col("parts")))
     item = F.unhex(F.md5(F.concat_ws(":", F.hex("digest"), part)))
     parted = rows.join(F.broadcast(large), "digest", "left").withColumn("item", item)
