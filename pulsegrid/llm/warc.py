@@ -23,20 +23,24 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
+import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import staged, table
+from pulsegrid.llm.common import ranked, staged, table
 from pulsegrid.session import ensure_checkpoint_dir
 
 FRAME_BYTES = 1_000_000
 BUNDLE_BYTES = 64_000_000
 LEAST_BYTES = 100
+#: The capture date of pages that have none of their own.
 DATE = "2024-01-01T00:00:00Z"
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -48,7 +52,17 @@ RECORD = "bundle string, frame long, offset long, record_id string, page_id long
 def _filesystem(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return fs.FileSystem.from_uri(path)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI.  One without a scheme lies on Spark's default file
+    system; which that is shows a file that Spark itself has just written there."""
+    if not re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", folder):
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{folder}/_place")
+        place = spark.read.parquet(f"{folder}/_place").select(F.col("_metadata.file_path")).first()[0]
+        folder = unquote(place[:place.index("/_place/")])
+    return folder if "://" in folder else re.sub(r"^(\w+):/*", r"\1:///", folder)
 
 
 def _line(value: str) -> str:
@@ -60,17 +74,29 @@ def _value(line: str) -> str:
     return line.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def record_bytes(record_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_id_of(page_id: int | None, digest: str) -> str:
+    """The id of a response that revisits refer to.  It follows from what is
+    recorded, so that other tasks can name it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def record_bytes(record_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None,
+                 refers_uri: str | None = None, refers_id: str | None = None, date: str = DATE) -> bytes:
     """One WARC record: a response, or a revisit without block."""
     revisit = refers_to is not None
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {DATE}",
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {date}",
             f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_line(url)}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}",
+                 f"WARC-Refers-To-Date: {date}"]
+        if refers_id is not None:
+            head.append(f"WARC-Refers-To: {refers_id}")
+        if refers_uri is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_line(refers_uri)}")
     block = b"" if revisit else payload
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -155,21 +181,29 @@ def read_record(bundle: str, frame: int, offset: int) -> tuple[dict[str, str], b
 
 
 def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, payload, digest and ``refers_to`` (null: response)."""
+    """page_id, url, payload, digest, ``refers_to`` (null: response), the
+    response's url and ``alone``: whether the one row of the response (of a
+    response: itself) is the only one with its page_id, so that it can be named."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")) \
                 .withColumn("digest", F.unhex(F.sha2("html", 256))) \
                 .withColumn("long", F.octet_length("html") >= least_bytes)
-    first = staged(rows.where("long").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-                   .where("n > 1").select("digest", "first"), "first-pages")
+    by_page = rows.where("long").groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url"))
+    first = staged(by_page.groupBy("digest").agg(
+        F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n", "url"))).alias("r"), F.sum("n").alias("n"))
+        .where("n > 1").select("digest", F.col("r.page_id").alias("first"), F.col("r.url").alias("first_url"),
+                               (F.col("r.n") == 1).alias("alone")), "first-pages")
     met = rows.join(first, "digest", "left")
-    refers = F.when(F.col("long") & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    own = F.col("page_id").eqNullSafe(F.col("first"))
+    refers = F.when(F.col("long") & ~own, F.col("first"))
     return met.select("page_id", "url", F.col("html").cast("binary").alias("payload"), F.lower(F.hex("digest")).alias("digest"),
-                      refers.alias("refers_to"))
+                      refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("first_url")).alias("refers_uri"),
+                      (F.col("long") & F.coalesce("alone", F.lit(False)) & (own | refers.isNotNull())).alias("alone"))
 
 
 def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES,
-                  least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) under ``folder``; the index.
+                  least_bytes: int = LEAST_BYTES, date: str = DATE) -> DataFrame:
+    """Write ``pages`` (page_id, url, html), captured at ``date``, under
+    ``folder``; the index.
 
     Defined results: a null html is an empty payload.  Rows that repeat the
     smallest page_id of equal payloads are all responses; where all its page_ids
@@ -179,19 +213,21 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
     fields = T.StructType.fromDDL(INDEX)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         bundle = None
         for batch in batches:
             rows = []
             for row in zip(*(c for c in batch.columns)):
-                page_id, url, payload, digest, refers_to = (x.as_py() for x in row)
+                page_id, url, payload, digest, refers_to, refers_uri, alone = (x.as_py() for x in row)
                 if bundle is None:
                     bundle = Bundle(f"{folder}/{uuid.uuid4().hex}.warc.zst", frame_bytes)
                     count = 0
-                record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{bundle.path}#{count}')}>"
+                if alone and refers_to is None:
+                    record_id = record_id_of(page_id, digest)
+                else:
+                    record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{bundle.path}#{count}')}>"
                 count += 1
-                record = record_bytes(record_id, page_id, url, payload, digest, refers_to)
+                refers_id = record_id_of(refers_to, digest) if alone and refers_to is not None else None
+                record = record_bytes(record_id, page_id, url, payload, digest, refers_to, refers_uri, refers_id, date)
                 frame, offset = bundle.add(record)
                 rows.append((bundle.path, frame, offset, len(record), record_id, page_id, "response" if refers_to is None else "revisit"))
                 if bundle.written > bundle_bytes:
@@ -205,6 +241,7 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
 
     kinds = [f.type for f in to_arrow_schema(fields)]
     empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names=fields.names)
+    folder = qualified(pages.sparkSession, folder)
     _filesystem(folder)[0].create_dir(_filesystem(folder)[1], recursive=True)
     # Staged at once: the files are written once, and the index names those that count.
     return staged(with_types(pages, least_bytes).mapInArrow(written, fields), "warc-index")
@@ -213,7 +250,11 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
 def read_bundles(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """All records of the bundles that ``index`` names, columns RECORD.  Of a
     response, length and digest are those of the payload read; a revisit has
-    those of the payload it refers to."""
+    those of the payload it refers to.  Bundles are dealt one by one, so that a
+    task reads about one, however short their list is.  Defined results: an index
+    without rows gives none; rows of the index that repeat a bundle count once;
+    a null bundle is passed over; other columns of the index are ignored; a bundle
+    that is missing or has no seek table stops the job."""
     fields = T.StructType.fromDDL(RECORD)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,14 +279,15 @@ def read_bundles(index: DataFrame, with_payload: bool = True) -> DataFrame:
                                          refers and int(refers)))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=fields.names)
 
-    bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(read, fields)
+    bundles = staged(index.where("bundle IS NOT NULL").select("bundle").distinct(), "bundles")
+    n = max(1, bundles.count())
+    # Places from 0 on (one short row per bundle), each a partition of its own.
+    placed = ranked(bundles, F.col("bundle"), out="place")
+    return placed.repartitionByRange(n, "place").select("bundle").mapInArrow(read, fields)
 
 
 def op5_seekable_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all ``pages``, written and read back."""
-    import uuid
-
     folder = f"{ensure_checkpoint_dir(spark)}/warc/{uuid.uuid4().hex}"
     index = write_bundles(table(spark, sf_dir, "pages"), folder)
     return read_bundles(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

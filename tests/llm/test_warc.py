@@ -71,3 +71,36 @@ def test_small_bundles_and_empty_table(spark, tmp):
     assert index.agg({"frame": "max"}).first()[0] <= 1  # closed after the first frame that passes the limit
     assert sorted(r.page_id or 0 for r in warc.read_bundles(index).collect()) == sorted(i or 0 for i, _, _ in PAGES)
     assert warc.read_bundles(written(spark, tmp, [])).count() == 0
+
+
+def test_revisits_name_the_record_they_refer_to(spark, tmp):
+    index = written(spark, tmp, date="2025-06-07T08:09:10Z").collect()
+    headers = [warc.read_record(r.bundle, r.frame, r.offset)[0] for r in index]
+    by_id = {h["WARC-Record-ID"]: h for h in headers}
+    named = 0
+    for h in headers:
+        assert h["WARC-Date"] == "2025-06-07T08:09:10Z"
+        if h["WARC-Type"] == "revisit":
+            assert h["WARC-Refers-To-Date"] == h["WARC-Date"]
+            target = by_id[h["WARC-Refers-To"]]  # in another bundle, perhaps
+            assert target["WARC-Type"] == "response" and target["X-Page-ID"] == h["X-Refers-To-Page-ID"]
+            assert target["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and target.get("WARC-Target-URI") == h["WARC-Refers-To-Target-URI"]
+            named += 1
+    assert named == sum("'revisit'" in r for r in brute(PAGES)) > 0
+
+
+def test_a_task_for_each_bundle(spark, tmp):
+    index = written(spark, tmp, bundle_bytes=1)
+    n = index.select("bundle").distinct().count()
+    plan = warc.read_bundles(index)
+    assert n > 3 and plan.rdd.getNumPartitions() == n
+    twice = index.union(index).withColumn("place", F.lit("clash"))
+    assert warc.read_bundles(twice).count() == len(PAGES)
+
+
+def test_folder_without_a_scheme(spark, tmp):
+    place = warc.qualified(spark, f"{tmp}/a b")
+    assert place == f"file://{tmp}/a b" and warc.qualified(spark, "s3://x/y") == "s3://x/y"
+    assert warc.qualified(spark, f"file:{tmp}") == f"file://{tmp}"
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    assert warc.read_bundles(warc.write_bundles(df, f"{tmp}/plain")).count() == len(PAGES)
