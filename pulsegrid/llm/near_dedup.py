@@ -250,7 +250,7 @@ def _across(region: DataFrame, texts: DataFrame, cut: float, count: int, bits: i
     rows = region.join(sizes.drop("n"), "main")
     left = rows.where("outside").withColumn("i", own("lefts")).withColumn("j", every("rights")).withColumn("left", F.lit(True))
     right = rows.withColumn("j", own("rights")).withColumn("i", every("lefts")).withColumn("left", F.lit(False))
-    dealt = left.unionByName(right).select(cell.alias("cell"), "main", "left", "doc_id", "component", "packed")
+    dealt = left.unionByName(right).select(cell.alias("cell"), "main", "left", "doc_id", "component", "packed", "n_shingles")
     dealt = dealt.join(texts.select("doc_id", "text"), "doc_id")
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -281,10 +281,11 @@ def _block_links(rows: pd.DataFrame, cut: float, count: int, bits: int, percent:
             sets[doc] = [shingles((t or "").encode().lower(), hashes, width) for t in texts[doc]]
         return sets[doc]
 
-    rows = rows.drop_duplicates(["left", "doc_id", "component"])
+    # An id with several texts has a row, and a signature, for each.
+    rows = rows.assign(key=[x.tobytes() for x in rows["packed"]]).drop_duplicates(["left", "doc_id", "component", "n_shingles", "key"])
     sides = [rows[rows["left"]], rows[~rows["left"]]]
-    (xs, cx, px), (ys, cy, py) = ((r["doc_id"].to_numpy(), r["component"].to_numpy(),
-                                   np.array(r["packed"].tolist(), dtype=np.int64).view(np.uint64)) for r in sides)
+    (xs, cx, nx, px), (ys, cy, ny, py) = ((r["doc_id"].to_numpy(), r["component"].to_numpy(), r["n_shingles"].to_numpy(np.int64),
+                                           np.array(r["packed"].tolist(), dtype=np.int64).view(np.uint64)) for r in sides)
     out = []
     ones = np.uint64(sum(1 << (k * bits) for k in range(64 // bits)))
     chance = 2.0 ** -bits
@@ -295,7 +296,9 @@ def _block_links(rows: pd.DataFrame, cut: float, count: int, bits: int, percent:
             folded |= differ >> np.uint64(step)
         unequal = np.bitwise_count(folded & ones).sum(axis=2)
         similar = (1 - unequal / count - chance) / (1 - chance)
-        similar[cx[at:at + 64, None] == cy[None, :]] = -1.0
+        mine, theirs = nx[at:at + 64, None], ny[None, :]
+        similar[(cx[at:at + 64, None] == cy[None, :])
+                | (100 * np.minimum(mine, theirs) < percent * np.maximum(mine, theirs))] = -1.0  # too unlike in size to be linked
         first, second = np.nonzero(similar >= cut)
         for k in np.argsort(-similar[first, second], kind="stable"):
             x, y = at + first[k], second[k]
@@ -343,20 +346,23 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     joint = held.join(several, "doc_id", "left_semi").where("doc_id <> rep") \
                 .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = named.join(held.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi") \
-                .groupBy("doc_id", "word_class").agg(F.first("buckets").alias("buckets"), F.first("packed").alias("packed"))
+                .groupBy("doc_id", "word_class").agg(F.first("buckets").alias("buckets"), F.first("packed").alias("packed"),
+                                                     F.first("n_shingles").alias("n_shingles"))
     member = reps.select("doc_id", F.explode("buckets").alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = staged(member.join(sizes, "bucket"), "members")
     touched = members.select("doc_id").distinct()
-    packed = staged(reps.join(touched, "doc_id", "left_semi").select("doc_id", "packed"), "packed")
+    packed = staged(reps.join(touched, "doc_id", "left_semi").select("doc_id", "packed", "n_shingles"), "packed")
     texts = staged(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
                    .join(touched, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
                    .withColumn("text_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), "texts")
 
     def passing(pairs: DataFrame) -> DataFrame:
-        left = packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa"))
-        right = packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb"))
+        left = packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa"), F.col("n_shingles").alias("na"))
+        right = packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb"), F.col("n_shingles").alias("nb"))
+        # Sets too unlike in size can't be linked, whatever they share.
         return pairs.join(left, "a").join(right, "b") \
+                    .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) \
                     .where(estimate(F.col("pa"), F.col("pb"), count, bits) >= cut) \
                     .groupBy("a", "b").agg(F.min("near").alias("near"))
 

@@ -80,3 +80,30 @@ def test_estimate_is_collision_corrected(spark):
             x, y = (nd.pack(nd.minima(np.unique(s), factors, offsets), bits).view(np.int64).tolist() for s in (a, b))
             df = spark.createDataFrame([(x, y)], "a array<long>, b array<long>")
             assert abs(df.select(nd.estimate(F.col("a"), F.col("b"), 1024, bits)).first()[0] - true) < 0.12
+
+
+def test_every_text_of_an_id_is_compared():
+    """An id with two texts of one component: only its second one is near."""
+    import pandas as pd
+
+    vocabulary = [f"w{k}" for k in range(300)]
+    far, near = " ".join(vocabulary[:100]), " ".join(vocabulary[100:200])
+    other = near.replace("w150", "z")
+    factors, offsets = nd._functions(nd.SEED, nd.ROWS * nd.BANDS)
+
+    def row(left, doc, component, text):
+        own = nd.shingles(text.encode(), nd._WordHashes())
+        return (1, left, doc, component, nd.pack(nd.minima(own, factors, offsets), nd.BITS).view(np.int64), len(own), text)
+
+    rows = [row(True, 7, 7, far), row(True, 7, 7, near), row(False, 9, 9, other)]
+    columns = ["main", "left", "doc_id", "component", "packed", "n_shingles", "text"]
+    for order in (rows, rows[::-1]):
+        got = nd._block_links(pd.DataFrame(order, columns=columns), 0.55, nd.ROWS * nd.BANDS, nd.BITS, nd.PERCENT, nd.SHINGLE)
+        assert got == [(7, 9)]
+
+
+def test_sizes_that_cannot_link_are_not_compared(spark):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[:n])) for k, n in enumerate((400, 299, 302, 100, 74, 76, 303))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, map(tuple, nd.near_groups(df).collect()))) == sorted(map(str, brute(rows)))
