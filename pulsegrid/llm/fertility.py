@@ -14,10 +14,12 @@ its band.  There are two bands.  The *wide* one is a parameter, by language or,
 for a language without one, by script.  The *learned* one comes from all
 documents that pass the base rules, by language (script, where the language is
 null) and size class: the far-out fences of the figure, ``FENCE`` interquartile
-ranges beyond the quartiles.  Size classes of under ``LEAST_DOCS`` documents are
-judged by the fences of their language over all size classes, however few its
-documents are; the fewer, the wider these fences.  Quartiles come from exact counts of figures in fixed bins, so reruns
-agree.
+ranges beyond the quartiles.  A class's quartiles are drawn towards those of its
+language, and these towards their script's, by n / (n + ``SHRINK``) for n documents; a
+script keeps its own centre, and its spread is drawn towards that of all documents.
+So every document meets a band, one formula holds at any size, and a class of 99
+documents is judged as one of 100 is.  Quartiles come from exact counts of figures in
+fixed bins, so reruns agree.
 
 Words are cut one by one (a piece never spans white space), so each distinct
 word of a batch is encoded once and all figures are array arithmetic over word
@@ -42,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import staged, table
+from pulsegrid.llm.common import column, staged, table
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.tiktoken"
@@ -52,9 +54,10 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 FENCE = 4.0
-LEAST_DOCS = 100
-#: The size class of the fences over all size classes.
-POOLED = -1
+#: Documents whose own quartiles weigh as much as those of the group above.
+SHRINK = 10
+#: The script of the languages that have bands of their own.
+HOME_SCRIPT = "latin"
 #: Size classes double from MIN_WORDS words on, up to this many; the figures of
 #: short texts vary more.
 SIZE_CLASSES = 6
@@ -259,8 +262,11 @@ def with_fertility(df: DataFrame, text_col: str = "text", lang_col: str | None =
     """
     bands, script_bands = bands or BANDS, script_bands or SCRIPT_BANDS
     through = [c for c in df.columns if c.lower() not in (out.lower(), text_col.lower())]
-    ready = df.select(F.col(text_col).cast("string").alias(text_col),
-                      (F.col(lang_col) if lang_col else F.lit(None)).cast("string").alias("_lang"), *through)
+    language = "lang"
+    while language.lower() in {c.lower() for c in df.columns}:
+        language += "_"
+    ready = df.select(column(text_col).cast("string").alias(text_col),
+                      (column(lang_col) if lang_col else F.lit(None)).cast("string").alias(language), *map(column, through))
     fields = T.StructType.fromDDL(STATS)
     given = [c for c in df.columns if c in through or (keep_text and c == text_col)]
     schema = T.StructType([ready.schema[c] for c in given]).add(out, fields)
@@ -283,61 +289,82 @@ def with_fertility(df: DataFrame, text_col: str = "text", lang_col: str | None =
     return ready.mapInArrow(judged, schema)
 
 
-def _band_keys(lang_col: str, out: str) -> list[Column]:
-    size = F.floor(F.log2(F.col(f"{out}.n_words") / MIN_WORDS))
-    return [F.coalesce(F.col(lang_col).cast("string"), F.col(f"{out}.script")).alias("_group"),
+def _band_keys(lang: Column, judged: Column) -> list[Column]:
+    size = F.floor(F.log2(judged["n_words"] / MIN_WORDS))
+    return [F.coalesce(lang.cast("string"), judged["script"]).alias("_group"),
             F.least(size, F.lit(SIZE_CLASSES - 1)).cast("int").alias("_class")]
 
 
-def learned_bands(judged: DataFrame, lang_col: str = "lang", out: str = "fertility",
-                  fence: float = FENCE, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """Fences per group, size class and figure over all rows of ``judged`` (from
-    ``with_fertility``) that pass the base rules: columns _group, _class (those of
-    ``least_docs`` documents at least, and POOLED) and a map from the figure to its
-    (low, high)."""
-    sound = judged.where(~F.col(f"{out}.base_failed"))
-    figures = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("figure"), F.floor(F.col(f"{out}.{name}") / width).alias("bin"))
-        for name, (width, _) in FENCED.items()]))
-    counts = sound.select(*_band_keys(lang_col, out), figures.alias("f")) \
-                  .groupBy("_group", "_class", "f.figure", "f.bin").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("_class", F.explode(F.array("_class", F.lit(POOLED)))) \
-                   .groupBy("_group", "_class", "figure", "bin").agg(F.sum("n").alias("n"))
-    own = Window.partitionBy("_group", "_class", "figure")
+def _drawn(own: str, above: str, n: str) -> Column:
+    weight = F.col(n) / (F.col(n) + SHRINK)
+    return weight * F.col(own) + (1 - weight) * F.col(above)
+
+
+def learned_bands(judged: DataFrame, lang: Column, figures: Column, fence: float = FENCE) -> DataFrame:
+    """Fences per group, size class and figure over all rows of ``judged`` that
+    pass the base rules (``figures``: the struct of ``with_fertility``): columns
+    _group, _class and a map from the figure to its (low, high)."""
+    each = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("figure"), F.floor(figures[name] / width).alias("bin")) for name, (width, _) in FENCED.items()]))
+    counts = judged.where(~figures["base_failed"]) \
+        .select(F.coalesce(figures["script"], F.lit(HOME_SCRIPT)).alias("_script"), *_band_keys(lang, figures), each.alias("f")) \
+        .groupBy("_script", "_group", "_class", "f.figure", "f.bin").agg(F.count(F.lit(1)).alias("n"))
+    # The same counts for every class, group, script and for all documents.
+    none = {"_script": "string", "_group": "string", "_class": "int"}
+    levels = [("_script", "_group", "_class"), ("_script", "_group"), ("_script",), ()]
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), *[F.col(c) if c in own else F.lit(None).cast(t).alias(c)
+                                                                  for c, t in none.items()]) for k, own in enumerate(levels)]))
+    by = ["level", *none, "figure"]
+    counts = counts.select(keys.alias("k"), "figure", "bin", "n").select("k.*", "figure", "bin", "n") \
+                   .groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(*by)
     ranked = counts.select("*", F.sum("n").over(own.orderBy("bin")).alias("upto"), F.sum("n").over(own).alias("all"))
     quartile = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin")))
-    quartiles = ranked.groupBy("_group", "_class", "figure") \
-                      .agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.first("all").alias("all")) \
-                      .where((F.col("all") >= least_docs) | (F.col("_class") == POOLED))
+    found = ranked.groupBy(*by).agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.first("all").alias("n"))
+    # A row per class and figure, whatever the number of documents.
+    found = staged(found.select(*by, "n", ((F.col("q1") + F.col("q3")) / 2).alias("centre"),
+                                (F.col("q3") - F.col("q1")).cast("double").alias("spread")).coalesce(1), "fertility-quartiles")
+
+    def level(k: int, suffix: str) -> DataFrame:
+        return found.where(F.col("level") == k).select(*levels[k], "figure", *[F.col(c).alias(c + suffix) for c in ("n", "centre", "spread")])
+
+    classes = level(0, "0").join(level(1, "1"), ["_script", "_group", "figure"]).join(level(2, "2"), ["_script", "figure"]) \
+                           .join(level(3, "3"), "figure")
+    drawn = classes.withColumn("spread2", _drawn("spread2", "spread3", "n2"))
+    for k in (1, 0):
+        drawn = drawn.withColumns({f"{c}{k}": _drawn(f"{c}{k}", f"{c}{k + 1}", f"n{k}") for c in ("centre", "spread")})
     width = F.create_map(*[F.lit(x) for name, (w, _) in FENCED.items() for x in (name, w)])[F.col("figure")]
     upper = F.col("figure").isin([name for name, (_, both) in FENCED.items() if both])
-    # Quartiles of few documents are off by about the inverse root of their number.
-    few = F.greatest(F.lit(1.0), F.sqrt(F.lit(least_docs) / F.col("all")))
-    reach = fence * (F.col("q3") - F.col("q1") + 1) * few
-    return quartiles.groupBy("_group", "_class").agg(F.map_from_entries(F.collect_list(F.struct(
-        "figure", F.struct(((F.col("q1") - reach) * width).alias("low"),
-                           F.when(upper, (F.col("q3") + 1 + reach) * width).alias("high"))))).alias("_fences"))
+    half = F.col("spread0") / 2 + fence * (F.col("spread0") + 1)
+    # A language can have documents of several scripts; the most frequent one's fences hold.
+    top = Window.partitionBy("_group", "_class", "figure").orderBy(F.desc("n0"), "_script")
+    return drawn.withColumn("_place", F.row_number().over(top)).where("_place = 1") \
+                .groupBy("_group", "_class").agg(F.map_from_entries(F.collect_list(F.struct(
+                    "figure", F.struct(((F.col("centre0") - half) * width).alias("low"),
+                                       F.when(upper, (F.col("centre0") + 1 + half) * width).alias("high"))))).alias("_fences"))
 
 
 def quality(df: DataFrame, text_col: str = "text", lang_col: str = "lang", out: str = "fertility",
             keep_text: bool = True, **options) -> DataFrame:
     """``with_fertility`` with the verdict: the struct ``out`` gains ``kept``.
     The measured table is staged, as the learned bands need all of it first."""
-    judged = staged(with_fertility(df, text_col, lang_col, out, keep_text=keep_text, **options), "fertility")
+    given = [c for c in df.columns if c.lower() != out.lower() and (keep_text or c.lower() != text_col.lower())]
+    # The caller's columns travel in one struct, so that none meets a name of this function.
+    row = F.struct(*[column(c).alias(f"c{k}") for k, c in enumerate(given)], F.lit(0).alias("none"))
+    ready = df.select(row.alias("row"), column(lang_col).cast("string").alias("lang"), column(text_col).alias("text"))
+    judged = staged(with_fertility(ready, "text", "lang", "figures", keep_text=False, **options), "fertility")
     # A row for each language and size class: staged, so that the planner knows
     # its size and broadcasts it only if that is under the session's threshold.
-    bands = staged(learned_bands(judged, lang_col, out).coalesce(1), "fertility-bands")
-    fences = [F.coalesce(F.col(f"{out}.{name}") >= F.col("_fences")[name]["low"], F.lit(True))
-              & F.coalesce(F.col(f"{out}.{name}") <= F.col("_fences")[name]["high"], F.lit(True)) for name in FENCED]
-    kept = ~F.col(f"{out}.base_failed") & F.col(f"{out}.in_wide_band")
-    for inside in fences:
-        kept = kept & inside
-    both = judged.withColumns({f"_{i}": key for i, key in enumerate(_band_keys(lang_col, out))})
-    own, pooled = bands.where(F.col("_class") != POOLED), bands.where(F.col("_class") == POOLED).toDF("_pool", "_all", "_pooled")
-    met = both.join(own, F.col("_0").eqNullSafe(own["_group"]) & F.col("_1").eqNullSafe(own["_class"]), "left") \
-              .join(pooled, F.col("_0").eqNullSafe(pooled["_pool"]), "left") \
-              .withColumn("_fences", F.coalesce("_fences", "_pooled"))
-    return met.select(*[c for c in judged.columns if c != out], F.col(out).withField("kept", kept).alias(out))
+    bands = staged(learned_bands(judged, F.col("lang"), F.col("figures")).coalesce(1), "fertility-bands")
+    figures = F.col("figures")
+    kept = ~figures["base_failed"] & figures["in_wide_band"]
+    for name in FENCED:
+        low, high = (F.col("_fences")[name][side] for side in ("low", "high"))
+        kept = kept & F.coalesce(figures[name] >= low, F.lit(True)) & F.coalesce(figures[name] <= high, F.lit(True))
+    group, size = _band_keys(F.col("lang"), figures)
+    both = judged.withColumn("at", group).withColumn("of", size)
+    met = both.join(bands, F.col("at").eqNullSafe(bands["_group"]) & F.col("of").eqNullSafe(bands["_class"]), "left")
+    return met.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(given)], figures.withField("kept", kept).alias(out))
 
 
 def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

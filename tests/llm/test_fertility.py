@@ -109,3 +109,33 @@ def test_text_without_letters_is_rejected():
     thai = "ภาษาไทย เป็น ภาษา ที่ มี ระดับ เสียง ของ คำ แน่นอน และ ออกเสียง " * 8
     got = fe.measure([digits.encode(), thai.encode()], [None, None], vocabularies, fe.BANDS, fe.SCRIPT_BANDS)
     assert got["script"] == ["other", "other"] and got["in_wide_band"] == [False, True]
+
+
+def test_no_size_changes_a_verdict():
+    """Planted rows of one quality in classes of 1 to 400 documents: the fences
+    move little by little, and the poor row is rejected in all."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rng = random.Random(8)
+    prose = ("the river runs past an old stone house where people walk in the morning light and talk about the weather while "
+             "children play under tall trees near a bridge that was built long ago by workers from another town who came here").split()
+    noise = lambda: "".join(rng.choice("qxzjkvw0189") for _ in range(6))
+    fine = [" ".join(rng.choice(prose) for _ in range(70)) for _ in range(400)]
+    poor = " ".join(rng.choice(prose) if rng.random() < 0.6 else noise() for _ in range(70))
+    rows = [(text, "en", True) for text in fine]
+    for n in (0, 5, 98, 99, 100):  # languages of n good documents and the poor one
+        rows += [(text, f"x{n}", True) for text in fine[:n]] + [(poor, f"x{n}", False)]
+    got = fe.quality(spark.createDataFrame(rows, "text string, lang string, fine boolean")).select("lang", "fine", "fertility.kept", "fertility.base_failed").collect()
+    assert {r.lang for r in got if not r.fine and r.kept} <= {"x0"}  # the only one of its language and script has no one to differ from
+    assert all(r.kept for r in got if r.fine and not r.base_failed)
+
+
+def test_columns_of_any_name(spark):
+    text = "the river runs past an old stone house where people walk in the morning light " * 5
+    names = ["_lang", "_fences", "_0", "_1", "_group", "_class", "row", "figures", "at", "of", "lang_"]
+    df = spark.createDataFrame([(1, text, "en", *names)], "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    got = fe.quality(df)
+    assert got.columns == ["doc_id", "text", "lang", *names, "fertility"]
+    assert tuple(got.first())[:-1] == (1, text, "en", *names)
+    assert fe.with_fertility(df).columns == got.columns
