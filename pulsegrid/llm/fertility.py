@@ -53,9 +53,9 @@ SLICE_BYTES = 1_000_000
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-FENCE = 4.0
+FENCE = 3.5
 #: Documents whose own quartiles weigh as much as those of the group above.
-SHRINK = 10
+SHRINK = 30
 #: The script of the languages that have bands of their own.
 HOME_SCRIPT = "latin"
 #: Size classes double from MIN_WORDS words on, up to this many; the figures of

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import lower_ascii, table
+from pulsegrid.llm.common import column, lower_ascii, table
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LEAST_SHARE = 0.8
@@ -170,23 +170,24 @@ def scan(df: DataFrame, text_col: str = "text", out: str = "licence", templates:
     idf = inverse_frequencies(df, text_col, templates)
     vocabulary = sorted({w for t in templates for w in _anchors(t, idf)})
     keep = [c for c in df.columns if c.lower() != out.lower()]
-    step = df.select(*keep, _tokens(F.col(text_col)).alias("_words"))
-    at = F.filter(F.sequence(F.lit(0), F.size("_words")), lambda i: F.get(F.col("_words"), i).isin(vocabulary))
-    step = step.select(*keep, "_words", F.transform(at, lambda i: F.struct(i.alias("pos"), F.get(F.col("_words"), i).alias("word"))).alias("_hits"))
-    found = [_spans(t, _alignments(t, idf, F.col("_words"), F.col("_hits"))) for t in templates]
+    # The caller's columns travel in one struct, so that none meets a name of this function.
+    row = F.struct(*[column(c).alias(f"c{k}") for k, c in enumerate(keep)], F.lit(0).alias("none")).alias("row")
+    step = df.select(row, _tokens(column(text_col)).alias("words"))
+    at = F.filter(F.sequence(F.lit(0), F.size("words")), lambda i: F.get(F.col("words"), i).isin(vocabulary))
+    step = step.select("row", "words", F.transform(at, lambda i: F.struct(i.alias("pos"), F.get(F.col("words"), i).alias("word"))).alias("hits"))
+    found = [_spans(t, _alignments(t, idf, F.col("words"), F.col("hits"))) for t in templates]
     # Without looked-up words there is nothing to align.
-    spans = F.when(F.size("_hits") > 0, F.concat(*found)).otherwise(F.slice(F.concat(*found), 1, 0))
-    step = step.select(*keep, F.size("_words").cast("long").alias("_n"), spans.alias("_spans"))
-    base = F.filter("_spans", lambda s: s["base"])
-    step = step.select(*keep, "_n", "_spans", base.alias("_base"))
+    spans = F.when(F.size("hits") > 0, F.concat(*found)).otherwise(F.slice(F.concat(*found), 1, 0))
+    step = step.select("row", F.size("words").cast("long").alias("n"), spans.alias("spans"))
+    step = step.select("row", "n", "spans", F.filter("spans", lambda s: s["base"]).alias("base"))
     joined = lambda c: F.array_join(F.sort_array(F.array_distinct(F.transform(c, lambda s: s["label"]))), ",")
-    starts = F.transform("_base", lambda s: s["start"])
-    return step.select(*keep, F.struct(
-        F.col("_n").alias("n_words"), F.size("_base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
-        F.array_max(starts).alias("last_word"), joined("_base").alias("base_labels"), joined("_spans").alias("labels"),
-        F.coalesce(F.array_max(F.transform("_spans", lambda s: s["share"])), F.lit(0.0)).alias("score"),
-        F.transform("_spans", lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["words"].alias("words"),
-                                                 s["share"].alias("share"))).alias("spans")).alias(out))
+    starts = F.transform("base", lambda s: s["start"])
+    return step.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(keep)], F.struct(
+        F.col("n").alias("n_words"), F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), joined("base").alias("base_labels"), joined("spans").alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"),
+        F.transform("spans", lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["words"].alias("words"),
+                                                s["share"].alias("share"))).alias("spans")).alias(out))
 
 
 def op3_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:

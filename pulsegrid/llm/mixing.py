@@ -25,10 +25,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import WORD, ranked, row_key, staged, table
+from pulsegrid.llm.common import WORD, column, ranked, row_key, staged, table
 
 #: Weights of the sources in code-point order, null last, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -180,15 +180,30 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``df`` that the mix takes, each as often as it is taken."""
-    taken = mix(df, id_col, text_col, source_col, **options).groupBy(F.col("key").alias("_key")) \
-        .agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows")).where("_times > 0")
-    # Equal rows share what was drawn for them, the first ones get the rest.
-    copy = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
-    own = df.withColumn("_key", row_key(F.col(id_col), F.col(source_col), F.col(text_col))).withColumn("_copy", copy)
-    times = F.floor(F.col("_times") / F.col("_rows")) + F.when(F.col("_copy") <= F.col("_times") % F.col("_rows"), 1).otherwise(0)
-    return own.join(staged(taken, "taken"), "_key").withColumn("_n", times.cast("long")).where("_n > 0") \
-              .withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*df.columns)
+    """The rows of ``df`` that the mix takes, each as often as it is taken.
+
+    Rows with equal id, source and text share what was drawn for them; where that
+    is no multiple of their number, the first ones by a hash of all their columns
+    get one more.  Nulls, empty texts and tables as in ``mix``; all columns pass
+    through untouched.
+    """
+    taken = mix(df, id_col, text_col, source_col, **options).groupBy("key") \
+        .agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("equal")).where("times > 0")
+    taken = staged(taken, "taken")
+    # The caller's columns travel in one struct, so that none meets a name of this function.
+    row = F.struct(*[column(c).alias(f"c{k}") for k, c in enumerate(df.columns)])
+    own = df.select(row.alias("row"), row_key(column(id_col), column(source_col), column(text_col)).alias("key"))
+    out = own.join(taken.where("equal = 1"), "key").select("row", "times")
+    shared = taken.where("equal > 1")
+    if not shared.isEmpty():
+        # Only these rows are numbered, by range and not by key, so that equal
+        # rows in any number are spread.
+        places = ranked(own.join(shared, "key"), F.col("key"), F.xxhash64("row"), out="place")
+        first = staged(places.groupBy("key").agg(F.min("place").alias("first")), "first-places")
+        more = F.when(F.col("place") - F.col("first") < F.col("times") % F.col("equal"), 1).otherwise(0)
+        out = out.unionByName(places.join(first, "key").select("row", (F.floor(F.col("times") / F.col("equal")) + more).alias("times")))
+    copies = out.where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long"))))
+    return copies.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(df.columns)])
 
 
 def op1_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

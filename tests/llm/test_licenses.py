@@ -77,3 +77,13 @@ def test_templates_without_key_phrases(spark):
 def test_repeated_rows_and_empty_table(spark):
     assert len(set(map(str, scanned(spark, [TEXTS[3]] * 3).values()))) == 1
     assert li.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    names = ["_words", "_n", "_hits", "_spans", "_base", "words", "hits", "spans", "base", "row", "n"]
+    text = "under the MIT license, as is"
+    df = spark.createDataFrame([(1, text, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = li.scan(df)
+    assert got.columns == ["doc_id", "text", *names, "licence"]
+    row = got.first()
+    assert tuple(row)[:-1] == (1, text, *names) and "mit" in row.licence.labels

@@ -108,3 +108,17 @@ def test_mixed_rows_and_empty_table(spark):
     assert got == {k: v for k, v in times.items() if v}
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mixed(frame(spark, [])).count() == 0
     assert {r.times for r in mixing.mix(frame(spark, [(1, None, None), (2, " ", "a")])).collect()} == {0}
+
+
+def test_equal_rows_and_columns_of_any_name(spark):
+    names = ["_key", "_copy", "_n", "key", "times", "row", "equal", "place", "first"]
+    rows = [(k, "one two three", "a", *names) for k in range(60)] + [(7, "equal words here", "a", *names)] * 40
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    df = spark.createDataFrame(rows, schema)
+    got = mixing.mixed(df)
+    assert got.columns == df.columns
+    seen = [tuple(r) for r in got.collect()]
+    assert {r[3:] for r in seen} == {tuple(names)}
+    by = {(r.doc_id, r.text): r.times for r in mixing.mix(df).groupBy("doc_id", "text").agg(F.sum("times").alias("times")).collect()}
+    for key, n in by.items():
+        assert sum(r[:2] == key for r in seen) == n
