@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import added, column, table
 
 VOCABULARY = "word_bpe_49k.json"
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: Words of one width of tree, up to this one, are merged together; longer words alone.
 FOREST_WIDTH = 64
 #: Leaves of the trees that are worked on together.

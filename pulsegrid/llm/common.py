@@ -55,17 +55,20 @@ def ranked(df: DataFrame, *order: Column, out: str = "_rank") -> DataFrame:
     """``df`` with its place, from 0, in the order of ``order``.  Rows are dealt
     by range, ties too, so no task and no window holds more than a part; what
     reaches the driver is one count per part."""
-    keys = [F.col(f"_o{k}") for k in range(len(order))]
-    dealt = df.withColumns({f"_o{k}": c for k, c in enumerate(order)} | {"_tie": F.monotonically_increasing_id()})
-    parts = staged(dealt.repartitionByRange(*keys, F.col("_tie")).withColumn("_part", F.spark_partition_id()), "ranked")
+    # The columns of ``df`` travel in one struct, so that none meets a name of this function.
+    row = F.struct(*[column(c).alias(f"c{k}") for k, c in enumerate(df.columns)])
+    keys = [F.col(f"o{k}") for k in range(len(order))]
+    dealt = df.select(row.alias("row"), *[c.alias(f"o{k}") for k, c in enumerate(order)], F.monotonically_increasing_id().alias("tie"))
+    parts = staged(dealt.repartitionByRange(*keys, F.col("tie")).withColumn("part", F.spark_partition_id()), "ranked")
     offsets, at = [], 0
-    for part, n in sorted(tuple(r) for r in parts.groupBy("_part").count().collect()):
+    for part, n in sorted(tuple(r) for r in parts.groupBy("part").count().collect()):
         offsets.append((part, at))
         at += n
-    before = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
-    own = Window.partitionBy("_part").orderBy(*keys, "_tie")
-    return parts.withColumn("_within", F.row_number().over(own)).join(F.broadcast(before), "_part") \
-                .select(*df.columns, (F.col("_before") + F.col("_within") - 1).cast("long").alias(out))
+    before = df.sparkSession.createDataFrame(offsets, "part int, before long")
+    own = Window.partitionBy("part").orderBy(*keys, "tie")
+    placed = parts.withColumn("within", F.row_number().over(own)).join(F.broadcast(before), "part")
+    return placed.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(df.columns)],
+                         (F.col("before") + F.col("within") - 1).cast("long").alias(out))
 
 
 def column(name: str) -> Column:

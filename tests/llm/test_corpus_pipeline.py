@@ -52,3 +52,16 @@ def test_near_stage_keeps_one_of_each_group(spark):
     groups = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()}
     left = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
     assert {i for i in left if i is not None} == {i for i, c in groups.items() if i is not None and i == c}
+
+
+def test_near_copies_without_ids_go_too_and_names_never_clash(spark):
+    text = documents()[7][1].split()
+    near = [" ".join(text[:k] + ["changed"] + text[k + 1:]) for k in (3, 9)]
+    rows = [(5, " ".join(text)), (None, near[0]), (None, near[1]), (None, "quite another text of a few words"), (None, None), (6, near[0] + " x")]
+    rows = [(i, t, "en", "s", 0, "a", "b", "c") for i, t in rows]
+    docs = spark.createDataFrame(rows, SCHEMA + ", place string, fertility string, _tie string")
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[0], rows[3], rows[4]]))
+    assert corpus_pipeline.quality_rules(spark, docs, "").columns == docs.columns
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0

@@ -119,6 +119,7 @@ def test_equal_rows_and_columns_of_any_name(spark):
     assert got.columns == df.columns
     seen = [tuple(r) for r in got.collect()]
     assert {r[3:] for r in seen} == {tuple(names)}
-    by = {(r.doc_id, r.text): r.times for r in mixing.mix(df).groupBy("doc_id", "text").agg(F.sum("times").alias("times")).collect()}
-    for key, n in by.items():
-        assert sum(r[:2] == key for r in seen) == n
+    by = {r.doc_id: r.times for r in mixing.mix(df).groupBy("doc_id").agg(F.sum("times").alias("times")).collect()}
+    assert sum(by.values()) == len(seen) > 0
+    for doc_id, n in by.items():
+        assert sum(r[0] == doc_id for r in seen) == n
