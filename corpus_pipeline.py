@@ -10,37 +10,64 @@ rereads it, so a lost executor costs one stage's tasks.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import exact_dedup, fertility, mixing, near_dedup, packing
-from pulsegrid.llm.common import staged, table
+from pulsegrid.llm.common import column, ranked, staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that the base rules or a band reject go."""
-    return fertility.quality(docs, out="_fertility").where("_fertility.kept").select(*docs.columns)
+    """Operator 4: documents that the base rules or a band reject go.  Null and
+    empty texts have no words and go; repeated rows are judged alike; a null
+    language is judged by its script; an empty table stays empty; other columns
+    pass through, whatever their names."""
+    out = _unused("fertility", docs)
+    judged = fertility.quality(docs, out=out)
+    return judged.where(F.col(out)["kept"]).select(*map(column, docs.columns))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of equal texts the one with the smallest id stays."""
+    """Operator 10: of equal texts the one with the smallest id stays, null ids
+    last, ties by the other columns.  A null text is the empty one; an empty
+    table stays empty; columns of any name pass through."""
     return exact_dedup.exact_dedup(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: one document of each near-duplicate group stays."""
-    gone = near_dedup.near_groups(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Operator 6: one document of each near-duplicate group stays, the one with
+    the smallest id (null ids last).  Rows are told apart by their place in that
+    order and not by id, so rows without an id, or with one that repeats, are
+    compared like all others.  Texts without words link with nothing and stay; an
+    empty table stays empty; columns of any name pass through."""
+    place = _unused("place", docs)
+    placed = staged(ranked(docs, F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), out=place), "placed")
+    gone = near_dedup.near_groups(placed, id_col=place).where("NOT kept").select(place)
+    return placed.join(gone, place, "left_anti").select(*map(column, docs.columns))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: each document as often as the mix takes it."""
+    """Operator 1: each document as often as the mix takes it.  Texts without
+    words are never taken; a null source is one of its own; rows that repeat id,
+    source and text share their draws; an empty table stays empty; columns of any
+    name pass through."""
     return mixing.mixed(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: pieces of sequences, with their token ids."""
+    """Operator 2: pieces of sequences, with their token ids.  A null text is
+    empty and has the closing id only; repeated rows are pieces of their own; an
+    empty table gives no sequence; other columns are ignored."""
     return packing.packed(docs)
 
 
+def _unused(name: str, docs: DataFrame) -> str:
+    """``name``, or one like it that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_copies),
