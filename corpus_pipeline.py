@@ -33,16 +33,31 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.exact_dedup(docs)
 
 
+#: Rows without an id of their own up to which their keys are broadcast.
+BROADCAST_ROWS = 100_000
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: one document of each near-duplicate group stays, the one with
-    the smallest id (null ids last).  Rows are told apart by their place in that
-    order and not by id, so rows without an id, or with one that repeats, are
-    compared like all others.  Texts without words link with nothing and stay; an
-    empty table stays empty; columns of any name pass through."""
-    place = _unused("place", docs)
-    placed = staged(ranked(docs, F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), out=place), "placed")
-    gone = near_dedup.near_groups(placed, id_col=place).where("NOT kept").select(place)
-    return placed.join(gone, place, "left_anti").select(*map(column, docs.columns))
+    the smallest id.  Rows whose id is null or repeats get a number of their own
+    above all ids, so they are compared like all others and stay last.  Texts
+    without words link with nothing and stay; an empty table stays empty; columns
+    of any name pass through."""
+    key = _unused("key", docs)
+    keyed = docs.withColumn(key, F.col("doc_id"))
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    shared = staged(ids.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id")), "shared-ids")
+    if not shared.isEmpty():
+        rows = docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"))
+        rows = rows.join(shared.withColumnRenamed("id", "other"), F.col("id").eqNullSafe(F.col("other")), "left_semi").distinct()
+        placed = staged(ranked(rows, F.col("id").isNull(), F.col("id"), F.col("digest"), out="place"), "shared-rows")
+        top = ids.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+        own = placed.select("id", "digest", (F.col("place") + 1 + top).alias("own"))
+        own = F.broadcast(own) if placed.count() <= BROADCAST_ROWS else own
+        met = docs.join(own, docs["doc_id"].eqNullSafe(own["id"]) & F.md5(docs["text"]).eqNullSafe(own["digest"]), "left")
+        keyed = met.select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(own["own"], docs["doc_id"]).alias(key))
+    gone = near_dedup.near_groups(keyed, id_col=key).where("NOT kept").select(key).distinct()
+    return keyed.join(gone, key, "left_anti").select(*map(column, docs.columns))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
