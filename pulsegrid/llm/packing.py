@@ -4,19 +4,25 @@ Documents become token ids (a public vocabulary, then the end id).  Windows of
 ``WINDOW`` ids that a long document fills alone are sequences at once; what is
 left of each document, under one window, is an open remainder.
 
-Remainders are dealt to shards of about ``SHARD`` of them.  Each shard is a BM25
-inverted index over its remainders, with token ids as terms, and the inverse
-document frequencies and mean length of *all* remainders.  A seed (the next
-unused remainder) queries the index by its ``QUERY_TERMS`` heaviest terms and
-gets the unused neighbours by score; these fill its window greedily.  The one
-that doesn't fit is cut, and what is left of it stays unused.  Where no
+Each shard is a BM25 inverted index over ``SHARD`` remainders, with token ids as
+terms, and the inverse document frequencies and mean length of *all* windows and
+remainders.  A seed (the next unused remainder) queries the index by all its
+terms and gets the unused neighbours by score; these fill its window greedily.
+The one that doesn't fit is cut, and what is left of it stays unused.  Where no
 neighbour scores, the next unused remainders fill in.  The end of a shard, less
 than a window, becomes sequences whose lengths are powers of two, so nothing is
 padded.
 
+A seed asks its own shard, so remainders that share rare terms are dealt to the
+same one: they are put in the order of their topic (the nearest of ``TOPICS``
+centres, fitted on a sample of about ``SAMPLE`` remainders), then of ``ORDERS``
+weighted min-hashes of their terms, and the order is cut into shards.  Two
+remainders have the same min-hash with the probability of their similarity
+weighted by inverse document frequency, at every size of the corpus.
+
 A shard is bounded by rows and each row by a window (full windows travel as
 check sums, or with their ids where asked for).  What reaches the driver is one
-count per vocabulary entry.
+count per vocabulary entry and the sample.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import pieces, staged, table
+from pulsegrid.llm.common import ranked, staged, table
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -41,10 +47,13 @@ VOCABULARY_SIZE = 50_257
 END = 1
 WINDOW = 2048
 SHARD = 4096
-QUERY_TERMS = 32
+TOPICS, SAMPLE, ROUNDS = 16, 4096, 6
+ORDERS = 3
+#: Neighbours that are put in order at first; more where a window takes more.
+FIRST = 32
 K1, B = 1.2, 0.75
 
-TOKENS = "row long, doc_id long, doc_tokens long, full_crc array<long>, full_ids binary, rest binary"
+TOKENS = "row long, doc_id long, doc_tokens long, full_crc array<long>, full_terms binary, full_ids binary, rest binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -97,38 +106,94 @@ def tokenised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             tokens = tokens or Tokeniser(tokenizers)
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, crcs, whole, rest = [], [], [], []
+                n, crcs, terms, whole, rest = [], [], [], [], []
                 for scalar in part.column(2):
                     ids = np.append(tokens(scalar.as_py() or ""), np.uint16(END))
                     full = len(ids) // window * window
                     n.append(len(ids))
                     crcs.append([crc(ids[k:k + window]) for k in range(0, full, window)])
+                    terms.append(b"".join(np.unique(ids[k:k + window]).astype("<u2").tobytes() for k in range(0, full, window)))
                     whole.append(ids[:full].astype("<u2").tobytes() if with_ids else None)
                     rest.append(ids[full:].astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array(x, kind.field(k + 2).type) for k, x in enumerate((n, crcs, whole, rest)))],
+                    [part.column(0), part.column(1), *(pa.array(x, kind.field(k + 2).type) for k, x in enumerate((n, crcs, terms, whole, rest)))],
                     schema=kind)
 
     return ready.mapInArrow(cut, fields)
 
 
 def _document_frequencies(tokens: DataFrame) -> np.ndarray:
-    """Of all open remainders, how many have each id: one count per vocabulary
-    entry, summed per task first."""
+    """Of all full windows and open remainders, how many have each id: one count
+    per vocabulary entry, summed per task first."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(VOCABULARY_SIZE, dtype=np.int64)
         for batch in batches:
-            for scalar in batch.column(0):
-                found[np.unique(np.frombuffer(scalar.as_py(), dtype="<u2"))] += 1
+            for rest, full in zip(batch.column(0), batch.column(1), strict=True):
+                found[np.unique(np.frombuffer(rest.as_py(), dtype="<u2"))] += 1
+                if whole := full.as_py():
+                    found += np.bincount(np.frombuffer(whole, dtype="<u2"), minlength=VOCABULARY_SIZE)
         ids = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found[ids])], names=["id", "n"])
 
     out = np.zeros(VOCABULARY_SIZE, dtype=np.int64)
-    for i, n in tokens.select("rest").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+    for i, n in tokens.select("rest", "full_terms").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
         out[i] = n
     return out
 
 
+def _centres(sample: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Topics of ``sample`` by spherical k-means: of each vocabulary entry its
+    weight in every centre (times its inverse document frequency)."""
+    vectors = []
+    for ids in sample:
+        if len(ids):
+            terms, tf = np.unique(ids, return_counts=True)
+            weight = tf * idf[terms]
+            vectors.append((terms, weight / max(1e-9, float(np.linalg.norm(weight)))))
+    count = max(1, min(TOPICS, len(vectors)))
+    centres = np.zeros((VOCABULARY_SIZE, count))
+    for c, k in enumerate(np.random.default_rng(1).permutation(len(vectors))[:count]):
+        centres[vectors[k][0], c] = vectors[k][1]
+    for _ in range(ROUNDS):
+        moved = np.zeros_like(centres)
+        for terms, weight in vectors:
+            moved[terms, np.argmax(weight @ centres[terms])] += weight
+        size = np.linalg.norm(moved, axis=0)
+        centres = np.where(size > 0, moved / np.maximum(size, 1e-9), centres)
+    return (centres * idf[:, None]).astype(np.float32)
+
+
+def _routed(rests: list[np.ndarray], centres: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[list[int]]]:
+    """Topic and min-hash terms of each remainder (0 for an empty one)."""
+    topics = [int(np.argmax(centres[r].sum(axis=0))) if len(r) else 0 for r in rests]
+    return topics, [[int(r[np.argmin(h[r])]) if len(r) else 0 for r in rests] for h in hashes]
+
+
+def _hashes(idf: np.ndarray) -> np.ndarray:
+    """``ORDERS`` weighted hashes of each vocabulary entry: exponential, of rate idf."""
+    return np.random.default_rng(2).exponential(size=(ORDERS, VOCABULARY_SIZE)) / np.maximum(idf, 1e-9)
+
+
+def _dealt(tokens: DataFrame, count: int, shard: int, idf: np.ndarray) -> DataFrame:
+    """``tokens`` with ``place`` in the order of what the remainders share, and ``shard``."""
+    step = max(1, round(count / SAMPLE))
+    sample = tokens.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).select("row", "rest").collect()
+    centres = _centres([np.frombuffer(r["rest"], dtype="<u2") for r in sorted(sample, key=lambda r: r["row"])], idf)
+    hashes = _hashes(idf)
+    names = ["row", "topic", *[f"h{k}" for k in range(ORDERS)]]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topics, terms = _routed([np.frombuffer(x.as_py(), dtype="<u2") for x in batch.column(1)], centres, hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int32()) for x in (topics, *terms)]], names=names)
+
+    schema = "row long, " + ", ".join(f"{n} int" for n in names[1:])
+    routes = staged(tokens.select("row", "rest").mapInArrow(route, schema), "token-routes")
+    placed = ranked(routes, *[F.col(n) for n in (*names[1:], "row")], out="place")
+    placed = placed.select("row", "place", F.floor(F.col("place") / shard).alias("shard"))
+    return tokens.drop("full_terms").join(placed, "row")
+
+
 class Index:
     """BM25 postings of one shard: for each id the remainders that have it and
     the weight it gives them."""
@@ -137,25 +202,43 @@ class Index:
         sizes = np.array([len(r) for r in rests], dtype=np.int64)
         flat = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, dtype=np.int64)
         self.n = len(rests)
-        pair, tf = np.unique(np.repeat(np.arange(self.n), sizes) * VOCABULARY_SIZE + flat, return_counts=True)
-        owner, term = pair // VOCABULARY_SIZE, pair % VOCABULARY_SIZE
+        pair, tf = np.unique(np.repeat(np.arange(self.n), sizes) << 16 | flat, return_counts=True)
+        owner, term = pair >> 16, pair & 0xFFFF
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / mean))
         self.first = np.searchsorted(owner, np.arange(self.n + 1))
         self.terms, self.weight = term, weight
-        by_term = np.argsort(term, kind="stable")
+        by_term = np.argsort(term.astype(np.uint16), kind="stable")
         self.owner, self.score = owner[by_term], weight[by_term]
         self.at = np.searchsorted(term[by_term], np.arange(VOCABULARY_SIZE + 1))
 
-    def neighbours(self, seed: int, unused: np.ndarray, count: int = QUERY_TERMS) -> np.ndarray:
-        """Unused remainders by falling score for the seed's ``count`` heaviest
-        terms, ties in their order."""
+    def best_first(self, seed: int, unused: np.ndarray, count: int | None = None) -> Iterator[int]:
+        """Unused remainders by falling score for the seed's terms (its ``count``
+        heaviest, where given), ties in their order; put in order as far as asked."""
         a, b = self.first[seed], self.first[seed + 1]
-        terms = self.terms[a:b][np.argsort(-self.weight[a:b], kind="stable")[:count]]
+        terms = self.terms[a:b]
+        if count is not None:
+            terms = terms[np.argsort(-self.weight[a:b], kind="stable")[:count]]
         spans = [slice(self.at[t], self.at[t + 1]) for t in terms]
+        if not spans:
+            return
         scores = np.bincount(np.concatenate([self.owner[s] for s in spans]),
                              weights=np.concatenate([self.score[s] for s in spans]), minlength=self.n)
         found = np.flatnonzero((scores > 0) & unused)
-        return found[np.argsort(-scores[found], kind="stable")]
+        below, block = -scores[found], FIRST
+        while len(found):
+            now = below <= np.partition(below, block - 1)[block - 1] if len(found) > block else np.ones(len(found), dtype=bool)
+            yield from found[now][np.argsort(below[now], kind="stable")].tolist()
+            found, below, block = found[~now], below[~now], block * 8
+
+    def neighbours(self, seed: int, unused: np.ndarray, count: int | None = None) -> np.ndarray:
+        """All of ``best_first``."""
+        return np.fromiter(self.best_first(seed, unused, count), dtype=np.int64)
+
+    def forget(self, unused: np.ndarray) -> None:
+        """Drop the postings of used remainders."""
+        keep = unused[self.owner]
+        self.at = np.concatenate([[0], np.cumsum(keep)])[self.at]
+        self.owner, self.score = self.owner[keep], self.score[keep]
 
 
 def pack_shard(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
@@ -163,12 +246,16 @@ def pack_shard(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: in
     index = Index(rests, idf, mean)
     size = np.array([len(r) for r in rests], dtype=np.int64)
     used = np.zeros(len(rests), dtype=np.int64)
-    out, seed = [], 0
+    out, seed, open_ = [], 0, len(rests)
     while True:
         while seed < len(rests) and used[seed] == size[seed]:
             seed += 1
         if seed == len(rests):
             break
+        unused = used < size
+        if 2 * unused.sum() < open_:
+            index.forget(unused)
+            open_ = unused.sum()
         sequence, room = [], window
 
         def put(k: int) -> int:
@@ -179,7 +266,7 @@ def pack_shard(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: in
 
         room -= put(seed)
         if room:
-            for k in index.neighbours(seed, used < size):
+            for k in index.best_first(seed, used < size):
                 room -= put(k)
                 if not room:
                     break
@@ -221,15 +308,15 @@ def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     no rows.  ``window`` is a power of two.
     """
     tokens = staged(tokenised(df, id_col, text_col, window, with_ids, tokenizers), "tokens")
-    count, total = tokens.agg(F.count(F.lit(1)), F.sum(F.octet_length("rest"))).first()
-    mean = max(1.0, (total or 0) / 2 / max(1, count))
+    left = F.when(F.octet_length("rest") > 0, 1).otherwise(0)
+    count, total, units = tokens.agg(F.count(F.lit(1)), F.sum("doc_tokens"), F.sum(F.size("full_crc") + left)).first()
+    mean = (total or 0) / max(1, units or 0)
     frequency = _document_frequencies(tokens)
-    idf = np.log1p((count - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
-    shards = pieces(count, shard)
+    idf = np.log1p(((units or 0) - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
     fields = T.StructType.fromDDL(PIECES.replace("doc_id long", "doc_id string") + (", ids binary" if with_ids else ""))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row").reset_index(drop=True)
+        rows = rows.sort_values("place").reset_index(drop=True)
         rests = [np.frombuffer(r, dtype="<u2") for r in rows["rest"]]
         ids, sizes = rows["doc_id"].tolist(), rows["doc_tokens"].tolist()
         sequence, out = int(key[0]) << 32, []
@@ -249,7 +336,7 @@ def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         return pd.DataFrame(out, columns=fields.names)
 
     # Ids as text: pandas would turn a long column with nulls into floats.
-    dealt = tokens.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    dealt = _dealt(tokens, count, shard, idf).withColumn("doc_id", F.col("doc_id").cast("string"))
     return dealt.groupBy("shard").applyInPandas(pack, fields).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -86,3 +86,48 @@ def test_similar_documents_share_windows():
 
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_statistics_cover_full_windows(spark):
+    df = spark.createDataFrame([(1, "river " * 5000), (2, "stone house"), (3, None)], "doc_id long, text string")
+    tokens = packing.staged(packing.tokenised(df), "tokens-test")
+    want = np.zeros(packing.VOCABULARY_SIZE, dtype=int)
+    for text in ("river " * 5000, "stone house", ""):
+        ids = ids_of(text)
+        for k in range(0, len(ids), 2048):
+            want[np.unique(ids[k:k + 2048])] += 1
+    assert (packing._document_frequencies(tokens) == want).all()
+
+
+def near_pairs(rng, pairs):
+    """Documents in pairs that share 57 of 63 words."""
+    out = []
+    for _ in range(pairs):
+        words = rng.integers(1000, 40_000, 60)
+        out += [words.astype("<u2"), np.concatenate([words[:-3], rng.integers(1000, 40_000, 3)]).astype("<u2")]
+    return out
+
+
+def test_near_remainders_are_dealt_to_one_shard(spark):
+    rests = near_pairs(np.random.default_rng(4), 400)
+    order = np.random.default_rng(5).permutation(len(rests))
+    rows = [(place, int(k), len(rests[k]), [], b"", None, rests[k].tobytes()) for place, k in enumerate(order)]
+    tokens = spark.createDataFrame(rows, packing.TOKENS)
+    df = packing._document_frequencies(tokens)
+    idf = np.log1p((len(rests) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    for _ in range(2):  # reruns agree
+        got = packing._dealt(tokens, len(rests), 40, idf).select("doc_id", "shard", "place").toPandas().set_index("doc_id")
+        assert sorted(got["place"]) == list(range(len(rests))) and got.groupby("shard").size().tolist() == [40] * 20
+        assert len({tuple(got["place"].sort_index())}) == 1
+        together = np.mean([got["shard"][2 * k] == got["shard"][2 * k + 1] for k in range(400)])
+        assert together >= 0.75  # dealt at random: 0.05
+
+
+def test_forgotten_remainders_change_no_score():
+    rests = near_pairs(np.random.default_rng(6), 30)
+    idf = np.ones(packing.VOCABULARY_SIZE)
+    unused = np.arange(60) % 3 > 0
+    whole, part = packing.Index(rests, idf, 60.0), packing.Index(rests, idf, 60.0)
+    part.forget(unused)
+    for seed in range(60):
+        assert whole.neighbours(seed, unused).tolist() == part.neighbours(seed, unused).tolist()
