@@ -91,6 +91,13 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def distinct(ids: np.ndarray) -> np.ndarray:
+    ids = np.sort(ids)
+    first = np.ones(len(ids), dtype=bool)
+    np.not_equal(ids[1:], ids[:-1], out=first[1:])
+    return ids[first]
+
+
 def tokenised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
               with_ids: bool = False, tokenizers: str | None = None) -> DataFrame:
     """One row per document, columns TOKENS; ids as little-endian 16-bit numbers."""
@@ -112,7 +119,7 @@ def tokenised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                     full = len(ids) // window * window
                     n.append(len(ids))
                     crcs.append([crc(ids[k:k + window]) for k in range(0, full, window)])
-                    terms.append(b"".join(np.unique(ids[k:k + window]).astype("<u2").tobytes() for k in range(0, full, window)))
+                    terms.append(b"".join(distinct(ids[k:k + window]).astype("<u2").tobytes() for k in range(0, full, window)))
                     whole.append(ids[:full].astype("<u2").tobytes() if with_ids else None)
                     rest.append(ids[full:].astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -129,7 +136,7 @@ def _document_frequencies(tokens: DataFrame) -> np.ndarray:
         found = np.zeros(VOCABULARY_SIZE, dtype=np.int64)
         for batch in batches:
             for rest, full in zip(batch.column(0), batch.column(1), strict=True):
-                found[np.unique(np.frombuffer(rest.as_py(), dtype="<u2"))] += 1
+                found[distinct(np.frombuffer(rest.as_py(), dtype="<u2"))] += 1
                 if whole := full.as_py():
                     found += np.bincount(np.frombuffer(whole, dtype="<u2"), minlength=VOCABULARY_SIZE)
         ids = np.flatnonzero(found)
@@ -165,8 +172,13 @@ def _centres(sample: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
 
 def _routed(rests: list[np.ndarray], centres: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[list[int]]]:
     """Topic and min-hash terms of each remainder (0 for an empty one)."""
-    topics = [int(np.argmax(centres[r].sum(axis=0))) if len(r) else 0 for r in rests]
-    return topics, [[int(r[np.argmin(h[r])]) if len(r) else 0 for r in rests] for h in hashes]
+    both, n = np.concatenate([centres, hashes.T.astype(np.float32)], axis=1), centres.shape[1]
+    topics, terms = [], []
+    for r in rests:
+        found = both.take(r, axis=0)
+        topics.append(int(np.argmax(found[:, :n].sum(axis=0))) if len(r) else 0)
+        terms.append([int(x) for x in r[np.argmin(found[:, n:], axis=0)]] if len(r) else [0] * len(hashes))
+    return topics, [list(x) for x in zip(*terms, strict=True)] if terms else [[] for _ in hashes]
 
 
 def _hashes(idf: np.ndarray) -> np.ndarray:
@@ -208,8 +220,16 @@ class Index:
         self.first = np.searchsorted(owner, np.arange(self.n + 1))
         self.terms, self.weight = term, weight
         by_term = np.argsort(term.astype(np.uint16), kind="stable")
-        self.owner, self.score = owner[by_term], weight[by_term]
-        self.at = np.searchsorted(term[by_term], np.arange(VOCABULARY_SIZE + 1))
+        owner, weight = owner[by_term], weight[by_term]
+        at = np.searchsorted(term[by_term], np.arange(VOCABULARY_SIZE + 1))
+        # A word in an eighth of the remainders and more has a row of weights, not postings.
+        dense = np.flatnonzero(np.diff(at) * 8 > self.n)
+        self.row = np.full(VOCABULARY_SIZE, -1)
+        self.row[dense] = np.arange(len(dense))
+        self.rows = np.zeros((len(dense), self.n))
+        for k, t in enumerate(dense):
+            self.rows[k, owner[at[t]:at[t + 1]]] = weight[at[t]:at[t + 1]]
+        self.alive, self.owner, self.score, self.at = np.arange(self.n), owner, weight, at
 
     def best_first(self, seed: int, unused: np.ndarray, count: int | None = None) -> Iterator[int]:
         """Unused remainders by falling score for the seed's terms (its ``count``
@@ -218,16 +238,17 @@ class Index:
         terms = self.terms[a:b]
         if count is not None:
             terms = terms[np.argsort(-self.weight[a:b], kind="stable")[:count]]
-        spans = [slice(self.at[t], self.at[t + 1]) for t in terms]
-        if not spans:
-            return
-        scores = np.bincount(np.concatenate([self.owner[s] for s in spans]),
-                             weights=np.concatenate([self.score[s] for s in spans]), minlength=self.n)
-        found = np.flatnonzero((scores > 0) & unused)
+        row = self.row[terms]
+        scores = self.rows[row[row >= 0]].sum(axis=0)
+        spans = [slice(self.at[t], self.at[t + 1]) for t in terms[row < 0].tolist()]
+        if spans:
+            scores += np.bincount(np.concatenate([self.owner[s] for s in spans]),
+                                  weights=np.concatenate([self.score[s] for s in spans]), minlength=len(scores))
+        found = np.flatnonzero((scores > 0) & unused[self.alive])
         below, block = -scores[found], FIRST
         while len(found):
             now = below <= np.partition(below, block - 1)[block - 1] if len(found) > block else np.ones(len(found), dtype=bool)
-            yield from found[now][np.argsort(below[now], kind="stable")].tolist()
+            yield from self.alive[found[now]][np.argsort(below[now], kind="stable")].tolist()
             found, below, block = found[~now], below[~now], block * 8
 
     def neighbours(self, seed: int, unused: np.ndarray, count: int | None = None) -> np.ndarray:
@@ -235,10 +256,12 @@ class Index:
         return np.fromiter(self.best_first(seed, unused, count), dtype=np.int64)
 
     def forget(self, unused: np.ndarray) -> None:
-        """Drop the postings of used remainders."""
-        keep = unused[self.owner]
-        self.at = np.concatenate([[0], np.cumsum(keep)])[self.at]
-        self.owner, self.score = self.owner[keep], self.score[keep]
+        """Drop used remainders from postings and rows."""
+        keep = unused[self.alive]
+        left = keep[self.owner]
+        self.at = np.concatenate([[0], np.cumsum(left)])[self.at]
+        self.owner, self.score = (np.cumsum(keep) - 1)[self.owner[left]], self.score[left]
+        self.alive, self.rows = self.alive[keep], np.ascontiguousarray(self.rows[:, keep])
 
 
 def pack_shard(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
@@ -246,16 +269,15 @@ def pack_shard(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: in
     index = Index(rests, idf, mean)
     size = np.array([len(r) for r in rests], dtype=np.int64)
     used = np.zeros(len(rests), dtype=np.int64)
-    out, seed, open_ = [], 0, len(rests)
+    out, seed = [], 0
     while True:
         while seed < len(rests) and used[seed] == size[seed]:
             seed += 1
         if seed == len(rests):
             break
         unused = used < size
-        if 2 * unused.sum() < open_:
+        if 4 * unused.sum() < 3 * len(index.alive):
             index.forget(unused)
-            open_ = unused.sum()
         sequence, room = [], window
 
         def put(k: int) -> int:
