@@ -91,11 +91,11 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def distinct(ids: np.ndarray) -> np.ndarray:
-    ids = np.sort(ids)
-    first = np.ones(len(ids), dtype=bool)
-    np.not_equal(ids[1:], ids[:-1], out=first[1:])
-    return ids[first]
+def distinct(ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Each of ``ids`` once; ``last`` is room for a number per vocabulary entry."""
+    at = np.arange(len(ids))
+    last[ids] = at
+    return ids[last[ids] == at]
 
 
 def tokenised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -108,7 +108,7 @@ def tokenised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kind, tokens = to_arrow_schema(fields), None
+        kind, tokens, last = to_arrow_schema(fields), None, np.zeros(VOCABULARY_SIZE, dtype=np.int64)
         for batch in batches:
             tokens = tokens or Tokeniser(tokenizers)
             for at in range(0, batch.num_rows, 512):
@@ -119,7 +119,7 @@ def tokenised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                     full = len(ids) // window * window
                     n.append(len(ids))
                     crcs.append([crc(ids[k:k + window]) for k in range(0, full, window)])
-                    terms.append(b"".join(distinct(ids[k:k + window]).astype("<u2").tobytes() for k in range(0, full, window)))
+                    terms.append(b"".join(distinct(ids[k:k + window], last).astype("<u2").tobytes() for k in range(0, full, window)))
                     whole.append(ids[:full].astype("<u2").tobytes() if with_ids else None)
                     rest.append(ids[full:].astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -133,12 +133,12 @@ def _document_frequencies(tokens: DataFrame) -> np.ndarray:
     """Of all full windows and open remainders, how many have each id: one count
     per vocabulary entry, summed per task first."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(VOCABULARY_SIZE, dtype=np.int64)
+        found, last = np.zeros((2, VOCABULARY_SIZE), dtype=np.int64)
         for batch in batches:
-            for rest, full in zip(batch.column(0), batch.column(1), strict=True):
-                found[distinct(np.frombuffer(rest.as_py(), dtype="<u2"))] += 1
-                if whole := full.as_py():
-                    found += np.bincount(np.frombuffer(whole, dtype="<u2"), minlength=VOCABULARY_SIZE)
+            terms = [distinct(np.frombuffer(x.as_py(), dtype="<u2"), last) for x in batch.column(0)]
+            terms += [np.frombuffer(x, dtype="<u2") for x in batch.column(1).to_pylist() if x]
+            if terms:
+                found += np.bincount(np.concatenate(terms), minlength=VOCABULARY_SIZE)
         ids = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found[ids])], names=["id", "n"])
 
@@ -172,13 +172,10 @@ def _centres(sample: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
 
 def _routed(rests: list[np.ndarray], centres: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[list[int]]]:
     """Topic and min-hash terms of each remainder (0 for an empty one)."""
-    both, n = np.concatenate([centres, hashes.T.astype(np.float32)], axis=1), centres.shape[1]
-    topics, terms = [], []
-    for r in rests:
-        found = both.take(r, axis=0)
-        topics.append(int(np.argmax(found[:, :n].sum(axis=0))) if len(r) else 0)
-        terms.append([int(x) for x in r[np.argmin(found[:, n:], axis=0)]] if len(r) else [0] * len(hashes))
-    return topics, [list(x) for x in zip(*terms, strict=True)] if terms else [[] for _ in hashes]
+    topics = [int(np.argmax(np.ones(len(r), dtype=np.float32) @ centres.take(r, axis=0))) if len(r) else 0 for r in rests]
+    order = [np.argsort(h, kind="stable") for h in hashes]
+    ranks = [np.argsort(o).astype(np.uint16) for o in order]  # the least rank is the least hash
+    return topics, [[int(o[rank.take(r).min()]) if len(r) else 0 for r in rests] for o, rank in zip(order, ranks, strict=True)]
 
 
 def _hashes(idf: np.ndarray) -> np.ndarray:
@@ -212,10 +209,11 @@ class Index:
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean: float):
         sizes = np.array([len(r) for r in rests], dtype=np.int64)
-        flat = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, dtype=np.int64)
         self.n = len(rests)
-        pair, tf = np.unique(np.repeat(np.arange(self.n), sizes) << 16 | flat, return_counts=True)
-        owner, term = pair >> 16, pair & 0xFFFF
+        kind = np.uint32 if self.n <= 1 << 16 else np.int64
+        flat = np.concatenate(rests).astype(kind) if rests else np.zeros(0, dtype=kind)
+        pair, tf = np.unique(np.repeat(np.arange(self.n, dtype=kind), sizes) << kind(16) | flat, return_counts=True)
+        owner, term = (pair >> kind(16)).astype(np.int64), (pair & kind(0xFFFF)).astype(np.int64)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / mean))
         self.first = np.searchsorted(owner, np.arange(self.n + 1))
         self.terms, self.weight = term, weight
