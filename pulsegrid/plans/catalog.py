@@ -482,17 +482,20 @@ def q_report_sink_roundtrip(spark, sf):
 
 
 def write_exports(raw, folder):
-    """Raw records as export XML, one file per subject: records and, for
-    purchases, workouts as well."""
+    """Raw records as export XML: records and, for purchases, workouts as well.  A
+    subject's export lies whole in one bundle; readings of nobody are in files of their own."""
     text = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&#34;"))
     attribute = lambda name, c: F.concat(F.lit(f' {name}="'), text(c), F.lit('"'))
-    record = F.concat(F.lit(" <Record"), *[attribute(n, F.col(n)) for n in ("type", "sourceName", "unit", "value", "creationDate", "startDate")],
+    whose = F.when(F.col("subject_id").isNotNull(), attribute("subject", F.col("subject_id").cast("string"))).otherwise(F.lit(""))
+    record = F.concat(F.lit(" <Record"), whose, *[attribute(n, F.col(n)) for n in ("type", "sourceName", "unit", "value", "creationDate", "startDate")],
                       F.lit('/>'))
-    workout = F.concat(F.lit(' <Workout workoutActivityType="HKWorkoutActivityTypeOther"'), attribute("duration", F.col("value")),
+    workout = F.concat(F.lit(' <Workout'), whose, F.lit(' workoutActivityType="HKWorkoutActivityTypeOther"'), attribute("duration", F.col("value")),
                        attribute("startDate", F.col("startDate")), F.lit('/>'))
     both = F.when(F.col("type") == "Purchase", F.concat(record, F.lit("\n"), workout)).otherwise(record)
-    lines = raw.select(F.col("subject_id").alias("subject"), both.alias("value"))
-    lines.repartition("subject").write.mode("append").partitionBy("subject").text(folder)
+    bundle = F.when(F.col("subject_id").isNotNull(), "named").otherwise("unnamed")
+    # By a hash of the subject, as a partitioning that ``raw`` happens to have may be split at run time.
+    lines = raw.select("subject_id", bundle.alias("bundle"), both.alias("value")).repartition(F.xxhash64("subject_id"))
+    lines.drop("subject_id").write.mode("append").partitionBy("bundle").text(folder)
 
 
 def q_ingest_roundtrip(spark, sf):

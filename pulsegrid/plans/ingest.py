@@ -7,12 +7,16 @@ subject's rows come from; the job lists the exports, takes by anti join the
 subjects whose newest one isn't in the manifest (by path, time and length), parses
 those files only, in one scan, and rewrites the buckets of those subjects: their
 new rows and the other subjects' old ones.  All other buckets stay as they are.
+A bundle's exports are known only when it is parsed; the bundles that were parsed are
+noted beside the tables (``bundles``), so each is opened once.
 ``force`` parses all and takes nothing over.  Until the commit readers see the old
 tables, so a failed job is just run again.
 """
 
 from __future__ import annotations
 
+import os
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +27,9 @@ from pulsegrid.session import materialize
 from pulsegrid.sources.tables import (
     BUCKETS, append_part, bucket_of, current_version, read_if_present, read_manifest, read_records, read_workouts, write_version,
 )
-from pulsegrid.sources.xml import exports, parse, records_of, uncommented, workouts_of
+from pulsegrid.sources.xml import exports, exports_in, is_bundle, parse, records_of, uncommented, workouts_of
 
+BUNDLES_SCHEMA = "path string, mtime timestamp, length long"
 NOTHING = {"records_seen": 0, "kept": 0, "skipped": 0, "workouts": 0}
 
 
@@ -47,19 +52,37 @@ def ingest(spark: SparkSession, src: str, dst: str, force: bool = False, dim: Me
     listed = read_if_present(lambda: exports(spark, src, subject))
     if listed is None:
         raise FileNotFoundError(f"health export not found at {src}")
-    newest = newest_exports(listed)
     old = not force and current_version(spark, dst) is not None
+    file, key = ["path", "mtime", "length"], ["subject_id", "path", "mtime", "length"]
+    single, bundles = listed.where("subject_id IS NOT NULL"), listed.where("subject_id IS NULL")
     if old:
-        newest = newest.join(read_manifest(spark, dst), ["subject_id", "path", "mtime", "length"], "left_anti")
-    newest = materialize(newest, "exports")
+        held = read_manifest(spark, dst)
+        # What is held of a bundle that is still there stands against a single file of its subject.
+        still = held.where(is_bundle(F.col("path"))).join(bundles.select(file), file, "left_semi")
+        single = newest_exports(single.unionByName(still)).join(held, key, "left_anti")
+        seen = read_if_present(lambda: spark.read.schema(BUNDLES_SCHEMA).parquet(os.path.join(dst, "bundles")))
+        bundles = bundles if seen is None else bundles.join(seen, file, "left_anti")
+    else:
+        single = newest_exports(single)
+    files = materialize(single.unionByName(bundles), "exports")
     second_before = F.date_format(F.min("mtime") - F.expr("INTERVAL 1 SECOND"), "yyyy-MM-dd'T'HH:mm:ss")
-    count, since = newest.agg(F.count(F.lit(1)), second_before).first()
+    count, since, bundled = files.agg(F.count(F.lit(1)), second_before, F.count_if(F.col("subject_id").isNull())).first()
     if old and not count:
         return NOTHING | {"mode": "unchanged"}
     if not count:
         raise FileNotFoundError(f"no export files under {src}")
-    parsed = materialize(parse(spark, src, newest, count, since, subject), "elements")
-    counts = merge(spark, uncommented(parsed), newest, dst, dim, category_codes, old, buckets)
+    parsed = materialize(parse(spark, src, files, count, since, subject), "elements")
+    data, newest = uncommented(parsed), files
+    if bundled:
+        found = exports_in(parsed, data).unionByName(files.where("subject_id IS NOT NULL"))
+        if old:  # a late bundle of older exports changes nothing
+            found = found.unionByName(held.join(listed.select(file), file, "left_semi").select(key))
+        newest = newest_exports(found)
+        newest = materialize(newest.join(held, key, "left_anti") if old else newest, "newest")
+        data = data.join(newest.select("subject_id", "path"), ["subject_id", "path"], "left_semi")
+    counts = merge(spark, data, newest, dst, dim, category_codes, old, buckets)
+    if bundled:
+        files.where("subject_id IS NULL").select(file).coalesce(1).write.mode("append").parquet(os.path.join(dst, "bundles"))
     return counts | {"mode": "update" if old else "full"}
 
 

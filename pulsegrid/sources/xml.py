@@ -14,6 +14,13 @@ The subject of an element is the ``subject=<id>`` of its file's path, else the
 ``subject`` parameter, else the default subject.  Nothing is guessed from other
 digits in a name, and more than one file without an id is an error, since two
 people would become one.
+
+Bundles.  A population lands as files that hold the exports of many subjects, so
+that their number follows the data.  A bundle has ``bundle=<name>`` and no subject in its path;
+each of its elements names its subject in an attribute of its own
+(``<Record subject="7" .../>``), an export without elements stands as
+``<Export subject="7"/>``, and what names nobody is the default subject's.  All of a
+subject's elements in one bundle are one export of it.
 """
 
 from __future__ import annotations
@@ -33,11 +40,13 @@ XML_ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp",
 
 ATTRS = list(dict.fromkeys(RECORD_ATTRS + WORKOUT_ATTRS))
 SUBJECT = r"subject=(\d+)"
+BUNDLE = r"(^|/)bundle=[^/]+"
 
 # The attributes of a tag: everything up to the first '>' that is not inside a
 # quoted value (a raw '>' is legal there).  Possessive, so it never backtracks.
-_HEAD = r"""^(?:Record|Workout)(\s(?:[^"'<>]++|"[^"]*+"|'[^']*+')*+)"""
+_HEAD = r"""^(?:Record|Workout|Export)(\s(?:[^"'<>]++|"[^"]*+"|'[^']*+')*+)"""
 _ATTRIBUTE = r"""[A-Za-z_][\w:.-]*+\s*+=\s*+(?:"[^"]*+"|'[^']*+')"""
+_SPACE = " \t\n\x0b\f\r"
 _REFERENCE = r"^(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[a-z]+);"
 
 
@@ -46,6 +55,10 @@ def subject_of(path: Column, subject: int | None = None) -> Column:
     return F.when(tagged != "", tagged.cast("bigint")).otherwise(F.lit(DEFAULT_SUBJECT if subject is None else subject))
 
 
+def is_bundle(path: Column) -> Column:
+    return path.rlike(BUNDLE) & ~path.rlike(SUBJECT)
+
+
 def _decoded(part: Column) -> Column:
     """Text that followed an ``&``, its reference decoded; an unknown one, or
     one to no character, stays as written."""
@@ -60,38 +73,50 @@ def _decoded(part: Column) -> Column:
     return F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
 
 
-def _unescaped(value: Column) -> Column:
+def _unescaped(plain: Column) -> Column:
     """References decoded in one pass, so that a decoded ``&`` starts no other."""
-    plain = F.translate(value, "\n\r\t", "   ")  # white space in attribute values is a space each
     parts = F.split(plain, "&")
     decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _decoded), ""))
     return F.when(plain.contains("&"), decoded).otherwise(plain)
 
 
-def _attribute(found: Column, name: str) -> Column:
-    """The value of the first attribute ``name`` among 'name="value"' texts."""
-    own = F.get(F.filter(found, lambda a: a.rlike(rf"^{name}\s*=")), F.lit(0))
-    return _unescaped(F.regexp_extract(own, r"""^[^=]*=\s*["']((?s:.*))["']$""", 1))
+def _attributes(tags: DataFrame) -> DataFrame:
+    """From ``head``: ``names`` and ``values`` of a tag's attributes as arrays side by
+    side, in one pass over its 'name="value"' texts."""
+    found = tags.withColumn("found", F.regexp_extract_all("head", F.lit(_ATTRIBUTE), F.lit(0))).drop("head")
+    name = lambda a: F.rtrim(F.substring_index(a, "=", 1), F.lit(_SPACE))
+    quoted = lambda a: F.ltrim(F.substr(a, F.instr(a, "=") + 1), F.lit(_SPACE))
+    inside = lambda q: F.translate(F.substr(q, F.lit(2), F.length(q) - 2), "\n\r\t", "   ")  # noqa: E731  white space is a space each
+    plain = found.withColumn("plain", F.transform(F.transform("found", quoted), inside))
+    return plain.select(*tags.drop("head").columns, F.transform("found", name).alias("names"), F.transform("plain", _unescaped).alias("values"))
+
+
+def _attribute(name: str) -> Column:
+    """The value of the first attribute ``name``, null without one."""
+    return F.get("values", F.array_position("names", name).cast("int") - 1)
 
 
 def elements(rows: DataFrame, subject: int | None = None, ordered: bool = True) -> DataFrame:
     """From ``rows`` of the text scan: subject_id, path, mtime, length, place,
-    kind (Record, Workout or null), marker (open or close of a comment, file for
-    a file's start, or null) and all attributes as text.  The rows of a stream
+    kind (Record, Workout, in a bundle also Export, or null), marker (open or close
+    of a comment, file for a file's start, or null) and all attributes as text.
+    Marks in a bundle are nobody's: their subject is null.  The rows of a stream
     aren't ``ordered``: their place in the file is unknown."""
-    value = F.col("value")
-    kind = F.when(value.rlike(r"^Record[\s/>]"), "Record").when(value.rlike(r"^Workout[\s/>]"), "Workout")
+    value, bundle = F.col("value"), is_bundle(F.col("path"))
+    kind = F.when(value.rlike(r"^Record[\s/>]"), "Record").when(value.rlike(r"^Workout[\s/>]"), "Workout") \
+            .when(bundle & value.rlike(r"^Export[\s/>]"), "Export")
     ends = value.contains("-->")
-    start = (F.col("block") == 0) & (F.length(F.trim(value)) <= 1)  # before the first tag, a byte order mark at most
+    start = ~bundle & (F.col("block") == 0) & (F.length(F.trim(value)) <= 1)  # before the first tag, a byte order mark at most
     marker = F.when(value.startswith("!--") & ~ends, "open").when(ends & ~value.startswith("!--"), "close").when(start, "file")
     tags = rows.select(subject_of(F.col("path"), subject).alias("subject_id"), "path", "mtime", "length",
                        F.struct("block", (F.monotonically_increasing_id() if ordered else F.lit(None).cast("bigint")).alias("row"))
                        .alias("place"),
-                       kind.alias("kind"), marker.alias("marker"), F.regexp_extract(value, _HEAD, 1).alias("head")) \
+                       bundle.alias("bundle"), kind.alias("kind"), marker.alias("marker"), F.regexp_extract(value, _HEAD, 1).alias("head")) \
                .where(F.col("kind").isNotNull() | F.col("marker").isNotNull())
-    listed = tags.withColumn("found", F.regexp_extract_all("head", F.lit(_ATTRIBUTE), F.lit(0))).drop("head")
-    return listed.select("subject_id", "path", "mtime", "length", "place", "kind", "marker",
-                         *[_attribute(F.col("found"), a).alias(a) for a in ATTRS])
+    own = F.coalesce(_attribute("subject").try_cast("bigint"), F.col("subject_id"))
+    whose = F.when(~F.col("bundle"), F.col("subject_id")).when(F.col("kind").isNotNull(), own)
+    return _attributes(tags).select(whose.alias("subject_id"), "path", "mtime", "length", "place", "kind", "marker",
+                                    *[_attribute(a).alias(a) for a in ATTRS])
 
 
 def scan(spark: SparkSession, path: str, stream: bool = False, since: str | None = None,
@@ -128,6 +153,14 @@ def uncommented(parsed: DataFrame) -> DataFrame:
     return data.join(spans, inside, "left_anti")
 
 
+def exports_in(parsed: DataFrame, data: DataFrame) -> DataFrame:
+    """The exports (subject_id, path, mtime, length) that a written table of
+    ``elements`` has something of; ``data`` is it ``uncommented``."""
+    key = ["subject_id", "path", "mtime", "length"]
+    marked = parsed.where("kind IS NULL AND subject_id IS NOT NULL").select(key)
+    return marked.unionByName(data.select(key)).distinct()
+
+
 def records_of(data: DataFrame) -> DataFrame:
     """``<Record>`` elements, 7 text attributes; children are ignored."""
     return data.where("kind = 'Record'").select("subject_id", *RECORD_ATTRS)
@@ -139,13 +172,15 @@ def workouts_of(data: DataFrame) -> DataFrame:
 
 
 def exports(spark: SparkSession, path: str, subject: int | None = None) -> DataFrame:
-    """The export files under ``path`` (subject_id, path, mtime, length), by the
-    scan's own listing, contents unread.  Files that name no subject must be one."""
+    """The files under ``path`` (subject_id, path, mtime, length), by the scan's own
+    listing, contents unread.  The subject of a bundle is null.  Other files that name
+    no subject must be one."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"),
                          F.col("_metadata.file_size").alias("length"))
-    files = files.select(subject_of(F.col("path"), subject).alias("subject_id"), "path", "mtime", "length")
-    unnamed = files.where(~F.col("path").rlike(SUBJECT)).limit(2).count()
+    whose = F.when(~is_bundle(F.col("path")), subject_of(F.col("path"), subject))
+    files = files.select(whose.alias("subject_id"), "path", "mtime", "length")
+    unnamed = files.where(~F.col("path").rlike(SUBJECT) & F.col("subject_id").isNotNull()).limit(2).count()
     if unnamed > 1:
         raise ValueError(f"several exports under {path} name no subject; put each under subject=<id>")
     return files
