@@ -28,6 +28,7 @@ from pulsegrid.plans.standin import EVENTS_AS_OF, EVENTS_DIM, event_raw_records,
 from pulsegrid.sources.reports import out_of_order, read_metric_log, read_report, write_report
 from pulsegrid.sources.snapshots import load_snapshots
 from pulsegrid.sources.tables import write_version
+from pulsegrid.sources.xml import exports
 from pulsegrid.streaming.daily import daily_table, run_daily
 from pulsegrid.streaming.ingest import ingest_available
 
@@ -60,10 +61,11 @@ def q_streaming_ingest(spark, sf):
     bounded number of files, each batch appended; the newest exports read back."""
     landing, tables, checkpoint = (_folder(spark, name) for name in ("landing", "tables", "checkpoint"))
     raw = event_raw_records(spark, sf)
-    n_files = raw.select("subject_id").distinct().count()
 
     def arrive(name, rows):
-        write_exports(rows, os.path.join(landing, name))
+        folder = os.path.join(landing, name)
+        write_exports(rows, folder)
+        n_files = exports(spark, folder).count()
         ingest_available(spark, landing, tables, checkpoint, EVENTS_DIM, buckets=8, files_per_batch=n_files // 2 + 1, compact_parts=99)
 
     arrive("1", raw)

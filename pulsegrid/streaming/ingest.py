@@ -30,7 +30,7 @@ from pulsegrid.operators.typing import type_records
 from pulsegrid.plans.ingest import NOTHING, append, newest_exports
 from pulsegrid.session import materialize
 from pulsegrid.sources.tables import BUCKETS, compact
-from pulsegrid.sources.xml import elements, records_of, scan, uncommented
+from pulsegrid.sources.xml import elements, exports_in, records_of, scan, uncommented
 
 #: Live parts in a bucket from which on it is rewritten as one.
 COMPACT_PARTS = 16
@@ -46,8 +46,9 @@ def ingest_available(spark: SparkSession, landing: str, dst: str, checkpoint: st
 
     def appended(batch: DataFrame, number: int) -> None:
         parsed = materialize(elements(batch, subject), "elements")
-        newest = materialize(newest_exports(parsed.select("subject_id", "path", "mtime", "length").distinct()), "exports")
-        data = uncommented(parsed).join(newest.select("path"), "path", "left_semi")
+        data = uncommented(parsed)
+        newest = materialize(newest_exports(exports_in(parsed, data)), "exports")
+        data = data.join(newest.select("subject_id", "path"), ["subject_id", "path"], "left_semi")
         for name, n in append(spark, data, newest, dst, f"s-{stream}-{number}", dim, category_codes, buckets).items():
             total[name] += n
 
