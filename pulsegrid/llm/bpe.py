@@ -38,6 +38,10 @@ MEMO_WORDS = 200_000
 FOREST_WIDTH = 64
 #: Leaves of the trees that are worked on together.
 FOREST_LEAVES = 1 << 19
+#: Words that the library normalises and cuts in one call.
+JOINT_WORDS = 256
+#: ASCII marks that are a piece of their own after letters.
+MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 NEVER = 1 << 62
 
 
@@ -213,7 +217,7 @@ class Bpe:
         """A word between ASCII white space as its pieces, and ids of special tokens."""
         if word.isalpha():  # ASCII letters only, no library needed
             return [word.lower()]
-        if word[:-1].isalpha() and word[-1:] in (b".", b",", b";", b":", b"!", b"?"):
+        if word[:-1].isalpha() and word[-1:] in MARKS:
             return [word[:-1].lower(), word[-1:]]
         out: list[bytes | int] = []
         text = word.decode("utf-8", "replace")
@@ -225,9 +229,39 @@ class Bpe:
                     out.append(bytes(map(self.byte_of.__getitem__, letters)))
         return out
 
+    def cuts(self, words: list[bytes]) -> list[list[bytes | int]]:
+        """``cut`` of each word.  The library takes many in one call, joined by spaces,
+        but for those that may hold a special token or white space beyond ASCII."""
+        out: list[list[bytes | int]] = []
+        joint: list[tuple[list[bytes | int], bytes, str]] = []
+        for word in words:
+            if word.isalpha():
+                out.append([word.lower()])
+            elif word[:-1].isalpha() and word[-1:] in MARKS:
+                out.append([word[:-1].lower(), word[-1:]])
+            elif b"<" in word or len((text := word.decode("utf-8", "replace")).split()) != 1:
+                out.append(self.cut(word))
+            else:
+                out.append([])
+                joint.append((out[-1], word, text))
+        for a in range(0, len(joint), JOINT_WORDS):
+            some = joint[a:a + JOINT_WORDS]
+            text = self.normalizer.normalize_str(" ".join([t for _, _, t in some]))
+            ends = [*itertools.accumulate([len(t) + 1 for t in text.split(" ")])]
+            if len(ends) != len(some):
+                for own, word, _ in some:
+                    own += self.cut(word)
+                continue
+            place = 0
+            for _, (start, end) in self.pre_tokenizer.pre_tokenize_str(text):
+                while start >= ends[place]:
+                    place += 1
+                some[place][0].append(text[start:end].encode())
+        return out
+
     def words(self, words: list[bytes]) -> list[bytes]:
         """The ids of words between ASCII white space, as 32-bit numbers."""
-        cuts = [self.cut(w) for w in words]
+        cuts = self.cuts(words)
         distinct = [*{p for c in cuts for p in c if isinstance(p, bytes)}]
         known = dict(zip(distinct, self.pieces(distinct), strict=True))
         return [b"".join([known[p] if isinstance(p, bytes) else np.int32(p).tobytes() for p in c]) for c in cuts]

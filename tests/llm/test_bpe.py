@@ -125,3 +125,24 @@ def test_query_digests(spark, library, tmp_path):
     for r in bpe.op12_segment_tree_bpe(spark, str(tmp_path)).collect():
         ids, back = expected(library, TEXTS[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(back))
+
+
+def test_many_words_are_cut_like_each(own):
+    """One call of the library for many words: white space beyond ASCII, marks that
+    compose, special tokens and broken bytes stay in their word."""
+    parts = ["a", "B", "'s", "é", "é", "́", " ", " ", "\x1c", "Σ", "漢", "½", "7", "<", "<|endoftext|>", "$", ";", "가"]
+    words = [w for x in parts for y in parts for z in ("", "!", "É") for w in (x + y + z).encode().split()] + [b"\xff\xfe", b"a\xc3"]
+    assert own.cuts(words * 4) == [own.cut(w) for w in words] * 4
+    calls = []
+
+    class Library:
+        def pre_tokenize_str(self, text, library=own.pre_tokenizer):
+            calls.append(text)
+            return library.pre_tokenize_str(text)
+
+    kept, own.pre_tokenizer = own.pre_tokenizer, Library()
+    try:
+        own.cuts(["straße7".encode()] * 1000)
+    finally:
+        own.pre_tokenizer = kept
+    assert len(calls) == -(-1000 // bpe.JOINT_WORDS)
