@@ -87,8 +87,10 @@ def last_n_rows(frame: DataFrame, n: int, keys=None) -> DataFrame:
 
 
 def chart_data(rolling: DataFrame, n: int = 90, min_points: int = 2, keys=None) -> DataFrame:
-    """K8: last ``n`` points of raw and rolling_7 for series with >= ``min_points`` rows."""
+    """K8: last ``n`` points of raw and rolling_7 for series with >= ``min_points`` rows.
+    Places are counted from the start against the series' size, so the sort of the
+    rolling means serves this and a report in order of dates."""
     keys = keys or SERIES_KEY
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    tail = last_n_rows(rolling.select(*keys, "date", "raw", "rolling_7"), n, keys)
-    return tail.withColumn("_n", size).where(F.col("_n") >= min_points).drop("_n")
+    size, k = F.count(F.lit(1)).over(Window.partitionBy(*keys)), F.row_number().over(series_window(keys))
+    placed = rolling.select(*keys, "date", "raw", "rolling_7", k.alias("_k"), size.alias("_n"))
+    return placed.where((F.col("_k") > F.col("_n") - n) & (F.least("_n", F.lit(n)) >= min_points)).drop("_k", "_n")

@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,10 @@ from pulsegrid.operators.typing import dataset_profile
 from pulsegrid.operators.workout import workout_by_type, workout_stats, workout_weekly
 from pulsegrid.session import materialize, scratch_tables
 
+#: Reports that a run writes side by side: the tail of one's tasks and the planning
+#: of the next leave cores idle.
+REPORTS_AT_ONCE = 4
+
 # Metric names used by the correlation relations (C4).
 HRV, RHR, TEMP = "hrv", "resting_heart_rate", "wrist_temperature"
 
@@ -145,7 +151,8 @@ def run(spark: SparkSession, src: str, dst: str, as_of, dim: MetricDim | None =
     ``windows``, ``hrv``, ``rhr``, ``temp``: as in ``analyze``.  ``before`` is told the
     name of each step (ingest, analysis, snapshot, each report) as it begins, for
     progress.  A run for an earlier date compares with the runs up to that date.
-    Intermediate tables go at the end of the run.
+    Intermediate tables go at the end of the run.  Reports are written
+    ``REPORTS_AT_ONCE`` at a time; those before the metric log are done when it begins.
     """
     with scratch_tables(spark):
         return _run(spark, src, dst, as_of, dim or MetricDim.health(), force, force_monthly, subject, category_codes,
@@ -177,27 +184,40 @@ def _run(spark, src, dst, as_of, dim, force, force_monthly, subject, category_co
 
     reports = os.path.join(dst, "reports")
 
-    def write(df: DataFrame, name: str) -> None:
-        before(name)
-        write_report(df, reports, name, as_of, order_by=REPORT_ORDER.get(name))
-
-    write(report_overview(res["trend"], wow_now, dim), "overview")
-    write(report_anomalies(res["anomalies"], as_of, threshold=options["threshold"]), "anomalies")
-    write(top_anomalies(res["anomalies"]), "top_anomalies")
-    write(res["workout_by_type"], "workouts_by_type")
-    write(res["workout_weekly"], "workout_weekly")
-    write(res["sleep_nightly"], "sleep_nightly")
-    write(res["sleep_stats"], "sleep_stats")
+    def write_all(todo: list[tuple[str, Callable[[], object]]]) -> None:
+        with ThreadPoolExecutor(REPORTS_AT_ONCE) as pool:
+            begun = []
+            for name, job in todo:
+                before(name)
+                begun.append(pool.submit(inheritable_thread_target(spark)(job)))
+        for job in begun:
+            job.result()
+
+    def report(df: DataFrame, name: str) -> tuple[str, Callable[[], object]]:
+        return name, lambda: write_report(df, reports, name, as_of, order_by=REPORT_ORDER.get(name))
+
+    # The long ones first.
+    todo = [report(context_text(res["trend"], res["anomalies"], res["correlations"], date_range_of(res["daily"])), "context")]
     if "chart" in res:
-        write(res["chart"], "chart_data")
-    write(context_text(res["trend"], res["anomalies"], res["correlations"], date_range_of(res["daily"])), "context")
-    before("metric_log")
-    write_metric_log(spark, metric_log_rows(res["rolling"], res["trend"], dim, as_of, read_metric_pages(spark, reports)), reports, as_of)
+        todo.append(report(res["chart"], "chart_data"))
+    write_all(todo + [
+        report(report_overview(res["trend"], wow_now, dim), "overview"),
+        report(report_anomalies(res["anomalies"], as_of, threshold=options["threshold"]), "anomalies"),
+        report(top_anomalies(res["anomalies"]), "top_anomalies"),
+        report(res["workout_by_type"], "workouts_by_type"),
+        report(res["workout_weekly"], "workout_weekly"),
+        report(res["sleep_nightly"], "sleep_nightly"),
+        report(res["sleep_stats"], "sleep_stats"),
+    ])
+    log = metric_log_rows(res["rolling"], res["trend"], dim, as_of, read_metric_pages(spark, reports))
     due = monthly_due(hist_run)
     if force_monthly:
         due = due.withColumn("monthly_due", F.lit(True))
     due_subjects = due.where("monthly_due").select("subject_id")
-    write(monthly_rollup(hist_metric).join(due_subjects, "subject_id", "left_semi"), "monthly_metrics")
-    write(monthly_totals(hist_run).join(due_subjects, "subject_id", "left_semi"), "monthly_totals")
-    write(dataset_profile(records), "profile")
+    write_all([
+        ("metric_log", lambda: write_metric_log(spark, log, reports, as_of)),
+        report(monthly_rollup(hist_metric).join(due_subjects, "subject_id", "left_semi"), "monthly_metrics"),
+        report(monthly_totals(hist_run).join(due_subjects, "subject_id", "left_semi"), "monthly_totals"),
+        report(dataset_profile(records), "profile"),
+    ])
     return counts

@@ -4,7 +4,8 @@ The text source cuts files at ``<``, which can't occur inside an attribute
 value, so each row is one tag with the text after it, and a file of any size is
 shared by many tasks.  One scan serves both elements.  Attributes are taken from
 the tag's head by regular expressions; the five named entities and numeric
-character references are decoded.
+character references are decoded.  A plain tag, as exporters write nearly all of
+them, is only cut at its quotes.
 
 Comments.  An element between ``<!--`` and ``-->`` is no data.  Rows that open or
 close a comment are kept with their place in the file, and elements between
@@ -39,6 +40,7 @@ WORKOUT_ATTRS = [
 XML_ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")]
 
 ATTRS = list(dict.fromkeys(RECORD_ATTRS + WORKOUT_ATTRS))
+READ = ["subject", *ATTRS]
 SUBJECT = r"subject=(\d+)"
 BUNDLE = r"(^|/)bundle=[^/]+"
 
@@ -47,16 +49,21 @@ BUNDLE = r"(^|/)bundle=[^/]+"
 _HEAD = r"""^(?:Record|Workout|Export)(\s(?:[^"'<>]++|"[^"]*+"|'[^']*+')*+)"""
 _ATTRIBUTE = r"""[A-Za-z_][\w:.-]*+\s*+=\s*+(?:"[^"]*+"|'[^']*+')"""
 _SPACE = " \t\n\x0b\f\r"
+
+# A tag of 'name="value"' with a space before each name and no reference, white
+# space to replace, '<', '>' or '=' in a value: a text after every second quote, and
+# ' name=' nowhere but at that attribute.  ``device`` isn't read and may hold references.
+_PLAIN = r"""^(?:Record|Workout|Export)(?: (?:device="[^"<>=]*+"|[A-Za-z_][\w:.-]*+="[^"<>&=\n\r\t]*+"))++\s*+/?+>"""
 _REFERENCE = r"^(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[a-z]+);"
 
 
 def subject_of(path: Column, subject: int | None = None) -> Column:
     tagged = F.regexp_extract(path, SUBJECT, 1)
-    return F.when(tagged != "", tagged.cast("bigint")).otherwise(F.lit(DEFAULT_SUBJECT if subject is None else subject))
+    return F.when(path.contains("subject=") & (tagged != ""), tagged.cast("bigint")).otherwise(F.lit(DEFAULT_SUBJECT if subject is None else subject))
 
 
 def is_bundle(path: Column) -> Column:
-    return path.rlike(BUNDLE) & ~path.rlike(SUBJECT)
+    return path.contains("bundle=") & path.rlike(BUNDLE) & ~(path.contains("subject=") & path.rlike(SUBJECT))
 
 
 def _decoded(part: Column) -> Column:
@@ -81,19 +88,33 @@ def _unescaped(plain: Column) -> Column:
 
 
 def _attributes(tags: DataFrame) -> DataFrame:
-    """From ``head``: ``names`` and ``values`` of a tag's attributes as arrays side by
-    side, in one pass over its 'name="value"' texts."""
+    """``read``: the values of the attributes ``READ``.  Those of a plain tag stand
+    in its ``parts`` after their names; from ``head`` come ``names`` and ``values`` of a tag's
+    attributes as arrays side by side, in one pass over its 'name="value"' texts."""
     found = tags.withColumn("found", F.regexp_extract_all("head", F.lit(_ATTRIBUTE), F.lit(0))).drop("head")
     name = lambda a: F.rtrim(F.substring_index(a, "=", 1), F.lit(_SPACE))
     quoted = lambda a: F.ltrim(F.substr(a, F.instr(a, "=") + 1), F.lit(_SPACE))
     inside = lambda q: F.translate(F.substr(q, F.lit(2), F.length(q) - 2), "\n\r\t", "   ")  # noqa: E731  white space is a space each
     plain = found.withColumn("plain", F.transform(F.transform("found", quoted), inside))
-    return plain.select(*tags.drop("head").columns, F.transform("found", name).alias("names"), F.transform("plain", _unescaped).alias("values"))
+    # What a lambda reads is asked for outside of it as well, so that it stays a column
+    # and isn't computed again for every wanted name.
+    plain = plain.select(*tags.drop("head").columns, F.slice("parts", F.lit(2), F.size("parts")).alias("after"),
+                         F.transform("found", name).alias("names"), F.transform("plain", _unescaped).alias("values"))
+    cut = F.transform(F.array(*[F.lit(f" {a}=") for a in READ]), lambda n: F.get("after", F.array_position("parts", n).cast("int") - 1))
+    first = F.transform(F.array(*map(F.lit, READ)), lambda n: F.get("values", F.array_position("names", n).cast("int") - 1))
+    there = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    # One array, not a column of expressions each: the JVM doesn't compile so long a method.
+    return plain.select(*tags.drop("head", "parts").columns,
+                        F.when(there("parts", "after"), cut).when(there("names", "values"), first).alias("read"))
 
 
 def _attribute(name: str) -> Column:
     """The value of the first attribute ``name``, null without one."""
-    return F.get("values", F.array_position("names", name).cast("int") - 1)
+    return F.get("read", F.lit(READ.index(name)))
+
+
+def _is_tag(value: Column, name: str) -> Column:
+    return value.startswith(name) & F.substring(value, len(name) + 1, 1).isin(*_SPACE, "/", ">")
 
 
 def elements(rows: DataFrame, subject: int | None = None, ordered: bool = True) -> DataFrame:
@@ -102,16 +123,19 @@ def elements(rows: DataFrame, subject: int | None = None, ordered: bool = True)
     of a comment, file for a file's start, or null) and all attributes as text.
     Marks in a bundle are nobody's: their subject is null.  The rows of a stream
     aren't ``ordered``: their place in the file is unknown."""
-    value, bundle = F.col("value"), is_bundle(F.col("path"))
-    kind = F.when(value.rlike(r"^Record[\s/>]"), "Record").when(value.rlike(r"^Workout[\s/>]"), "Workout") \
-            .when(bundle & value.rlike(r"^Export[\s/>]"), "Export")
+    value, bundle, plain = F.col("value"), F.col("bundle"), F.col("plain")
+    head = F.substring_index(value, ">", 1)  # of a plain tag
+    kind = F.when(_is_tag(value, "Record"), "Record").when(_is_tag(value, "Workout"), "Workout") \
+            .when(bundle & _is_tag(value, "Export"), "Export")
     ends = value.contains("-->")
     start = ~bundle & (F.col("block") == 0) & (F.length(F.trim(value)) <= 1)  # before the first tag, a byte order mark at most
     marker = F.when(value.startswith("!--") & ~ends, "open").when(ends & ~value.startswith("!--"), "close").when(start, "file")
+    rows = rows.select("*", is_bundle(F.col("path")).alias("bundle"), value.rlike(_PLAIN).alias("plain"))
     tags = rows.select(subject_of(F.col("path"), subject).alias("subject_id"), "path", "mtime", "length",
                        F.struct("block", (F.monotonically_increasing_id() if ordered else F.lit(None).cast("bigint")).alias("row"))
                        .alias("place"),
-                       bundle.alias("bundle"), kind.alias("kind"), marker.alias("marker"), F.regexp_extract(value, _HEAD, 1).alias("head")) \
+                       "bundle", kind.alias("kind"), marker.alias("marker"), F.when(~plain, F.regexp_extract(value, _HEAD, 1)).alias("head"),
+                       F.when(plain, F.split(F.substr(head, F.instr(head, " ")), '"')).alias("parts")) \
                .where(F.col("kind").isNotNull() | F.col("marker").isNotNull())
     own = F.coalesce(_attribute("subject").try_cast("bigint"), F.col("subject_id"))
     whose = F.when(~F.col("bundle"), F.col("subject_id")).when(F.col("kind").isNotNull(), own)

@@ -104,6 +104,14 @@ def test_chart_last90_gate(spark):
     assert counts == {"many": 90}
 
 
+def test_chart_sorts_once(spark):
+    d = daily_df(spark, {"many": [(i, float(i)) for i in range(120)], "two": [(0, 1.0), (1, 2.0)]}, subject=1)
+    c = chart_data(rolling_means(d)).sortWithinPartitions("subject_id", "metric", "date")
+    assert [(r.metric, r.raw) for r in c.coalesce(1).collect()] == [("many", float(i)) for i in range(30, 120)] + [("two", 1.0), ("two", 2.0)]
+    assert "DESC" not in c._jdf.queryExecution().optimizedPlan().toString()
+    assert chart_data(rolling_means(d), 1).isEmpty()
+
+
 def test_partition_count_does_not_change_results(spark):
     d = daily_df(spark, {f"m{k}": [(i, (i * 7919 + k) % 101) for i in range(60)] for k in range(5)})
     a = sorted(map(tuple, rolling_means(d).collect()))

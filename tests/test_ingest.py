@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.model import MetricDim
 from pulsegrid.operators.typing import kept_skipped, type_records, type_workouts
-from pulsegrid.sources.xml import RECORD_ATTRS, WORKOUT_ATTRS, read_records, read_workouts
+from pulsegrid.sources.xml import _PLAIN, RECORD_ATTRS, WORKOUT_ATTRS, elements, read_records, read_workouts, scan
 
 HEADER = """<?xml version="1.0" encoding="UTF-8"?>
 <!DOCTYPE HealthData [
@@ -405,3 +405,19 @@ def test_quoted_gt_and_single_quotes(spark, tmp):
         f.write(HEADER + body + FOOTER)
     a = [tuple(r) for r in read_records(spark, d).collect()]
     assert [r[1:] for r in a] == by_row_tag(spark, d, "Record", RECORD_ATTRS) and a[0][2] == "Watch > Phone"
+
+
+def test_plain_tags_are_cut_at_quotes_only(spark, tmp):
+    plain = ['<Record type="a" value="it\'s 1" device="&lt;x, y:1&gt;" unit="u"/>', '<Record  type="a"\tvalue = "it\'s 1" unit=\'u\'/>',
+             '<Record value="v" unit=""> " type="b" sourceName="c"\n</Record>', '<Record type="a" type="b" value="x type="/>',
+             '<Record value="1 &amp; 2" type="a"/>', '<Record type="a" value="v>w"/>', '<Record/>', '<Records type="a"/>']
+    path = os.path.join(tmp, "export.xml")
+    with open(path, "w") as f:
+        f.write("<HealthData>\n" + "\n".join(plain) + "\n</HealthData>")
+    got = elements(scan(spark, path)).where("kind IS NOT NULL").orderBy("place").select("type", "value", "unit", "sourceName")
+    assert [tuple(r) for r in got.collect()] == [
+        ("a", "it's 1", "u", None), ("a", "it's 1", "u", None), (None, "v", "", None), ("a", "x type=", None, None),
+        ("a", "1 & 2", None, None), ("a", "v>w", None, None), (None, None, None, None)]
+    # A plain tag has nothing for the patterns to read.
+    tags = scan(spark, path).select(F.col("value"), F.col("value").rlike(_PLAIN).alias("plain"))
+    assert [r.plain for r in tags.where("value LIKE 'Record%'").collect()] == [True, False, True, False, False, False, False, False]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +151,22 @@ def test_back_dated_run_reports_no_later_week(spark, tmp):
     assert reports.read_report(spark, rep, "monthly_totals", "2024-01-17").first().weeks_covered == 2
     assert reports.read_report(spark, rep, "monthly_totals", "2024-01-31").first().weeks_covered == 4
     assert steps[:3] == ["ingest", "analysis", "snapshot"] and "metric_log" in steps and steps[-1] == "profile"
+
+
+def test_reports_are_written_side_by_side(spark, tmp, monkeypatch):
+    from pulsegrid.plans.analysis import run as weekly
+    from test_ingest import HEART, days, put
+
+    put(os.path.join(tmp, "in"), "subject=1.xml", *days(HEART, [60 + k % 5 for k in range(30)]))
+    together, write, names = threading.Barrier(2), reports.write_report, []
+
+    def waits(df, root, name, *args, **kwargs):
+        names.append(name)
+        if name in ("context", "chart_data"):
+            together.wait(60)
+        return write(df, root, name, *args, **kwargs)
+
+    monkeypatch.setattr(reports, "write_report", waits)
+    weekly(spark, os.path.join(tmp, "in"), os.path.join(tmp, "out"), "2024-01-31")
+    assert len(names) == len(set(names)) == 12
+    assert reports.read_report(spark, os.path.join(tmp, "out", "reports"), "chart_data").count() == 30
