@@ -28,17 +28,19 @@ count per vocabulary entry and the sample.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import ranked, staged, table
+from pulsegrid.llm.common import byte_slices, ranked, staged, table
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -49,6 +51,10 @@ WINDOW = 2048
 SHARD = 4096
 TOPICS, SAMPLE, ROUNDS = 16, 4096, 6
 ORDERS = 3
+#: Bytes of text whose different words are merged once.
+SLICE_BYTES = 8_000_000
+#: Kinds of characters: text end, letter, digit, white space, other.
+NONE, LETTER, DIGIT, WHITE, OTHER = range(5)
 #: Neighbours that are put in order at first; more where a window takes more.
 FIRST = 32
 K1, B = 1.2, 0.75
@@ -57,10 +63,19 @@ TOKENS = "row long, doc_id long, doc_tokens long, full_crc array<long>, full_ter
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _kind(character: str) -> int:
+    if character == "\0":
+        return NONE
+    if character.isspace():
+        return WHITE
+    return {"L": LETTER, "N": DIGIT}.get(unicodedata.category(character)[0], OTHER)
+
+
 class Tokeniser:
-    """Ids of the ``tokenizers`` vocabulary.  Ordinary Latin text is cut by
-    tiktoken, which holds the same vocabulary and is several times faster; all
-    else, and texts with the special token, by ``tokenizers`` itself."""
+    """Ids of the ``tokenizers`` vocabulary.  Ordinary Latin texts are cut into
+    words together, by kinds of characters as the vocabulary's pattern cuts them;
+    tiktoken, which holds the same vocabulary, merges each different word once.
+    All else, and texts with the special token, goes by ``tokenizers`` itself."""
 
     def __init__(self, folder: str | None):
         import base64
@@ -74,18 +89,79 @@ class Tokeniser:
         self.vocabulary, self.full = place(VOCABULARY), None
         with open(place(RANKS), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.cut = ranks[b"\0"]
+        self.fast = tiktoken.Encoding("own", pat_str=r"[^\x00]+|\x00", mergeable_ranks=ranks, special_tokens={})
         self.plain = re.compile(r"[\n\t\r\x20-\x7e¡-ɏ‐-‧]*")
+        self.kinds = np.array([_kind(chr(c)) for c in range(0x2028)], dtype=np.uint8)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.plain.fullmatch(text) and SPECIAL not in text:
-            return np.array(self.fast.encode_ordinary(text), dtype=np.uint16)
+        return self.many([text])[0][:-1]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, then the end id."""
+        plain = [k for k, t in enumerate(texts) if self.plain.fullmatch(t) and SPECIAL not in t]
+        out = dict(zip(plain, self._latin([texts[k] for k in plain]), strict=True))
+        return [out[k] if k in out else np.append(self._any(t), np.uint16(END)) for k, t in enumerate(texts)]
+
+    def _any(self, text: str) -> np.ndarray:
         if self.full is None:  # few corpora need it, and it takes memory
             from tokenizers import Tokenizer
 
             self.full = Tokenizer.from_file(self.vocabulary)
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
 
+    def _latin(self, texts: list[str]) -> list[np.ndarray]:
+        """The same of texts that ``plain`` matches.  A zero byte after each text
+        is a word of its own, which stands for the end id."""
+        if not texts:
+            return []
+        data = ("\0".join(texts) + "\0").encode()
+        starts = np.flatnonzero(self._starts(np.frombuffer(data, dtype=np.uint8))).astype(np.int32)
+        offsets = np.append(starts, np.int32(len(data)))
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        code, (ids, first, sizes) = words.indices.to_numpy(), self._merged(words.dictionary)
+        n = sizes[code]
+        after = np.cumsum(n, dtype=np.int32)
+        ids = ids[np.arange(after[-1], dtype=np.int32) + np.repeat(first[code] - after + n, n)]
+        return np.split(ids, after[np.frombuffer(data, dtype=np.uint8)[starts] == 0][:-1])
+
+    def _starts(self, data: np.ndarray) -> np.ndarray:
+        """Of each byte, whether a word starts at it."""
+        kind = self.kinds[data]
+        for at in (np.flatnonzero(data >> 5 == 6), np.flatnonzero(data >> 4 == 14)):  # characters of two and three bytes
+            if len(at):
+                wide = data[at[0]] >> 4 == 14
+                code = (data[at] & (15 if wide else 31)).astype(np.int64)
+                for k in range(1, 3 if wide else 2):
+                    code = code << 6 | data[at + k] & 63
+                for k in range(3 if wide else 2):
+                    kind[at + k] = self.kinds[code]
+        white = kind == WHITE
+        start = np.ones(len(data), dtype=bool)
+        start[1:] = (kind[1:] != kind[:-1]) & (white[1:] | (data[:-1] != 32)) | (kind[1:] == NONE)
+        # The last of the white space before a word is cut off.
+        start[:-1] |= white[:-1] & ~white[1:] & (kind[1:] != NONE)
+        short = np.flatnonzero(start & (data == 39))
+        for k, endings in ((2, b"stmd"), (3, (b"re", b"ve", b"ll"))):
+            at = short[short + k < len(data)]
+            if k == 2:
+                at = at[np.isin(data[at + 1], np.frombuffer(endings, dtype=np.uint8))]
+            else:
+                at = at[np.any([(data[at + 1] == a) & (data[at + 2] == b) for a, b in endings], axis=0)]
+            start[at + 1] = False
+            start[at + k] = True
+        return start
+
+    def _merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all ``words``, and of each word its first place in them and its number of ids."""
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), b"\0")[0].as_py()
+        ids = np.array(self.fast.encode_ordinary(text.decode()), dtype=np.uint16)
+        cuts, end = np.flatnonzero(ids == self.cut), pc.index(words, pa.scalar(b"\0", words.type)).as_py()
+        ids[cuts[end]] = END
+        cuts = np.delete(cuts, end).astype(np.int32)
+        first = np.append(np.int32(0), cuts + np.int32(1))
+        return ids, first, np.append(cuts, np.int32(len(ids))) - first
+
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
@@ -111,11 +187,11 @@ def tokenised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         kind, tokens, last = to_arrow_schema(fields), None, np.zeros(VOCABULARY_SIZE, dtype=np.int64)
         for batch in batches:
             tokens = tokens or Tokeniser(tokenizers)
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
+            for a, b in byte_slices(sizes, SLICE_BYTES):
+                part = batch.slice(a, b - a)
                 n, crcs, terms, whole, rest = [], [], [], [], []
-                for scalar in part.column(2):
-                    ids = np.append(tokens(scalar.as_py() or ""), np.uint16(END))
+                for ids in tokens.many([text or "" for text in part.column(2).to_pylist()]):
                     full = len(ids) // window * window
                     n.append(len(ids))
                     crcs.append([crc(ids[k:k + window]) for k in range(0, full, window)])
@@ -237,7 +313,9 @@ class Index:
         if count is not None:
             terms = terms[np.argsort(-self.weight[a:b], kind="stable")[:count]]
         row = self.row[terms]
-        scores = self.rows[row[row >= 0]].sum(axis=0)
+        scores = np.zeros(len(self.alive))
+        for k in row[row >= 0].tolist():  # one by one: a copy of them all is more to move than to add
+            scores += self.rows[k]
         spans = [slice(self.at[t], self.at[t + 1]) for t in terms[row < 0].tolist()]
         if spans:
             scores += np.bincount(np.concatenate([self.owner[s] for s in spans]),

@@ -25,6 +25,34 @@ def test_fast_and_full_tokenisers_agree():
         assert tokens(text or "").tolist() == ids_of(text)[:-1].tolist(), text
 
 
+def test_words_are_cut_as_the_library_cuts_them():
+    rng = random.Random(7)
+    parts = ["a", "S", "l", "'", "'s", "'re", "'ve", "'ll", "'d", "'m", "'t", " ", "  ", "\n", "\t", "\r\n", "1", "23", ".", "!", "—", "’", "é", "ñ", "²", "¼", "·"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + TEXTS[1:] * 2
+    # Every character of the fast way, beside letters, digits, spaces and itself.
+    tokens = packing.Tokeniser(None)
+    texts += [f"a{c}1{c}{c} {c}'s{c}\n{c}" for c in map(chr, range(0x2028)) if tokens.plain.fullmatch(c)]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [[*x.ids, 1] for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in tokens.many(texts)] == want
+    assert tokens.many([]) == [] and [ids.tolist() for ids in tokens.many(["", ""])] == [[1], [1]]
+
+
+def test_each_different_word_is_merged_once():
+    class Counted:
+        seen = 0
+
+        def encode_ordinary(self, text):
+            self.seen += len(text)
+            return whole.encode_ordinary(text)
+
+    tokens = packing.Tokeniser(None)
+    whole, tokens.fast = tokens.fast, Counted()
+    got = tokens.many(["river stone's house\n" * 50] * 20)
+    assert tokens.fast.seen < 50
+    assert all(x.tolist() == ids_of("river stone's house\n" * 50).tolist() for x in got)
+
+
 def test_each_id_lies_in_one_piece(spark):
     rng = random.Random(6)
     words = "river stone house light walk paper garden winter teacher market".split()
